@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import bounded_batches
 
@@ -217,7 +218,7 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
             out = pa.array([replay.decode(x) for x in batch.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "decoded"])
 
-    return source.mapInArrow(run, source.schema.add("decoded", "binary"))
+    return source.mapInArrow(run, StructType([*source.schema.fields, StructField("decoded", BinaryType())]))
 
 
 def unpacked(encoded: DataFrame) -> DataFrame:
