@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, line_dedup, mixing, secret_scan
+from . import bpe, fingerprints, line_dedup, mixing, secret_scan, topk
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -28,6 +28,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared_with_next(_documents(spark, sf_dir))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digests(_documents(spark, sf_dir))
 
@@ -40,11 +44,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_line_dedup": op3_line_dedup,
     "op4_fingerprints": op4_fingerprints,
+    "op6_top_k": op6_top_k,
     "op8_mixing": op8_mixing,
     "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": line_dedup.SQL,
+    "op6_top_k": topk.SQL,
     "op8_mixing": mixing.SQL,
 }
