@@ -28,9 +28,9 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from .common import bounded_batches
 
 #: Distinct chunks remembered by a worker between blocks; beyond it the memory starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: Characters of a block.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 3 << 20
 #: Texts are cut at a space between two of these before the pattern is applied: no match spans such a place.
 _SPACE = frozenset(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _WIDE = re.compile("(?:^|[{0}]) | (?:[{0}]|$)".format("".join(sorted(_SPACE))))
@@ -47,7 +47,7 @@ class MergeReplay:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.vocabulary: list[bytes] = [b""] * (max(ranks.values()) + 1)
         joins = {}
         for token, rank in ranks.items():
@@ -57,15 +57,15 @@ class MergeReplay:
                 if left is not None and right is not None:
                     joins[left << 32 | right] = rank
         self.pair_keys = np.array(sorted(joins), dtype=np.int64)
-        self.pair_ranks = np.array([joins[k] for k in self.pair_keys.tolist()], dtype=np.int64)
+        self.pair_ranks = np.array([joins[k] for k in self.pair_keys.tolist()], dtype=np.int32)
         self.matches = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that joins each pair, -1 where there is none or a wall stands."""
-        keys = left << 32 | right
+        keys = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[at] == keys) & (left >= 0) & (right >= 0), self.pair_ranks[at], -1)
+        return np.where((self.pair_keys[at] == keys) & (left >= 0) & (right >= 0), self.pair_ranks[at], np.int32(-1))
 
     def replay(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of each word (none of them empty)."""
@@ -75,13 +75,13 @@ class MergeReplay:
         ends = np.cumsum(lengths + 1) - 1  # a wall stands after each word
         starts = ends - lengths
         n = int(ends[-1]) + 1
-        token = np.full(n + 1, -1, dtype=np.int64)
+        token = np.full(n + 1, -1, dtype=np.int32)
         inside = np.ones(n + 1, dtype=bool)
         inside[ends] = inside[n] = False
         token[inside] = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        after = np.arange(1, n + 2)
-        before = np.arange(-1, n)
-        joined = np.append(self.ranks_of(token[:-1], token[1:]), -1)  # rank of the pair that starts here
+        after = np.arange(1, n + 2, dtype=np.int32)
+        before = np.arange(-1, n, dtype=np.int32)
+        joined = np.append(self.ranks_of(token[:-1], token[1:]), np.int32(-1))  # rank of the pair that starts here
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
 
@@ -96,7 +96,7 @@ class MergeReplay:
                         heapq.heappush(heap, rank)
                     index[rank].append(some)
 
-        enter(np.arange(n), joined[:n])
+        enter(np.arange(n, dtype=np.int32), joined[:n])
         while heap:
             rank = heapq.heappop(heap)
             found = index.pop(rank)
