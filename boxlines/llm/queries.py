@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, line_dedup, mixing, secret_scan, topk
+from . import bpe, fingerprints, langid, line_dedup, mixing, secret_scan, topk
 
+PIECES = "piece_bpe_32k.model"
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -32,6 +33,10 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digests(_documents(spark, sf_dir), public_tokenizers.path(PIECES))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digests(_documents(spark, sf_dir))
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_fingerprints": op4_fingerprints,
     "op6_top_k": op6_top_k,
+    "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
     "op10_secret_scan": op10_secret_scan,
 }
