@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, langid, line_dedup, mixing, secret_scan, topk
+from . import bpe, fingerprints, jaccard, langid, line_dedup, mixing, secret_scan, topk
 
 PIECES = "piece_bpe_32k.model"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -29,6 +29,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared_with_next(_documents(spark, sf_dir))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(_documents(spark, sf_dir))
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_line_dedup": op3_line_dedup,
     "op4_fingerprints": op4_fingerprints,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_top_k": op6_top_k,
     "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": line_dedup.SQL,
+    "op5_ngram_jaccard": jaccard.SQL,
     "op6_top_k": topk.SQL,
     "op8_mixing": mixing.SQL,
 }
