@@ -1,8 +1,9 @@
 """Line dedup by content-defined chunks of lines, with DataFrame functions alone.
 
 A text's lines are hashed one by one; a rolling polynomial hash over the hashes of the last two lines ends
-a chunk wherever it is divisible by DIVISOR. Where chunks end depends on those lines only, so text put in
-before or after a passage shifts no boundary inside it. Chunks of several lines, and single lines of
+a chunk where it is divisible by DIVISOR and was not a line before, so that no chunk but the last has a
+single line. Where chunks end depends on the last three lines only, so text put in before or after a passage
+shifts no boundary inside it. Chunks of several lines, and single lines of
 LONG_LINE words or more, are counted over the whole table by hash; those that stand in more than one place
 are compared byte by byte with their first place (least doc_id, then text hash, then position), and every
 further place that has the same bytes is removed.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-DIVISOR = 3
+DIVISOR = 2
 MIN_WORDS = 10
 LONG_LINE = 50
 
@@ -35,7 +36,7 @@ def with_chunks(texts: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     made = texts.withColumn("__lines", lines).withColumn("__hashes", F.transform("__lines", _line_hash))
     rolling = lambda i: (F.get("__hashes", i) + 31 * F.coalesce(F.get("__hashes", i - 1), F.lit(0))) % divisor
     last = F.size("__lines") - 1
-    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (rolling(i) == 0) | (i == last))
+    ends = F.filter(F.sequence(F.lit(0), last), lambda i: ((i > 0) & (rolling(i) == 0) & (rolling(i - 1) != 0)) | (i == last))
     made = made.withColumn("__ends", ends)
     cut = F.transform("__ends", lambda end, k: F.array_join(F.slice("__lines", F.when(k > 0, F.get("__ends", k - 1) + 2).otherwise(1), F.when(k > 0, end - F.get("__ends", k - 1)).otherwise(end + 1)), "\n"))
     return made.withColumn("chunks", cut).drop("__lines", "__hashes", "__ends")
@@ -87,7 +88,8 @@ SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 h AS (SELECT row_id, doc_id, text, i, lines[i] AS line, CAST('0x' || substr(md5(lines[i]), 1, 8) AS BIGINT) AS hash
       FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d WHERE text IS NOT NULL)),
-e AS (SELECT *, (hash + 31 * coalesce(lag(hash) OVER (PARTITION BY row_id ORDER BY i), 0)) % 3 = 0 AS ends FROM h),
+z AS (SELECT *, (hash + 31 * coalesce(lag(hash) OVER (PARTITION BY row_id ORDER BY i), 0)) % 2 = 0 AS zero FROM h),
+e AS (SELECT *, i > 1 AND zero AND NOT lag(zero) OVER (PARTITION BY row_id ORDER BY i) AS ends FROM z),
 c AS (SELECT row_id, doc_id, text, i, line, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY row_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM e),
 k AS (SELECT row_id, doc_id, text, pos, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n_lines FROM c GROUP BY row_id, doc_id, text, pos),
 w AS (SELECT *, len(regexp_extract_all(chunk, '[^\x20\x09-\x0D]+')) AS words FROM k),
