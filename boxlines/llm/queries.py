@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, jaccard, katz, langid, line_dedup, mixing, secret_scan, topk
+from . import bpe, fingerprints, jaccard, katz, langid, line_dedup, mixing, pii, secret_scan, topk
 
 PIECES = "piece_bpe_32k.model"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -49,6 +49,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digests(_documents(spark, sf_dir))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(_documents(spark, sf_dir))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_top_k": op6_top_k,
     "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
+    "op9_pii": op9_pii,
     "op10_secret_scan": op10_secret_scan,
 }
 
