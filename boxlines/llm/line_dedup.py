@@ -63,10 +63,10 @@ def removals(docs: DataFrame, divisor: int = DIVISOR, min_words: int = MIN_WORDS
     repeated = stored(spans.where(F.col("first") != F.col("last")).select("a", "b", "first"), "repeated")
     salts = 16
     spread = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    found = stored(hashed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(salts)).cast("int")).join(spread, ["a", "b", "salt"]), "places")
+    found = stored(hashed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(salts)).cast("int")).join(spread.hint("merge"), ["a", "b", "salt"]), "places")
     is_first = F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("first"))
     firsts = found.where(is_first).groupBy("a", "b").agg(F.first("chunk").alias("first_chunk")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    same = found.where(~is_first).join(firsts, ["a", "b", "salt"]).where(F.col("chunk").cast("binary") == F.col("first_chunk").cast("binary"))
+    same = found.where(~is_first).join(firsts.hint("merge"), ["a", "b", "salt"]).where(F.col("chunk").cast("binary") == F.col("first_chunk").cast("binary"))
     return same.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("removed"))
 
 
