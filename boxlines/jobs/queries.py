@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text as names
-from ..operators import assign, connections, diagram, endpoints, files, regions, results, text, tiling
+from ..operators import assign, connections, diagram, endpoints, files, images, regions, results, text, tiling, tracing
 from ..sources.fixtures import fixture, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -821,3 +821,201 @@ def _(spark, d):
 def _(spark, d):
     runs = fixture(spark, d, "fx_timings").groupBy("diagram_id", "run_index").agg(F.sum("seconds").alias("seconds"))
     return results.run_times(runs.withColumn("seconds", F.round("seconds", 4)))
+
+
+# rasters: 8 x 8 gray pictures from the embeddings, packed by Spark
+
+_PIXELS = """SELECT vec_id AS image_id, label, unnest(range(0, 64)) AS pos, unnest(list_transform(embedding[1:64], lambda x: greatest(0, least(255, CAST(floor(128 + CAST(x AS DOUBLE) * 400) AS INT))))) AS raw FROM embeddings"""
+_VALUES = dict(x=_PIXELS, v="SELECT image_id, pos, CASE WHEN label % 2 = 1 THEN 255 - raw ELSE raw END AS v FROM x")
+
+
+def _rasters(spark, d) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    raw = F.transform(F.slice("embedding", 1, 64), lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + x.cast("double") * 400))).cast("int"))
+    v = F.transform("raw", lambda x: F.when(F.col("label") % 2 == 1, 255 - x).otherwise(x))
+    data = F.unhex(F.array_join(F.transform("v", lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    eight = F.lit(8).cast("long")
+    return e.withColumn("raw", raw).withColumn("v", v).select(F.col("vec_id").alias("diagram_id"), eight.alias("width"), eight.alias("height"), F.lit(1).alias("channels"), data.alias("data"))
+
+
+def _sums(df: DataFrame) -> DataFrame:
+    """Size, and the sum of all bytes, of each raster."""
+    code = F.hex("data")
+    byte = lambda i: F.conv(F.substring(code, 2 * i + 1, F.lit(2)), 16, 10).cast("long")
+    total = F.aggregate(F.transform(F.sequence(F.lit(0), F.length("data") - 1), byte), F.lit(0).cast("long"), lambda a, x: a + x)
+    return df.select("diagram_id", "width", "height", F.col("channels").cast("long").alias("channels"), total.alias("total"))
+
+
+_SUMS = dict(_VALUES, m="SELECT image_id, median(v) AS med, CAST(sum(v) AS BIGINT) AS total, floor(median(v)) < 128 AS dark FROM v GROUP BY image_id")
+
+
+@query("b1_gray_to_bgr", _with(**_SUMS) + "SELECT image_id AS diagram_id, 8 AS width, 8 AS height, 3 AS channels, 3 * total AS total FROM m")
+def _(spark, d):
+    return _sums(images.gray_to_bgr(_rasters(spark, d)))
+
+
+@query("b2_flatten_alpha", _with(**_VALUES) + "SELECT image_id AS diagram_id, 4 AS width, 4 AS height, 3 AS channels, CAST(sum(CASE WHEN pos % 4 < 3 THEN floor(v * (a / 255.0::DOUBLE) + 255 * (1 - a / 255.0::DOUBLE)) ELSE 0 END) AS BIGINT) AS total FROM (SELECT *, max(CASE WHEN pos % 4 = 3 THEN v END) OVER (PARTITION BY image_id, CAST(floor(pos / 4) AS BIGINT)) AS a FROM v) GROUP BY image_id")
+def _(spark, d):
+    four = F.lit(4).cast("long")
+    return _sums(images.flatten_alpha(_rasters(spark, d).withColumns({"width": four, "height": four, "channels": F.lit(4)})))
+
+
+@query("b3_median_color", _with(**_SUMS) + "SELECT image_id AS diagram_id, CAST(floor(med) AS BIGINT) AS b, CAST(floor(med) AS BIGINT) AS g, CAST(floor(med) AS BIGINT) AS r FROM m")
+def _(spark, d):
+    return images.median_color(images.gray_to_bgr(_rasters(spark, d)))
+
+
+@query("b4_is_dark_mode", _with(**_SUMS) + "SELECT image_id AS diagram_id, dark AS is_dark FROM m")
+def _(spark, d):
+    return images.is_dark_mode(images.median_color(images.gray_to_bgr(_rasters(spark, d))))
+
+
+@query("b5_invert_dark", _with(**_SUMS) + "SELECT image_id AS diagram_id, 8 AS width, 8 AS height, 3 AS channels, 3 * CASE WHEN dark THEN 64 * 255 - total ELSE total END AS total FROM m")
+def _(spark, d):
+    return _sums(images.invert_dark(images.gray_to_bgr(_rasters(spark, d))))
+
+
+@query("b6_pad_border", _with(**_SUMS) + "SELECT image_id AS diagram_id, 28 AS width, 28 AS height, 1 AS channels, total + (28 * 28 - 64) * 255 AS total FROM m")
+def _(spark, d):
+    return _sums(images.pad_border(_rasters(spark, d)))
+
+
+@query("b7_preprocess_images", _with(**_SUMS) + "SELECT image_id AS diagram_id, 28 AS width, 28 AS height, 3 AS channels, 3 * (CASE WHEN dark THEN 64 * 255 - total ELSE total END + (28 * 28 - 64) * 255) AS total FROM m")
+def _(spark, d):
+    return _sums(images.preprocess_images(_rasters(spark, d)))
+
+
+def _quarters(spark, d) -> DataFrame:
+    ids = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("diagram_id"))
+    at = lambda x, y: F.struct(*(F.lit(v).cast("long").alias(n) for n, v in (("x1", x), ("y1", y), ("x2", x + 4), ("y2", y + 4))))
+    return ids.select("diagram_id", F.lit(1).cast("long").alias("level"), F.explode(F.array(at(0, 0), at(4, 0), at(0, 4), at(4, 4))).alias("b")).select("diagram_id", "level", "b.*")
+
+
+@query("c4_cut_tiles", _with(**_VALUES) + "SELECT image_id AS diagram_id, CAST(floor(pos % 8 / 4) AS BIGINT) * 4 AS x1, CAST(floor(pos / 32) AS BIGINT) * 4 AS y1, 4 AS width, 4 AS height, 1 AS channels, CAST(sum(v) AS BIGINT) AS total FROM v GROUP BY 1, 2, 3")
+def _(spark, d):
+    tiles = images.cut_tiles(_rasters(spark, d), _quarters(spark, d))
+    return _sums(tiles.withColumn("diagram_id", F.struct("diagram_id", "x1", "y1"))).select(F.col("diagram_id.diagram_id").alias("diagram_id"), F.col("diagram_id.x1").alias("x1"), F.col("diagram_id.y1").alias("y1"), "width", "height", "channels", "total")
+
+
+@query("c3_drop_blank_tiles", _with(**_VALUES) + "SELECT image_id AS diagram_id, count(DISTINCT CAST(floor(pos / 32) AS BIGINT) * 2 + CAST(floor(pos % 8 / 4) AS BIGINT)) AS n FROM v WHERE v > 100 GROUP BY 1")
+def _(spark, d):
+    """Blank where nothing is brighter than 100: such pictures are made white first."""
+    white = images.map_images(_rasters(spark, d), lambda _, x: (x <= 100).astype("uint8") * 255)
+    return images.cut_tiles(white, _quarters(spark, d)).groupBy("diagram_id").agg(F.count("*").alias("n"))
+
+
+@query("c5_score_tiles")
+def _(spark, d):
+    """A stand-in detector: the mean brightness of a tile is its score."""
+
+    def load(kind):
+        def score(batch):
+            return batch.assign(kind=kind, score=[sum(x) / len(x) / 255 for x in batch["data"]])[["diagram_id", "x1", "y1", "kind", "score"]]
+
+        return score
+
+    return tiling.score_tiles(images.cut_tiles(_rasters(spark, d), _quarters(spark, d)), load, "class", "diagram_id long, x1 long, y1 long, kind string, score double")
+
+
+def _areas(spark, d) -> DataFrame:
+    r = fixture(spark, d, "fx_regions")
+    x, y = (F.col(c) % 5 for c in ("region_id", "diagram_id"))
+    return r.select("diagram_id", "label", x.alias("x1"), y.alias("y1"), (x + 3).alias("x2"), (y + 3).alias("y2"), F.lit(None).cast("array<array<struct<x:double,y:double>>>").alias("rings"))
+
+
+for _name, _change in {
+    "f2_mark_regions": lambda i, r: images.mark_regions(i, r),
+    "f3_mark_with_border": lambda i, r: images.mark_regions(i, r, border=True),
+    "f4_remove_regions": lambda i, r: images.remove_regions(i, r),
+    "f5_keep_only_polygons": lambda i, r: images.keep_only_polygons(i, r),
+}.items():
+
+    @query(_name)
+    def _(spark, d, change=_change):
+        return _sums(change(images.gray_to_bgr(_rasters(spark, d)), _areas(spark, d)))
+
+
+def _lines(spark, d) -> DataFrame:
+    ink = images.map_images(_rasters(spark, d), lambda _, x: (x < 128).astype("uint8") * 255)
+    return images.skeletonize(ink, ink.select("diagram_id", F.lit(0.5).alias("scale")))
+
+
+@query("h1_skeletonize")
+def _(spark, d):
+    return _lines(spark, d)
+
+
+@query("h2_split_overlapping_crossings")
+def _(spark, d):
+    return tracing.split_overlapping_crossings(fixture(spark, d, "fx_end_shapes").select("diagram_id", F.col("shape_index").alias("crossing_index"), "x", "y", "w", "h"))
+
+
+_GRID = "SELECT o_custkey // 10 AS diagram_id, (o_orderkey * 379) % 76 * 10 AS y, (o_orderkey * 211) % 100 * 10 AS x FROM orders"
+
+
+def _grid(spark, d) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.select(F.floor(F.col("o_custkey") / 10).alias("diagram_id"), (F.col("o_orderkey") * 379 % 76 * 10).alias("y"), (F.col("o_orderkey") * 211 % 100 * 10).alias("x")).distinct()
+
+
+@query("h3_crossing_border_points", _with(p=f"SELECT DISTINCT * FROM ({_GRID})", h=oracle("fx_end_shapes"), b="SELECT diagram_id, shape_index AS crossing_index, CAST(x AS BIGINT) AS x1, CAST(y AS BIGINT) AS y1, CAST(x + w AS BIGINT) AS x2, CAST(y + h AS BIGINT) AS y2 FROM h") + "SELECT p.diagram_id, crossing_index, y, x FROM p JOIN b ON p.diagram_id = b.diagram_id WHERE x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2 AND (x IN (x1, x2) OR y IN (y1, y2))")
+def _(spark, d):
+    return tracing.crossing_border_points(_grid(spark, d), fixture(spark, d, "fx_end_shapes").withColumnRenamed("shape_index", "crossing_index"))
+
+
+@query("h4_snap_endpoints", _with(p=f"SELECT DISTINCT * FROM ({_GRID})", e=oracle("fx_endpoints"), n="SELECT e.diagram_id, endpoint_id, p.y AS py, p.x AS px FROM e JOIN p ON p.diagram_id = e.diagram_id QUALIFY row_number() OVER (PARTITION BY e.diagram_id, endpoint_id ORDER BY (e.x - p.x) * (e.x - p.x) + (e.y - p.y) * (e.y - p.y), p.y, p.x) = 1") + "SELECT diagram_id, endpoint_id AS endpoint_index, py, px FROM n QUALIFY row_number() OVER (PARTITION BY diagram_id, py, px ORDER BY endpoint_id DESC) = 1")
+def _(spark, d):
+    return tracing.snap_endpoints(fixture(spark, d, "fx_endpoints").withColumnRenamed("endpoint_id", "endpoint_index"), _grid(spark, d))
+
+
+def _snapped(spark, d) -> tuple[DataFrame, DataFrame]:
+    lines = _lines(spark, d)
+    corners = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("endpoint_index"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, (x, y) in enumerate(((0.0, 0.0), (7.0, 0.0), (0.0, 7.0), (7.0, 7.0))))))
+    ends = lines.select("diagram_id").distinct().select("diagram_id", corners.alias("e")).select("diagram_id", "e.*")
+    return lines, tracing.snap_endpoints(ends, lines)
+
+
+@query("h5_trace_edges")
+def _(spark, d):
+    return tracing.trace_edges(*_snapped(spark, d)).select("diagram_id", "a", "b", F.size("path").cast("long").alias("n"))
+
+
+@query("h6_enumerate_paths")
+def _(spark, d):
+    lines, snapped = _snapped(spark, d)
+    edges = tracing.trace_edges(lines, snapped).select("diagram_id", "a", "b")
+    kind = F.when(F.col("endpoint_index") % 2 == 0, "endpoint").otherwise("crossing")
+    nodes = snapped.select("diagram_id", F.col("endpoint_index").alias("node"), kind.alias("kind"), F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"))
+    return tracing.enumerate_paths(nodes, edges).select("diagram_id", "start_index", "endpoint_index", "total_div", F.size("nodes").cast("long").alias("n"))
+
+
+# compositions over labels, and text reading
+
+
+def _clusters(spark, d) -> DataFrame:
+    b = fixture(spark, d, "fx_label_boxes").where("kind = 'Relationship label'")
+    return assign.cluster_bounds(assign.cluster_text_boxes(b), b).withColumnRenamed("cluster_id", "left_id")
+
+
+def _points(spark, d) -> DataFrame:
+    return fixture(spark, d, "fx_endpoints").withColumnRenamed("endpoint_id", "right_id")
+
+
+@query("j7_assign_roles")
+def roles(spark, d):
+    return assign.optimal_assignment(assign.assignment_candidates(_clusters(spark, d), _points(spark, d), 30.0))
+
+
+@query("j8_assign_relationship_names")
+def _(spark, d):
+    """Clusters without a role, to lines given as their two ends."""
+    free = _clusters(spark, d).join(roles(spark, d).select("diagram_id", "left_id"), ["diagram_id", "left_id"], "left_anti")
+    lines = fixture(spark, d, "fx_endpoints").select("diagram_id", F.col("endpoint_id").alias("right_id"), "x", "y", (F.col("x") + 40).alias("u"), (F.col("y") + 20).alias("v"))
+    return assign.optimal_assignment(assign.line_candidates(free, lines, 20.0))
+
+
+@query("k5_ocr_batches")
+def _(spark, d):
+    """A stand-in reader: a crop's text is its size."""
+    crops = regions.crop_boxes(_placed(spark, d))
+    return text.ocr_batches(crops, lambda: lambda batch: [f"{b - a}x{e - c}" for a, b, c, e in zip(batch["x1"], batch["x2"], batch["y1"], batch["y2"], strict=True)])

@@ -6,7 +6,7 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import point_box_distance
@@ -76,6 +76,29 @@ def assignment_candidates(boxes: DataFrame, points: DataFrame, reach: float) ->
     return near.withColumn("distance", d).where(F.col("distance") <= reach).select("diagram_id", "left_id", "right_id", "distance")
 
 
+def line_candidates(boxes: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
+    """As assignment_candidates, for lines given as their segments (right_id, x, y, u, v). The distance of a
+    box and a segment is the least between an end or corner of one and the other; 0 where they meet."""
+    near = boxes.join(segments, "diagram_id").where((F.greatest("x", "u") >= F.col("x1") - reach) & (F.least("x", "u") <= F.col("x2") + reach) & (F.greatest("y", "v") >= F.col("y1") - reach) & (F.least("y", "v") <= F.col("y2") + reach))
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    ends = [point_box_distance(F.col(a), F.col(b), F.col("x1"), F.col("y1"), w, h) for a, b in (("x", "y"), ("u", "v"))]
+    dx, dy = F.col("u") - F.col("x"), F.col("v") - F.col("y")
+    size = dx * dx + dy * dy
+
+    def corner(cx: Column, cy: Column) -> Column:
+        t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((cx - F.col("x")) * dx + (cy - F.col("y")) * dy) / size))).otherwise(0.0)
+        ex, ey = F.col("x") + t * dx - cx, F.col("y") + t * dy - cy
+        return F.sqrt(ex * ex + ey * ey)
+
+    side = lambda cx, cy: dx * (cy - F.col("y")) - dy * (cx - F.col("x"))
+    spots = [(F.col(a), F.col(b)) for a in ("x1", "x2") for b in ("y1", "y2")]
+    sides = [side(*c) for c in spots]
+    meets = (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0) & (F.greatest("x", "u") >= F.col("x1")) & (F.least("x", "u") <= F.col("x2")) & (F.greatest("y", "v") >= F.col("y1")) & (F.least("y", "v") <= F.col("y2"))
+    d = F.when(meets, F.lit(0.0)).otherwise(F.least(*ends, *(corner(*c) for c in spots)))
+    found = near.withColumn("distance", d).where(F.col("distance") <= reach)
+    return found.groupBy("diagram_id", "left_id", "right_id").agg(F.min("distance").alias("distance"))
+
+
 def greedy(pairs: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
     """Pairs by rising distance, each side once."""
     lefts, rights, out = set(), set(), []

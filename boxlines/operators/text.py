@@ -5,7 +5,7 @@ own; empty tables give empty tables."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -110,3 +110,18 @@ def label_text_rows(assigned: DataFrame, texts: DataFrame, min_score: float = MI
     """Texts of the label boxes of each assigned cluster, in its order; assigned: (diagram_id, cluster_id,
     target_id), texts: (diagram_id, cluster_id, pos, score, text)."""
     return assigned.join(texts.where(F.col("score") >= min_score), ["diagram_id", "cluster_id"]).select("diagram_id", "target_id", "pos", "score", "text")
+
+
+def ocr_batches(crops: DataFrame, load: Callable[[], Callable[[pd.DataFrame], list[str]]], size: int = 5) -> DataFrame:
+    """Adds text: a reader, loaded once in a worker, is given `size` crops at a time. Crops are spread over
+    the partitions first, as images hold very different numbers of them."""
+    source = crops.drop("text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = load()
+        for batch in batches:
+            texts = [t for a in range(0, len(batch), size) for t in read(batch.iloc[a : a + size])]
+            yield batch.assign(text=texts)
+
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+    return source.repartition("diagram_id", "region_id").mapInPandas(run, f"{columns}, text string")
