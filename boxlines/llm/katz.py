@@ -39,9 +39,9 @@ from .common import bounded_batches, stored, words_of
 #: Counts above are not discounted.
 LOW = 5
 #: Bytes of text whose pairs make a part.
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
 #: Characters of the texts whose counts travel together.
-BLOCK_CHARS = 10 << 20
+BLOCK_CHARS = 5 << 20
 #: Hashes of the start and the end; words hold no white space, so none has these names.
 START, END = (xxhash.xxh3_64_intdigest(x) for x in (b" start", b" end"))
 
