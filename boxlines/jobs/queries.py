@@ -928,6 +928,7 @@ for _name, _change in {
     "f3_mark_with_border": lambda i, r: images.mark_regions(i, r, border=True),
     "f4_remove_regions": lambda i, r: images.remove_regions(i, r),
     "f5_keep_only_polygons": lambda i, r: images.keep_only_polygons(i, r),
+    "f6_prepare_images": lambda i, r: images.prepare_images(i, r, "remove", ("classes",)),
 }.items():
 
     @query(_name)

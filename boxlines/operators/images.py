@@ -164,3 +164,17 @@ def skeletonize(images: DataFrame, scales: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"diagram_id": r.diagram_id, "y": y, "x": x})
 
     return images.join(scales, "diagram_id").mapInPandas(run, "diagram_id long, y long, x long")
+
+
+def prepare_images(images: DataFrame, regions: DataFrame, mode: str, kinds: tuple[str, ...] = ("classes", "relationships")) -> DataFrame:
+    """Training pictures: the regions of the kinds marked, marked with an edge, or removed. Boxes with a
+    class label are `classes`, all others `relationships`."""
+    of_class = F.col("label").isin("Class", "Struck Class", "Note")
+    some = regions.where((of_class & F.lit("classes" in kinds)) | (~of_class & F.lit("relationships" in kinds)))
+    if mode == "mark":
+        return mark_regions(images, some)
+    if mode == "mark_with_border":
+        return mark_regions(images, some, border=True)
+    if mode == "remove":
+        return remove_regions(images, some)
+    raise ValueError(f"unknown mode {mode}")
