@@ -1 +1 @@
-"""See the package README."""
+"""Column functions, and numpy helpers on one raster."""

@@ -1 +1 @@
-"""See the package README."""
+"""The registered queries."""

@@ -1 +1 @@
-"""See the package README."""
+"""DataFrame operators on diagram tables."""

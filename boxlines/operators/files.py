@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import natural_key
 
@@ -59,13 +56,3 @@ def write_eval_rows(sheet: DataFrame, updates: DataFrame, check_name: bool = Tru
         wrong = hit & taken & ~F.lit(overwrite)
     checked = F.when(wrong, F.raise_error(F.concat(F.lit("row "), F.col("row_key").cast("string"), F.lit(" is not free for "), F.col("__name"))).cast("string")).otherwise(F.col("name"))
     return joined.select(*(checked.alias("name") if c == "name" else F.coalesce(f"__{c}", c).alias(c) if c in values else F.col(c) for c in sheet.columns))
-
-
-def stream_extract(stream: DataFrame, extract: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Runs a batch job on each arriving batch of diagrams and appends its rows; the checkpoint sees to it
-    that each input is taken once."""
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        extract(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1 +1 @@
-"""See the package README."""
+"""Where tables come from."""

@@ -1 +1 @@
-"""See the package README."""
+"""Jobs on streams."""

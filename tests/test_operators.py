@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from boxlines.functions import text as names
 from boxlines.operators import assign, connections, diagram, endpoints, files, regions, text, tiling
+from boxlines.streaming.intake import stream_extract
 
 REGION = "diagram_id long, region_id long, label string, x double, y double, width double, height double, score double"
 
@@ -172,5 +173,5 @@ def test_stream_takes_each_input_once(spark, tmp_path):
     df = spark.createDataFrame([(1, "a")], "diagram_id long, text string")
     for _ in range(2):
         df.write.mode("append").parquet(source)
-        files.stream_extract(spark.readStream.schema(df.schema).parquet(source), lambda b: b, out, state).awaitTermination()
+        stream_extract(spark.readStream.schema(df.schema).parquet(source), lambda b: b, out, state).awaitTermination()
     assert spark.read.parquet(out).count() == 2
