@@ -28,7 +28,10 @@ def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes chunks of lines that stand elsewhere already; texts of which nothing is left go."""
     found = line_dedup.dedup(docs)
     left = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return found.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    # a filter on the text would be pushed below, and there put the text together a second time, inlined
+    held = found.withColumn("__left", F.when(left, F.array("text")).otherwise(F.array().cast("array<string>")))
+    held = held.select(*(c for c in COLUMNS if c not in ("text", "n_chars")), F.explode_outer("__left").alias("text")).where("text IS NOT NULL")
+    return held.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
