@@ -24,7 +24,15 @@ ROUNDS = 10
 
 _LEFT, _RIGHT = r"(?<![0-9A-Za-z_])(?<![0-9][.\-/])", r"(?![0-9A-Za-z_])(?![.\-/][0-9])"
 EMAIL = r"(?<![0-9A-Za-z._%+\-])[0-9A-Za-z._%+\-]++@[0-9A-Za-z\-]+(?:\.[0-9A-Za-z\-]+)*\.[A-Za-z]{2,}"
-PHONE = r"(?<![0-9A-Za-z_+])(?:\+?1[ .\-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.\- ])[2-9][0-9]{2}[.\- ][0-9]{4}" + _RIGHT
+#: Three, three and four digits, the first three perhaps in brackets, after country code 1 or none.
+TEN = r"(?:\+?1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.\- ])[0-9]{3}[.\- ][0-9]{4}"
+#: 7 to 15 digits after a plus, or after 00 and a separated country code.
+ABROAD = r"(?:\+[1-9](?:[ .\-()]{0,3}[0-9]){6,14}|00[1-9][0-9]{0,2}[ .\-](?:[ .\-()]{0,2}[0-9]){5,12})"
+#: Groups after an area code in brackets, or after one that begins with the trunk's zero.
+AREA = r"(?:\([0-9]{2,5}\)[ .\-]?[0-9]{3,5}[ .\-][0-9]{3,5}|\(0[0-9]{1,4}\)[ .\-]?[0-9]{5,8}|0[0-9]{1,4}(?:[ .\-][0-9]{3,5}){2,3}|0[0-9](?:[ .\-][0-9]{2}){4}|0[0-9]{2,4}[ \-][0-9]{5,8})"
+PHONE = rf"(?<![0-9A-Za-z_+])(?:{TEN}{_RIGHT}|{ABROAD}{_RIGHT}|{AREA}{_RIGHT})"
+#: The country code at the start of a number's digits: one digit, two, or else three.
+COUNTRY = r"^(?:00)?(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 IP = _LEFT + r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}" + _RIGHT
 DATE = _LEFT + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})" + _RIGHT
 SSN = _LEFT + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _RIGHT
@@ -109,16 +117,17 @@ def _card(hit: Column, key: str) -> Column:
 
 
 def _phone(hit: Column, key: str) -> Column:
-    """Ten digits, the first of the area and of the exchange from 2 to 9; a country code stays."""
-    radices = F.array(*map(F.lit, (8, 10, 10, 8, 10, 10, 10, 10, 10, 10)))
-    low = F.array(*map(F.lit, (2, 0, 0, 2, 0, 0, 0, 0, 0, 0)))
+    """All national digits; a country code and the trunk's zero stay. Beyond 15 digits it may be a card."""
+    plain = F.regexp_replace(hit, "[^0-9]", "")
+    code = F.length(F.regexp_extract(plain, COUNTRY, 0)) + F.when(hit.contains("(0)"), 1).otherwise(0)
+    stay = F.when(hit.rlike(f"^{TEN}$"), F.length(plain) - 10).when(hit.rlike(r"^(?:\+|00[1-9])"), code).when(plain.startswith("0"), 1).otherwise(0)
 
     def changed(digits: Column) -> Column:
-        ten = F.slice(digits, F.size(digits) - 9, F.lit(10))
-        moved = F.zip_with(feistel(F.zip_with(ten, low, lambda a, b: a - b), radices, "phone", key), low, lambda a, b: a + b)
-        return _filled(hit, _texts(F.concat(F.slice(digits, F.lit(1), F.size(digits) - 10), moved)), "[0-9]")
+        national = F.slice(digits, stay + 1, F.size(digits) - stay)
+        moved = feistel(national, F.transform(national, lambda _: F.lit(10)), "phone", key)
+        return _filled(hit, _texts(F.concat(F.slice(digits, F.lit(1), stay), moved)), "[0-9]")
 
-    return _let(_digits(hit), changed)
+    return F.when(F.length(plain) > 17, _card(hit, key)).when((F.length(plain) > 15) & ~hit.startswith("00"), _card(hit, key)).otherwise(_let(_digits(hit), changed))
 
 
 def _ip(hit: Column, key: str) -> Column:

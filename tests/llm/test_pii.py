@@ -41,6 +41,19 @@ def test_invalid_and_clean_texts_stay(spark):
     assert changed(spark, texts) == texts
 
 
+def test_phones_of_any_area_and_country(spark):
+    texts = ["+1 (017) 555-7713", "017-555-7713", "(117) 055-7713", "+44 20 7946 0958", "020 7946 0958", "+44 (0)20 7946 0958", "0044 20 7946 0958", "+442079460958", "+33 1 23 45 67 89", "01 23 45 67 89", "(030) 1234567", "(11) 2345-6789", "+683 4000", "+353.1.234.5678"]
+    got = changed(spark, [f"call {t}, please" for t in texts])
+    got = [g.removeprefix("call ").removesuffix(", please") for g in got]
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    for a, b in zip(texts, got, strict=True):
+        assert a != b and re.sub("[0-9]", "9", a) == re.sub("[0-9]", "9", b)
+    assert digits(got[0]) == "1" + digits(got[1])
+    assert {digits(got[i])[-10:] for i in (3, 4, 5, 6, 7)} == {digits(got[3])[2:]}
+    assert [digits(got[i])[:n] for i, n in ((3, 2), (4, 1), (5, 3), (6, 4), (8, 2), (12, 3), (13, 3))] == ["44", "0", "440", "0044", "33", "683", "353"]
+    assert digits(got[8])[2:] == digits(got[9])[1:]
+
+
 @pytest.mark.parametrize(("radices", "kind"), [([7, 5, 3], "a"), ([27, 11], "b"), ([10], "c"), ([2, 2, 2, 2, 2, 3], "d")])
 def test_feistel_is_a_permutation(spark, radices, kind):
     from pyspark.sql import functions as F
