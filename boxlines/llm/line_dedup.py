@@ -30,16 +30,21 @@ def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def with_chunks(texts: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    """Adds `chunks`, array<string>: the text's lines in chunks, which joined by newlines give it back."""
+def with_ends(texts: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+    """Adds `__lines` and `__ends`, array<int>: the lines with which chunks end."""
     lines = F.split("text", "\n", -1)
     made = texts.withColumn("__lines", lines).withColumn("__hashes", F.transform("__lines", _line_hash))
     rolling = lambda i: (F.get("__hashes", i) + 31 * F.coalesce(F.get("__hashes", i - 1), F.lit(0))) % divisor
     last = F.size("__lines") - 1
     ends = F.filter(F.sequence(F.lit(0), last), lambda i: ((i > 0) & (rolling(i) == 0) & (rolling(i - 1) != 0)) | (i == last))
-    made = made.withColumn("__ends", ends)
+    return made.withColumn("__ends", ends).drop("__hashes")
+
+
+def with_chunks(texts: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+    """Adds `chunks`, array<string>: the text's lines in chunks, which joined by newlines give it back."""
+    made = with_ends(texts, divisor)
     cut = F.transform("__ends", lambda end, k: F.array_join(F.slice("__lines", F.when(k > 0, F.get("__ends", k - 1) + 2).otherwise(1), F.when(k > 0, end - F.get("__ends", k - 1)).otherwise(end + 1)), "\n"))
-    return made.withColumn("chunks", cut).drop("__lines", "__hashes", "__ends")
+    return made.withColumn("chunks", cut).drop("__lines", "__ends")
 
 
 def _worth(chunk: Column, min_words: int, long_line: int) -> Column:

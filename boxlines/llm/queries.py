@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, jaccard, katz, langid, line_dedup, mixing, pii, secret_scan, topk
+from . import bpe, fingerprints, jaccard, katz, langid, line_dedup, line_runs, mixing, pii, secret_scan, topk
 
 PIECES = "piece_bpe_32k.model"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -29,6 +29,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op3_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.dedup(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared_with_next(_documents(spark, sf_dir))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_katz": op2_katz,
     "op3_line_dedup": op3_line_dedup,
+    "op3_line_runs": op3_line_runs,
     "op4_fingerprints": op4_fingerprints,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_top_k": op6_top_k,

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from boxlines.llm import bpe, fingerprints, jaccard, katz, langid, line_dedup, mixing, secret_scan, topk
+from boxlines.llm import bpe, fingerprints, jaccard, katz, langid, line_dedup, line_runs, mixing, secret_scan, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -182,6 +182,33 @@ def test_line_dedup_on_odd_rows(odd, empty):
     assert [r.text for r in out if r.doc_id == 1] == [None] and [r.text for r in out if r.doc_id == 2] == [""]
 
 
+def test_line_runs_of_one_to_six_lines_go_wherever_they_stand(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for n in range(1, 7):
+        for turn in range(6):
+            run = [" ".join(f"r{n}x{turn}x{i}x{w}" for w in range(-(-54 // n))) for i in range(n)]
+            for copy in range(2):
+                own = [f"own {n} {turn} {copy} {i} {rng.integers(10**9)}" for i in range(8)]
+                at = int(rng.integers(1, 8))
+                want[len(rows)] = "\n".join(own[:at] + (run if not copy else []) + own[at:])
+                rows.append((len(rows), "\n".join(own[:at] + run + own[at:])))
+    out = line_runs.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in out} == want
+    assert all(r.removed_chars == len(rows[r.doc_id][1]) - len(r.text) for r in out)
+
+
+def test_line_runs_keep_one_of_each_line(spark, docs, odd, empty):
+    line = "ten words in a line that stands here many times"
+    df = spark.createDataFrame([(1, "\n".join([line] * 10)), (2, "a\n" + "\n\n".join([line] * 5) + "\nz")], "doc_id long, text string")
+    assert {r.doc_id: (r.text, r.n_removed) for r in line_runs.dedup(df).collect()} == {1: ("\n".join([line] * 5), 5), 2: ("a\nz", 9)}
+    for some in (docs, odd.where("doc_id IS NOT NULL")):
+        before = {x for r in some.collect() for x in (r.text or "").split("\n") if words(x)}
+        after = line_runs.dedup(some.select("doc_id", "text")).collect()
+        assert {x for r in after for x in (r.text or "").split("\n") if words(x)} == before and len(after) == some.count()
+    assert len(line_runs.dedup(odd).collect()) == len(ODD) and line_runs.dedup(empty).count() == 0
+
+
 # 4 fingerprints
 
 
