@@ -1004,7 +1004,7 @@ def _points(spark, d) -> DataFrame:
 
 @query("j7_assign_roles")
 def roles(spark, d):
-    return assign.optimal_assignment(assign.assignment_candidates(_clusters(spark, d), _points(spark, d), 30.0))
+    return assign.optimal_assignment(assign.assignment_candidates(_clusters(spark, d), _points(spark, d), 30.0, regions.scale_factor(fixture(spark, d, "fx_class_boxes"))))
 
 
 @query("j8_assign_relationship_names")
@@ -1012,7 +1012,7 @@ def _(spark, d):
     """Clusters without a role, to lines given as their two ends."""
     free = _clusters(spark, d).join(roles(spark, d).select("diagram_id", "left_id"), ["diagram_id", "left_id"], "left_anti")
     lines = fixture(spark, d, "fx_endpoints").select("diagram_id", F.col("endpoint_id").alias("right_id"), "x", "y", (F.col("x") + 40).alias("u"), (F.col("y") + 20).alias("v"))
-    return assign.optimal_assignment(assign.line_candidates(free, lines, 20.0))
+    return assign.optimal_assignment(assign.line_candidates(free, lines, 20.0, regions.scale_factor(fixture(spark, d, "fx_class_boxes"))))
 
 
 @query("k5_ocr_batches")

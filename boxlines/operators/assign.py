@@ -68,17 +68,27 @@ def cluster_bounds(clusters: DataFrame, boxes: DataFrame) -> DataFrame:
     return joined.groupBy("diagram_id", "cluster_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
 
 
-def assignment_candidates(boxes: DataFrame, points: DataFrame, reach: float) -> DataFrame:
+def _scaled(boxes: DataFrame, reach: float, scales: DataFrame | None) -> tuple[DataFrame, Column]:
+    """The boxes and the reach, times the diagram's scale (diagram_id, scale) if scales are given; 1 where it has none."""
+    if scales is None:
+        return boxes, F.lit(reach)
+    known = scales.select("diagram_id", F.bround(reach * F.col("scale"), 3).alias("__reach"))
+    return boxes.join(known, "diagram_id", "left"), F.coalesce("__reach", F.lit(reach))
+
+
+def assignment_candidates(boxes: DataFrame, points: DataFrame, reach: float, scales: DataFrame | None = None) -> DataFrame:
     """(diagram_id, left_id, right_id, distance) of boxes (left_id, x1 .. y2) and points (right_id, x, y)
-    within reach, the bounds compared before the distance."""
+    within reach times the scale, the bounds compared before the distance."""
+    boxes, reach = _scaled(boxes, reach, scales)
     near = boxes.join(points, "diagram_id").where((F.col("x") >= F.col("x1") - reach) & (F.col("x") <= F.col("x2") + reach) & (F.col("y") >= F.col("y1") - reach) & (F.col("y") <= F.col("y2") + reach))
     d = point_box_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     return near.withColumn("distance", d).where(F.col("distance") <= reach).select("diagram_id", "left_id", "right_id", "distance")
 
 
-def line_candidates(boxes: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
+def line_candidates(boxes: DataFrame, segments: DataFrame, reach: float, scales: DataFrame | None = None) -> DataFrame:
     """As assignment_candidates, for lines given as their segments (right_id, x, y, u, v). The distance of a
     box and a segment is the least between an end or corner of one and the other; 0 where they meet."""
+    boxes, reach = _scaled(boxes, reach, scales)
     near = boxes.join(segments, "diagram_id").where((F.greatest("x", "u") >= F.col("x1") - reach) & (F.least("x", "u") <= F.col("x2") + reach) & (F.greatest("y", "v") >= F.col("y1") - reach) & (F.least("y", "v") <= F.col("y2") + reach))
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     ends = [point_box_distance(F.col(a), F.col(b), F.col("x1"), F.col("y1"), w, h) for a, b in (("x", "y"), ("u", "v"))]

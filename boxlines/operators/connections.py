@@ -41,10 +41,14 @@ def dedupe_undirected(connections: DataFrame) -> DataFrame:
     return kept.withColumn("rel_index", (F.row_number().over(Window.partitionBy("diagram_id").orderBy("start_index")) - 1).cast("long"))
 
 
-def final_connections(connections: DataFrame, least: float = 30.0) -> DataFrame:
-    """Drops connections without a class, from an endpoint to itself, and short ones within one class."""
-    within = (F.col("class_a") == F.col("class_b")) & (F.col("path_len") < least)
-    return connections.where(F.col("class_a").isNotNull() & F.col("class_b").isNotNull() & (F.col("start_index") != F.col("endpoint_index")) & ~within)
+def final_connections(connections: DataFrame, least: float = 30.0, scales: DataFrame | None = None) -> DataFrame:
+    """Drops connections without a class, from an endpoint to itself, and those within one class that are
+    shorter than least times the scale."""
+    some, limit = connections, F.lit(least)
+    if scales is not None:
+        some, limit = some.join(scales, "diagram_id", "left"), F.bround(least * F.coalesce("scale", F.lit(1.0)), 3)
+    within = (F.col("class_a") == F.col("class_b")) & (F.col("path_len") < limit)
+    return some.where(F.col("class_a").isNotNull() & F.col("class_b").isNotNull() & (F.col("start_index") != F.col("endpoint_index")) & ~within).select(*connections.columns)
 
 
 def connection_endpoints(connections: DataFrame) -> DataFrame:

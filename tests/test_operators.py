@@ -175,3 +175,17 @@ def test_stream_takes_each_input_once(spark, tmp_path):
         df.write.mode("append").parquet(source)
         stream_extract(spark.readStream.schema(df.schema).parquet(source), lambda b: b, out, state).awaitTermination()
     assert spark.read.parquet(out).count() == 2
+
+
+def test_reach_and_least_length_follow_the_scale(spark):
+    scales = spark.createDataFrame([(1, 2.0), (2, 0.5)], "diagram_id long, scale double")
+    boxes = spark.createDataFrame([(d, 0, 0.0, 0.0, 10.0, 10.0) for d in (1, 2)], "diagram_id long, left_id long, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(d, i, x, 5.0) for d in (1, 2) for i, x in enumerate((24.0, 32.0, 69.0, 71.0))], "diagram_id long, right_id long, x double, y double")
+    got = assign.assignment_candidates(boxes, points, 30.0, scales).collect()
+    assert sorted((r.diagram_id, r.right_id) for r in got) == [(1, 0), (1, 1), (1, 2), (2, 0)]
+    lines = points.withColumns({"u": F.col("x"), "v": F.col("y") + 1})
+    got = assign.line_candidates(boxes, lines, 30.0, scales).collect()
+    assert sorted((r.diagram_id, r.right_id) for r in got) == [(1, 0), (1, 1), (1, 2), (2, 0)]
+    links = spark.createDataFrame([(d, i, 0, 1, 7, 7, n) for d in (1, 2) for i, n in enumerate((14, 16, 59, 60))], "diagram_id long, rel_index long, start_index long, endpoint_index long, class_a long, class_b long, path_len long")
+    got = connections.final_connections(links, scales=scales)
+    assert sorted((r.diagram_id, r.rel_index) for r in got.collect()) == [(1, 3), (2, 1), (2, 2), (2, 3)] and got.columns == links.columns
