@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text as names
@@ -1015,6 +1015,18 @@ def _(spark, d):
     return assign.optimal_assignment(assign.line_candidates(free, lines, 20.0, regions.scale_factor(fixture(spark, d, "fx_class_boxes"))))
 
 
+@query("j9_multiplicities_at_ends")
+def _(spark, d):
+    """Multiplicity boxes to endpoints, decoded and put to connections. Stand-ins: the classifier's choice by
+    label_id, and connections from each endpoint to the next."""
+    b = fixture(spark, d, "fx_label_boxes").where("kind = 'Multiplicity'")
+    choice = F.when(F.col("label_id") % 5 == 0, "Struck").when(F.col("label_id") % 7 == 0, F.lit(None)).otherwise(F.when(F.col("label_id") % 4 == 0, "STAR").when(F.col("label_id") % 4 == 1, "1").otherwise("0..*"))
+    points = fixture(spark, d, "fx_endpoints").withColumnRenamed("endpoint_id", "endpoint_index")
+    by = Window.partitionBy("diagram_id").orderBy("endpoint_index")
+    links = points.select("diagram_id", F.col("endpoint_index").alias("start_index"), F.lead("endpoint_index").over(by).alias("endpoint_index"), (F.row_number().over(by) - 1).cast("long").alias("rel_index"))
+    return assign.assign_multiplicities(b, b.select("diagram_id", "label_id", choice.alias("choice")), points, links.where("endpoint_index IS NOT NULL"), regions.scale_factor(fixture(spark, d, "fx_class_boxes")))
+
+
 @query("k5_ocr_batches")
 def _(spark, d):
     """A stand-in reader: a crop's text is its size."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import point_box_distance
+from .connections import attach_to_connection
 
 
 def text_orientation(boxes: DataFrame) -> DataFrame:
@@ -192,3 +193,14 @@ def greedy_assignment(candidates: DataFrame) -> DataFrame:
 def decode_multiplicity(assigned: DataFrame) -> DataFrame:
     """The text of each multiplicity class: STAR is `*`; struck and unclassified ones go."""
     return assigned.where("choice IS NOT NULL AND choice <> 'Struck'").withColumn("multiplicity", F.when(F.col("choice") == "STAR", "*").otherwise(F.col("choice"))).drop("choice")
+
+
+def assign_multiplicities(boxes: DataFrame, choices: DataFrame, points: DataFrame, links: DataFrame, scales: DataFrame, reach: float = 40.0) -> DataFrame:
+    """(diagram_id, label_id, endpoint_index, multiplicity, rel_index, side): multiplicity boxes (label_id,
+    x1 .. y2) by `optimal` to points (endpoint_index, x, y) within reach times the scale, then decoded by
+    their choices (label_id, choice), then put to the first connection of the endpoint. Boxes that are
+    dropped in decoding have taken their endpoint."""
+    found = assignment_candidates(boxes.withColumnRenamed("label_id", "left_id"), points.withColumnRenamed("endpoint_index", "right_id"), reach, scales)
+    pairs = optimal_assignment(found).withColumnsRenamed({"left_id": "label_id", "right_id": "endpoint_index"})
+    decoded = decode_multiplicity(pairs.join(choices.select("diagram_id", "label_id", "choice"), ["diagram_id", "label_id"]))
+    return attach_to_connection(decoded, links)

@@ -189,3 +189,14 @@ def test_reach_and_least_length_follow_the_scale(spark):
     links = spark.createDataFrame([(d, i, 0, 1, 7, 7, n) for d in (1, 2) for i, n in enumerate((14, 16, 59, 60))], "diagram_id long, rel_index long, start_index long, endpoint_index long, class_a long, class_b long, path_len long")
     got = connections.final_connections(links, scales=scales)
     assert sorted((r.diagram_id, r.rel_index) for r in got.collect()) == [(1, 3), (2, 1), (2, 2), (2, 3)] and got.columns == links.columns
+
+
+def test_multiplicities_reach_their_connections(spark):
+    boxes = spark.createDataFrame([(1, i, x, 0.0, x + 10, 10.0) for i, x in enumerate((0.0, 100.0, 200.0, 400.0))], "diagram_id long, label_id long, x1 double, y1 double, x2 double, y2 double")
+    choices = spark.createDataFrame([(1, 0, "STAR"), (1, 1, "Struck"), (1, 2, "0..*"), (1, 3, "1")], "diagram_id long, label_id long, choice string")
+    points = spark.createDataFrame([(1, 0, 15.0, 5.0), (1, 1, 115.0, 5.0), (1, 2, 285.0, 5.0), (1, 3, 600.0, 5.0)], "diagram_id long, endpoint_index long, x double, y double")
+    links = spark.createDataFrame([(1, 0, 0, 1), (1, 1, 3, 2)], "diagram_id long, rel_index long, start_index long, endpoint_index long")
+    for scale, want in ((2.0, [(0, 0, "*", 0, 0), (2, 2, "0..*", 1, 1)]), (1.0, [(0, 0, "*", 0, 0)])):
+        scales = spark.createDataFrame([(1, scale)], "diagram_id long, scale double")
+        got = assign.assign_multiplicities(boxes, choices, points, links, scales).collect()
+        assert sorted((r.label_id, r.endpoint_index, r.multiplicity, r.rel_index, r.side) for r in got) == want
