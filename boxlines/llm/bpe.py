@@ -4,10 +4,13 @@ Each task takes a block of its documents, gathers the distinct pre-tokens of the
 merge list over all of them at once: an inverted index leads from each token pair (named by the rank that
 joins it) to the word positions where it stands; ranks are taken in ascending order, every position of a
 rank is merged from left to right, and only the two pairs that touch a merged position are looked up anew.
-Words never interact, so blocks need no shuffle and give the same ids at any block size.
+Words never interact, so blocks need no shuffle and give the same ids at any block size. A pre-token that is
+a token itself needs no replay.
 
 Edge cases: null and empty texts give no ids; repeated rows are encoded alike, row by row; an empty table
-gives an empty table; input columns that are not asked for are not read.
+gives an empty table; a text of any length is one row of a block, whose pre-tokens alone are held; pairs of
+one rank that overlap are merged from the left; input columns that are not asked for are not read, so other
+columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -28,12 +31,21 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from .common import bounded_batches
 
 #: Distinct chunks remembered by a worker between blocks; beyond it the memory starts afresh.
-REMEMBERED = 250_000
+REMEMBERED = 300_000
+#: Longer chunks are forgotten after their block.
+LONG_CHUNK = 64
 #: Characters of a block.
-BLOCK_CHARS = 3 << 20
+BLOCK_CHARS = 16 << 20
 #: Texts are cut at a space between two of these before the pattern is applied: no match spans such a place.
 _SPACE = frozenset(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_WIDE = re.compile("(?:^|[{0}]) | (?:[{0}]|$)".format("".join(sorted(_SPACE))))
+_RARE = re.compile("[" + "".join(sorted(c for c in _SPACE if ord(c) > 127)) + "]")
+_MARKS = frozenset(".,;:!?")
+_ASCII_PAIRS = tuple(p for c in "\t\n\v\f\r " for p in {c + " ", " " + c})
+
+
+def _wide(text: str) -> bool:
+    """Whether a space stands at an end of the text or beside white space."""
+    return text[0] == " " or text[-1] == " " or any(p in text for p in _ASCII_PAIRS) or not text.isascii() and _RARE.search(text) is not None
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -48,14 +60,16 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.vocabulary: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        vocabulary: list[bytes] = [b""] * (max(ranks.values()) + 1)
         joins = {}
         for token, rank in ranks.items():
-            self.vocabulary[rank] = token
+            vocabulary[rank] = token
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     joins[left << 32 | right] = rank
+        self.token_bytes = np.frombuffer(b"".join(vocabulary), np.uint8)
+        self.token_ends = np.cumsum([0, *map(len, vocabulary)], dtype=np.int32)
         self.pair_keys = np.array(sorted(joins), dtype=np.int64)
         self.pair_ranks = np.array([joins[k] for k in self.pair_keys.tolist()], dtype=np.int32)
         self.matches = regex.compile(pattern)
@@ -134,7 +148,7 @@ class MergeReplay:
     def chunks(self, text: str) -> list[str]:
         """The text cut before each space that stands between two characters which are not white space:
         no match of the pattern spans such a place, and none looks across it."""
-        if "\0" not in text and not _WIDE.search(text):
+        if "\0" not in text and not _wide(text):
             return text.replace(" ", "\0 ").split("\0")
         first, *rest = text.split(" ")
         out = [first]
@@ -148,28 +162,79 @@ class MergeReplay:
                 open_end = piece[-1] in _SPACE
         return out
 
+    def _learn(self, fresh: set[str]) -> None:
+        """Enters the ids of chunks that are not known. An ASCII word is one match, and so is a mark after it;
+        other chunks are left to the pattern."""
+        ranks, known = self.ranks, self.known
+        several: list[str] = []  # chunks of several matches, and these, joined
+        joined: list[str] = []
+        words: set[str] = set()
+        for chunk in fresh:
+            if chunk.isascii():
+                body = chunk[1:] if chunk[0] == " " else chunk
+                if body.isalpha():
+                    words.add(chunk)
+                    continue
+                if body[-1:] in _MARKS and body[:-1].isalpha():
+                    several.append(chunk)
+                    joined.append(chunk[:-1] + "\0" + chunk[-1])
+                    words.add(chunk[:-1])
+                    words.add(chunk[-1])
+                    continue
+            found = self.matches.findall(chunk)
+            words.update(found)
+            if len(found) > 1:
+                several.append(chunk)
+                joined.append("\0".join(found) if "\0" not in chunk else "")
+        words.difference_update(known)
+        told = list(words)
+        raw = [w.encode("utf-8", "replace") for w in told]
+        long_words, long_raw = [], []
+        for w, b in zip(told, raw, strict=True):
+            if b in ranks:
+                known[w] = ranks[b].to_bytes(4, "little")
+            else:
+                long_words.append(w)
+                long_raw.append(b)
+        known.update(zip(long_words, self.replay(long_raw), strict=True))
+        look = known.__getitem__
+        for chunk, parts in zip(several, joined, strict=True):
+            known[chunk] = b"".join(map(look, parts.split("\0") if parts else self.matches.findall(chunk)))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        cut = [self.chunks(text) if text else [] for text in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
         known = self.known
-        fresh = set().union(*cut).difference(known)
+        fresh: set[str] = set()
+        for text in texts:
+            if text:
+                fresh.update(self.chunks(text))
+        fresh = fresh.difference(known)
         if fresh:
-            parts = {chunk: self.matches.findall(chunk) for chunk in fresh}
-            words = list(set().union(*parts.values()))
-            raw = [w.encode("utf-8", "replace") for w in words]
-            ranks = self.ranks
-            ids = {w: ranks[b].to_bytes(4, "little") for w, b in zip(words, raw, strict=True) if b in ranks}
-            whole = [(w, b) for w, b in zip(words, raw, strict=True) if b not in ranks]
-            ids.update(zip((w for w, _ in whole), self.replay([b for _, b in whole]), strict=True))
-            for chunk, ws in parts.items():
-                known[chunk] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
-        return [b"".join([known[chunk] for chunk in chunks]) for chunks in cut]
+            self._learn(fresh)
+        out = [b"".join(map(known.__getitem__, self.chunks(text))) if text else b"" for text in texts]
+        if fresh and max(map(len, fresh)) > LONG_CHUNK:
+            self.known = {w: x for w, x in known.items() if len(w) <= LONG_CHUNK}
+        return out
 
     def decode(self, packed: bytes | None) -> bytes:
         """Bytes of packed ids; an id outside the vocabulary raises IndexError."""
-        return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(packed or b"", dtype="<u4").tolist()))
+        ids = np.frombuffer(packed or b"", dtype="<u4")
+        out = []
+        for a in range(0, len(ids), 1 << 18):
+            some = ids[a : a + (1 << 18)]
+            lengths = self.token_ends[some + 1] - self.token_ends[some]
+            # the place in the table of each byte: a token's first, and on by one from there
+            step = np.ones(int(lengths.sum()) + 1, dtype=np.int32)
+            heads = np.cumsum(lengths) - lengths
+            first = self.token_ends[some]
+            full = lengths > 0
+            heads, first, lengths = heads[full], first[full], lengths[full]
+            step[heads[1:]] = first[1:] - first[:-1] - lengths[:-1] + 1
+            step[0] = first[0] if len(first) else 0
+            out.append(self.token_bytes[np.cumsum(step[:-1], dtype=np.int32)].tobytes())
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
@@ -188,10 +253,12 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens long, ids binary) for every row; rank_file must be readable on each executor."""
+def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id_col, n_tokens long, ids binary) for every row; rank_file must be readable on each executor. With
+    `decoded`, the ids are decoded in the same pass into a further binary column of that name."""
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+    names = [id_col, "n_tokens", "ids", *(["decoded"] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = _replay(rank_file, pattern)
@@ -199,11 +266,13 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
             texts = batch.column(1).to_pylist()
             for a, b in _blocks(texts):
                 packed = replay.encode(texts[a:b])
-                counts = pa.array([len(x) // 4 for x in packed], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), counts, pa.array(packed, pa.binary())], [id_col, "n_tokens", "ids"])
+                made = [batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary())]
+                if decoded:
+                    made.append(pa.array([replay.decode(x) for x in packed], pa.binary()))
+                yield pa.RecordBatch.from_arrays(made, names)
 
     kind = source.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary")
+    return source.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary" + (", decoded binary" if decoded else ""))
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -233,5 +302,5 @@ def unpacked(encoded: DataFrame) -> DataFrame:
 
 def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """Encodes, decodes, and digests both: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs, rank_file, pattern), rank_file, pattern)
+    both = encode(docs, rank_file, pattern, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
