@@ -2,14 +2,20 @@
 
 Card numbers (Luhn digit right), phone numbers, IPv4 addresses, social security numbers, calendar dates and
 the local parts of e-mail addresses are found, validated, and permuted within their format by a keyed
-Feistel network. A value is read as digits of a mixed radix (a card's digits, four octets, the number of a
+Feistel network. A value is read as digits of a mixed radix (a card's digits, four octets, year, month and
 day ...); the two halves are shifted in turn by a keyed digest of the other, modulo each place's radix. So
 the result is again a valid value of the same format, punctuation stays in its place, distinct values stay
 distinct, and equal values have equal pseudonyms in every document, also if they are punctuated differently.
 
-Edge cases: a null text stays null; candidates that do not validate stay as they are; digits that touch
-letters or further digits are no candidates; repeated rows change alike; an empty table gives an empty
-table; input columns that clash with computed ones are replaced.
+Dates stay within their kind of day (1 to 12, 13 to 28, 29 or 30, 31, 29 February), so that one which can be
+read day first only becomes another of that sort, and never meets one that is read month first.
+
+Edge cases: a null text stays null; candidates that do not validate stay as they are, octets with leading
+zeros among them; digits that touch letters or further digits are no candidates; local parts of over 64
+characters and domains of over 127 labels are none either, so that no search goes deep in texts of any
+length; where candidates overlap, the leftmost counts, and of several that start together the first kind of
+ANY; repeated rows change alike; an empty table gives an empty table; input columns that clash with computed
+ones are replaced.
 """
 
 from __future__ import annotations
@@ -19,11 +25,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "boxlines"
 ROUNDS = 10
 
 _LEFT, _RIGHT = r"(?<![0-9A-Za-z_])(?<![0-9][.\-/])", r"(?![0-9A-Za-z_])(?![.\-/][0-9])"
-EMAIL = r"(?<![0-9A-Za-z._%+\-])[0-9A-Za-z._%+\-]++@[0-9A-Za-z\-]+(?:\.[0-9A-Za-z\-]+)*\.[A-Za-z]{2,}"
+#: Repeats are bounded or possessive: Java's matcher goes one call deeper with each repeat of a group.
+EMAIL = r"(?<![0-9A-Za-z._%+\-])[0-9A-Za-z._%+\-]{1,64}+@[0-9A-Za-z\-]{1,63}(?:\.[0-9A-Za-z\-]{1,63}){0,125}\.[A-Za-z]{2,63}"
 #: Three, three and four digits, the first three perhaps in brackets, after country code 1 or none.
 TEN = r"(?:\+?1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.\- ])[0-9]{3}[.\- ][0-9]{4}"
 #: 7 to 15 digits after a plus, or after 00 and a separated country code.
@@ -39,8 +45,10 @@ SSN = _LEFT + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _RIGHT
 CARD = _LEFT + r"[0-9](?:[ \-]?[0-9]){12,18}" + _RIGHT
 ANY = "|".join((EMAIL, PHONE, IP, DATE, SSN, CARD))
 
-#: The Gregorian cycle of 400 years has 146,097 days, 27 times 5,411; these start it.
-DAYS, FIRST_DAY = (27, 5411), "1800-01-01"
+#: A Gregorian cycle of 400 years, which starts with this one; its leap years; months of over 29 and of 31 days.
+FIRST_YEAR = 1800
+LEAP_YEARS = tuple(y for y in range(FIRST_YEAR, FIRST_YEAR + 400) if y % 4 == 0 and (y % 100 != 0 or y % 400 == 0))
+LONG_MONTHS, LONGEST_MONTHS = (1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12), (1, 3, 5, 7, 8, 10, 12)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -48,15 +56,16 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def feistel(values: Column, radices: Column, kind: str, key: str = KEY) -> Column:
+def feistel(values: Column, radices: Column, kind: str | Column, key: str) -> Column:
     """The values (array<int>, each below its radix) permuted within the radices."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
     half = F.floor((F.size(values) + 1) / 2).cast("int")
 
     def turn(state: Column, number: Column) -> Column:
         first = number % 2 == 0
         at = F.when(first, 1).otherwise(half + 1)
         other = F.when(first, F.slice(state, half + 1, F.size(state))).otherwise(F.slice(state, F.lit(1), half))
-        digest = F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), number.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ",")).cast("binary"), 512)
+        digest = F.sha2(F.concat_ws(":", F.lit(key), kind, number.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ",")).cast("binary"), 512)
         count = F.when(first, half).otherwise(F.size(state) - half)
 
         def shifted(stream: Column) -> Column:
@@ -133,7 +142,8 @@ def _phone(hit: Column, key: str) -> Column:
 def _ip(hit: Column, key: str) -> Column:
     def changed(octets: Column) -> Column:
         moved = feistel(octets, F.transform(octets, lambda _: F.lit(256)), "ip", key)
-        return F.when(F.forall(octets, lambda x: x < 256), F.array_join(_texts(moved), ".")).otherwise(hit)
+        valid = F.forall(octets, lambda x: x < 256) & ~hit.rlike(r"(?:^|\.)0[0-9]")
+        return F.when(valid, F.array_join(_texts(moved), ".")).otherwise(hit)
 
     return _let(F.transform(F.split(hit, r"\."), lambda c: c.cast("int")), changed)
 
@@ -151,22 +161,47 @@ def _ssn(hit: Column, key: str) -> Column:
     return _let(F.transform(F.split(hit, "-"), lambda c: c.cast("int")), changed)
 
 
+def _moved_day(day: Column, key: str) -> Column:
+    """A valid day (struct of y, m, d) permuted among those of its kind."""
+    y, m, d = day["y"], day["m"], day["d"]
+    ints = lambda *xs: F.array(*(x if isinstance(x, Column) else F.lit(x) for x in xs)).cast("array<int>")
+    place = lambda known, x: F.array_position(ints(*known), x.cast("int")) - 1
+    small, middle, leap, last = d <= 12, d <= 28, m == 2, d == 31
+    year = y - FIRST_YEAR
+    values = F.when(small, ints(year, m - 1, d - 1)).when(middle, ints(year, m - 1, d - 13)).when(leap, ints(place(LEAP_YEARS, y)))
+    values = values.when(last, ints(year, place(LONGEST_MONTHS, m))).otherwise(ints(year, place(LONG_MONTHS, m)))
+    radices = F.when(small, ints(400, 12, 12)).when(middle, ints(400, 12, 16)).when(leap, ints(len(LEAP_YEARS))).when(last, ints(400, len(LONGEST_MONTHS))).otherwise(ints(400, len(LONG_MONTHS)))
+    kind = F.concat(F.lit("date"), F.when(small, "a").when(middle, "b").when(leap, "c").otherwise(d.cast("string")))
+
+    def written(v: Column) -> Column:
+        at = lambda i: F.get(v, F.lit(i))
+        date = lambda y, m, d: F.struct(y.cast("int").alias("y"), m.cast("int").alias("m"), d.cast("int").alias("d"))
+        out = F.when(small, date(at(0) + FIRST_YEAR, at(1) + 1, at(2) + 1)).when(middle, date(at(0) + FIRST_YEAR, at(1) + 1, at(2) + 13)).when(leap, date(F.get(ints(*LEAP_YEARS), at(0)), m, d))
+        return out.when(last, date(at(0) + FIRST_YEAR, F.get(ints(*LONGEST_MONTHS), at(1)), d)).otherwise(date(at(0) + FIRST_YEAR, F.get(ints(*LONG_MONTHS), at(1)), d))
+
+    return _let(feistel(values, radices, kind, key), written)
+
+
 def _date(hit: Column, key: str) -> Column:
-    """Year first, or month first if that is a date, else day first; years 1800 to 2199."""
-    first = F.to_date(F.lit(FIRST_DAY))
+    """Year first with hyphens; with slashes month first if that is a date, else day first; with dots the
+    other way round; years 1800 to 2199."""
 
-    def under(form: str, otherwise: Column) -> Column:
-        def changed(number: Column) -> Column:
-            read = F.array(F.floor(number / DAYS[1]).cast("int"), (number % DAYS[1]).cast("int"))
-            moved = feistel(read, F.array(*map(F.lit, DAYS)), "date", key)
-            day = _let(moved, lambda v: F.date_add(first, F.get(v, F.lit(0)) * DAYS[1] + F.get(v, F.lit(1))))
-            return F.when(number.between(0, DAYS[0] * DAYS[1] - 1), F.date_format(day, form)).otherwise(otherwise)
+    def changed(n: Column) -> Column:
+        def under(form: str, order: str, otherwise: Column) -> Column:
+            part = lambda c: F.get(n, F.lit(order.index(c)))
+            y, m, d = part("y"), part("m"), part("d")
+            is_leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+            length = F.when(m == 2, F.when(is_leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+            valid = y.between(FIRST_YEAR, FIRST_YEAR + 399) & m.between(1, 12) & (d >= 1) & (d <= length)
+            day = F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
+            return F.when(valid, _let(_moved_day(day, key), lambda x: F.format_string(form, *(x[c] for c in order)))).otherwise(otherwise)
 
-        return _let(F.coalesce(F.datediff(F.try_to_timestamp(hit, F.lit(form)).cast("date"), first), F.lit(-1)), changed)
+        slashed = under("%02d/%02d/%04d", "mdy", under("%02d/%02d/%04d", "dmy", hit))
+        dotted = under("%02d.%02d.%04d", "dmy", under("%02d.%02d.%04d", "mdy", hit))
+        slash, dot = F.contains(hit, F.lit("/")), F.contains(hit, F.lit("."))
+        return F.when(F.contains(hit, F.lit("-")), under("%04d-%02d-%02d", "ymd", hit)).when(slash & ~dot, slashed).when(~slash, dotted).otherwise(hit)
 
-    slashed = under("MM/dd/yyyy", under("dd/MM/yyyy", hit))
-    dotted = under("dd.MM.yyyy", under("MM.dd.yyyy", hit))
-    return F.when(F.contains(hit, F.lit("-")), under("yyyy-MM-dd", hit)).when(F.contains(hit, F.lit("/")) & ~F.contains(hit, F.lit(".")), slashed).when(~F.contains(hit, F.lit("/")), dotted).otherwise(hit)
+    return _let(F.transform(F.split(hit, r"[\-./]"), lambda c: c.cast("int")), changed)
 
 
 def _email(hit: Column, key: str) -> Column:
@@ -187,7 +222,7 @@ def _email(hit: Column, key: str) -> Column:
     return _let(F.filter(_chars(local), lambda c: c.rlike("[0-9A-Za-z]")), changed)
 
 
-def pseudonym(hit: Column, key: str = KEY) -> Column:
+def pseudonym(hit: Column, key: str) -> Column:
     """The pseudonym of one candidate, or the candidate itself if it is not valid."""
     return (
         F.when(F.contains(hit, F.lit("@")), _email(hit, key))
@@ -199,8 +234,8 @@ def pseudonym(hit: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
-    """The rows of docs with their texts pseudonymised, and n_replaced (long)."""
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """The rows of docs with their texts pseudonymised under the key, and n_replaced (long)."""
     kept = docs.drop("n_replaced", "__hits", "__new")
     text = F.col(text_col).cast("string")
     # the cheap look goes first; texts without digits or @ are not searched
