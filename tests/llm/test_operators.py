@@ -334,28 +334,68 @@ def test_language_of_held_out_texts(spark, small):
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.97 and all(0 <= r.score <= 1 for r in held)
 
 
-def test_language_scores_sum_over_all_segmentations():
+def brute_log(word, ids, table, rescale=16):
+    """The forward sum over one word, piece by piece, its logarithm kept apart."""
+    pieces = {p.encode(): i for p, i in ids.items()}
+    raw, least, reach = "▁".encode() + word, np.where(table > 0, table, 1.0).min(axis=0) / 2, max(map(len, pieces))
+    f, shift = [np.zeros(table.shape[1])] + [None] * len(raw), [np.zeros(table.shape[1])]
+    f[0] = np.zeros(table.shape[1])  # logarithms throughout
+    for end in range(1, len(raw) + 1):
+        terms = [f[s] + np.log(table[pieces[raw[s:end]]]) for s in range(max(0, end - reach), end) if raw[s:end] in pieces]
+        if raw[end - 1] > 127 or chr(raw[end - 1]) not in ids:
+            terms.append(f[end - 1] + np.log(least))
+        f[end] = np.logaddexp.reduce(terms, axis=0)
+    return f[-1]
+
+
+def test_language_scores_sum_over_all_segmentations_of_words_of_any_length(monkeypatch):
     _, ids = langid._vocabulary(PIECES)
     rng = np.random.default_rng(0)
     size = max(ids.values()) + 1
     table = np.zeros((size, 2))
-    table[list(ids.values())] = rng.random((len(ids), 2))
+    table[list(ids.values())] = rng.random((len(ids), 2)) ** 9
     table /= table.sum(axis=0)
-    scorer = langid.Scorer(PIECES, table)
-    some = [b"hello", b"zebra", "été".encode(), b"aaaaaaa"]
-    scorer.remember(set(some))
-    for w in some:
-        raw = "▁".encode() + w
-        f = np.zeros((len(raw) + 1, 2))
-        f[0] = 1
-        for end in range(1, len(raw) + 1):
-            for start in range(end):
-                piece = next((i for p, i in ids.items() if p.encode() == raw[start:end]), None)
-                if piece is not None:
-                    f[end] += f[start] * table[piece]
-                if end == start + 1 and (raw[start] > 127 or chr(raw[start]) not in ids):
-                    f[end] += f[start] * np.where(table > 0, table, 1.0).min(axis=0) / 2
-        assert scorer.scores[scorer.at[w]] == pytest.approx(np.log(f[-1]))
+    some = [b"hello", b"zebra", "été".encode(), b"aaaaaaa", "日本語の文章は空白がないので長い".encode() * 9, "предложение".encode() * 30, b"z" * 777, "\U0001f600".encode() * 40, ("ภาษาไทย" * 60).encode(), b"internationalization" * 500]
+    for segment in (4096, 64):
+        monkeypatch.setattr(langid, "SEGMENT", segment)
+        scorer = langid.Scorer(PIECES, table)
+        scorer.remember(set(some))
+        for w in some:
+            assert scorer.scores[scorer.at[w]] == pytest.approx(brute_log(w, ids, table), rel=1e-9)
+
+
+def test_language_agrees_with_brute_force_in_any_grouping(spark, small, odd):
+    pieces, ids = langid._vocabulary(PIECES)
+    few = spark.read.parquet(f"{small}/documents.parquet").where("length(text) < 700").select("doc_id", "text", "lang")
+    for df in (few, odd.select("doc_id", "text", "lang")):
+        rows = df.collect()
+        crc = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 4
+        counts = defaultdict(Counter)
+        runs = lambda t: re.findall(r"[a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        for r in rows:
+            if crc(r.doc_id) != 2 and r.lang is not None and r.text is not None:
+                counts[r.lang] += Counter()
+                for w in runs(r.text):
+                    counts[r.lang].update(pieces.encode(w))
+        langs = sorted(x for x in counts if counts[x])
+        table = np.zeros((pieces.get_piece_size(), len(langs)))
+        for j, lang in enumerate(langs):
+            for i in ids.values():
+                table[i, j] = counts[lang][i] + 0.1
+        table /= table.sum(axis=0)
+        known = {}
+        want = []
+        for r in rows:
+            logs = np.zeros(len(langs))
+            for w in runs(r.text):
+                if w not in known:
+                    known[w] = brute_log(w.encode(), ids, table)
+                logs = logs + known[w]
+            told = any(map(str.isalpha, r.text or ""))
+            want.append((r.doc_id, langs[int(np.argmax(logs))] if told else "und", float(1 / np.exp(logs - logs.max()).sum()) if told else 0.0))
+        for size in (64, 1):
+            got = langid.predict(df.select("doc_id", "text"), PIECES, langid.learn(df, PIECES), size=size).collect()
+            assert sorted((str(r.doc_id), r.lang_pred, round(r.score, 6)) for r in got) == sorted((str(i), p, round(s, 6)) for i, p, s in want)
 
 
 def test_language_of_odd_rows(odd, empty):
