@@ -125,13 +125,14 @@ def _incidence(rows: DataFrame, parts: int) -> DataFrame:
             part = ((flat >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             flat, owner, part = flat[order], owner[order], part[order]
-            head = np.array(keys, dtype="<i8").tobytes() + lengths.astype("<u4").tobytes()
+            key_of = np.array(keys, dtype="<i8")
             names = np.unique(part)
             cuts = [*np.searchsorted(part, names).tolist(), len(part)]
             blobs = []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 low = flat[a:b] & np.uint64(0xFFFFFFFFFFFF)
-                blobs.append(np.array([len(sets), b - a], dtype="<u4").tobytes() + head + (low & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (low >> np.uint64(32)).astype("<u2").tobytes() + owner[a:b].astype("<u2").tobytes())
+                some, at = np.unique(owner[a:b], return_inverse=True)  # the rows that have an entry here
+                blobs.append(np.array([len(some), b - a], dtype="<u4").tobytes() + key_of[some].tobytes() + lengths[some].astype("<u4").tobytes() + (low & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (low >> np.uint64(32)).astype("<u2").tobytes() + at.astype("<u2").tobytes())
             return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
 
         for batch in batches:
@@ -249,44 +250,59 @@ def _linked(n_a: np.ndarray | int, n_b: np.ndarray | int, overlap: np.ndarray |
     return 100 * overlap >= 75 * (n_a + n_b - overlap)
 
 
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Shared n-grams of each row of a with each of b: the sparse product of two blocks, column by column.
+    A column adds one where its rows of a and of b meet; columns that stand in the same rows go together."""
+    out = np.zeros((len(a), len(b)), dtype=np.int64)
+    rng = np.random.default_rng(0)
+    sides = []
+    for side in (a, b):
+        flat, owner = np.concatenate(side), np.repeat(np.arange(len(side)), [len(x) for x in side])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        heads = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
+        marks = rng.integers(1, 1 << 62, len(side), dtype=np.uint64)
+        pattern = np.add.reduceat(marks[owner], heads) if len(heads) else np.zeros(0, np.uint64)
+        sides.append((flat[heads] if len(heads) else flat, owner, np.append(heads, len(flat)), pattern))
+    (cols_a, owner_a, ends_a, pattern_a), (cols_b, owner_b, ends_b, pattern_b) = sides
+    _, at_a, at_b = np.intersect1d(cols_a, cols_b, assume_unique=True, return_indices=True)
+    both = np.stack([pattern_a[at_a], pattern_b[at_b]], axis=1)
+    _, first, times = np.unique(both, axis=0, return_index=True, return_counts=True)
+    for i, n in zip(first.tolist(), times.tolist(), strict=True):
+        x, y = at_a[i], at_b[i]
+        rows, others = owner_a[ends_a[x] : ends_a[x + 1]], owner_b[ends_b[y] : ends_b[y + 1]]
+        out[rows[:, None], others] += n
+    return out
+
+
 def _meet_leader(pairs: DataFrame) -> DataFrame:
-    """Whether each class links to its group's leader."""
+    """Whether each class links to its group's leader: the product of the members that came together with
+    that one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             rows = batch.to_pydict()
-            for n, m, x, y in zip(rows["size"], rows["leader_size"], rows["grams"], rows["leader_grams"], strict=True):
-                fit = 4 * min(n, m) >= 3 * max(n, m)
-                overlap = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) if fit else 0
-                out.append(bool(_linked(n, m, overlap)))
-            yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("key"), batch.column("leader"), pa.array(out, pa.bool_())], ["group", "key", "leader", "linked"])
+            linked = [False] * batch.num_rows
+            by_leader: dict[tuple, list[int]] = {}
+            for i, (n, m) in enumerate(zip(rows["size"], rows["leader_size"], strict=True)):
+                if 4 * min(n, m) >= 3 * max(n, m):
+                    by_leader.setdefault((rows["group"][i], rows["leader"][i]), []).append(i)
+            for at in by_leader.values():
+                for start in range(0, len(at), 512):
+                    some = at[start : start + 512]
+                    overlap = _overlaps([np.frombuffer(rows["grams"][i], "<u8") for i in some], [np.frombuffer(rows["leader_grams"][some[0]], "<u8")])[:, 0]
+                    for i, n in zip(some, overlap.tolist(), strict=True):
+                        linked[i] = bool(_linked(rows["size"][i], rows["leader_size"][i], n))
+            yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("key"), batch.column("leader"), pa.array(linked, pa.bool_())], ["group", "key", "leader", "linked"])
 
     return pairs.select("group", "key", "leader", "size", "leader_size", "grams", "leader_grams").mapInArrow(run, "group long, key long, leader long, linked boolean")
 
 
 def _product(a: list[dict], b: list[dict]) -> list[tuple[int, int]]:
     """A spanning forest of the links between two blocks of rows (key, size, grams)."""
-    cols = np.intersect1d(*(np.unique(np.concatenate([np.frombuffer(x["grams"], "<u8") for x in side])) for side in (a, b)), assume_unique=True)
-    overlap = np.zeros((len(a), len(b)), dtype=np.float32)
-    spots = []
-    for side in (a, b):
-        grams = [np.frombuffer(x["grams"], "<u8") for x in side]
-        owner = np.repeat(np.arange(len(side)), [len(g) for g in grams])
-        flat = np.concatenate(grams)
-        at = np.minimum(np.searchsorted(cols, flat), max(len(cols) - 1, 0))
-        hit = cols[at] == flat if len(cols) else np.zeros(len(flat), bool)
-        spots.append((owner[hit], at[hit]))
-    for start in range(0, len(cols), 4096):
-        slabs = []
-        for (owner, at), side in zip(spots, (a, b), strict=True):
-            slab = np.zeros((len(side), 4096), dtype=np.float32)
-            some = (at >= start) & (at < start + 4096)
-            slab[owner[some], at[some] - start] = 1
-            slabs.append(slab)
-        overlap += slabs[0] @ slabs[1].T
+    overlap = _overlaps(*([np.frombuffer(x["grams"], "<u8") for x in side] for side in (a, b)))
     n_a, n_b = np.array([x["size"] for x in a]), np.array([x["size"] for x in b])
-    links = np.argwhere(_linked(n_a[:, None], n_b[None, :], np.rint(overlap).astype(np.int64)))
+    links = np.argwhere(_linked(n_a[:, None], n_b[None, :], overlap))
     root = list(range(len(a) + len(b)))
 
     def find(i: int) -> int:
@@ -369,10 +385,15 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component, that of its least doc_id; rows without id all stay."""
+    """One document of docs for each component, that of its least doc_id: of its rows every different text,
+    of those that agree in the text too the one whose other columns have the least hash. Rows without id all
+    stay."""
     kept = components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    named = docs.where("doc_id IS NOT NULL").join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = [F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("__rest")] if rest else []
+    one = named.groupBy("doc_id", "text").agg(*first) if rest else named.distinct()
+    return one.select(*(F.col(f"__rest.`{c}`").alias(c) if c in rest else F.col(c) for c in docs.columns)).unionByName(docs.where("doc_id IS NULL"))
 
 
 SQL = r"""

@@ -292,21 +292,24 @@ def test_jaccard_keeps_one_of_each(spark, odd, empty):
     assert {r.doc_id for r in kept.collect()} == {int(c) for _, _, c in brute_components(df.collect())}
     assert jaccard.components(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
     assert jaccard.keep_one(odd).columns == odd.columns
+    same_id = spark.createDataFrame([(1, "one two three four five", "x"), (1, "six seven eight nine ten", "x"), (1, "one two three four five", "y"), (2, "one two three four five", "z")], "doc_id long, text string, other string")
+    out = sorted((r.doc_id, r.text) for r in jaccard.keep_one(same_id).collect())
+    assert out == [(1, "one two three four five"), (1, "six seven eight nine ten")]
 
 
 # 6 exact top-k
 
 
 def brute_top(rows, k, every):
-    vectors = {}
+    vectors = []
     for i, v, *_ in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            ints = [math.floor(64 * x) for x in v]
-            vectors[i] = min(vectors.get(i, ints), ints)
+            vectors.append((i, [max(-(2**63), min(2**63 - 1, math.floor(64 * x))) for x in v]))
     out = []
-    for q, a in vectors.items():
+    for at, (q, a) in enumerate(vectors):
         if q % every == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in vectors.items() if i != q)
+            score = lambda b, a=a: max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=False))))
+            scores = sorted((-score(b), i) for n, (i, b) in enumerate(vectors) if n != at)
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -319,7 +322,9 @@ def test_top_k_agrees_with_brute_force(spark, small, monkeypatch):
     same = [(i, [0.5, 0.25], 0) for i in range(90)] + [(90, None, 0), (100, [None, 1.0], 0), (120, [float("nan"), 1.0], 0), (140, [float("inf"), 1.0], 0), (None, [1.0, 1.0], 0), (20, [0.5, 0.25], 0), (40, [-9.0, 0.0], 0), (160, [], 0)]
     monkeypatch.setattr(topk, "BUCKET_ROWS", 64)
     monkeypatch.setattr(topk, "QUERY_ROWS", 8)
-    for some in (rows, uneven, same, rows[:7], []):
+    large = [(i, [x * 10.0**e for x in (1.5, -2.5)], 0) for i, e in enumerate([3, 8, 9, 10, 16, 17, 18, 30] * 4)]
+    twice = [(i % 50, [float(x) for x in rng.normal(0, 1, 4)], 0) for i in range(200)]
+    for some in (rows, uneven, same, large, twice, rows[:7], []):
         table = spark.createDataFrame(some, "vec_id long, embedding array<double>, label int")
         assert sorted(map(tuple, topk.top_k(table).collect())) == brute_top(some, 20, 20)
 
