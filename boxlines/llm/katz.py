@@ -1,23 +1,25 @@
-"""Katz backoff language model over words, order 2, with Good-Turing discounts.
+"""Katz backoff language model over words, with Good-Turing discounts.
 
 P(w | h) = d(c) c(h, w) / c(h) if the pair was seen, alpha(h) P(w) if only h was, P(w) if h was not; alpha(h)
 is (1 - sum of the seen) / (1 - sum of P over the seen), so each history's probabilities, the unknown word
 among them, sum to exactly 1. Counts up to LOW are discounted by Katz's Good-Turing factors from the counts
 of counts of the whole corpus; P itself is discounted likewise, and what that leaves is the unknown word's.
-
-Nothing of the model is ever whole in one place. The counts are tables in parts, words by their hash and
-pairs by their history's:
-1. Blocks of texts send their words' counts to the words' parts, with the history parts that will ask; each
-   part sums them and sends the counts on to those who asked, and its counts of counts to be summed.
-2. Blocks send their pairs, each with the places where it stands, to the histories' parts, which sum the
-   pairs, work out both sums of alpha from the words' counts, and evaluate every place: what is final is
-   summed per document; a place that backs off keeps its history's counts of counts, as the discounts of
-   pairs are known only when all parts have counted.
-3. Per block of texts, the parts' sums are put together under the discounts.
+Histories are one word: of longer ones the tables would not fit the disk that the work is given (README).
+
+Nothing of the model is ever whole in one place, and where a token stands never leaves its block:
+1. Blocks of texts are stored as numbers of their distinct words' hashes. They send counts of distinct words
+   to the words' parts, which store the sums and send each block those of its words.
+2. Blocks send their distinct pairs with counts, and with the words' counts, to the histories' parts. A
+   history of more than HOT tokens is dealt to several parts by its words. Parts store the summed pairs and
+   both sums of alpha, and answer each block; a hot history's sums are put together over its parts. Hot
+   histories are at most MOST_HOT, as what counts as hot grows with the corpus.
+3. Each block evaluates its tokens: its pairs, or else the backoff weight and its words.
+Words and pairs are told apart by 64 bits of hash, the words after one history by 48.
 
 Edge cases: null and empty texts have the end alone; a null id counts as the empty text in the split, and is
-returned null; repeated rows are trained on and scored row by row; an empty table gives an empty table; with
-no training text every word is unknown and has probability 1.
+returned null; repeated rows are trained on and scored row by row; a text of any length is one row of its
+block; other input columns are not read; an empty table gives an empty table; with no training text every
+word is unknown and has probability 1.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ LOW = 5
 PART_BYTES = 12 << 20
 #: Characters of the texts whose counts travel together.
 BLOCK_CHARS = 5 << 20
+#: Tokens from which a history is dealt to several parts, and the most histories that are.
+HOT, MOST_HOT = 2_000_000, 20_000
 #: Hashes of the start and the end; words hold no white space, so none has these names.
 START, END = (xxhash.xxh3_64_intdigest(x) for x in (b" start", b" end"))
 
@@ -113,267 +117,256 @@ def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
 
 
+def _blocks(rows: DataFrame, id_type: str) -> DataFrame:
+    """(block, ids, held, sizes, blob): texts as numbers of the block's distinct words, which go by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        block = TaskContext.get().partitionId() << 32
+        ids, held, flat, chars = [], [], [], 0
+
+        def made() -> pa.RecordBatch:
+            words, at = np.unique(np.concatenate(flat), return_inverse=True)
+            columns = ([block], [ids], [held], [[len(x) - 1 for x in flat]], [_pack(words, _narrow(at))])
+            types = (pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["block", "ids", "held", "sizes", "blob"])
+
+        for batch in batches:
+            kind = batch.schema.types[0]
+            for doc_id, text, out in zip(*(batch.column(i) for i in range(3)), strict=True):
+                text = text.as_py()
+                words = words_of(text)
+                if len(known) > 400_000:
+                    known = {}
+                for w in set(words).difference(known):
+                    known[w] = xxhash.xxh3_64_intdigest(w)
+                row = np.empty(len(words) + 2, dtype=np.uint64)
+                row[0], row[-1] = START, END
+                row[1:-1] = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                flat.append(row), ids.append(doc_id.as_py()), held.append(out.as_py())
+                chars += len(text or "")
+                if chars >= BLOCK_CHARS or len(ids) >= 60_000:
+                    yield made()
+                    block += 1
+                    ids, held, flat, chars = [], [], [], 0
+        if ids:
+            yield made()
+
+    return rows.mapInArrow(run, f"block long, ids array<{id_type}>, held array<boolean>, sizes array<long>, blob binary")
+
+
 class _Block:
-    """Texts as one run of word hashes: histories, words, and the rows where they stand."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.flat: list[np.ndarray] = []
-        self.lengths: list[int] = []
-        self.train: list[bool] = []
-        self.ids: list = []
-        self.chars = 0
-        if len(self.known) > 400_000:
-            self.known = {}
-
-    def add(self, doc_id: object, text: str | None, held: bool) -> None:
-        known, words = self.known, words_of(text)
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        row = np.empty(len(words) + 2, dtype=np.uint64)
-        row[0], row[-1] = START, END
-        row[1:-1] = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        self.flat.append(row)
-        self.lengths.append(len(words) + 1)
-        self.train.append(not held)
-        self.ids.append(doc_id)
-        self.chars += len(text or "")
-
-    def full(self) -> bool:
-        return self.chars >= BLOCK_CHARS or len(self.ids) >= 60_000
-
-    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: history, word, row, and whether the row trains."""
-        flat = np.concatenate(self.flat)
-        lengths = np.array(self.lengths)
-        ends = np.cumsum(lengths + 1) - 1
+    """A block's distinct words, and for each token its history, word, row, and whether the row trains."""
+
+    def __init__(self, blob: bytes, held: np.ndarray, sizes: np.ndarray):
+        self.words, flat = _unpack(blob)
+        flat, sizes = flat.astype(np.int64), np.asarray(sizes, dtype=np.int64)
         inner = np.ones(len(flat), dtype=bool)
-        inner[ends] = False  # an end is no history
+        inner[np.cumsum(sizes + 1) - 1] = False  # an end is no history
         at = np.flatnonzero(inner)
-        row = np.repeat(np.arange(len(lengths)), lengths)
-        return flat[at], flat[at + 1], row, np.repeat(np.array(self.train), lengths)
+        self.history, self.word, self.row = flat[at], flat[at + 1], np.repeat(np.arange(len(sizes)), sizes)
+        self.train = ~np.asarray(held, dtype=bool)[self.row]
+
+    def pairs(self, parts: int, hot: dict[int, int]) -> None:
+        """Distinct pairs in the order in which they are sent, and each token's."""
+        pair, at = np.unique(self.history << 32 | self.word, return_inverse=True)
+        h, w = pair >> 32, pair & 0xFFFFFFFF
+        part = _part(self.words, parts)[h]
+        if hot:
+            salts = np.array([hot.get(x, 1) for x in self.words.tolist()], dtype=np.int64)[h]
+            salt = (self.words[w] % salts.astype(np.uint64)).astype(np.int64)
+            part = (part + salt * np.maximum(parts // salts, 1)) % parts
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.h, self.w, self.part, self.at = h[order], w[order], part[order], place[at]
+        self.names = np.unique(self.part)
+        self.cuts = np.append(np.searchsorted(self.part, self.names), len(self.part))
+
+
+def _word_counts(blocks: DataFrame, parts: int) -> DataFrame:
+    """(part, block, blob): words of blocks, their training counts and their counts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = _Block(row["blob"], row["held"], row["sizes"])
+                n = len(b.words)
+                trained, every = np.bincount(b.word, b.train, n).astype(np.int64), np.bincount(b.word, minlength=n)
+                part = _part(b.words, parts)  # ascending, as the words are
+                names = np.unique(part)
+                cuts = np.append(np.searchsorted(part, names), n)
+                blobs = [_pack(b.words[x:y], _narrow(trained[x:y]), _narrow(every[x:y])) for x, y in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(np.full(len(names), row["block"])), pa.array(blobs, pa.binary())], ["part", "block", "blob"])
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
-    block = _Block()
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            block.add(*row)
-            if block.full():
-                yield block
-                block.clear()
-    if block.ids:
-        yield block
+    return blocks.select("block", "held", "sizes", "blob").mapInArrow(run, "part int, block long, blob binary")
 
 
-def _word_counts(rows: DataFrame, parts: int) -> DataFrame:
-    """(part, blob): words of blocks with their training counts and the history parts that will ask."""
+_SUMS = "kind string, part int, block long, blob binary, h long, sums array<double>"
+
+
+def _rows(**columns: list) -> pd.DataFrame:
+    n = len(next(iter(columns.values())))
+    return pd.DataFrame({c: columns.get(c, [None] * n) for c in ("kind", "part", "block", "blob", "h", "sums")}).astype({"part": "Int32", "block": "Int64", "h": "Int64"})
+
+
+def _sum_words(hot_from: float):
+    """Of one part: an answer to each block, the table of counts, the hot words, and counts of counts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
-            history, word, _, train = block.places()
-            words, at = np.unique(word, return_inverse=True)
-            counts = np.bincount(at, train, len(words)).astype(np.int64)
-            asks = np.unique(at * parts + _part(history, parts))
-            asked_by, who = np.bincount(asks // parts, minlength=len(words)), asks % parts
-            part = _part(words, parts)  # ascending, as the words are
-            names = np.unique(part)
-            cuts = np.append(np.searchsorted(part, names), len(words))
-            ends = np.append(0, np.cumsum(asked_by))
-            blobs = [_pack(words[a:b], _narrow(counts[a:b]), _narrow(asked_by[a:b]), _narrow(who[ends[a] : ends[b]])) for a, b in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
-
-    return rows.mapInArrow(run, "part int, blob binary")
-
-
-def _sum_words(parts: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         blobs = [_unpack(b) for b in rows["blob"]]
-        words = np.concatenate([b[0] for b in blobs])
-        table, at = np.unique(words, return_inverse=True)
-        counts = np.bincount(at, np.concatenate([b[1] for b in blobs]), len(table)).astype(np.int64)
-        asked_by = np.concatenate([b[2] for b in blobs]).astype(np.int64)
-        asks = np.unique(np.concatenate([b[3] for b in blobs]).astype(np.int64) * len(table) + np.repeat(at, asked_by))
-        who, which = asks // max(len(table), 1), asks % max(len(table), 1)
-        seen = counts[which] > 0
-        who, which = who[seen], which[seen]
-        names = np.unique(who)
-        cuts = np.append(np.searchsorted(who, names), len(who))
-        sent = [_pack(table[which[a:b]], _narrow(counts[which[a:b]])) for a, b in zip(cuts, cuts[1:], strict=False)]
-        stats = [int(counts.sum()), int((counts > 0).sum()), *(int((counts == r).sum()) for r in range(1, LOW + 2))]
-        return pd.DataFrame({"part": np.append(names, -1).astype(np.int32), "blob": [*sent, None], "stats": [*([None] * len(sent)), stats]})
+        table, at = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True)
+        counts, every = (np.bincount(at, np.concatenate([b[i] for b in blobs]), len(table)).astype(np.int64) for i in (1, 2))
+        ends = np.cumsum([0, *(len(b[0]) for b in blobs)])
+        part = int(rows["part"].iloc[0])
+        hot = np.flatnonzero(every > hot_from)
+        stats = [float(counts.sum()), float((counts > 0).sum()), *(float((counts == r).sum()) for r in range(1, LOW + 2))]
+        answers = _rows(kind=["answer"] * len(blobs), part=[part] * len(blobs), block=rows["block"].tolist(), blob=[_pack(_narrow(counts[at[a:b]])) for a, b in zip(ends, ends[1:], strict=False)])
+        told = _rows(kind=["table", "stats"], part=[part] * 2, blob=[_pack(table, _narrow(counts)), None], sums=[None, stats])
+        return pd.concat([answers, told, _rows(kind=["hot"] * len(hot), h=table[hot].view(np.int64).tolist(), sums=[[float(x)] for x in every[hot]])])
 
     return run
 
 
-def _pairs(rows: DataFrame, parts: int, id_type: str) -> DataFrame:
-    """(part, base, blob, ids, held, sizes): pairs of blocks with the rows where they stand, dealt by
-    history; once a block, what its rows are. base numbers a block's first row."""
+def _answers(rows: pd.DataFrame) -> list[list[np.ndarray]]:
+    return [_unpack(b) for b in rows.sort_values("part")["blob"]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 40
-        for block in _blocks(batches):
-            history, word, row, train = block.places()
-            histories, h = np.unique(history, return_inverse=True)
-            words, w = np.unique(word, return_inverse=True)
-            pair = h.astype(np.int64) << 32 | w
-            order = np.argsort(pair, kind="stable")
-            pair, row, train = pair[order], row[order], train[order]
-            heads = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-            places = np.diff(np.append(heads, len(pair)))
-            trained = np.add.reduceat(train.astype(np.int64), heads)
-            ph, pw = pair[heads] >> 32, pair[heads] & 0xFFFFFFFF
-            part = _part(histories, parts)[ph]  # ascending, as the histories are
-            names = np.unique(part)
-            cuts = np.append(np.searchsorted(part, names), len(part))
-            starts = np.append(heads, len(pair))
-            blobs = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                some_w, at_w = np.unique(pw[a:b], return_inverse=True)
-                some_h, at_h = np.unique(ph[a:b], return_inverse=True)
-                blobs.append(_pack(histories[some_h], words[some_w], _narrow(np.bincount(at_h)), _narrow(at_w), _narrow(trained[a:b]), _narrow(places[a:b]), _narrow(row[starts[a] : starts[b]])))
-            n = len(blobs)
-            held = [not t for t in block.train]
-            rest = [None] * (n - 1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(names.astype(np.int32)),
-                    pa.array([base] * n, pa.int64()),
-                    pa.array([len(block.ids)] * n, pa.int32()),
-                    pa.array(blobs, pa.binary()),
-                    pa.array([block.ids, *rest], pa.list_(types[0])),
-                    pa.array([held, *rest], pa.list_(pa.bool_())),
-                    pa.array([block.lengths, *rest], pa.list_(pa.int64())),
-                ],
-                ["part", "base", "n", "blob", "ids", "held", "sizes"],
-            )
-            base += len(block.ids)
-
-    types: list[pa.DataType] = []
-
-    def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def noted() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                types[:] = [batch.schema.types[0]]
-                yield batch
-
-        yield from run(noted())
-
-    return rows.mapInArrow(typed, f"part int, base long, n int, blob binary, ids array<{id_type}>, held array<boolean>, sizes array<long>")
-
-
-def _evaluate(unigrams: Unigrams):
-    """For one part of histories: each block's sums per row, and the part's counts of counts of pairs."""
-
-    def run(pairs: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
-        if not len(pairs):
-            return pd.DataFrame({c: [] for c in ("base", "n", "blob", "ids", "held", "sizes", "stats")})
-        known = [_unpack(b) for b in sent["blob"]]
-        table = np.concatenate([k[0] for k in known]) if known else np.zeros(0, np.uint64)
-        counts = np.concatenate([k[1].astype(np.int64) for k in known]) if known else np.zeros(0, np.int64)
-        order = np.argsort(table)
-        table, counts = table[order], counts[order]
-        blobs = [_unpack(b) for b in pairs["blob"]]
-        # the part's own numbers for histories and words
+
+def _pairs(parts: int, hot: dict[int, int]):
+    """Of one block: its pairs, dealt to parts. A history once, with the number of its pairs; for each pair
+    48 bits of its word's hash, its training count, and the word's."""
+
+    def run(block: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        told = block.iloc[0]
+        b = _Block(told["blob"], told["held"], told["sizes"])
+        b.pairs(parts, hot)
+        c_w = np.concatenate([x[0] for x in _answers(words)]).astype(np.int64)
+        trained = np.bincount(b.at, b.train, len(b.h)).astype(np.int64)
+        tag = b.words >> np.uint64(16)
+        blobs = []
+        for x, y in zip(b.cuts, b.cuts[1:], strict=False):
+            heads = np.flatnonzero(np.append(True, b.h[x + 1 : y] != b.h[x : y - 1]))
+            tags = tag[b.w[x:y]]
+            blobs.append(_pack(b.words[b.h[x:y][heads]], _narrow(np.diff(np.append(heads, y - x))), (tags & np.uint64(0xFFFFFFFF)).astype("<u4"), (tags >> np.uint64(32)).astype("<u2"), _narrow(trained[x:y]), _narrow(c_w[b.w[x:y]])))
+        return pd.DataFrame({"part": b.names.astype(np.int32), "block": told["block"], "blob": blobs})
+
+    return run
+
+
+def _sum_pairs(unigrams: Unigrams, hot: dict[int, int]):
+    """Of one part: an answer to each block, the table of pairs, a hot history's sums as far as they lie here,
+    and counts of counts. An answer has each pair's count, and of each history that is not hot twice its count
+    and whether none of its counts is low; of those with a pair unseen, also the low counts' counts and what
+    the words seen after it leave of P."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        blobs = [_unpack(b) for b in rows["blob"]]
+        part = int(rows["part"].iloc[0])
         histories, h_at = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True)
-        words, w_at = np.unique(np.concatenate([b[1] for b in blobs]), return_inverse=True)
-        at = np.minimum(np.searchsorted(table, words), max(len(table) - 1, 0))
-        c_w = np.where(table[at] == words, counts[at], 0) if len(table) else np.zeros(len(words), np.int64)
-        p_w = unigrams.p(c_w)
-        h_of, w_of, i, j = [], [], 0, 0
-        for b in blobs:
-            h_of.append(np.repeat(h_at[i : i + len(b[0])], b[2]))
-            w_of.append(w_at[j : j + len(b[1])][b[3]])
-            i, j = i + len(b[0]), j + len(b[1])
-        key = np.concatenate(h_of).astype(np.int64) << 32 | np.concatenate(w_of)
-        pair, at_pair = np.unique(key, return_inverse=True)
-        c = np.bincount(at_pair, np.concatenate([b[4] for b in blobs]), len(pair)).astype(np.int64)
-        ph, pw = pair >> 32, pair & 0xFFFFFFFF
-        seen = c > 0
-        n = len(histories)
+        h = np.repeat(h_at, np.concatenate([b[1] for b in blobs]).astype(np.int64))
+        tag = np.concatenate([b[3] for b in blobs]).astype(np.uint64) << np.uint64(32) | np.concatenate([b[2] for b in blobs])
+        order = np.lexsort((tag, h))
+        fresh = np.append(True, (h[order][1:] != h[order][:-1]) | (tag[order][1:] != tag[order][:-1]))
+        at = np.empty(len(order), dtype=np.int64)
+        at[order] = np.cumsum(fresh) - 1
+        first = order[fresh]
+        ph, ptag, c_w = h[first], tag[first], np.concatenate([b[5] for b in blobs])[first].astype(np.int64)
+        c = np.bincount(at, np.concatenate([b[4] for b in blobs]), len(first)).astype(np.int64)
+        seen, n = c > 0, len(histories)
         c_h = np.bincount(ph, c, n).astype(np.int64)
-        low = np.stack([np.bincount(ph[c == r], minlength=n) for r in range(1, LOW + 1)], axis=1)  # counts of counts
-        backed = 1.0 - np.bincount(ph[seen], p_w[pw[seen]], n)
-        rigid = (low.sum(axis=1) == 0) & (c_h > 0)  # no low count to discount: the rest gets one more
-        total = np.where(rigid, c_h + 1, c_h)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            value = np.where(seen, np.log10(c / total[ph]), np.log10(p_w[pw]) - np.where(c_h[ph] > 0, np.log10(total[ph] * backed[ph]), 0.0))
-        later = np.flatnonzero(~seen & (c_h[ph] > 0) & ~rigid[ph])  # their histories' discounted mass comes later
-        waits = np.zeros(len(pair), dtype=bool)
-        waits[later] = True
-        level = np.where(seen & (c <= LOW) & ~rigid[ph], c, 0)
-        base_value = unigrams.log10_base(c_w)
-        out: dict[str, list] = {"base": [], "n": [], "blob": [], "ids": [], "held": [], "sizes": [], "stats": []}
-        i = 0
-        for (_, row), b in zip(pairs.iterrows(), blobs, strict=True):
-            places = np.repeat(at_pair[i : i + len(b[3])], b[5])
-            i += len(b[3])
-            rows, size = b[6].astype(np.int64), int(row["n"])
-            levels = np.bincount(rows * (LOW + 1) + level[places], minlength=size * (LOW + 1))
-            wait = waits[places]
-            some, ref = np.unique(ph[places[wait]], return_inverse=True)
-            out["blob"].append(
-                _pack(
-                    np.bincount(rows, value[places], size),
-                    np.bincount(rows, base_value[pw[places]], size),
-                    _narrow(np.bincount(rows, c_w[pw[places]] > 0, size).astype(np.int64)),
-                    _narrow(levels),
-                    _narrow(rows[wait]),
-                    _narrow(ref),
-                    _narrow(low[some].ravel()),
-                )
-            )
-            out["base"].append(row["base"])
-            out["n"].append(size)
-            out["ids"].append(row["ids"])
-            out["held"].append(row["held"])
-            out["sizes"].append(row["sizes"])
-            out["stats"].append(None)
-        use = ~rigid[ph]
-        out["stats"][0] = [int(((c == r) & use).sum()) for r in range(1, LOW + 2)]
-        return pd.DataFrame(out)
+        low = np.stack([np.bincount(ph[c == r], minlength=n) for r in range(1, LOW + 2)], axis=1)
+        taken = np.bincount(ph[seen], unigrams.p(c_w[seen]), n)
+        is_hot = np.array([x in hot for x in histories.tolist()], dtype=bool)
+        rigid = (low[:, :LOW].sum(axis=1) == 0) & (c_h > 0)
+        answers, i, j = [], 0, 0
+        for b in blobs:
+            mine, own = at[j : j + len(b[4])], h_at[i : i + len(b[0])]
+            unseen = np.add.reduceat(~seen[mine], np.cumsum(b[1].astype(np.int64)) - b[1]) > 0
+            plain = own[~is_hot[own]]
+            more = own[unseen & ~is_hot[own] & (c_h[own] > 0)]
+            answers.append(_pack(_narrow(c[mine]), _narrow(2 * c_h[plain] + rigid[plain]), _narrow(low[more][:, :LOW].ravel()), taken[more]))
+            i, j = i + len(b[0]), j + len(b[4])
+        stats = low[~is_hot & ~rigid].sum(axis=0).astype(float).tolist()
+        some = np.flatnonzero(is_hot)
+        told = _rows(kind=["table", "stats"], part=[part] * 2, blob=[_pack(histories, _narrow(np.bincount(ph, minlength=n)), ptag, _narrow(c)), None], sums=[None, stats])
+        sums = [[float(c_h[x]), float(taken[x]), *low[x].astype(float).tolist()] for x in some]
+        return pd.concat([_rows(kind=["answer"] * len(blobs), part=[part] * len(blobs), block=rows["block"].tolist(), blob=answers), told, _rows(kind=["hot"] * len(some), h=histories[some].view(np.int64).tolist(), sums=sums)])
 
     return run
 
 
-def _put_together(pair_counts: list[int], unigrams: Unigrams):
+def _evaluate(parts: int, hot: dict[int, int], hot_sums: dict[int, list[float]], unigrams: Unigrams, pair_counts: list[float]):
+    """Of one block: the rows' scores."""
     d = discounts(pair_counts)
-    log_d = np.append(0.0, np.log10(d[1:]))
-    left = (1 - d[1:]) * np.arange(1, LOW + 1)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        n = int(rows["n"].iloc[0])
-        score, base, known = np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64)
-        for blob in rows["blob"]:
-            value, base_value, known_here, levels, waiting, ref, low = _unpack(blob)
-            score += value + levels.reshape(n, LOW + 1) @ log_d
-            base += base_value
-            known += known_here
-            if len(waiting):
-                mass = np.log10(low.reshape(-1, LOW) @ left)
-                score += np.bincount(waiting, mass[ref], n)
-        told = next(r for r in rows[["ids", "held", "sizes"]].itertuples(index=False) if r.ids is not None)
-        return pd.DataFrame({"doc_id": list(told.ids), "held_out": list(told.held), "n_tokens": list(told.sizes), "n_known": known, "train_tokens": unigrams.tokens, "base_score": base, "score": score})
+    low_mass = (1 - d[1:]) * np.arange(1, LOW + 1)
+
+    def run(block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        row = block.iloc[0]
+        b = _Block(row["blob"], row["held"], row["sizes"])
+        b.pairs(parts, hot)
+        words = told[told["level"] == 1]
+        c_w = np.concatenate([x[0] for x in _answers(words)]).astype(np.int64)
+        c, c_h, rigid, low, taken = (np.zeros(len(b.h), dtype=t) for t in (np.int64, np.int64, bool, np.float64, np.float64))
+        is_hot = np.array([x in hot for x in b.words.tolist()], dtype=bool) if hot else np.zeros(len(b.words), dtype=bool)
+        for x, y, (counts, twice, low_counts, of_p) in zip(b.cuts, b.cuts[1:], _answers(told[told["level"] == 2]), strict=False):
+            c[x:y] = counts
+            heads = np.flatnonzero(np.append(True, b.h[x + 1 : y] != b.h[x : y - 1]))
+            sizes = np.diff(np.append(heads, y - x))
+            unseen = np.add.reduceat(c[x:y] == 0, heads) > 0
+            plain = ~is_hot[b.h[x:y][heads]]
+            of_h = np.zeros(len(heads), dtype=np.int64)
+            of_h[plain] = twice
+            more = plain & unseen & (of_h > 1)
+            mass = np.zeros((len(heads), 2))
+            mass[more, 0], mass[more, 1] = low_counts.reshape(-1, LOW) @ low_mass, of_p
+            c_h[x:y], rigid[x:y] = np.repeat(of_h >> 1, sizes), np.repeat(of_h & 1, sizes).astype(bool)
+            low[x:y], taken[x:y] = np.repeat(mass, sizes, axis=0).T
+        for i in np.flatnonzero(is_hot[b.h]).tolist():
+            n, p, *counts = hot_sums[int(b.words[b.h[i]])]
+            c_h[i], taken[i], rigid[i], low[i] = n, p, n > 0 and not any(counts[:LOW]), np.dot(counts[:LOW], low_mass)
+        seen, total = c > 0, np.where(rigid, c_h + 1, c_h)
+        kept = np.where((c <= LOW) & ~rigid, d[np.minimum(c, LOW)], 1.0)
+        left = np.where(rigid, 1.0, low)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            backed = np.where(c_h > 0, np.log10(left / total / (1.0 - taken)), 0.0)
+            value = np.where(seen, np.log10(kept * c / total), backed + np.log10(unigrams.p(c_w))[b.w])
+        n = len(row["sizes"])
+        of_row = lambda x: np.bincount(b.row, x, n)
+        base, score = of_row(unigrams.log10_base(c_w)[b.word]), of_row(value[b.at])
+        return pd.DataFrame({"doc_id": list(row["ids"]), "held_out": list(row["held"]), "n_tokens": list(row["sizes"]), "n_known": of_row(c_w[b.word] > 0).astype(np.int64), "train_tokens": unigrams.tokens, "base_score": base, "score": score})
 
     return run
 
 
+def _total(table: DataFrame, n: int) -> list:
+    """The sums of the parts' statistics."""
+    return list(table.where("kind = 'stats'").agg(*(F.coalesce(F.sum(F.col("sums")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(n))).first())
+
+
 def score(docs: DataFrame, held_parts: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs."""
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out(F.col("doc_id"), held_parts, held).alias("held"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    parts = min(65_535, max(1, math.ceil(size / PART_BYTES)))
-    words = stored(_word_counts(rows, parts).groupBy("part").applyInPandas(_sum_words(parts), "part int, blob binary, stats array<long>"), "words")
-    told = words.where("stats IS NOT NULL").agg(*(F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)).alias(f"s{i}") for i in range(LOW + 3))).first()
-    unigrams = Unigrams(told[0], told[1], list(told[2:]))
-    sums = "base long, n int, blob binary, ids array<{0}>, held array<boolean>, sizes array<long>, stats array<long>".format(id_type)
-    pairs = _pairs(rows, parts, id_type).groupBy("part").cogroup(words.where("part >= 0").select("part", "blob").groupBy("part"))
-    evaluated = stored(pairs.applyInPandas(_evaluate(unigrams), sums), "evaluated")
-    pair_counts = evaluated.where("stats IS NOT NULL").agg(*(F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)).alias(f"s{i}") for i in range(LOW + 1))).first()
+    blocks = stored(_blocks(rows, id_type), "blocks")
+    size, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    parts = max(1, math.ceil(size / PART_BYTES))
+    hot_from = max(HOT, (size + n_rows) / MOST_HOT)  # no word stands so often in more than MOST_HOT of them
+    words = stored(_word_counts(blocks, parts).groupBy("part").applyInPandas(_sum_words(hot_from), _SUMS), "words", ("kind",))
+    told = [int(x) for x in _total(words, LOW + 3)]
+    unigrams = Unigrams(told[0], told[1], told[2:])
+    hot = {r.h % 2**64: math.ceil(r.sums[0] / hot_from) for r in words.where("kind = 'hot'").select("h", "sums").collect()}  # MOST_HOT at most
+    if n_rows > hot_from:
+        hot[START] = math.ceil(n_rows / hot_from)
+    answers = words.where("kind = 'answer'").select("block", "part", "blob")
+    sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_pairs(parts, hot), "part int, block long, blob binary")
+    pairs = stored(sent.groupBy("part").applyInPandas(_sum_pairs(unigrams, hot), _SUMS), "pairs", ("kind",))
+    sums = pairs.where("kind = 'hot'").groupBy("h").agg(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(LOW + 3))).collect()
+    hot_sums = {r.h % 2**64: list(r[1:]) for r in sums}
+    pair_counts = np.array(_total(pairs, LOW + 1))
+    for s in hot_sums.values():
+        if any(s[2 : 2 + LOW]):
+            pair_counts += s[2:]
+    both = answers.withColumn("level", F.lit(1)).unionByName(pairs.where("kind = 'answer'").select("block", "part", "blob").withColumn("level", F.lit(2)))
     out = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return evaluated.groupBy("base").applyInPandas(_put_together(list(pair_counts), unigrams), out)
+    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(_evaluate(parts, hot, hot_sums, unigrams, pair_counts.tolist()), out)

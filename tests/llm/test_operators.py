@@ -134,8 +134,10 @@ def test_katz_agrees_with_brute_force_in_any_number_of_parts(docs, odd, monkeypa
     for df in (docs, odd):
         rows = df.select("doc_id", "text").collect()
         want, p2, uni, bi = brute_katz(rows)
-        for size in (24 << 20, 1 << 14):
+        for size, hot, chars in ((24 << 20, 10**9, 5 << 20), (1 << 14, 10**9, 1 << 14), (1 << 14, 40, 1 << 15)):
             monkeypatch.setattr(katz, "PART_BYTES", size)
+            monkeypatch.setattr(katz, "HOT", hot)
+            monkeypatch.setattr(katz, "BLOCK_CHARS", chars)
             got = katz.score(df).collect()
             assert len(got) == len(rows)
             for r in got:
