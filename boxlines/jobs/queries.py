@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text as names
-from ..operators import assign, connections, diagram, endpoints, files, images, regions, results, text, tiling, tracing
+from ..operators import assign, connections, diagram, endpoints, extraction, files, images, regions, results, text, tiling, tracing
 from ..sources.fixtures import fixture, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,16 +146,16 @@ def _(spark, d):
 
 @query(
     "c8_decode_choices",
-    """WITH e AS (SELECT vec_id AS item_id, list_transform(embedding[1:5], lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)) AS q FROM embeddings),
-p AS (SELECT item_id, list_transform(q, lambda x: x / (q[1] + q[2] + q[3] + q[4] + q[5])) AS probs FROM e)
-SELECT item_id, CASE WHEN list_max(probs) >= 0.5 THEN list_position(probs, list_max(probs)) - 1 END AS picked,
-       CAST(len(list_filter(probs, lambda x: x >= 0.2)) AS BIGINT) AS n_many FROM p""",
+    """WITH e AS (SELECT vec_id AS item_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)) AS q FROM embeddings),
+p AS (SELECT item_id, list_transform(q, lambda x: x / list_reduce(q, lambda a, b: a + b)) AS probs FROM e)
+SELECT item_id, CASE WHEN list_max(probs) >= 0.1 THEN list_position(probs, list_max(probs)) - 1 END AS picked,
+       CAST(len(list_filter(probs, lambda x: x >= 0.05)) AS BIGINT) AS n_many FROM p""",
 )
 def _(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    squares = F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double") * x.cast("double"))
-    p = e.select(F.col("vec_id").alias("item_id"), squares.alias("q")).withColumn("s", F.col("q")[0] + F.col("q")[1] + F.col("q")[2] + F.col("q")[3] + F.col("q")[4]).withColumn("probs", F.transform("q", lambda x: x / F.col("s")))
-    one, many = tiling.decode_choices(F.col("probs"), 0.5)[0], tiling.decode_choices(F.col("probs"), 0.2, many=True)[0]
+    squares = F.transform("embedding", lambda x: x.cast("double") * x.cast("double"))
+    p = e.select(F.col("vec_id").alias("item_id"), squares.alias("q")).withColumn("s", F.aggregate("q", F.lit(0.0), lambda a, x: a + x)).withColumn("probs", F.transform("q", lambda x: x / F.col("s")))
+    one, many = tiling.decode_choices(F.col("probs"), 0.1)[0], tiling.decode_choices(F.col("probs"), 0.05, many=True)[0]
     return p.select("item_id", F.get(one, F.lit(0)).alias("picked"), F.coalesce(F.size(many), F.lit(0)).cast("long").alias("n_many"))
 
 
@@ -485,14 +485,14 @@ def _shaped(spark, d) -> tuple[DataFrame, DataFrame]:
 
 @query("i3_merge_shared_endpoints")
 def _(spark, d):
-    return connections.merge_shared_endpoints(*_shaped(spark, d))
+    return connections.merge_shared_endpoints(*_shaped(spark, d)).drop("path")
 
 
 @query("i4_bridge_gaps")
 def _(spark, d):
     links, ends = _shaped(spark, d)
     gaps = ends.where("endpoint_index % 2 = 0").select("diagram_id", F.col("endpoint_index").alias("a"), (F.col("endpoint_index") + 1).alias("b"))
-    return connections.bridge_gaps(links, gaps, ends)
+    return connections.bridge_gaps(links, gaps, ends).drop("path")
 
 
 @query("i5_final_connections", _with(**_PATHS) + f"SELECT {_LINK}, rel_index FROM r WHERE class_a IS NOT NULL AND class_b IS NOT NULL AND start_index <> endpoint_index AND NOT (class_a = class_b AND path_len < 30)")
@@ -505,12 +505,27 @@ def _(spark, d):
     return connections.connection_endpoints(_links(spark, d))
 
 
+def _drawn(spark, d) -> DataFrame:
+    """Pixels of a straight line from each endpoint to its nearest one."""
+    e = fixture(spark, d, "fx_endpoints")
+    other = e.select("diagram_id", F.col("endpoint_id").alias("other_id"), F.col("x").alias("u"), F.col("y").alias("v"))
+    lines = endpoints.nearest_endpoint(e).join(e, ["diagram_id", "endpoint_id"]).join(other, ["diagram_id", "other_id"])
+    n = F.greatest(F.abs(F.col("u") - F.col("x")), F.abs(F.col("v") - F.col("y")), F.lit(1.0)).cast("int")
+    at = lambda a, b: F.floor(F.col(a) + (F.col(b) - F.col(a)) * F.col("i") / F.col("n") + 0.5)
+    drawn = lines.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    return drawn.select("diagram_id", at("y", "v").alias("y"), at("x", "u").alias("x")).distinct()
+
+
+def _crossings(spark, d) -> DataFrame:
+    return fixture(spark, d, "fx_end_shapes").select("diagram_id", F.col("shape_index").alias("crossing_index"), "x", "y", "w", "h")
+
+
 @query("i7_evaluate_connections")
 def _(spark, d):
-    links, ends = _shaped(spark, d)
-    merged = connections.merge_shared_endpoints(links, ends)
-    gaps = ends.where("endpoint_index % 2 = 0").select("diagram_id", F.col("endpoint_index").alias("a"), (F.col("endpoint_index") + 1).alias("b"))
-    return connections.final_connections(connections.bridge_gaps(merged, gaps, ends))
+    """Over the drawn lines; end shapes stand in for crossings too."""
+    e, boxes, _ = _ends(spark, d)
+    found, _ = extraction.evaluate_connections(_drawn(spark, d), boxes, e, _crossings(spark, d), fixture(spark, d, "fx_end_shapes"))
+    return found.drop("path")
 
 
 # labels
@@ -564,8 +579,7 @@ def _(spark, d):
 @query("j9_assign_multiplicities", _with(b=_LABELS) + "SELECT diagram_id, label_id, CASE label_id % 4 WHEN 0 THEN '*' WHEN 1 THEN '1' ELSE '0..*' END AS multiplicity FROM b WHERE label_id % 5 <> 0 AND label_id % 7 <> 0")
 def _(spark, d):
     b = fixture(spark, d, "fx_label_boxes")
-    choice = F.when(F.col("label_id") % 5 == 0, "Struck").when(F.col("label_id") % 7 == 0, F.lit(None)).otherwise(F.when(F.col("label_id") % 4 == 0, "STAR").when(F.col("label_id") % 4 == 1, "1").otherwise("0..*"))
-    return assign.decode_multiplicity(b.select("diagram_id", "label_id", choice.alias("choice")))
+    return assign.decode_multiplicity(b.select("diagram_id", "label_id", _choice().alias("choice")))
 
 
 @query("j10_attach_to_connection", _with(**_PATHS, u="SELECT diagram_id, start_index AS e, rel_index, 0 AS side FROM r UNION ALL SELECT diagram_id, endpoint_index, rel_index, 1 FROM r") + "SELECT diagram_id, e AS endpoint_index, min(rel_index) AS rel_index, CAST(min(rel_index * 2 + side) - min(rel_index) * 2 AS BIGINT) AS side FROM u GROUP BY diagram_id, e")
@@ -778,17 +792,20 @@ def _(spark, d):
     return to_plantuml(spark, d).select("diagram_id", diagram.plantuml_key(F.col("plantuml")).alias("key"))
 
 
+def _choice(label_id: str = "label_id"):
+    """A stand-in for the classifier of multiplicities."""
+    i = F.col(label_id)
+    return F.when(i % 5 == 0, "Struck").when(i % 7 == 0, F.lit(None)).otherwise(F.when(i % 4 == 0, "STAR").when(i % 4 == 1, "1").otherwise("0..*"))
+
+
 @query("l10_extract_diagrams")
 def _(spark, d):
-    """Detections to text: stitched boxes are the classes, their texts and connections as detected."""
-    boxes = regions.class_boxes(regions.stitch_predictions(_placed(spark, d)))
-    classes = text.build_classes(_texts(spark, d)).join(boxes.select("diagram_id", "class_index"), ["diagram_id", "class_index"])
-    links, ends = _shaped(spark, d)
-    final = connections.final_connections(connections.merge_shared_endpoints(links, ends))
-    score, none = F.lit(1.0), F.lit(None).cast("string")
-    named = final.select("diagram_id", "rel_index", F.col("class_a").alias("class_index_0"), F.col("class_b").alias("class_index_1"), "end_shape_0", "end_shape_1", score.alias("shape_score_0"), score.alias("shape_score_1"), *(none.alias(f"{c}_{i}") for c in ("multiplicity", "role") for i in (0, 1)), none.alias("label"))
-    relationships = diagram.build_relationships(named, classes).withColumn("name", F.col("label"))
-    return diagram.to_plantuml(boxes, classes, relationships)
+    """All detections of the fixtures over the drawn lines; a label's text stands for what is read."""
+    e, boxes, _ = _ends(spark, d)
+    labels = fixture(spark, d, "fx_label_boxes")
+    read = labels.select("diagram_id", "label_id", "score", F.concat(F.lit("label "), F.col("label_id").cast("string")).alias("text"))
+    choices = labels.select("diagram_id", "label_id", _choice().alias("choice"))
+    return extraction.extract_diagrams(boxes, boxes, _texts(spark, d), _drawn(spark, d), e, _crossings(spark, d), fixture(spark, d, "fx_end_shapes"), labels, read, choices)
 
 
 # results
@@ -948,7 +965,7 @@ def _(spark, d):
 
 @query("h2_split_overlapping_crossings")
 def _(spark, d):
-    return tracing.split_overlapping_crossings(fixture(spark, d, "fx_end_shapes").select("diagram_id", F.col("shape_index").alias("crossing_index"), "x", "y", "w", "h"))
+    return tracing.split_overlapping_crossings(_crossings(spark, d))
 
 
 _GRID = "SELECT o_custkey // 10 AS diagram_id, (o_orderkey * 379) % 76 * 10 AS y, (o_orderkey * 211) % 100 * 10 AS x FROM orders"
@@ -959,9 +976,25 @@ def _grid(spark, d) -> DataFrame:
     return o.select(F.floor(F.col("o_custkey") / 10).alias("diagram_id"), (F.col("o_orderkey") * 379 % 76 * 10).alias("y"), (F.col("o_orderkey") * 211 % 100 * 10).alias("x")).distinct()
 
 
-@query("h3_crossing_border_points", _with(p=f"SELECT DISTINCT * FROM ({_GRID})", h=oracle("fx_end_shapes"), b="SELECT diagram_id, shape_index AS crossing_index, CAST(x AS BIGINT) AS x1, CAST(y AS BIGINT) AS y1, CAST(x + w AS BIGINT) AS x2, CAST(y + h AS BIGINT) AS y2 FROM h") + "SELECT p.diagram_id, crossing_index, y, x FROM p JOIN b ON p.diagram_id = b.diagram_id WHERE x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2 AND (x IN (x1, x2) OR y IN (y1, y2))")
+_RIM = dict(
+    p=f"SELECT DISTINCT * FROM ({_GRID})",
+    h=oracle("fx_end_shapes"),
+    b="SELECT diagram_id, shape_index AS crossing_index, CAST(floor(x) AS BIGINT) AS x1, CAST(floor(y) AS BIGINT) AS y1, CAST(floor(x) AS BIGINT) + CAST(floor(w) AS BIGINT) AS x2, CAST(floor(y) AS BIGINT) + CAST(floor(h) AS BIGINT) AS y2 FROM h",
+    r="SELECT p.diagram_id, crossing_index, y, x, x1, y1, x2, y2 FROM p JOIN b ON p.diagram_id = b.diagram_id WHERE x >= x1 AND x < x2 AND y >= y1 AND y < y2 AND (x IN (x1, x2 - 1) OR y IN (y1, y2 - 1))",
+)
+
+
+@query("h3_crossing_border_points", _with(**_RIM) + "SELECT diagram_id, crossing_index, y, x FROM r")
+def _(spark, d):
+    return tracing.crossing_border_points(_grid(spark, d), _crossings(spark, d))
+
+
+@query("h3_crossing_outside_neighbours", _with(**(_RIM | {"b": _RIM["b"].replace("CAST(floor(x) AS BIGINT)", "CAST(floor(x / 10) AS BIGINT)").replace("CAST(floor(y) AS BIGINT)", "CAST(floor(y / 10) AS BIGINT)").replace("CAST(floor(w) AS BIGINT)", "CAST(floor(w / 10) + 1 AS BIGINT)").replace("CAST(floor(h) AS BIGINT)", "CAST(floor(h / 10) + 1 AS BIGINT)"), "p": "SELECT DISTINCT diagram_id, CAST(y / 10 AS BIGINT) AS y, CAST(x / 10 AS BIGINT) AS x FROM (" + _GRID + ")"})) + "SELECT r.diagram_id, r.crossing_index, r.y, r.x, p.y AS ny, p.x AS nx FROM r JOIN p ON p.diagram_id = r.diagram_id AND abs(p.x - r.x) <= 1 AND abs(p.y - r.y) <= 1 AND NOT (p.x >= x1 AND p.x < x2 AND p.y >= y1 AND p.y < y2)")
 def _(spark, d):
-    return tracing.crossing_border_points(_grid(spark, d), fixture(spark, d, "fx_end_shapes").withColumnRenamed("shape_index", "crossing_index"))
+    """On a grid ten times as coarse, so that pixels touch."""
+    coarse = _grid(spark, d).select("diagram_id", (F.col("y") / 10).cast("long").alias("y"), (F.col("x") / 10).cast("long").alias("x")).distinct()
+    boxes = _crossings(spark, d).select("diagram_id", "crossing_index", F.floor(F.col("x") / 10).alias("x"), F.floor(F.col("y") / 10).alias("y"), (F.floor(F.col("w") / 10) + 1).alias("w"), (F.floor(F.col("h") / 10) + 1).alias("h"))
+    return tracing.crossing_outside_neighbours(coarse, boxes)
 
 
 @query("h4_snap_endpoints", _with(p=f"SELECT DISTINCT * FROM ({_GRID})", e=oracle("fx_endpoints"), n="SELECT e.diagram_id, endpoint_id, p.y AS py, p.x AS px FROM e JOIN p ON p.diagram_id = e.diagram_id QUALIFY row_number() OVER (PARTITION BY e.diagram_id, endpoint_id ORDER BY (e.x - p.x) * (e.x - p.x) + (e.y - p.y) * (e.y - p.y), p.y, p.x) = 1") + "SELECT diagram_id, endpoint_id AS endpoint_index, py, px FROM n QUALIFY row_number() OVER (PARTITION BY diagram_id, py, px ORDER BY endpoint_id DESC) = 1")
@@ -969,25 +1002,22 @@ def _(spark, d):
     return tracing.snap_endpoints(fixture(spark, d, "fx_endpoints").withColumnRenamed("endpoint_id", "endpoint_index"), _grid(spark, d))
 
 
-def _snapped(spark, d) -> tuple[DataFrame, DataFrame]:
-    lines = _lines(spark, d)
-    corners = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("endpoint_index"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, (x, y) in enumerate(((0.0, 0.0), (7.0, 0.0), (0.0, 7.0), (7.0, 7.0))))))
-    ends = lines.select("diagram_id").distinct().select("diagram_id", corners.alias("e")).select("diagram_id", "e.*")
-    return lines, tracing.snap_endpoints(ends, lines)
+def _graph(spark, d) -> tuple[DataFrame, DataFrame]:
+    lines = _drawn(spark, d)
+    e = fixture(spark, d, "fx_endpoints").withColumnRenamed("endpoint_id", "endpoint_index")
+    return e, tracing.trace_edges(lines, tracing.snap_endpoints(e, lines), tracing.split_overlapping_crossings(_crossings(spark, d)))
 
 
 @query("h5_trace_edges")
 def _(spark, d):
-    return tracing.trace_edges(*_snapped(spark, d)).select("diagram_id", "a", "b", F.size("path").cast("long").alias("n"))
+    return _graph(spark, d)[1].select("diagram_id", "a", "b", F.size("path").cast("long").alias("n"))
 
 
 @query("h6_enumerate_paths")
 def _(spark, d):
-    lines, snapped = _snapped(spark, d)
-    edges = tracing.trace_edges(lines, snapped).select("diagram_id", "a", "b")
-    kind = F.when(F.col("endpoint_index") % 2 == 0, "endpoint").otherwise("crossing")
-    nodes = snapped.select("diagram_id", F.col("endpoint_index").alias("node"), kind.alias("kind"), F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"))
-    return tracing.enumerate_paths(nodes, edges).select("diagram_id", "start_index", "endpoint_index", "total_div", F.size("nodes").cast("long").alias("n"))
+    e, edges = _graph(spark, d)
+    paths = tracing.enumerate_paths(tracing.graph_nodes(e, edges), edges)
+    return paths.select("diagram_id", "start_index", "endpoint_index", "total_div", F.size("nodes").cast("long").alias("n"), F.size("path").cast("long").alias("path_len"))
 
 
 # compositions over labels, and text reading
@@ -1020,11 +1050,10 @@ def _(spark, d):
     """Multiplicity boxes to endpoints, decoded and put to connections. Stand-ins: the classifier's choice by
     label_id, and connections from each endpoint to the next."""
     b = fixture(spark, d, "fx_label_boxes").where("kind = 'Multiplicity'")
-    choice = F.when(F.col("label_id") % 5 == 0, "Struck").when(F.col("label_id") % 7 == 0, F.lit(None)).otherwise(F.when(F.col("label_id") % 4 == 0, "STAR").when(F.col("label_id") % 4 == 1, "1").otherwise("0..*"))
     points = fixture(spark, d, "fx_endpoints").withColumnRenamed("endpoint_id", "endpoint_index")
     by = Window.partitionBy("diagram_id").orderBy("endpoint_index")
     links = points.select("diagram_id", F.col("endpoint_index").alias("start_index"), F.lead("endpoint_index").over(by).alias("endpoint_index"), (F.row_number().over(by) - 1).cast("long").alias("rel_index"))
-    return assign.assign_multiplicities(b, b.select("diagram_id", "label_id", choice.alias("choice")), points, links.where("endpoint_index IS NOT NULL"), regions.scale_factor(fixture(spark, d, "fx_class_boxes")))
+    return assign.assign_multiplicities(b, b.select("diagram_id", "label_id", _choice().alias("choice")), points, links.where("endpoint_index IS NOT NULL"), regions.scale_factor(fixture(spark, d, "fx_class_boxes")))
 
 
 @query("k5_ocr_batches")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import point_box_distance
 from .connections import attach_to_connection
+from .grouped import per_group
 
 
 def text_orientation(boxes: DataFrame) -> DataFrame:
@@ -18,7 +16,7 @@ def text_orientation(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("orientation", F.when(F.col("x2") - F.col("x1") >= F.col("y2") - F.col("y1"), "horizontal").otherwise("vertical"))
 
 
-def _clusters(along: np.ndarray, across: np.ndarray, long_: np.ndarray, wide: np.ndarray) -> list[int]:
+def _clusters(along: list[float], across: list[float], long_: list[float], wide: list[float]) -> list[int]:
     """Cluster of each box, boxes coming in order of `along`. A box joins the first active box with which it
     is in line (centres across within 0.4 of the larger width) and close (gap along from -0.4 to under 0.6
     of the larger length); one that joins none ends those that are more than 1.6 lengths behind."""
@@ -44,23 +42,21 @@ def cluster_text_boxes(boxes: DataFrame) -> DataFrame:
     """(diagram_id, label_id, cluster_id, pos): vertical texts side by side first, then horizontal ones below
     each other; pos counts a cluster's boxes in reading order. Order decides, so a diagram is one task's."""
 
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        w, h = rows["x2"] - rows["x1"], rows["y2"] - rows["y1"]
+    def cluster(_: tuple, rows: list[tuple]) -> list[tuple]:
         out, base = [], 0
         for upright in (True, False):
-            some = rows[(w < h) == upright]
-            keys = ["x1", "y1", "label_id"] if upright else ["y1", "x1", "label_id"]
-            some = some.sort_values(keys)
-            x, y = some["x1"].to_numpy(), some["y1"].to_numpy()
-            sw, sh = some["x2"].to_numpy() - x, some["y2"].to_numpy() - y
-            ids = _clusters(x, y, sw, sh) if upright else _clusters(y, x, sh, sw)
-            made = pd.DataFrame({"diagram_id": some["diagram_id"].to_numpy(), "label_id": some["label_id"].to_numpy(), "cluster_id": np.array(ids, dtype=np.int64) + base})
-            made["pos"] = made.groupby("cluster_id").cumcount()
-            out.append(made)
+            some = [r for r in rows if (r[3] - r[1] < r[4] - r[2]) == upright]
+            some.sort(key=lambda r: (r[1], r[2], r[0]) if upright else (r[2], r[1], r[0]))
+            x, y, w, h = ([f(r) for r in some] for f in (lambda r: r[1], lambda r: r[2], lambda r: r[3] - r[1], lambda r: r[4] - r[2]))
+            ids = _clusters(x, y, w, h) if upright else _clusters(y, x, h, w)
+            size: dict[int, int] = {}
+            for r, i in zip(some, ids, strict=True):
+                out.append((r[0], base + i, size.setdefault(i, 0)))
+                size[i] += 1
             base += max(ids, default=-1) + 1
-        return pd.concat(out)
+        return out
 
-    return boxes.groupBy("diagram_id").applyInPandas(cluster, "diagram_id long, label_id long, cluster_id long, pos long")
+    return per_group([(boxes, ("label_id", "x1", "y1", "x2", "y2"))], ("diagram_id",), cluster, "label_id long, cluster_id long, pos long")
 
 
 def cluster_bounds(clusters: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -158,26 +154,35 @@ def hungarian(cost: np.ndarray) -> list[int] | None:
 
 def optimal(pairs: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
     """Every left item that has a pair exactly once, every right one at most once, at least total distance;
-    if that cannot be, the greedy choice. Among equal optima small problems take the least by right ids."""
+    if that cannot be, the greedy choice. Among equal optima, up to 9 places, the one whose right ids, in the
+    order of left ids, come first: each left item in turn takes the first right one that an optimum leaves."""
     lefts, rights = sorted({a for _, a, _ in pairs}), sorted({b for _, _, b in pairs})
+    row, column = ({x: i for i, x in enumerate(side)} for side in (lefts, rights))
     cost = np.full((len(lefts), len(rights)), np.inf)
     for d, a, b in pairs:
-        cost[lefts.index(a), rights.index(b)] = d
-    if len(lefts) <= len(rights) <= 6:
-        best = min(((round(float(sum(cost[i, j] for i, j in enumerate(p))), 9), p) for p in permutations(range(len(rights)), len(lefts))), default=None)
-        chosen = list(best[1]) if best and np.isfinite(best[0]) else None
-    else:
-        chosen = hungarian(cost)
-    return greedy(pairs) if chosen is None else [(a, rights[j]) for a, j in zip(lefts, chosen, strict=True)]
+        cost[row[a], column[b]] = min(d, cost[row[a], column[b]])
+    chosen = hungarian(cost)
+    if chosen is None:
+        return greedy(pairs)
+    total = lambda c: sum(c[i, j] for i, j in enumerate(some)) if (some := hungarian(c)) is not None else np.inf
+    best = round(float(total(cost)), 9)
+    for i in range(len(lefts)):
+        for j in range(chosen[i]):
+            if np.isfinite(cost[i, j]):
+                tried = cost.copy()
+                tried[i] = np.inf
+                tried[i, j] = cost[i, j]
+                if round(float(total(tried)), 9) == best:
+                    chosen = hungarian(tried)
+                    break
+        kept = cost[i, chosen[i]]
+        cost[i] = np.inf
+        cost[i, chosen[i]] = kept
+    return [(a, rights[j]) for a, j in zip(lefts, chosen, strict=True)]
 
 
 def _assign(candidates: DataFrame, choose) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        pairs = list(zip(rows["distance"], rows["left_id"], rows["right_id"], strict=True))
-        made = choose(pairs)
-        return pd.DataFrame({"diagram_id": rows["diagram_id"].iloc[0], "left_id": [a for a, _ in made], "right_id": [b for _, b in made]})
-
-    return candidates.groupBy("diagram_id").applyInPandas(run, "diagram_id long, left_id long, right_id long")
+    return per_group([(candidates, ("distance", "left_id", "right_id"))], ("diagram_id",), lambda _, pairs: choose(pairs), "left_id long, right_id long")
 
 
 def optimal_assignment(candidates: DataFrame) -> DataFrame:

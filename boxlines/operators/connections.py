@@ -5,10 +5,11 @@ their order in rel_index. Steps that rewrite connections in order work within on
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouped import per_group
+
 EMPTY = "Empty End"
 
 
@@ -58,23 +59,32 @@ def connection_endpoints(connections: DataFrame) -> DataFrame:
     return first.select("diagram_id", "endpoint_index", (F.row_number().over(Window.partitionBy("diagram_id").orderBy("first")) - 1).cast("long").alias("position"))
 
 
-_REWRITTEN = "diagram_id long, rel_index long, start_index long, endpoint_index long, class_a long, class_b long, end_shape_0 string, end_shape_1 string, path_len long"
+_REWRITTEN = "rel_index long, start_index long, endpoint_index long, class_a long, class_b long, end_shape_0 string, end_shape_1 string, shape_score_0 double, shape_score_1 double, path_len long, path array<struct<x:double,y:double>>"
+_LINK = tuple(c.split(" ")[0] for c in _REWRITTEN.split(", "))
+_END = ("endpoint_index", "class_index", "end_shape", "shape_score", "x", "y")
+
+
+def _with_columns(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """df with those of the columns that it lacks: scores 1, all else null."""
+    kinds = {"shape_score": "double", "shape_score_0": "double", "shape_score_1": "double", "x": "double", "y": "double", "path": "array<struct<x:double,y:double>>"}
+    lacking = {c: F.lit(1.0 if c.startswith("shape_score") else None).cast(kinds[c]) for c in columns if c not in df.columns}
+    return df.withColumns(lacking) if lacking else df
 
 
 class _Net:
-    """Connections of one diagram in order, keyed by their two endpoints; far(e) looks from endpoint e."""
+    """Connections of one diagram in order, keyed by their two endpoints. Shapes are (label, score)."""
 
-    def __init__(self, rows: pd.DataFrame):
-        clean = lambda v: None if pd.isna(v) else int(v)
+    def __init__(self, rows: list[tuple]):
         self.links: dict[tuple[int, int], dict] = {}
-        for r in rows.sort_values("rel_index").itertuples():
-            self.links[(int(r.start_index), int(r.endpoint_index))] = {"ends": (int(r.start_index), int(r.endpoint_index)), "classes": [clean(r.class_a), clean(r.class_b)], "shapes": [r.end_shape_0, r.end_shape_1], "len": int(r.path_len)}
-
-    def far(self, link: dict, endpoint: int) -> int:
-        return 1 if link["ends"][0] == endpoint else 0
+        self.used: dict[int, dict[tuple[int, int], None]] = {}
+        self.count = 0
+        for _, a, b, class_a, class_b, shape_0, shape_1, score_0, score_1, length, path in sorted(rows, key=lambda r: r[0]):
+            self.put((a, b), [class_a, class_b], [(shape_0, score_0), (shape_1, score_1)], length, path)
 
     def at(self, endpoint: int) -> dict | None:
-        return next((x for x in self.links.values() if endpoint in x["ends"]), None)
+        """The first connection of an endpoint."""
+        used = self.used.get(endpoint)
+        return self.links[min(used, key=lambda ends: self.links[ends]["order"])] if used else None
 
     def by_endpoint(self) -> dict[int, list[tuple[int, int]]]:
         out: dict[int, list[tuple[int, int]]] = {}
@@ -83,16 +93,32 @@ class _Net:
                 out.setdefault(e, []).append(pair)
         return out
 
-    def put(self, ends: tuple[int, int], classes: list, shapes: list, length: int) -> None:
-        self.links[ends] = {"ends": ends, "classes": classes, "shapes": shapes, "len": length}
+    def put(self, ends: tuple[int, int], classes: list, shapes: list, length: int, path: list | None) -> None:
+        order = self.links[ends]["order"] if ends in self.links else self.count
+        self.count += 1
+        self.links[ends] = {"ends": ends, "classes": classes, "shapes": shapes, "len": length, "path": path, "order": order}
+        for e in ends:
+            self.used.setdefault(e, {})[ends] = None
+
+    def drop(self, ends: tuple[int, int]) -> None:
+        del self.links[ends]
+        for e in set(ends):
+            del self.used[e][ends]
 
-    def rows(self, diagram_id: int) -> pd.DataFrame:
-        made = [(diagram_id, i, *x["ends"], *x["classes"], *x["shapes"], x["len"]) for i, x in enumerate(self.links.values())]
-        out = pd.DataFrame(made, columns=["diagram_id", "rel_index", "start_index", "endpoint_index", "class_a", "class_b", "end_shape_0", "end_shape_1", "path_len"])
-        return out.astype({"class_a": "Int64", "class_b": "Int64"})
+    def rows(self) -> list[tuple]:
+        return [(i, *x["ends"], *x["classes"], x["shapes"][0][0], x["shapes"][1][0], x["shapes"][0][1], x["shapes"][1][1], x["len"], x["path"]) for i, x in enumerate(self.links.values())]
 
 
-def _merge_shared(net: _Net, class_of: dict[int, int | None], shape_of: dict[int, str]) -> None:
+def _toward(link: dict, side: int) -> list | None:
+    """The path so that it ends at the given side."""
+    return link["path"] if side == 1 or link["path"] is None else link["path"][::-1]
+
+
+def _joined(a: list | None, b: list | None) -> list | None:
+    return None if a is None or b is None else [*a, *b]
+
+
+def _merge_shared(net: _Net, class_of: dict[int, int | None], shape_of: dict[int, tuple]) -> None:
     again = True
     while again:
         again = False
@@ -103,72 +129,76 @@ def _merge_shared(net: _Net, class_of: dict[int, int | None], shape_of: dict[int
                 again = True
                 break
             one, two = (net.links[p] for p in pairs)
-            i, j = net.far(one, e), net.far(two, e)
+            i, j = (1 if x["ends"][0] == e else 0 for x in (one, two))  # the far sides
             own, far_one, far_two = class_of.get(e), one["classes"][i], two["classes"][j]
             if own in (far_one, far_two):
                 shapes = [one["shapes"][i], two["shapes"][j]]
-                side = 0 if own == far_one and shapes[0] == EMPTY else 1 if own == far_two and shapes[1] == EMPTY else None
-                if side is not None and shape_of.get(e, EMPTY) != EMPTY:
+                side = 0 if own == far_one and shapes[0][0] == EMPTY else 1 if own == far_two and shapes[1][0] == EMPTY else None
+                if side is not None and shape_of.get(e, (EMPTY, 1.0))[0] != EMPTY:
                     shapes[side] = shape_of[e]
                 for p in pairs:
-                    del net.links[p]
-                net.put((one["ends"][i], two["ends"][j]), [far_one, far_two], shapes, one["len"] + two["len"])
+                    net.drop(p)
+                net.put((one["ends"][i], two["ends"][j]), [far_one, far_two], shapes, one["len"] + two["len"], _joined(_toward(one, 1 - i), _toward(two, j)))
             elif far_one == far_two:
-                del net.links[pairs[1]]
-                if one["shapes"][i] == EMPTY and two["shapes"][j] != EMPTY:
+                net.drop(pairs[1])
+                if one["shapes"][i][0] == EMPTY and two["shapes"][j][0] != EMPTY:
                     one["shapes"][i] = two["shapes"][j]
 
 
+def _bridge(net: _Net, pairs: list[tuple[int, int]], about: dict[int, tuple]) -> None:
+    for a, b in sorted(pairs):
+        found = [net.at(a), net.at(b)]
+        if found[0] is found[1]:
+            continue
+        far, classes, shapes, paths, length = [], [], [], [], 0
+        for at, (e, link) in enumerate(zip((a, b), found, strict=True)):
+            own_class, own_shape, point = about.get(e, (None, (EMPTY, 1.0), None))
+            if link is None:
+                far.append(e), classes.append(own_class), shapes.append(own_shape), paths.append([point] if point else None)
+                length += 1
+                continue
+            i = 1 if link["ends"][0] == e else 0
+            far.append(link["ends"][i]), classes.append(link["classes"][i])
+            shapes.append(own_shape if link["shapes"][i][0] == EMPTY and own_shape[0] != EMPTY else link["shapes"][i])
+            paths.append(_toward(link, i if at else 1 - i))
+            length += link["len"]
+            net.drop(link["ends"])
+        net.put((far[0], far[1]), classes, shapes, length, _joined(*paths))
+
+
+def _told(ends: list[tuple]) -> dict[int, tuple]:
+    return {e: (c, (shape, score), None if x is None else {"x": x, "y": y}) for e, c, shape, score, x, y in ends}
+
+
 def merge_shared_endpoints(connections: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Joins or thins two connections that share an endpoint. If the endpoint's class is at a far end, both
     go and the far ends are connected, an empty far end in that class taking the endpoint's shape; else, if
     both far ends are in one class, the second goes, its shape moving to an empty first. endpoints:
-    (diagram_id, endpoint_index, class_index, end_shape). A pass is repeated when it meets a connection that
-    it took away before; paths add up in path_len."""
-
-    def rewrite(links: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
-        net = _Net(links)
-        if len(links):
-            class_of = {int(e): None if pd.isna(c) else int(c) for e, c in zip(ends["endpoint_index"], ends["class_index"], strict=True)}
-            _merge_shared(net, class_of, {int(e): s for e, s in zip(ends["endpoint_index"], ends["end_shape"], strict=True)})
-        return net.rows(int(links["diagram_id"].iloc[0]) if len(links) else 0)
-
-    return connections.groupBy("diagram_id").cogroup(endpoints.groupBy("diagram_id")).applyInPandas(rewrite, _REWRITTEN)
+    (diagram_id, endpoint_index, class_index, end_shape[, shape_score, x, y]). A pass is repeated when it
+    meets a connection that it took away before; paths are joined, and add up in path_len."""
+    return rewrite_connections(connections, endpoints, bridge=False)
 
 
 def bridge_gaps(connections: DataFrame, gaps: DataFrame, endpoints: DataFrame) -> DataFrame:
     """For each gap (diagram_id, a, b), in order, makes one connection of the two that end in it, or of the
     bare endpoints; a far end that is empty takes the shape at the gap. Nothing is done where both ends are
     in one connection or in none."""
+    return rewrite_connections(connections, endpoints, gaps, merge=False)
 
-    def rewrite(links: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
-        net = _Net(links)
-        pairs = ends[ends["a"].notna()].sort_values(["a", "b"])
-        about = {int(r.endpoint_index): (None if pd.isna(r.class_index) else int(r.class_index), r.end_shape) for r in ends[ends["a"].isna()].itertuples()}
-        for a, b in zip(pairs["a"].astype(int), pairs["b"].astype(int), strict=True):
-            found = [net.at(a), net.at(b)]
-            if found[0] is found[1]:
-                continue
-            far, classes, shapes, length = [], [], [], 0
-            for e, link in zip((a, b), found, strict=True):
-                own_class, own_shape = about.get(e, (None, EMPTY))
-                if link is None:
-                    far.append(e), classes.append(own_class), shapes.append(own_shape)
-                    length += 1
-                    continue
-                i = net.far(link, e)
-                far.append(link["ends"][i]), classes.append(link["classes"][i])
-                shapes.append(own_shape if link["shapes"][i] == EMPTY and own_shape != EMPTY else link["shapes"][i])
-                length += link["len"]
-                del net.links[link["ends"]]
-            net.put((far[0], far[1]), classes, shapes, length)
-        key = links if len(links) else ends
-        return net.rows(int(key["diagram_id"].iloc[0]))
-
-    none = lambda kind: F.lit(None).cast(kind)
-    told = endpoints.select("diagram_id", "endpoint_index", "class_index", "end_shape", none("long").alias("a"), none("long").alias("b"))
-    told = told.unionByName(gaps.select("diagram_id", none("long").alias("endpoint_index"), none("long").alias("class_index"), none("string").alias("end_shape"), "a", "b"))
-    return connections.groupBy("diagram_id").cogroup(told.groupBy("diagram_id")).applyInPandas(rewrite, _REWRITTEN)
+
+def rewrite_connections(connections: DataFrame, endpoints: DataFrame, gaps: DataFrame | None = None, merge: bool = True, bridge: bool = True) -> DataFrame:
+    """merge_shared_endpoints and bridge_gaps in one pass over the diagrams, with the columns of connections."""
+
+    def work(_: tuple, links: list[tuple], ends: list[tuple], *pairs: list[tuple]) -> list[tuple]:
+        net, about = _Net(links), _told(ends)
+        if merge:
+            _merge_shared(net, {e: x[0] for e, x in about.items()}, {e: x[1] for e, x in about.items()})
+        if bridge and pairs:
+            _bridge(net, pairs[0], about)
+        return net.rows()
+
+    tables = [(_with_columns(connections, _LINK), _LINK), (_with_columns(endpoints, _END), _END), *([(gaps, ("a", "b"))] if gaps is not None else [])]
+    return per_group(tables, ("diagram_id",), work, _REWRITTEN).select("diagram_id", *(c for c in _LINK if c in connections.columns))
 
 
 def attach_to_connection(values: DataFrame, connections: DataFrame) -> DataFrame:

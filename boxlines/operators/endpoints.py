@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import point_box_distance, point_distance
+from .grouped import per_group
 
 EMPTY = "Empty End"
 
@@ -39,26 +39,25 @@ def dedupe_endpoints(endpoints: DataFrame, boxes: DataFrame, scales: DataFrame,
     the next in its place is taken. Decided within a diagram, in order."""
     known = endpoints.join(nearest_class(endpoints, boxes), ["diagram_id", "endpoint_id"]).join(scales, "diagram_id")
 
-    def drop(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("endpoint_id")
-        limit = round(reach * rows["scale"].iloc[0], 3)
-        left = list(zip(rows["x"], rows["y"], rows["class_distance"], range(len(rows)), strict=True))
+    def drop(_: tuple, rows: list[tuple]) -> list[tuple]:
+        left = sorted(rows)
+        limit = round(reach * left[0][4], 3)
         i = 0
         while i < len(left):
-            x, y, near, _ = left[i]
+            _, x, y, near, _ = left[i]
             j, stays = i + 1, True
             while j < len(left) and stays:
-                if math.hypot(x - left[j][0], y - left[j][1]) >= limit:
+                if math.hypot(x - left[j][1], y - left[j][2]) >= limit:
                     j += 1
-                elif near <= left[j][2]:
+                elif near <= left[j][3]:
                     del left[j]
                 else:
                     del left[i]
                     stays = False
             i += stays
-        return rows.iloc[[k for *_, k in left]][["diagram_id", "endpoint_id", "x", "y"]]
+        return [r[:3] for r in left]
 
-    return known.groupBy("diagram_id").applyInPandas(drop, "diagram_id long, endpoint_id long, x double, y double")
+    return per_group([(known, ("endpoint_id", "x", "y", "class_distance", "scale"))], ("diagram_id",), drop, "endpoint_id long, x double, y double")
 
 
 def _attachment(endpoints: DataFrame, boxes: DataFrame, scales: DataFrame) -> DataFrame:

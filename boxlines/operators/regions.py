@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_overlap, polygon_area, whole
+from .grouped import per_group
 
 BORDER = 10
 # fixed values: which labels compete with each other
@@ -97,9 +98,9 @@ def suppress_overlaps(regions: DataFrame, threshold: float = 0.3) -> DataFrame:
     let go. The order decides, so a group (diagram, labels) is one task's work: it is bounded by an image."""
     grouped = regions.withColumn("__group", label_group(F.col("label")))
 
-    def sweep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["x", "region_id"], kind="stable")
-        boxes = list(zip(rows["x"], rows["y"], rows["width"], rows["height"], rows["score"], strict=True))
+    def sweep(_: tuple, rows: list[tuple]) -> list[tuple]:
+        rows = sorted(rows, key=lambda r: (r[0], r[1]))
+        boxes = [(x, *r) for x, _, *r, _ in rows]
         held: list[int] = []
         gone: set[int] = set()
         for i, (x, y, w, h, score) in enumerate(boxes):
@@ -119,9 +120,12 @@ def suppress_overlaps(regions: DataFrame, threshold: float = 0.3) -> DataFrame:
             held = still if beaten else [*still, i]
             if beaten:
                 gone.add(i)
-        return rows.iloc[[i for i in range(len(boxes)) if i not in gone]].drop(columns="__group")
+        return [(rows[i][-1],) for i in range(len(boxes)) if i not in gone]
 
-    return grouped.groupBy("diagram_id", "__group").applyInPandas(sweep, regions.schema)
+    rest = [c for c in regions.columns if c != "diagram_id"]
+    row = grouped.withColumn("__row", F.struct(*rest))
+    kept = per_group([(row, ("x", "region_id", "y", "width", "height", "score", "__row"))], ("diagram_id", "__group"), sweep, f"__row {row.schema['__row'].dataType.simpleString()}")
+    return kept.select(*(F.col(f"__row.`{c}`").alias(c) if c in rest else F.col(c) for c in regions.columns))
 
 
 def split_loops(points: list[tuple[float, float]]) -> list[list[tuple[float, float]]]:
@@ -179,8 +183,8 @@ def merge_regions(polygons: DataFrame, threshold: float = 0.1) -> DataFrame:
     pairs = rectangle_overlaps(polygons, threshold)
     edges = polygons.select("diagram_id", F.col("region_id").alias("a"), F.col("region_id").alias("b")).unionByName(pairs.select("diagram_id", "a", "b"))
 
-    def unite(rows: pd.DataFrame) -> pd.DataFrame:
-        root: dict[int, int] = {i: i for i in rows["a"]} | {i: i for i in rows["b"]}
+    def unite(_: tuple, rows: list[tuple]) -> list[tuple]:
+        root: dict[int, int] = {i: i for row in rows for i in row}
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -188,13 +192,12 @@ def merge_regions(polygons: DataFrame, threshold: float = 0.1) -> DataFrame:
                 i = root[i]
             return i
 
-        for a, b in zip(rows["a"], rows["b"], strict=True):
+        for a, b in rows:
             a, b = sorted((find(a), find(b)))
             root[b] = a
-        ids = sorted(root)
-        return pd.DataFrame({"diagram_id": rows["diagram_id"].iloc[0], "region_id": ids, "merged_id": [find(i) for i in ids]})
+        return [(i, find(i)) for i in sorted(root)]
 
-    return edges.groupBy("diagram_id").applyInPandas(unite, "diagram_id long, region_id long, merged_id long")
+    return per_group([(edges, ("a", "b"))], ("diagram_id",), unite, "region_id long, merged_id long")
 
 
 def merged_boxes(polygons: DataFrame, merged: DataFrame) -> DataFrame:
@@ -211,18 +214,17 @@ def merged_boxes(polygons: DataFrame, merged: DataFrame) -> DataFrame:
                 end = max(end, y2)
         return area
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("region_id")
-        rects = list(zip(rows["x1"], rows["y1"], rows["x2"], rows["y2"], strict=True))
-        score = rows["score"].iloc[0]
+    def fold(_: tuple, rows: list[tuple]) -> list[tuple]:
+        rows = sorted(rows)
+        rects, score = [r[1:5] for r in rows], rows[0][5]
         for i in range(1, len(rects)):
             so_far, own = united(rects[:i]), united(rects[i : i + 1])
-            score = (score * so_far + rows["score"].iloc[i] * own) / (so_far + own)
-        first = rows.iloc[0]
-        return pd.DataFrame([{"diagram_id": first["diagram_id"], "merged_id": first["merged_id"], "n_members": len(rects), "x1": rows["x1"].min(), "y1": rows["y1"].min(), "x2": rows["x2"].max(), "y2": rows["y2"].max(), "score": score}])
+            score = (score * so_far + rows[i][5] * own) / (so_far + own)
+        x1, y1, x2, y2 = zip(*rects, strict=True)
+        return [(len(rects), min(x1), min(y1), max(x2), max(y2), score)]
 
     joined = polygons.join(merged, ["diagram_id", "region_id"])
-    return joined.groupBy("diagram_id", "merged_id").applyInPandas(fold, "diagram_id long, merged_id long, n_members long, x1 double, y1 double, x2 double, y2 double, score double")
+    return per_group([(joined, ("region_id", "x1", "y1", "x2", "y2", "score"))], ("diagram_id", "merged_id"), fold, "n_members long, x1 double, y1 double, x2 double, y2 double, score double")
 
 
 def stretch_filter(boxes: DataFrame, least: float = 2.0) -> DataFrame:

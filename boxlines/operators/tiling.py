@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 
 # fixed values: least score of a detection, by kind of detector
 THRESHOLDS = {"class": 0.5, "text": 0.5, "relationship": 0.5, "label": 0.5, "multiplicity": 0.5, "endpoint": 0.3}
-_MOST_LEVELS = 16
 
 
 def tile_ladder(images: DataFrame, kind: str, imgsz: int) -> DataFrame:
@@ -30,7 +28,7 @@ def tile_ladder(images: DataFrame, kind: str, imgsz: int) -> DataFrame:
         raise ValueError(f"unknown detector kind {kind}")
     least = imgsz if kind == "class" else imgsz // 2
     start = longest if kind == "relationship" else F.floor(longest / 2)
-    sizes = base.where(longest > least).select("*", F.explode(F.sequence(F.lit(0), F.lit(_MOST_LEVELS))).alias("k"))
+    sizes = base.where(longest > least).select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.log2(longest / least)).cast("int"))).alias("k"))
     sizes = sizes.withColumn("raw", F.floor(start / F.pow(F.lit(2.0), F.col("k"))).cast("long"))
     before = F.when(F.col("k") == 0, True).otherwise(F.floor(start / F.pow(F.lit(2.0), F.col("k") - 1)) >= least)
     taken = sizes.where(before & (F.col("raw") >= least * 0.8)).withColumn("tile_size", F.greatest("raw", F.lit(least)).cast("long"))
@@ -104,7 +102,3 @@ def with_threshold(regions: DataFrame, kind: str = "kind") -> DataFrame:
 def min_score(regions: DataFrame, least: float) -> DataFrame:
     return regions.where(F.col("score") >= least)
 
-
-def levels_needed(longest: int, least: int) -> int:
-    """How many halvings tile_ladder may need; it looks at _MOST_LEVELS."""
-    return max(0, math.ceil(math.log2(max(longest, 1) / max(least, 1)))) + 1

@@ -8,10 +8,11 @@ from __future__ import annotations
 import math
 from collections import deque
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouped import per_group
+
 STEPS = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
 
 
@@ -26,27 +27,41 @@ def split_overlapping_crossings(crossings: DataFrame) -> DataFrame:
         far[at] += cut
         far[at + 2] = max(1.0, far[at + 2] - cut)
 
-    def split(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("crossing_index")
-        boxes = [list(b) for b in zip(rows["x"], rows["y"], rows["w"], rows["h"], strict=True)]
+    def split(_: tuple, rows: list[tuple]) -> list[tuple]:
+        rows = sorted(rows)
+        boxes = [list(r[1:]) for r in rows]
         for i, a in enumerate(boxes):
             for b in boxes[i + 1 :]:
                 over = [min(a[k] + a[k + 2], b[k] + b[k + 2]) - max(a[k], b[k]) for k in (0, 1)]
                 if min(over) > 0:
                     at = 1 if over[1] < over[0] else 0
                     part(a, b, at, over[at] / 2)
-        return rows.assign(x=[b[0] for b in boxes], y=[b[1] for b in boxes], w=[b[2] for b in boxes], h=[b[3] for b in boxes])
+        return [(r[0], *b) for r, b in zip(rows, boxes, strict=True)]
+
+    return per_group([(crossings, ("crossing_index", "x", "y", "w", "h"))], ("diagram_id",), split, "crossing_index long, x double, y double, w double, h double")
 
-    return crossings.groupBy("diagram_id").applyInPandas(split, crossings.schema)
+
+def _whole_boxes(crossings: DataFrame) -> DataFrame:
+    """Crossing boxes with all four numbers made whole, as x1, y1 and, not of them any more, x2, y2."""
+    at = lambda c: F.col(c).cast("long")
+    return crossings.select("diagram_id", "crossing_index", at("x").alias("x1"), at("y").alias("y1"), (at("x") + at("w")).alias("x2"), (at("y") + at("h")).alias("y2"))
 
 
 def crossing_border_points(pixels: DataFrame, crossings: DataFrame) -> DataFrame:
-    """(diagram_id, crossing_index, y, x): line pixels on the rim of a crossing's box."""
-    box = [F.floor(c).cast("long") for c in (F.col("cx"), F.col("cy"), F.col("cx") + F.col("w"), F.col("cy") + F.col("h"))]
-    b = crossings.select("diagram_id", "crossing_index", F.col("x").alias("cx"), F.col("y").alias("cy"), "w", "h").select("diagram_id", "crossing_index", *(x.alias(n) for x, n in zip(box, ("x1", "y1", "x2", "y2"), strict=True)))
-    inside = F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2"))
-    rim = (F.col("x") == F.col("x1")) | (F.col("x") == F.col("x2")) | (F.col("y") == F.col("y1")) | (F.col("y") == F.col("y2"))
-    return pixels.join(b, "diagram_id").where(inside & rim).select("diagram_id", "crossing_index", "y", "x")
+    """(diagram_id, crossing_index, y, x): line pixels on the outermost rows and columns of a crossing's box."""
+    inside = (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2"))
+    rim = (F.col("x") == F.col("x1")) | (F.col("x") == F.col("x2") - 1) | (F.col("y") == F.col("y1")) | (F.col("y") == F.col("y2") - 1)
+    return pixels.join(_whole_boxes(crossings), "diagram_id").where(inside & rim).select("diagram_id", "crossing_index", "y", "x")
+
+
+def crossing_outside_neighbours(pixels: DataFrame, crossings: DataFrame) -> DataFrame:
+    """(diagram_id, crossing_index, y, x, ny, nx): for each border point the line pixels that touch it from
+    outside the box. They are looked up by equality: each border point asks for its eight places."""
+    borders = crossing_border_points(pixels, crossings).join(_whole_boxes(crossings), ["diagram_id", "crossing_index"])
+    around = F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in STEPS))
+    asked = borders.withColumn("n", F.explode(around)).withColumns({"ny": F.col("n.y"), "nx": F.col("n.x")})
+    outside = asked.where("nx < x1 OR nx >= x2 OR ny < y1 OR ny >= y2").select("diagram_id", "crossing_index", "y", "x", "ny", "nx")
+    return outside.join(pixels.select("diagram_id", F.col("y").alias("ny"), F.col("x").alias("nx")), ["diagram_id", "ny", "nx"]).select("diagram_id", "crossing_index", "y", "x", "ny", "nx")
 
 
 def snap_endpoints(endpoints: DataFrame, pixels: DataFrame) -> DataFrame:
@@ -59,50 +74,91 @@ def snap_endpoints(endpoints: DataFrame, pixels: DataFrame) -> DataFrame:
     return near.withColumn("__at", owner).where("__at = 1").select("diagram_id", "endpoint_index", F.col("s.py").alias("py"), F.col("s.px").alias("px"))
 
 
-def walk(ink: set[tuple[int, int]], start: tuple[int, int], stops: set[tuple[int, int]], barred: tuple[int, int] | None = None) -> list[tuple[int, int]]:
-    """Breadth first over touching pixels from start to the first other stop; its path, or nothing."""
-    came: dict[tuple[int, int], tuple[int, int] | None] = {start: None}
-    todo = deque([start])
+def walk(ink: set[tuple[int, int]], starts: list[tuple[int, int]], stop, barred: tuple[int, int] | None = None) -> tuple[str | None, list[tuple[int, int]]]:
+    """Breadth first over touching pixels from the starts to the first pixel for which stop gives a name; the
+    name and the path, or None and nothing. A pixel that waits is entered anew from each pixel which touches
+    it, and the last of these is where the path came from."""
+    came: dict[tuple[int, int], tuple[int, int]] = {}
+    done: set[tuple[int, int]] = set()
+    todo = deque(starts)
     while todo:
         here = todo.popleft()
-        if here in stops and here != start:
+        if here in done or here == barred:
+            continue
+        done.add(here)
+        name = stop(here)
+        if name is not None:
             path = [here]
-            while came[path[-1]] is not None:
+            while path[-1] in came:
                 path.append(came[path[-1]])
-            return path[::-1]
+            return name, path[::-1]
         for dy, dx in STEPS:
             there = (here[0] + dy, here[1] + dx)
-            if there in ink and there not in came and there != barred:
+            if there in ink and there not in done and there != barred:
                 came[there] = here
                 todo.append(there)
-    return []
-
-
-def trace_edges(pixels: DataFrame, snapped: DataFrame) -> DataFrame:
-    """(diagram_id, a, b, path): lines from each endpoint to the first other one; of both directions the
-    path which is less as a list of (x, y) stays, seen from its own start."""
-
-    def trace(ink: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
-        spots = set(zip(ink["y"], ink["x"], strict=True))
-        at = {(r.py, r.px): int(r.endpoint_index) for r in ends.sort_values("endpoint_index").itertuples()}
-        edges: dict[frozenset, tuple[int, int, list]] = {}
-        for start, index in sorted(at.items(), key=lambda x: x[1]):
-            path = walk(spots, start, set(at))
-            if path:
-                points = [(x, y) for y, x in path]
-                key = frozenset((index, at[path[-1]]))
-                if key not in edges or points < edges[key][2]:
-                    edges[key] = (index, at[path[-1]], points)
-        first = ends if len(ends) else ink
-        made = [(int(first["diagram_id"].iloc[0]), a, b, [{"x": float(x), "y": float(y)} for x, y in p]) for a, b, p in edges.values()]
-        return pd.DataFrame(made, columns=["diagram_id", "a", "b", "path"])
-
-    return pixels.groupBy("diagram_id").cogroup(_apart(snapped).groupBy("diagram_id")).applyInPandas(trace, "diagram_id long, a long, b long, path array<struct<x:double,y:double>>")
-
-
-def _apart(df: DataFrame) -> DataFrame:
-    """The same rows under fresh column references, so that tables of one descent can be cogrouped."""
-    return df.select(*(F.col(c).alias(c) for c in df.columns))
+    return None, []
+
+
+_CENTRE, _END = "c{}", "e{}"
+
+
+def _edges(ink: list[tuple], ends: list[tuple], borders: list[tuple], outside: list[tuple], boxes: list[tuple]) -> list[tuple]:
+    """Edges (a, b, path) of one diagram's line graph."""
+    spots = set(ink)
+    centre = {k: (int(x) + int(w) / 2, int(y) + int(h) / 2) for k, x, y, w, h in boxes}
+    edges: dict[tuple[str, str], list] = {}
+    stops: dict[tuple[int, int], str] = {}
+    of_crossing: dict[str, int] = {}
+    for n, (k, y, x) in enumerate(sorted(borders)):
+        name = f"b{k}.{n}"
+        stops[y, x], of_crossing[name] = name, k
+        edges[name, _CENTRE.format(k)] = [(float(x), float(y)), centre[k]]
+    starts: dict[tuple[int, int, int], list] = {}
+    for k, y, x, ny, nx in sorted(outside, key=lambda r: (r[0], r[1], r[2], r[4], r[3])):
+        starts.setdefault((k, y, x), []).append((ny, nx))
+    end_at = {}
+    for i, y, x in sorted(ends):
+        stops[y, x] = end_at[y, x] = _END.format(i)
+    for spot, own in stops.items():
+        crossing = of_crossing.get(own)
+
+        def stop(pixel: tuple[int, int], own: str = own, crossing: int | None = crossing) -> str | None:
+            name = stops.get(pixel)
+            if name is None or name == own or crossing is not None and of_crossing.get(name) == crossing:
+                return None
+            return name
+
+        found, path = walk(spots, [spot], stop) if crossing is None else walk(spots, starts.get((crossing, *spot), []), stop, spot)
+        if found:
+            points = [(float(x), float(y)) for y, x in path]
+            before = edges.get((found, own))
+            if before is None or points < before:
+                edges.pop((found, own), None)
+                edges[own, found] = points
+    return [(a, b, [{"x": x, "y": y} for x, y in path]) for (a, b), path in edges.items()]
+
+
+def trace_edges(pixels: DataFrame, snapped: DataFrame, crossings: DataFrame | None = None) -> DataFrame:
+    """(diagram_id, a, b, path): the line graph. Nodes are endpoints `e<index>`, border points of crossings
+    `b<crossing>.<n>` and their centres `c<crossing>`. A border point is tied to its centre, and followed from
+    the pixels outside its box to the first endpoint or border point of another crossing; an endpoint is
+    followed to the first other endpoint or border point. Of both directions of an edge the path which is
+    less as a list of (x, y) stays, seen from its own start. An endpoint on a border point takes its place."""
+    none = pixels.select("diagram_id", F.col("y").alias("crossing_index"), *(F.lit(0.0).alias(c) for c in "xywh")).where("false")
+    boxes = none if crossings is None else crossings
+    borders, outside = crossing_border_points(pixels, boxes), crossing_outside_neighbours(pixels, boxes)
+    tables = [(pixels, ("y", "x")), (snapped, ("endpoint_index", "py", "px")), (borders, ("crossing_index", "y", "x")), (outside, ("crossing_index", "y", "x", "ny", "nx")), (boxes, ("crossing_index", "x", "y", "w", "h"))]
+    return per_group(tables, ("diagram_id",), lambda _, *rows: _edges(*rows), "a string, b string, path array<struct<x:double,y:double>>")
+
+
+def graph_nodes(endpoints: DataFrame, edges: DataFrame) -> DataFrame:
+    """(diagram_id, node, kind, x, y) of a line graph: endpoints where they were seen, border points and
+    centres where their edges say."""
+    of_ends = endpoints.select("diagram_id", F.concat(F.lit("e"), F.col("endpoint_index").cast("string")).alias("node"), F.lit("endpoint").alias("kind"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    tied = edges.where("b LIKE 'c%'")
+    at = lambda name, kind, i: tied.select("diagram_id", F.col(name).alias("node"), F.lit(kind).alias("kind"), F.col("path")[i]["x"].alias("x"), F.col("path")[i]["y"].alias("y"))
+    return of_ends.unionByName(at("a", "border", 0)).unionByName(at("b", "crossing", 1).distinct())
 
 
 def _turn(a: tuple, b: tuple, c: tuple) -> float | None:
@@ -111,35 +167,36 @@ def _turn(a: tuple, b: tuple, c: tuple) -> float | None:
     return math.degrees(math.acos(max(-1.0, min(1.0, (u[0] * v[0] + u[1] * v[1]) / size)))) if size else None
 
 
+def _paths(told: list[tuple], links: list[tuple], most_nodes: int | None) -> list[tuple]:
+    place = {node: (x, y) for node, _, x, y in told}
+    kind = {node: k for node, k, _, _ in told}
+    near: dict[str, list[tuple[str, list]]] = {}
+    for a, b, path in sorted(links, key=lambda r: r[:2]):
+        near.setdefault(a, []).append((b, path))
+        near.setdefault(b, []).append((a, path[::-1]))
+    made = []
+    for start in sorted((n for n, k in kind.items() if k == "endpoint"), key=lambda n: int(n[1:])):
+        todo = [([start], [], 0.0)]
+        while todo:
+            nodes, path, turned = todo.pop()
+            here = nodes[-1]
+            if kind[here] == "endpoint" and here != start:
+                made.append((int(start[1:]), int(here[1:]), round(turned, 2), nodes, path))
+                continue
+            if most_nodes and len(nodes) >= most_nodes:
+                continue
+            for there, step in near.get(here, []):
+                if there not in nodes:
+                    angle = _turn(place[nodes[-2]], place[here], place[there]) if kind[here] == "crossing" and len(nodes) > 1 else None
+                    todo.append(([*nodes, there], path + step, turned + (angle or 0.0)))
+    return made
+
+
 def enumerate_paths(nodes: DataFrame, edges: DataFrame, most_nodes: int | None = None) -> DataFrame:
-    """(diagram_id, start_index, endpoint_index, total_div, nodes): every path without a repeated node from
-    an endpoint to the first other one. nodes: (diagram_id, node, kind, x, y), kind `endpoint`, `border` or
-    `crossing`; edges: (diagram_id, a, b). total_div sums the angles turned at crossings, in degrees.
-    Paths of more than most_nodes are not followed; by default there is no such limit."""
-
-    def paths(told: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        place = {r.node: (r.x, r.y) for r in told.itertuples()}
-        kind = dict(zip(told["node"], told["kind"], strict=True))
-        near: dict[int, list[int]] = {}
-        for a, b in sorted(zip(links["a"], links["b"], strict=True)):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        made = []
-        for start in sorted(n for n, k in kind.items() if k == "endpoint"):
-            todo = [([start], 0.0)]
-            while todo:
-                path, turned = todo.pop()
-                here = path[-1]
-                if kind[here] == "endpoint" and here != start:
-                    made.append((start, here, round(turned, 2), path))
-                    continue
-                if most_nodes and len(path) >= most_nodes:
-                    continue
-                for there in near.get(here, []):
-                    if there not in path:
-                        angle = _turn(place[path[-2]], place[here], place[there]) if kind[here] == "crossing" and len(path) > 1 else None
-                        todo.append(([*path, there], turned + (angle or 0.0)))
-        first = told if len(told) else links
-        return pd.DataFrame([(int(first["diagram_id"].iloc[0]), *m) for m in made], columns=["diagram_id", "start_index", "endpoint_index", "total_div", "nodes"])
-
-    return nodes.groupBy("diagram_id").cogroup(_apart(edges).groupBy("diagram_id")).applyInPandas(paths, "diagram_id long, start_index long, endpoint_index long, total_div double, nodes array<long>")
+    """(diagram_id, start_index, endpoint_index, total_div, nodes, path): every path without a repeated node
+    from an endpoint to the first other one. nodes: (diagram_id, node, kind, x, y), see graph_nodes; edges:
+    (diagram_id, a, b, path). total_div sums the angles turned at crossings, in degrees; path joins the edges'
+    points, the node between two edges coming twice. Paths of more than most_nodes are not followed; by
+    default there is no such limit."""
+    tables = [(nodes, ("node", "kind", "x", "y")), (edges, ("a", "b", "path"))]
+    return per_group(tables, ("diagram_id",), lambda _, told, links: _paths(told, links, most_nodes), "start_index long, endpoint_index long, total_div double, nodes array<string>, path array<struct<x:double,y:double>>")

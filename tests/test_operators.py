@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from boxlines.functions import text as names
-from boxlines.operators import assign, connections, diagram, endpoints, files, regions, text, tiling
+from boxlines.operators import assign, connections, diagram, endpoints, files, regions, text, tiling, tracing
 from boxlines.streaming.intake import stream_extract
 
 REGION = "diagram_id long, region_id long, label string, x double, y double, width double, height double, score double"
@@ -200,3 +200,78 @@ def test_multiplicities_reach_their_connections(spark):
         scales = spark.createDataFrame([(1, scale)], "diagram_id long, scale double")
         got = assign.assign_multiplicities(boxes, choices, points, links, scales).collect()
         assert sorted((r.label_id, r.endpoint_index, r.multiplicity, r.rel_index, r.side) for r in got) == want
+
+
+CROSSING = "diagram_id long, crossing_index long, x double, y double, w double, h double"
+
+
+def test_rim_of_a_crossing_and_what_touches_it(spark):
+    ink = spark.createDataFrame([(1, y, x) for y in range(12) for x in range(12)], "diagram_id long, y long, x long")
+    box = spark.createDataFrame([(1, 0, 2.9, 2.2, 4.7, 4.1)], CROSSING)
+    rim = {(r.y, r.x) for r in tracing.crossing_border_points(ink, box).collect()}
+    assert rim == {(y, x) for y in range(2, 6) for x in range(2, 6) if y in (2, 5) or x in (2, 5)} and len(rim) == 12
+    outside = {(r.y, r.x, r.ny, r.nx) for r in tracing.crossing_outside_neighbours(ink, box).collect()}
+    assert outside == {(y, x, y + a, x + b) for y, x in rim for a in (-1, 0, 1) for b in (-1, 0, 1) if not (2 <= y + a < 6 and 2 <= x + b < 6)}
+
+
+def crossed(scale):
+    """Two lines that cross, their four ends at four boxes, and a line with a gap between two more, as large
+    as the scale says. Returns pixels, boxes, endpoints, crossings and shapes."""
+    s = scale
+    at = lambda *p: tuple(int(v * s) for v in p)
+    lines = [(at(100, 150), at(300, 150)), (at(200, 50), at(200, 250)), (at(100, 400), at(195, 400)), (at(203, 400), at(300, 400))]
+    ink = set()
+    for (x, y), (u, v) in lines:
+        n = max(abs(u - x), abs(v - y))
+        ink |= {(round(y + (v - y) * i / n), round(x + (u - x) * i / n)) for i in range(n + 1)}
+    boxes = [(0, 100, 100, 100), (300, 100, 100, 100), (150, -50, 100, 100), (150, 250, 100, 100), (0, 350, 100, 100), (300, 350, 100, 100)]
+    ends = [p for line in lines for p in line]
+    return (
+        [(1, y, x) for y, x in sorted(ink)],
+        [(1, i, *(float(v * s) for v in b)) for i, b in enumerate(boxes)],
+        [(1, i, float(x), float(y)) for i, (x, y) in enumerate(ends)],
+        [(1, 0, *(float(v * s) for v in (190, 140, 20, 20)))],
+        [(1, 0, *(float(v * s) for v in (292, 145, 8, 10)), "Triangle End", 0.9)],
+    )
+
+
+@pytest.mark.parametrize("scale", [1.0, 1.5])
+def test_connections_of_crossing_lines_and_over_a_gap(spark, scale):
+    from boxlines.operators import extraction
+
+    pixels, boxes, ends, crossings, shapes = crossed(scale)
+    tables = [
+        spark.createDataFrame(pixels, "diagram_id long, y long, x long"),
+        spark.createDataFrame(boxes, "diagram_id long, class_index long, x double, y double, w double, h double"),
+        spark.createDataFrame(ends, "diagram_id long, endpoint_id long, x double, y double"),
+        spark.createDataFrame(crossings, CROSSING),
+        spark.createDataFrame(shapes, "diagram_id long, shape_index long, x double, y double, w double, h double, label string, score double"),
+    ]
+    links, told = extraction.evaluate_connections(*tables)
+    got = sorted((r.class_a, r.class_b, r.end_shape_0, r.end_shape_1) for r in links.collect())
+    assert got == [(0, 1, "Empty End", "Triangle End"), (2, 3, "Empty End", "Empty End"), (4, 5, "Empty End", "Empty End")]
+    by = {(r.class_a, r.class_b): r for r in links.collect()}
+    straight = by[0, 1]  # from the end to the crossing, to its centre, out of it, and on to the other end
+    half = 90 * scale
+    assert straight.path_len == len(straight.path) and 2 * half <= straight.path_len <= 2 * half + 8
+    assert {p.y for p in straight.path} <= {150 * scale, int(150 * scale)} | {float(int(140 * scale) + int(20 * scale) / 2)}
+    assert by[4, 5].path_len == len(by[4, 5].path) >= 190 * scale
+    labels = [(1, 0, "Relationship label", 110.0, 120.0, 150.0, 140.0, 0.9), (1, 1, "Multiplicity", 270.0, 120.0, 280.0, 130.0, 0.9), (1, 2, "Relationship label", 180.0, 405.0, 220.0, 415.0, 0.9)]
+    labels = spark.createDataFrame([(a, b, c, *(v * scale for v in d), e) for a, b, c, *d, e in labels], "diagram_id long, label_id long, kind string, x1 double, y1 double, x2 double, y2 double, score double")
+    read = spark.createDataFrame([(1, 0, 0.9, "owner"), (1, 2, 0.8, "uses")], "diagram_id long, label_id long, score double, text string")
+    choices = spark.createDataFrame([(1, 1, "STAR")], "diagram_id long, label_id long, choice string")
+    texts = spark.createDataFrame([(1, i, 0, "Name", 0.9, f"C{i}") for i in range(6)], "diagram_id long, class_index long, pos long, label string, score double, text string")
+    (out,) = extraction.extract_diagrams(spark.createDataFrame([(1,)], "diagram_id long"), tables[1], texts, tables[0], *tables[2:], labels, read, choices).collect()
+    lines = out.plantuml.split("\n")
+    assert '"C0" "owner" --|> "*" "C1"' in lines and '"C2" -- "C3"' in lines and '"C4" -- "C5" : "uses"' in lines
+
+
+def test_equal_optima_take_the_first_right_ids(spark):
+    rng = np.random.default_rng(2)
+    for n, m in ((2, 3), (3, 4), (4, 5), (3, 3)):
+        for _ in range(30):
+            cost = rng.integers(0, 3, (n, m)).astype(float)
+            want = min((round(sum(cost[i, j] for i, j in enumerate(p)), 9), p) for p in permutations(range(m), n))[1]
+            assert assign.optimal([(cost[i, j], i, j) for i in range(n) for j in range(m)]) == list(enumerate(want))
+    eight = [(1.0, i, j) for i in range(8) for j in range(9)]
+    assert assign.optimal(eight) == [(i, i) for i in range(8)]
