@@ -4,6 +4,7 @@ with the same rows where SQL can express it."""
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, text as names
 from ..operators import assign, connections, diagram, endpoints, extraction, files, images, regions, results, text, tiling, tracing
+from ..operators.stages import shared_dir
 from ..sources.fixtures import fixture, oracle
+from ..streaming import intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -787,6 +790,26 @@ def to_plantuml(spark, d):
     return diagram.to_plantuml(diagrams, classes, relationships)
 
 
+@query("a5_write_plantuml", f"SELECT CAST(diagram_id AS VARCHAR) AS diagram, plantuml FROM ({_PLANTUML})")
+def _(spark, d):
+    """Written in two runs, of which the second writes a third of the diagrams again, and read back."""
+    path, made = f"{shared_dir(spark)}/out/{uuid.uuid4().hex}", to_plantuml(spark, d)
+    files.write_plantuml(made, path)
+    files.write_plantuml(made.where("diagram_id % 3 = 0"), path)
+    return spark.read.parquet(path).select("diagram", "plantuml")
+
+
+@query("a6_stream_extract", "SELECT CAST(floor(l_orderkey / 100) AS BIGINT) AS diagram_id, count(*) AS n FROM lineitem GROUP BY 1")
+def _(spark, d):
+    """Lines of relationships as they arrive, counted by diagram in each batch."""
+    root = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    source = spark.read.parquet(f"{d}/lineitem.parquet")
+    stream = spark.readStream.schema(source.schema).parquet(f"{d}/lineitem.parquet*")
+    job = lambda batch: batch.groupBy(F.floor(F.col("l_orderkey") / 100).alias("diagram_id")).agg(F.count("*").alias("n"))
+    intake.stream_extract(stream, job, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out").groupBy("diagram_id").agg(F.sum("n").alias("n"))
+
+
 @query("l9_plantuml_key")
 def _(spark, d):
     return to_plantuml(spark, d).select("diagram_id", diagram.plantuml_key(F.col("plantuml")).alias("key"))

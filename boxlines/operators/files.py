@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_key
+from .stages import written
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -20,7 +22,8 @@ def natural_order(files: DataFrame, column: str = "file_name") -> DataFrame:
     range; a range's first number comes from the sizes of those before it."""
     keyed = files.withColumn("__key", natural_key(F.col(column)))
     order = ["__key", column]
-    ranged = keyed.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    # written once: both branches below must see the same ranges
+    ranged = written(keyed.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged").withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     before = ranged.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     return ranged.join(F.broadcast(before), "__part").withColumn("position", (F.col("__at") + F.col("__before")).cast("long")).drop("__key", "__part", "__at", "__before")
 
@@ -35,9 +38,22 @@ def skip_first(files: DataFrame, n: int = 8, column: str = "file_name") -> DataF
     return natural_order(files, column).where(F.col("position") > n)
 
 
-def write_plantuml(diagrams: DataFrame, path: str, name: str = "diagram_id") -> None:
-    """One text a diagram, under its name's folder."""
-    diagrams.select(F.col(name).alias("diagram"), F.col("plantuml").alias("value")).repartition("diagram").write.mode("overwrite").partitionBy("diagram").text(path)
+def write_plantuml(diagrams: DataFrame, path: str, name: str = "diagram_id", buckets: int = 64) -> None:
+    """The texts as a Parquet table (diagram, plantuml, part), dealt to `buckets` folders by a hash of the
+    name. Folders that get no row in this run stay, and of the others the rows that are not written anew are
+    carried over, so that what resuming relied on is kept; a diagram that comes again is replaced."""
+    spark = diagrams.sparkSession
+    part = F.pmod(F.xxhash64("diagram"), F.lit(buckets)).cast("int")
+    new = written(diagrams.select(F.col(name).cast("string").alias("diagram"), "plantuml").withColumn("part", part), "plantuml")
+    try:
+        before = spark.read.schema(new.schema).parquet(path)
+    except AnalysisException:  # the first run
+        before = None
+    if before is not None:
+        touched = new.select("part").distinct()
+        kept = before.join(F.broadcast(touched), "part", "left_semi").join(new.select("diagram"), "diagram", "left_anti")
+        new = new.unionByName(written(kept.select("diagram", "plantuml", "part"), "kept"))
+    new.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 
 def write_eval_rows(sheet: DataFrame, updates: DataFrame, check_name: bool = True, overwrite: bool = False) -> DataFrame:

@@ -55,9 +55,9 @@ def test_a_drawn_line_is_traced(spark):
     lines = images.skeletonize(rasters(spark, picture), spark.createDataFrame([(0, 1.0)], "diagram_id long, scale double"))
     ends = spark.createDataFrame([(0, 0, 8.0, 20.0), (0, 1, 92.0, 20.0)], "diagram_id long, endpoint_index long, x double, y double")
     (edge,) = tracing.trace_edges(lines, tracing.snap_endpoints(ends, lines)).collect()
-    assert (edge.a, edge.b) == (0, 1) and len(edge.path) > 70
-    nodes = spark.createDataFrame([(0, 0, "endpoint", 0.0, 0.0), (0, 1, "crossing", 5.0, 0.0), (0, 2, "endpoint", 10.0, 0.0), (0, 3, "endpoint", 5.0, 5.0)], "diagram_id long, node long, kind string, x double, y double")
-    links = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (0, 1, 3)], "diagram_id long, a long, b long")
+    assert (edge.a, edge.b) == ("e0", "e1") and len(edge.path) > 70
+    nodes = spark.createDataFrame([(0, "e0", "endpoint", 0.0, 0.0), (0, "c0", "crossing", 5.0, 0.0), (0, "e2", "endpoint", 10.0, 0.0), (0, "e3", "endpoint", 5.0, 5.0)], "diagram_id long, node string, kind string, x double, y double")
+    links = spark.createDataFrame([(0, a, b, [(0.0, 0.0), (1.0, 1.0)]) for a, b in (("e0", "c0"), ("c0", "e2"), ("c0", "e3"))], "diagram_id long, a string, b string, path array<struct<x:double,y:double>>")
     got = {(r.start_index, r.endpoint_index): r.total_div for r in tracing.enumerate_paths(nodes, links).collect()}
     assert got[(0, 2)] == pytest.approx(0) and got[(0, 3)] == pytest.approx(90) and len(got) == 6
 
@@ -82,5 +82,8 @@ def test_folder_of_pictures(spark, tmp_path):
     (tmp_path / "two.txt").write_text("no picture")
     (row,) = files.read_images(spark, str(tmp_path)).withColumn("id", F.lit(4)).collect()
     assert (row.file_name, row.stem, row.image.width, row.image.height) == ("one.b.png", "one.b", 5, 3)
-    files.write_plantuml(spark.createDataFrame([(4, "@startuml\n@enduml")], "diagram_id long, plantuml string"), str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out"), wholetext=True).count() == 1
+    out = str(tmp_path / "out")
+    for some in ([(i, "first") for i in range(200)], [(i, "again") for i in range(150, 250)]):
+        files.write_plantuml(spark.createDataFrame(some, "diagram_id long, plantuml string"), out)
+    got = {r.diagram: r.plantuml for r in spark.read.parquet(out).collect()}
+    assert got == {str(i): "first" if i < 150 else "again" for i in range(250)} and spark.read.parquet(out).count() == 250
