@@ -574,7 +574,17 @@ def _(spark, d):
     return assign.optimal_assignment(_near_labels(spark, d))
 
 
-@query("j6_greedy_assignment")
+_GREEDY = dict(
+    _CANDIDATES,
+    k="SELECT diagram_id, left_id, right_id, row_number() OVER (PARTITION BY diagram_id ORDER BY distance, left_id, right_id) AS place FROM m WHERE distance <= 30",
+    g="""SELECT diagram_id, CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS lefts, CAST([] AS BIGINT[]) AS rights FROM (SELECT DISTINCT diagram_id FROM k)
+         UNION ALL SELECT g.diagram_id, k.place, CASE WHEN list_contains(lefts, left_id) OR list_contains(rights, right_id) THEN lefts ELSE list_append(lefts, left_id) END,
+                CASE WHEN list_contains(lefts, left_id) OR list_contains(rights, right_id) THEN rights ELSE list_append(rights, right_id) END FROM g JOIN k ON k.diagram_id = g.diagram_id AND k.place = g.place + 1""",
+    z="SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY diagram_id ORDER BY place DESC) = 1",
+)
+
+
+@query("j6_greedy_assignment", _with(**_GREEDY) + "SELECT diagram_id, unnest(lefts) AS left_id, unnest(rights) AS right_id FROM z")
 def _(spark, d):
     return assign.greedy_assignment(_near_labels(spark, d))
 
