@@ -36,6 +36,29 @@ def polygon_area(points: Column) -> Column:
     return F.abs(twice) / 2
 
 
+def rings_in_box(rings: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Area that rings (what is inside lies left of them) share with a box. Along each edge, within the box's
+    heights, the mean of how far x reaches into the box is taken times the height gone."""
+    zero, wide = F.lit(0.0), x2 - x1
+    reach = lambda x: F.greatest(zero, F.least(x - x1, wide))
+    summed = lambda x: reach(x) * reach(x) / 2 + wide * F.greatest(zero, x - x2)  # the integral of reach
+    held = lambda y: F.greatest(y1, F.least(y, y2))
+
+    def edge(a: Column, b: Column) -> Column:
+        rise = b["y"] - a["y"]
+        at = lambda y: F.when(rise == 0, a["x"]).otherwise(a["x"] + (held(y) - a["y"]) / F.when(rise != 0, rise) * (b["x"] - a["x"]))
+        return F.struct(at(a["y"]).alias("x"), at(b["y"]).alias("u"), (held(b["y"]) - held(a["y"])).alias("up"))
+
+    def part(e: Column) -> Column:
+        flat = F.abs(e["u"] - e["x"]) < 1e-6
+        mean = F.when(flat, reach((e["x"] + e["u"]) / 2)).otherwise((summed(e["u"]) - summed(e["x"])) / F.when(~flat, e["u"] - e["x"]))
+        return mean * e["up"]
+
+    after = lambda ring: F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    edges = F.flatten(F.transform(rings, lambda ring: F.zip_with(ring, after(ring), edge)))
+    return F.aggregate(edges, zero, lambda total, e: total + part(e))
+
+
 def _steps(path: Column) -> Column:
     n = F.size(path)
     return F.zip_with(F.slice(path, 1, n - 1), F.slice(path, 2, n), lambda a, b: F.struct(a["x"].alias("x"), a["y"].alias("y"), b["x"].alias("u"), b["y"].alias("v"), F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"])).alias("d")))
