@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text as names
-from ..operators import assign, connections, diagram, endpoints, extraction, files, images, regions, results, text, tiling, tracing
+from ..operators import assign, connections, diagram, endpoints, extraction, files, images, outlines, regions, results, text, tiling, tracing
 from ..operators.stages import shared_dir
 from ..sources.fixtures import fixture, oracle
 from ..streaming import intake
@@ -310,6 +310,66 @@ def _(spark, d):
     return regions.stitch_predictions(_placed(spark, d)).select("diagram_id", "region_id", "label", "score", "position")
 
 
+# outlines of any shape: boxes without their lower right quarter, which SQL takes as two boxes
+_ANGLES = dict(
+    p=_POLYGONS,
+    q="""SELECT diagram_id, region_id, x1, y1, x2, (y1 + y2) / 2 AS y2 FROM p UNION ALL SELECT diagram_id, region_id, x1, (y1 + y2) / 2 AS y1, (x1 + x2) / 2 AS x2, y2 FROM p""",
+)
+_ANGLE_PAIRS = dict(
+    _ANGLES,
+    o="""SELECT a.diagram_id, a.region_id AS a, b.region_id AS b, sum(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))) AS inter
+         FROM q a JOIN q b ON a.diagram_id = b.diagram_id AND a.region_id < b.region_id GROUP BY 1, 2, 3""",
+    z="SELECT diagram_id, region_id, 0.75 * (x2 - x1) * (y2 - y1) AS area FROM p",
+    e="SELECT o.diagram_id, a, b, inter / (least(u.area, v.area) + 1e-6) AS overlap FROM o JOIN z u ON u.diagram_id = o.diagram_id AND u.region_id = a JOIN z v ON v.diagram_id = o.diagram_id AND v.region_id = b WHERE inter / (least(u.area, v.area) + 1e-6) >= 0.1",
+)
+
+
+def _angles(spark, d) -> DataFrame:
+    p = fixture(spark, d, "fx_polygons")
+    x, y = (p["x1"] + p["x2"]) / 2, (p["y1"] + p["y2"]) / 2
+    point = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    return p.withColumn("points", F.array(point(p["x1"], p["y1"]), point(p["x2"], p["y1"]), point(p["x2"], y), point(x, y), point(x, p["y2"]), point(p["x1"], p["y2"])))
+
+
+@query("d9_repaired_outlines", _with(p=_POLYGONS) + "SELECT diagram_id, region_id, CAST(0 AS BIGINT) AS piece, CAST(3 AS BIGINT) AS n, round((x2 - x1) * (y2 - y1) / 4, 6) AS area FROM p WHERE (x2 - x1) * (y2 - y1) / 4 > 0.5")
+def _(spark, d):
+    at = lambda i: F.get("points", F.lit(i))
+    crossed = _rings(spark, d).withColumn("points", F.array(at(0), at(2), at(1), at(3)))
+    return _round(outlines.clean_outlines(crossed, 0.5).select("diagram_id", "region_id", "piece", F.size("points").cast("long").alias("n"), "area"), "area")
+
+
+@query("d10_outline_overlaps", _with(**_ANGLE_PAIRS) + "SELECT diagram_id, a, b, round(overlap, 6) AS overlap FROM e")
+def _(spark, d):
+    return _round(outlines.outline_overlaps(outlines.clean_outlines(_angles(spark, d))), "overlap")
+
+
+_ANGLES_MERGED = dict(
+    _ANGLE_PAIRS,
+    ties="SELECT diagram_id, a, b FROM e UNION SELECT diagram_id, b, a FROM e",
+    reach="SELECT diagram_id, region_id AS a, region_id AS b FROM p UNION SELECT r.diagram_id, r.a, x.b FROM reach r JOIN ties x ON x.diagram_id = r.diagram_id AND x.a = r.b",
+    m="SELECT diagram_id, a AS region_id, min(b) AS merged_id FROM reach GROUP BY 1, 2",
+)
+
+
+@query("d11_merge_outlines", _with(**_ANGLES_MERGED) + "SELECT diagram_id, merged_id AS region_id, count(*) AS n_members, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM p JOIN m USING (diagram_id, region_id) GROUP BY diagram_id, merged_id HAVING sqrt(pow(max(x2) - min(x1), 2) + pow(max(y2) - min(y1), 2)) > 2")
+def _(spark, d):
+    merged = outlines.merge_outlines(outlines.clean_outlines(_angles(spark, d)))
+    at = lambda f, c: f(F.transform("points", lambda p: p[c])).alias
+    return merged.select("diagram_id", "region_id", "n_members", at(F.array_min, "x")("x1"), at(F.array_min, "y")("y1"), at(F.array_max, "x")("x2"), at(F.array_max, "y")("y2"))
+
+
+@query("d12_outline_scores")
+def _(spark, d):
+    return _round(outlines.merge_outlines(outlines.clean_outlines(_angles(spark, d))).select("diagram_id", "region_id", "score", "area"), "score", "area")
+
+
+@query("d14_stitch_outlines")
+def _(spark, d):
+    about = _placed(spark, d).select("diagram_id", "region_id", "offset_px_x", "offset_px_y", "tile_width", "tile_height", "image_width", "image_height")
+    found = outlines.stitch_outlines(_angles(spark, d).join(about, ["diagram_id", "region_id"]))
+    return _round(found.select("diagram_id", "region_id", "part", "piece", "n_members", "score", "area", "position"), "score", "area")
+
+
 @query("e1_class_boxes", _with(**_STITCHED) + "SELECT diagram_id, row_number() OVER (PARTITION BY diagram_id ORDER BY score DESC, region_id) - 1 AS class_index, round(x / 100 * image_width, 6) AS x, round(y / 100 * image_height, 6) AS y, round(width / 100 * image_width, 6) AS w, round(height / 100 * image_height, 6) AS h FROM s WHERE label = 'Class'")
 def _(spark, d):
     return _round(regions.class_boxes(regions.stitch_rectangles(_placed(spark, d))), "x", "y", "w", "h")
@@ -323,6 +383,11 @@ def _(spark, d):
     return regions.drop_inside_classes(fixture(spark, d, "fx_polygons"), fixture(spark, d, "fx_class_boxes"))
 
 
+@query("e2_drop_outlines_inside", _with(**_ANGLES, c=_BOXES, i="SELECT q.diagram_id, region_id, x, y, w, h, sum(greatest(0, least(x2, x + w) - greatest(x1, x)) * greatest(0, least(y2, y + h) - greatest(y1, y))) AS inter FROM q JOIN c USING (diagram_id) GROUP BY ALL") + "SELECT p.diagram_id, p.region_id FROM p WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.diagram_id = p.diagram_id AND i.region_id = p.region_id AND inter / (0.75 * (x2 - x1) * (y2 - y1)) >= 0.95)")
+def _(spark, d):
+    return outlines.drop_outlines_inside(outlines.clean_outlines(_angles(spark, d)), fixture(spark, d, "fx_class_boxes")).select("diagram_id", "region_id")
+
+
 @query("e3_route_endpoints", _with(r=_REGIONS) + "SELECT diagram_id, region_id, label, CASE WHEN label = 'Empty End' THEN 'endpoint' WHEN label = 'Crossing' THEN 'crossing' ELSE 'end_shape' END AS route, CASE WHEN label = 'Empty End' THEN x + width / 2 ELSE x END AS px, CASE WHEN label = 'Empty End' THEN y + height / 2 ELSE y END AS py FROM r WHERE label IN ('Empty End', 'Crossing') OR label IN ('Arrow End', 'Triangle End', 'Empty Diamond End', 'Filled Diamond End') AND score >= 0.5")
 def _(spark, d):
     return regions.route_endpoints(fixture(spark, d, "fx_regions")).select("diagram_id", "region_id", "label", "route", "px", "py")
