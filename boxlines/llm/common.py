@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII lower-casing of UTF-8 bytes; bytes.split() then cuts at exactly \x20 and \x09-\x0D.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -13,6 +14,10 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Upper bound of one Arrow batch handed to a Python worker.
 BATCH_BYTES = 16 << 20
 
+#: Keys that can be hot at once, and rows up to which none is: what is broadcast about them is bounded.
+HOT_KEYS = 1 << 16
+SALT_ROWS = 1024
+
 
 def bounded_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches by bytes, so that a run of very long texts cannot fill a worker."""
@@ -40,6 +45,25 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(counted: DataFrame, *keys: str) -> DataFrame:
+    """(keys, __salts int) of the hot keys of a stored table (keys, n long): those with over SALT_ROWS rows
+    and over 1/HOT_KEYS of all, so at most HOT_KEYS; a salt gets no more rows than makes a key hot."""
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    most = max(SALT_ROWS, -(-total // HOT_KEYS))
+    return counted.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("__salts"))
+
+
+def salted(rows: DataFrame, hot: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """rows with `__salt`, a part of its key for each row by its columns `by`; 0 for keys that are not hot."""
+    salt = F.coalesce(F.pmod(F.xxhash64(*by), F.col("__salts")).cast("int"), F.lit(0))
+    return rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__salts")
+
+
+def spread(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with `__salt`, once for each part that `salted` deals their key to."""
+    return rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, as UTF-8; null: none."""
     return text.encode("utf-8", "replace").translate(LOWER).split() if text else []

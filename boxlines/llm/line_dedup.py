@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import hot_keys, salted, spread, stored
 
 DIVISOR = 2
 MIN_WORDS = 10
@@ -64,14 +64,14 @@ def removals(docs: DataFrame, divisor: int = DIVISOR, min_words: int = MIN_WORDS
     places = _places(docs, divisor).where(_worth(F.col("chunk"), min_words, long_line))
     hashed = places.select("doc_id", "text_hash", "pos", F.xxhash64("chunk").alias("a"), F.xxhash64(F.lit(7), "chunk").alias("b"), "chunk")
     # which chunks stand in several places: counts by hash, summed before the shuffle
-    spans = hashed.groupBy("a", "b").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"), F.max(F.struct("doc_id", "text_hash", "pos")).alias("last"))
-    repeated = stored(spans.where(F.col("first") != F.col("last")).select("a", "b", "first"), "repeated")
-    salts = 16
-    spread = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    found = stored(hashed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(salts)).cast("int")).join(spread.hint("merge"), ["a", "b", "salt"]), "places")
-    is_first = F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("first"))
-    firsts = found.where(is_first).groupBy("a", "b").agg(F.first("chunk").alias("first_chunk")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    same = found.where(~is_first).join(firsts.hint("merge"), ["a", "b", "salt"]).where(F.col("chunk").cast("binary") == F.col("first_chunk").cast("binary"))
+    repeated = stored(hashed.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    hot = hot_keys(repeated, "a", "b")
+    parts = spread(repeated.drop("n"), hot, ["a", "b"])
+    found = stored(salted(hashed, hot, ["a", "b"], ["doc_id", "text_hash", "pos"]).join(parts.hint("merge"), ["a", "b", "__salt"]), "places")
+    firsts = stored(found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "text_hash", "pos", "chunk")).alias("first")), "firsts")
+    is_first = F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.struct("first.doc_id", "first.text_hash", "first.pos"))
+    pairs = found.join(spread(firsts, hot, ["a", "b"]).hint("merge"), ["a", "b", "__salt"])
+    same = pairs.where(~is_first & (F.col("chunk").cast("binary") == F.col("first.chunk").cast("binary")))
     return same.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("removed"))
 
 

@@ -19,12 +19,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import hot_keys, salted, spread, stored
 from .line_dedup import LONG_LINE, MIN_WORDS, with_ends
 
-SALTS = 16
-#: Places of one content that a salt takes, until all salts are used.
-SALT_ROWS = 64
 #: A candidate is first line << 32 | last line << 1 | whether it is a chunk.
 _FIRST, _LAST = 1 << 32, (1 << 31) - 1
 
@@ -87,23 +84,22 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, long_line: int = LONG_
     hashed = stored(hashed, "candidates")
     place = F.struct("doc_id", "text_hash", "code")
     spans = hashed.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
-    # texts are copied for as many salts as the places ask for
-    repeated = stored(spans.where(F.col("first") != F.col("last")).select("a", "b", "first", F.least(F.lit(SALTS), F.ceil(F.col("n") / SALT_ROWS)).cast("int").alias("salts")), "repeated")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    salt = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int")
-    hits = hashed.withColumn("salt", salt).join(repeated.withColumn("salt", each(F.lit(SALTS))).hint("merge"), ["a", "b", "salt"])
-    per_doc = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("code", "a", "b", "first", "salts")).alias("hits"))
+    repeated = stored(spans.where(F.col("first") != F.col("last")).select("a", "b", "first", "n"), "repeated")
+    hot = hot_keys(repeated, "a", "b")
+    parts = spread(repeated.drop("n"), hot, ["a", "b"])
+    hits = salted(hashed, hot, ["a", "b"], ["doc_id", "text_hash", "code"]).join(parts.hint("merge"), ["a", "b", "__salt"])
+    per_doc = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("code", "a", "b", "first")).alias("hits"))
     per_doc = stored(per_doc.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text_hash"), "hits"), "hits")
     # rows that agree in doc_id and text are one document
     texts = keyed.join(per_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__text_hash")))
     bodies = F.arrays_zip("hits", _bodies(F.col("hits.code"), lambda _, x: x).alias("body"))
     found = texts.select("doc_id", "text_hash", F.explode_outer(bodies).alias("h")).select("doc_id", "text_hash", "h.hits.*", F.col("h.body"))
-    found = stored(found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("salts")).cast("int")), "places")
+    found = stored(salted(found, hot, ["a", "b"], ["doc_id", "text_hash", "code"]), "places")
     is_first = place.eqNullSafe(F.col("first"))
-    firsts = found.where(is_first).groupBy("a", "b").agg(F.first("body").alias("first_body"), F.first("salts").alias("salts")).withColumn("salt", each(F.col("salts"))).drop("salts")
+    firsts = found.where(is_first).groupBy("a", "b").agg(F.first("body").alias("first_body"))
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     overlaps = own & (_first(F.col("code")) <= _last(F.col("first.code")))
-    same = found.where(~is_first & ~overlaps).join(firsts.hint("merge"), ["a", "b", "salt"]).where(F.col("body").cast("binary") == F.col("first_body").cast("binary"))
+    same = found.where(~is_first & ~overlaps).join(spread(firsts, hot, ["a", "b"]).hint("merge"), ["a", "b", "__salt"]).where(F.col("body").cast("binary") == F.col("first_body").cast("binary"))
     return same.groupBy("doc_id", "text_hash").agg(F.collect_set("code").alias("removed"))
 
 

@@ -7,7 +7,8 @@ floor(rate) times, plus once more where a draw seeded by its id falls below the
 
 Edge cases: a null text has size 0; a null source is a source of its own; sources without words have target
 0 and their documents are not taken; rows with equal ids draw alike, rows with a null id draw by their text;
-an empty table gives an empty table; columns of the input that clash with computed ones are replaced.
+an empty table gives an empty table; `plan` replaces columns of the input
+that clash with computed ones, `mix` returns all columns as they came.
 """
 
 from __future__ import annotations
@@ -15,14 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import hot_keys, salted, spread, stored
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Parts that the documents of a source are dealt to where its row cannot be broadcast.
-SALTS = 16
 
 
 def _key(source: Column) -> Column:
@@ -41,8 +40,8 @@ def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(key, source, source_size long, target double), a row a source, from (source, size)."""
-    sums = sized.groupBy(_key(F.col("source")).alias("key"), F.col("source").cast("string").alias("source")).agg(F.sum("size").alias("source_size"))
+    """(key, source, source_size long, n_docs long, target double), a row a source, from (source, size)."""
+    sums = sized.groupBy(_key(F.col("source")).alias("key"), F.col("source").cast("string").alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     # numbered by range: a partition's own numbers, and the rows of the partitions before it
     order = [F.col("source").isNull(), F.col("source")]
     ranged = stored(sums.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "sources")
@@ -50,7 +49,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     at = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1 + F.col("before")
     turns = F.array(*map(F.lit, weights))
     weighed = stored(
-        ranged.join(F.broadcast(before), "part").select("key", "source", "source_size", F.element_at(turns, (F.pmod(at, F.lit(len(weights))) + 1).cast("int")).cast("long").alias("weight"), (F.col("source_size") * cap).alias("most")),
+        ranged.join(F.broadcast(before), "part").select("key", "source", "source_size", "n_docs", F.element_at(turns, (F.pmod(at, F.lit(len(weights))) + 1).cast("int")).cast("long").alias("weight"), (F.col("source_size") * cap).alias("most")),
         "weighed",
     )
     level, stopped = 0.0, -1
@@ -66,27 +65,30 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
             break
         stopped, level = row.n, float(row.total - row.capped) / float(row.open)
     share = F.col("weight") * F.lit(level)
-    return weighed.select("key", "source", "source_size", F.when(share > F.col("most"), F.col("most").cast("double")).otherwise(share).alias("target"))
+    return weighed.select("key", "source", "source_size", "n_docs", F.when(share > F.col("most"), F.col("most").cast("double")).otherwise(share).alias("target"))
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The rows of docs (doc_id, source, text, ...) with size, source_size, target and copies."""
-    computed = ("size", "source_size", "target", "copies", "__key", "__salt")
-    docs = docs.drop(*computed)
-    sized = docs.withColumn("size", size_of(F.col("text")))
-    targets = stored(source_targets(sized.select("source", "size"), weights, cap), "targets")
-    salted = targets.select(F.col("key").alias("__key"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"), "source_size", "target")
-    keyed = sized.withColumn("__key", _key(F.col("source"))).withColumn("__salt", F.pmod(F.xxhash64("doc_id", F.col("size")), F.lit(SALTS)).cast("int"))
+    docs = docs.drop("size", "source_size", "target", "copies", "__salt", "__salts", "__key", "__hash", "__draw")
+    sized = docs.withColumn("size", size_of(F.col("text"))).withColumn("__draw", draw(F.col("doc_id"), F.col("text"), seed))
+    targets = source_targets(sized.select("source", "size"), weights, cap)
+    targets = stored(targets.select(F.col("key").alias("__key"), F.xxhash64("key").alias("__hash"), "source_size", "n_docs", "target"), "targets")
+    # where the targets cannot be broadcast, the documents of a hot source are dealt to parts
+    hot = hot_keys(stored(targets.groupBy("__hash").agg(F.sum("n_docs").alias("n")), "source_rows"), "__hash")
+    keyed = sized.withColumn("__key", _key(F.col("source"))).withColumn("__hash", F.xxhash64("__key"))
+    keyed = salted(keyed, hot, ["__hash"], ["doc_id", "size"])
+    parts = spread(targets.drop("n_docs"), hot, ["__hash"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + F.when(draw(F.col("doc_id"), F.col("text"), seed) < rate - F.floor(rate), 1).otherwise(0)
-    return keyed.join(salted, ["__key", "__salt"]).withColumn("copies", copies.cast("long")).select(*docs.columns, "size", "source_size", "target", "copies")
+    copies = F.floor(rate) + F.when(F.col("__draw") < rate - F.floor(rate), 1).otherwise(0)
+    return keyed.join(parts, ["__hash", "__key", "__salt"]).withColumn("copies", copies.cast("long")).select(*docs.columns, "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs."""
-    planned = plan(docs, weights, cap, seed).where("copies > 0")
-    columns = [c for c in docs.columns if c in planned.columns]
-    return planned.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*columns)
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("__row"))
+    planned = plan(rows, weights, cap, seed).where("copies > 0")
+    return planned.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__row.*")
 
 
 def digests(docs: DataFrame) -> DataFrame:

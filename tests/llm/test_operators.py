@@ -10,8 +10,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
-from boxlines.llm import bpe, fingerprints, jaccard, katz, langid, line_dedup, line_runs, mixing, secret_scan, topk
+from boxlines.llm import bpe, common, fingerprints, jaccard, katz, langid, line_dedup, line_runs, mixing, secret_scan, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -173,8 +174,6 @@ def test_line_dedup_removes_what_is_repeated_wherever_it_stands(spark):
 
 
 def test_line_dedup_chunks_give_the_text_back(docs):
-    from pyspark.sql import functions as F
-
     assert line_dedup.with_chunks(docs).where(F.array_join("chunks", "\n") != F.col("text")).count() == 0
 
 
@@ -211,6 +210,29 @@ def test_line_runs_keep_one_of_each_line(spark, docs, odd, empty):
     assert len(line_runs.dedup(odd).collect()) == len(ODD) and line_runs.dedup(empty).count() == 0
 
 
+def test_hot_chunks_and_runs_go_in_any_number_of_parts(spark, docs, odd, monkeypatch):
+    passage = "\n".join(f"shared line number {i} of the passage that stands in several texts" for i in range(40))
+    many = spark.createDataFrame([(i, f"own line {i} of this text\n{passage}\nown end {i}") for i in range(150)], "doc_id long, text string")
+    for module in (line_dedup, line_runs):
+        for df in (docs.select("doc_id", "text"), many, odd):
+            monkeypatch.setattr(common, "SALT_ROWS", 10**9)
+            want = sorted(map(str, module.dedup(df).collect()))
+            monkeypatch.setattr(common, "SALT_ROWS", 3)
+            assert sorted(map(str, module.dedup(df).collect())) == want
+
+
+def test_hot_keys_are_bounded_and_none_is_lost(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, i) for k in range(40) for i in range(1 + 300 * (k == 7) + 20 * (k % 5 == 0))], "k int, i int")
+    monkeypatch.setattr(common, "SALT_ROWS", 4)
+    monkeypatch.setattr(common, "HOT_KEYS", 8)
+    counted = rows.groupBy("k").agg(F.count("*").alias("n"))
+    hot = common.hot_keys(counted, "k")
+    assert 0 < hot.count() <= 8 and {r.k for r in hot.collect()} >= {7}
+    dealt = common.salted(rows, hot, ["k"], ["i"])
+    both = dealt.join(common.spread(counted, hot, ["k"]), ["k", "__salt"])
+    assert both.count() == rows.count() and dealt.where("k = 7").select("__salt").distinct().count() > 1
+
+
 # 4 fingerprints
 
 
@@ -441,6 +463,17 @@ def test_mixing_targets_and_copies(docs, odd):
         assert sorted(map(str, mixing.plan(df).collect())) == sorted(map(str, planned))
 
 
+def test_mixing_in_any_number_of_parts(spark, docs, odd, monkeypatch):
+    monkeypatch.setattr(common, "SALT_ROWS", 10**9)
+    want = [sorted(map(str, mixing.digests(df).collect())) for df in (docs, odd)]
+    monkeypatch.setattr(common, "SALT_ROWS", 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert [sorted(map(str, mixing.digests(df).collect())) for df in (docs, odd)] == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_mixing_of_nothing(empty):
     assert mixing.plan(empty).count() == 0
 
