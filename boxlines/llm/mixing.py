@@ -7,8 +7,8 @@ floor(rate) times, plus once more where a draw seeded by its id falls below the
 
 Edge cases: a null text has size 0; a null source is a source of its own; sources without words have target
 0 and their documents are not taken; rows with equal ids draw alike, rows with a null id draw by their text;
-an empty table gives an empty table; `plan` replaces columns of the input
-that clash with computed ones, `mix` returns all columns as they came.
+an empty table gives an empty table; `plan` replaces columns of the input that clash with computed ones,
+`mix` returns all columns as they came.
 """
 
 from __future__ import annotations
@@ -78,7 +78,8 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, se
     hot = hot_keys(stored(targets.groupBy("__hash").agg(F.sum("n_docs").alias("n")), "source_rows"), "__hash")
     keyed = sized.withColumn("__key", _key(F.col("source"))).withColumn("__hash", F.xxhash64("__key"))
     keyed = salted(keyed, hot, ["__hash"], ["doc_id", "size"])
-    parts = spread(targets.drop("n_docs"), hot, ["__hash"])
+    # stored, so that its size is known and no text moves where it is small
+    parts = stored(spread(targets.drop("n_docs"), hot, ["__hash"]), "parts")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + F.when(F.col("__draw") < rate - F.floor(rate), 1).otherwise(0)
     return keyed.join(parts, ["__hash", "__key", "__salt"]).withColumn("copies", copies.cast("long")).select(*docs.columns, "size", "source_size", "target", "copies")

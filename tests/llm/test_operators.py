@@ -474,6 +474,18 @@ def test_mixing_in_any_number_of_parts(spark, docs, odd, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_mixing_moves_no_text_where_targets_are_small(docs):
+    plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    rows = [(i, "some words here", "abc"[i % 3], -1, "t", 5, "k") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, target string, copies int, __salt string")
+    out = mixing.mix(df)
+    assert out.columns == df.columns and {tuple(r) for r in out.collect()} <= set(rows)
+
+
 def test_mixing_of_nothing(empty):
     assert mixing.plan(empty).count() == 0
 
