@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, jaccard, katz, langid, line_dedup, line_runs, mixing, pii, secret_scan, topk
+from . import bpe, chat, fingerprints, jaccard, katz, langid, line_dedup, line_runs, lloyd, mixing, pii, secret_scan, topk, trie
 
 PIECES = "piece_bpe_32k.model"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -63,6 +63,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(_documents(spark, sf_dir))
 
 
+def op11_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.digests(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.with_hostile(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_katz": op2_katz,
@@ -75,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_secret_scan": op10_secret_scan,
+    "op11_dual_tree_lloyd": op11_dual_tree_lloyd,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_chat_format": op13_chat_format,
 }
 
 ORACLES: dict[str, str] = {
@@ -82,4 +97,7 @@ ORACLES: dict[str, str] = {
     "op5_ngram_jaccard": jaccard.SQL,
     "op6_top_k": topk.SQL,
     "op8_mixing": mixing.SQL,
+    "op11_dual_tree_lloyd": lloyd.SQL,
+    "op12_prefix_trie": trie.SQL,
+    "op13_chat_format": chat.SQL,
 }
