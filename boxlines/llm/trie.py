@@ -157,7 +157,8 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     begins = along.groupBy("path").agg(F.max(light).alias("head"), F.count(light).alias("level"))
     paths = stored(leaves.join(begins, "path", "left").select("path", F.coalesce("head", zero).alias("head"), F.coalesce("level", zero).alias("level")), "paths")
     placed = along.join(paths, "path").where("depth >= head")
-    top = marked.where("depth = 0").withColumn("head", zero).join(paths, "head").select(*placed.columns)  # the one path that begins at the root
+    first = paths.where("head = 0").select("path").first()  # the one path that begins at the root
+    top = marked.where("depth = 0").select("*", F.lit(first.path if first else None).cast("long").alias("path"), zero.alias("head"), zero.alias("level")).select(*placed.columns)
     placed = stored(placed.unionByName(top).withColumn("own", (F.col("n_convs") - 1) * F.col("bytes")), "path_nodes")
     above = placed.select(F.col("ka").alias("pa"), F.col("kb").alias("pb"), F.col("conv_id").alias("parent_conv_id"), F.col("path").alias("parent_path"))
     linked = stored(placed.join(above, ["pa", "pb"], "left"), "linked_nodes")
