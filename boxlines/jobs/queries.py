@@ -14,6 +14,7 @@ from ..functions import geometry, text as names
 from ..operators import assign, connections, diagram, endpoints, extraction, files, images, outlines, regions, results, text, tiling, tracing
 from ..operators.stages import shared_dir
 from ..sources.fixtures import fixture, oracle
+from ..sources.pictures import write_pictures
 from ..streaming import intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1033,24 +1034,102 @@ def _(spark, d):
 
 
 def _areas(spark, d) -> DataFrame:
+    """Regions in the pictures: boxes and, for odd ids, slanted outlines with a square hole."""
     r = fixture(spark, d, "fx_regions")
-    x, y = (F.col(c) % 5 for c in ("region_id", "diagram_id"))
-    return r.select("diagram_id", "label", x.alias("x1"), y.alias("y1"), (x + 3).alias("x2"), (y + 3).alias("y2"), F.lit(None).cast("array<array<struct<x:double,y:double>>>").alias("rings"))
+    x, y = F.col("region_id") % 5, F.col("diagram_id") % 5
+    ring = lambda *points: F.array(*(F.struct((x + F.lit(a)).cast("double").alias("x"), (y + F.lit(b)).cast("double").alias("y")) for a, b in points))
+    rings = F.when(F.col("region_id") % 2 == 1, F.array(ring(*_SLANTED), ring(*_HOLE)))
+    return r.select("diagram_id", "label", x.alias("x1"), y.alias("y1"), (x + 3).alias("x2"), (y + 3).alias("y2"), rings.alias("rings"))
+
+
+_SLANTED, _HOLE = ((0, 0), (4, 0.5), (3.5, 4), (0.5, 3.5)), ((1.25, 1.25), (2.75, 1.25), (2.75, 2.75), (1.25, 2.75))
+_SIDES = ", ".join(f"{{'x1': {a[0]}::DOUBLE, 'y1': {a[1]}::DOUBLE, 'x2': {b[0]}::DOUBLE, 'y2': {b[1]}::DOUBLE}}" for ring in (_SLANTED, _HOLE) for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
+#: Pixels of each region: of a box, or by the cuts of the outline's sides with the row of the pixel's centre.
+_MASKS = dict(
+    _VALUES,
+    a="SELECT diagram_id, region_id, label, region_id % 5 AS x1, diagram_id % 5 AS y1, region_id % 2 = 1 AS rings FROM (" + oracle("fx_regions") + ")",
+    w="SELECT image_id, pos, v, pos % 8 AS px, pos // 8 AS py FROM v",
+    i=f"""SELECT a.*, pos, v, px, py, list_transform(list_filter([{_SIDES}], lambda e: (e.y1 + y1 <= py) <> (e.y2 + y1 <= py)),
+          lambda e: (e.x1 + x1) + (py - (e.y1 + y1)) * ((e.x2 + x1) - (e.x1 + x1)) / ((e.y2 + y1) - (e.y1 + y1))) AS cuts FROM w JOIN a ON a.diagram_id = w.image_id""",
+    k="SELECT * FROM i WHERE CASE WHEN rings THEN len(list_filter(cuts, lambda c: c < px)) % 2 = 1 OR list_contains(cuts, px) ELSE px >= x1 AND px < x1 + 3 AND py >= y1 AND py < y1 + 3 END",
+    # pixels of which one within two steps is outside of the region
+    e="SELECT a.diagram_id, a.region_id, a.pos, count(*) < 13 AS edge FROM k a JOIN k b ON a.diagram_id = b.diagram_id AND a.region_id = b.region_id AND abs(a.px - b.px) + abs(a.py - b.py) <= 2 GROUP BY 1, 2, 3",
+)
+
+
+def _marked(border: bool, where: str = "TRUE", step: str = "0", label: str = "label") -> str:
+    """Sums of the pictures with regions blended in, in the order of step, place and label."""
+    colors = f"CASE {label} WHEN 'Class' THEN [0, 255, 0] WHEN 'Struck Class' THEN [0, 0, 255] ELSE [255, 0, 0] END"
+    parts = "SELECT *, 0 AS part FROM k" + (" UNION ALL SELECT k.*, 1000 FROM k JOIN e USING (diagram_id, region_id, pos) WHERE edge" if border else "")
+    # a blend is its colour, and 1000 more on an edge
+    blend = "lambda x, s: round_even(CASE WHEN s < 1000 THEN x * 0.7::DOUBLE + s * 0.3::DOUBLE ELSE x * 0.4::DOUBLE + (s - 1000) * 0.6::DOUBLE END, 0)"
+    fold = " + ".join(f"list_reduce(list_prepend(w.v::DOUBLE, list_transform(coalesce(b.some, []), lambda s: CAST(s[{i}] AS DOUBLE))), {blend})" for i in (1, 2, 3))
+    blends = f"SELECT diagram_id, pos, list(list_transform({colors}, lambda c: c + part) ORDER BY {step}, x1, y1, {label}, rings, region_id, part) AS some FROM ({parts}) WHERE {where} GROUP BY 1, 2"
+    return f"SELECT image_id AS diagram_id, 8 AS width, 8 AS height, 3 AS channels, CAST(sum({fold}) AS BIGINT) AS total FROM w LEFT JOIN ({blends}) b ON b.diagram_id = w.image_id AND b.pos = w.pos GROUP BY image_id"
+
+
+def _filled(where: str = "TRUE") -> str:
+    """Sums of the pictures with regions filled by the colour of the only pixel that the median's grid meets."""
+    return f"SELECT image_id AS diagram_id, 8 AS width, 8 AS height, 3 AS channels, CAST(3 * sum(CASE WHEN (image_id, pos) IN (SELECT (diagram_id, pos) FROM k WHERE {where}) THEN v0 ELSE v END) AS BIGINT) AS total FROM (SELECT *, first(v) OVER (PARTITION BY image_id ORDER BY pos) AS v0 FROM w) GROUP BY image_id"
 
 
-for _name, _change in {
-    "f2_mark_regions": lambda i, r: images.mark_regions(i, r),
-    "f3_mark_with_border": lambda i, r: images.mark_regions(i, r, border=True),
-    "f4_remove_regions": lambda i, r: images.remove_regions(i, r),
-    "f5_keep_only_polygons": lambda i, r: images.keep_only_polygons(i, r),
-    "f6_prepare_images": lambda i, r: images.prepare_images(i, r, "remove", ("classes",)),
-}.items():
+_KEPT = "SELECT image_id AS diagram_id, 8 AS width, 8 AS height, 3 AS channels, CAST(3 * sum(CASE WHEN (image_id, pos) IN (SELECT (diagram_id, pos) FROM k) THEN CASE WHEN v = 255 THEN 220 ELSE v END ELSE 255 END) AS BIGINT) AS total FROM w GROUP BY image_id"
 
-    @query(_name)
+for _name, _sql, _change in (
+    ("f2_mark_regions", _marked(False), lambda i, r: images.mark_regions(i, r)),
+    ("f3_mark_with_border", _marked(True), lambda i, r: images.mark_regions(i, r, border=True)),
+    ("f4_remove_regions", _filled(), lambda i, r: images.remove_regions(i, r)),
+    ("f5_keep_only_polygons", _KEPT, lambda i, r: images.keep_only_polygons(i, r)),
+):
+
+    @query(_name, _with(**_MASKS) + _sql)
     def _(spark, d, change=_change):
         return _sums(change(images.gray_to_bgr(_rasters(spark, d)), _areas(spark, d)))
 
 
+def _folder(spark, d) -> str:
+    """The rasters as a folder of PNG files, named by their ids."""
+    path = f"{shared_dir(spark)}/pictures/{uuid.uuid4().hex}"
+    named = _rasters(spark, d).withColumn("file_name", F.concat(F.lit("IMG_"), F.col("diagram_id").cast("string"), F.lit(".png")))
+    write_pictures(named, path)
+    return path
+
+
+def _read_back(spark, path: str) -> DataFrame:
+    found = files.read_images(spark, path)
+    return _sums(images.from_source(found.withColumn("id", F.regexp_extract("stem", "[0-9]+", 0)), "id"))
+
+
+@query("a1_read_images", _with(**_SUMS) + "SELECT 'IMG_' || image_id || '.png' AS file_name, 'IMG_' || image_id AS stem, 8 AS width, 8 AS height, 1 AS channels, total FROM m")
+def _(spark, d):
+    """Written as PNG files by the picture sink, and read as a folder."""
+    found = files.read_images(spark, _folder(spark, d)).select("file_name", "stem", F.col("image.width").cast("long").alias("width"), F.col("image.height").cast("long").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"), F.col("stem").alias("diagram_id"))
+    return found.join(_sums(found).select("diagram_id", "total"), "diagram_id").select("file_name", "stem", "width", "height", F.col("channels").cast("long").alias("channels"), "total")
+
+
+_PREPARED = {
+    ("mark", "classes"): _marked(False, "label IN ('Class', 'Struck Class')", "label"),
+    ("mark", "relationships"): _marked(False, "label NOT IN ('Class', 'Struck Class', 'Note')"),
+    ("mark_with_border", "classes"): _marked(True, "label IN ('Class', 'Struck Class')", "label", "left('Class', 5)"),
+    ("mark_with_border", "relationships"): _marked(True, "label NOT IN ('Class', 'Struck Class', 'Note')"),
+    ("remove", "classes"): _filled("label IN ('Class', 'Struck Class')"),
+    ("remove", "relationships"): _filled("label NOT IN ('Class', 'Struck Class', 'Note')"),
+}
+
+
+@query("f6_prepare_images", _with(**_MASKS) + " UNION ALL ".join(f"SELECT '{mode}' AS mode, '{kind}' AS kinds, * FROM ({sql})" for (mode, kind), sql in _PREPARED.items()))
+def _(spark, d):
+    """From a folder of PNG files to one for each mode and kind, read back. The detector is a stand-in."""
+    source, out = _folder(spark, d), None
+    named = _areas(spark, d).withColumn("diagram_id", F.xxhash64(F.concat(F.lit("IMG_"), F.col("diagram_id").cast("string"), F.lit(".png"))))
+    for mode, kind in _PREPARED:
+        target = f"{shared_dir(spark)}/pictures/{uuid.uuid4().hex}"
+        images.prepare_folder(spark, source, target, lambda _: named, mode, (kind,))
+        rows = _read_back(spark, target).select(F.lit(mode).alias("mode"), F.lit(kind).alias("kinds"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _lines(spark, d) -> DataFrame:
     ink = images.map_images(_rasters(spark, d), lambda _, x: (x < 128).astype("uint8") * 255)
     return images.skeletonize(ink, ink.select("diagram_id", F.lit(0.5).alias("scale")))

@@ -9,14 +9,23 @@ from pyspark.sql import functions as F
 from ..functions.text import natural_key
 from .stages import written
 
+_PICTURES = "*.{png,jpg,jpeg}"
+
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, stem, image) of the folder's pictures, decoded to rasters."""
-    images = spark.read.format("image").option("pathGlobFilter", "*.{png,jpg,jpeg}").load(path)
+    """(file_name, stem, image) of the pictures in the folder and below it, decoded to rasters."""
+    images = spark.read.format("image").option("pathGlobFilter", _PICTURES).option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract(F.col("image.origin"), r"([^/]+)$", 1)
     return images.select(name.alias("file_name"), F.regexp_extract(name, r"^(.*)\.[^.]*$", 1).alias("stem"), "image")
 
 
+def list_images(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, stem) of the pictures in the folder and below it, which are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", _PICTURES).option("recursiveFileLookup", "true").load(path)
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    return found.select(name.alias("file_name"), F.regexp_extract(name, r"^(.*)\.[^.]*$", 1).alias("stem"))
+
+
 def natural_order(files: DataFrame, column: str = "file_name") -> DataFrame:
     """Adds position (from 1) in natural order. Rows are dealt by range of the key and numbered in each
     range; a range's first number comes from the sizes of those before it."""

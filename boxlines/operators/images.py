@@ -9,12 +9,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import raster
+from ..sources.pictures import write_pictures
+from . import files
 
 IMAGE = "diagram_id long, width long, height long, channels int, data binary"
+_FIELDS = ("diagram_id", "width", "height", "channels", "data")
 # fixed values: colours of marked regions, BGR
 COLORS = {"Class": (0, 255, 0), "Struck Class": (0, 0, 255), "relationship": (255, 0, 0)}
 
@@ -27,20 +31,21 @@ def _row(diagram_id: int, image: np.ndarray) -> tuple:
     return (diagram_id, image.shape[1], image.shape[0], image.shape[2], image.tobytes())
 
 
-def from_source(images: DataFrame, diagram_id: str) -> DataFrame:
-    """Spark's image rows as the rasters of this module."""
-    return images.select(F.col(diagram_id).cast("long").alias("diagram_id"), F.col("image.width").cast("long").alias("width"), F.col("image.height").cast("long").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+def from_source(images: DataFrame, diagram_id: str, *more: str) -> DataFrame:
+    """Spark's image rows as the rasters of this module, with the columns named besides."""
+    return images.select(*more, F.col(diagram_id).cast("long").alias("diagram_id"), F.col("image.width").cast("long").alias("width"), F.col("image.height").cast("long").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
 def map_images(images: DataFrame, change: Callable[[int, np.ndarray], np.ndarray]) -> DataFrame:
-    """Each raster changed by change(diagram_id, raster)."""
+    """Each raster changed by change(diagram_id, raster); an image's other columns stay."""
+    more = [f for f in images.schema.fields if f.name not in _FIELDS]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [_row(r.diagram_id, change(r.diagram_id, _array(r))) for r in batch.itertuples()]
-            yield pd.DataFrame(made, columns=["diagram_id", "width", "height", "channels", "data"])
+            yield pd.DataFrame(made, columns=list(_FIELDS)).assign(**{f.name: batch[f.name].to_numpy() for f in more})
 
-    return images.select("diagram_id", "width", "height", "channels", "data").mapInPandas(run, IMAGE)
+    return images.mapInPandas(run, StructType([*StructType.fromDDL(IMAGE).fields, *more]))
 
 
 def gray_to_bgr(images: DataFrame) -> DataFrame:
@@ -99,15 +104,18 @@ def cut_tiles(images: DataFrame, tiles: DataFrame, drop_blank: bool = True) -> D
 
 
 def _with_regions(images: DataFrame, regions: DataFrame, change: Callable[[np.ndarray, list], np.ndarray]) -> DataFrame:
-    """change(raster, regions) for each image; regions: (diagram_id, label, x1, y1, x2, y2 in pixels, rings)."""
-    listed = regions.groupBy("diagram_id").agg(F.array_sort(F.collect_list(F.struct("x1", "y1", "x2", "y2", "label", "rings"))).alias("regions"))
+    """change(raster, regions) for each image, whose other columns stay; regions: (diagram_id, label, x1, y1,
+    x2, y2 in pixels, rings)."""
+    more = [f for f in images.schema.fields if f.name not in _FIELDS]
+    told = ["x1", "y1", "x2", "y2", "label", "rings", *(["step"] if "step" in regions.columns else [])]
+    listed = regions.groupBy("diagram_id").agg(F.array_sort(F.collect_list(F.struct(*told))).alias("regions"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [_row(r.diagram_id, change(_array(r), list(r.regions) if r.regions is not None else [])) for r in batch.itertuples()]
-            yield pd.DataFrame(made, columns=["diagram_id", "width", "height", "channels", "data"])
+            yield pd.DataFrame(made, columns=list(_FIELDS)).assign(**{f.name: batch[f.name].to_numpy() for f in more})
 
-    return images.join(listed, "diagram_id", "left").mapInPandas(run, IMAGE)
+    return images.join(listed, "diagram_id", "left").mapInPandas(run, StructType([*StructType.fromDDL(IMAGE).fields, *more]))
 
 
 def _mask(image: np.ndarray, region) -> np.ndarray:
@@ -116,30 +124,30 @@ def _mask(image: np.ndarray, region) -> np.ndarray:
     return raster.box_mask(image.shape[:2], region["x1"], region["y1"], region["x2"], region["y2"])
 
 
-def mark_regions(images: DataFrame, regions: DataFrame, border: bool = False) -> DataFrame:
-    """Regions blended with their colour at 30 %, with `border` also two pixels of edge at 60 %."""
+def _marked(image: np.ndarray, some: list, border: bool) -> np.ndarray:
+    for region in some:
+        mask, color = _mask(image, region), COLORS.get(region["label"], COLORS["relationship"])
+        image = raster.blend(image, mask, color)
+        if border:
+            image = raster.blend(image, raster.outline(mask), color, 0.6)
+    return image
 
-    def change(image: np.ndarray, some: list) -> np.ndarray:
-        for region in some:
-            mask, color = _mask(image, region), COLORS.get(region["label"], COLORS["relationship"])
-            image = raster.blend(image, mask, color)
-            if border:
-                image = raster.blend(image, raster.outline(mask), color, 0.6)
-        return image
 
-    return _with_regions(images, regions, change)
+def _removed(image: np.ndarray, some: list) -> np.ndarray:
+    color, image = raster.grid_median(image), image.copy()
+    for region in some:
+        image[_mask(image, region)] = color
+    return image
 
 
-def remove_regions(images: DataFrame, regions: DataFrame) -> DataFrame:
-    """Regions filled with the image's median colour."""
+def mark_regions(images: DataFrame, regions: DataFrame, border: bool = False) -> DataFrame:
+    """Regions blended with their colour at 30 %, with `border` also two pixels of edge at 60 %."""
+    return _with_regions(images, regions, lambda image, some: _marked(image, some, border))
 
-    def change(image: np.ndarray, some: list) -> np.ndarray:
-        color, image = raster.grid_median(image), image.copy()
-        for region in some:
-            image[_mask(image, region)] = color
-        return image
 
-    return _with_regions(images, regions, change)
+def remove_regions(images: DataFrame, regions: DataFrame) -> DataFrame:
+    """Regions filled with the image's median colour."""
+    return _with_regions(images, regions, _removed)
 
 
 def keep_only_polygons(images: DataFrame, regions: DataFrame) -> DataFrame:
@@ -166,15 +174,53 @@ def skeletonize(images: DataFrame, scales: DataFrame) -> DataFrame:
     return images.join(scales, "diagram_id").mapInPandas(run, "diagram_id long, y long, x long")
 
 
+def without_alpha(images: DataFrame) -> DataFrame:
+    """Three channels, a fourth being left out."""
+    return map_images(images, lambda _, x: np.ascontiguousarray(raster.gray_to_bgr(x)[..., :3]))
+
+
 def prepare_images(images: DataFrame, regions: DataFrame, mode: str, kinds: tuple[str, ...] = ("classes", "relationships")) -> DataFrame:
-    """Training pictures: the regions of the kinds marked, marked with an edge, or removed. Boxes with a
-    class label are `classes`, all others `relationships`."""
-    of_class = F.col("label").isin("Class", "Struck Class", "Note")
-    some = regions.where((of_class & F.lit("classes" in kinds)) | (~of_class & F.lit("relationships" in kinds)))
-    if mode == "mark":
-        return mark_regions(images, some)
-    if mode == "mark_with_border":
-        return mark_regions(images, some, border=True)
-    if mode == "remove":
-        return remove_regions(images, some)
-    raise ValueError(f"unknown mode {mode}")
+    """Training pictures: the regions of the kinds marked, marked with an edge, or removed, in three steps,
+    each on what the one before left: `classes`, which are regions with the label Class and then those with
+    Struck Class, and `relationships`, all others but notes. With an edge, both kinds of class are green."""
+    if mode not in ("mark", "mark_with_border", "remove"):
+        raise ValueError(f"unknown mode {mode}")
+    label, steps = F.col("label"), []
+    if "classes" in kinds:
+        steps += [label == "Class", label == "Struck Class"]
+    if "relationships" in kinds:
+        steps.append(~label.isin("Class", "Struck Class", "Note"))
+    step = F.lit(None).cast("int")
+    for k, which in enumerate(steps):
+        step = F.when(which, k).otherwise(step)
+    shown = F.when(label == "Struck Class", "Class").otherwise(label) if mode == "mark_with_border" else label
+    some = regions.withColumn("step", step).where("step IS NOT NULL").withColumn("label", shown)
+
+    n_steps = len(steps)
+
+    def change(image: np.ndarray, found: list) -> np.ndarray:
+        for k in range(n_steps):
+            own = [x for x in found if x["step"] == k]
+            image = _removed(image, own) if mode == "remove" else _marked(image, own, mode == "mark_with_border")
+        return image
+
+    return _with_regions(images, some, change)
+
+
+def named_images(pictures: DataFrame) -> DataFrame:
+    """Pictures (file_name, stem, image) as rasters with file_name; diagram_id is the hash of that."""
+    return from_source(pictures.withColumn("diagram_id", F.xxhash64("file_name")), "diagram_id", "file_name")
+
+
+def prepare_folder(spark: SparkSession, source: str, target: str, detect: Callable[[DataFrame], DataFrame], mode: str, kinds: tuple[str, ...] = ("classes", "relationships")) -> None:
+    """The pictures of a folder, prepared, as PNG files of the same stems below target, in the place of what
+    earlier runs wrote there. detect gives the regions (diagram_id, label, x1, y1, x2, y2, rings) of rasters;
+    pictures without any are written as they are. Pictures of one stem, or of names whose hashes agree, fail
+    the job before a picture is read."""
+    png_name = F.regexp_replace("file_name", r"\.[^.]*$", ".png")
+    names = files.list_images(spark, source).select("file_name", png_name.alias("png_name"))
+    if names.groupBy(F.xxhash64("file_name")).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("two file names are equal or have the same hash")
+    plain = without_alpha(named_images(files.read_images(spark, source)))
+    made = prepare_images(plain, detect(plain), mode, kinds).withColumn("file_name", png_name)
+    write_pictures(made, target, "overwrite", names.select(F.col("png_name").alias("file_name")))

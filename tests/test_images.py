@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from boxlines.functions import raster
 from boxlines.operators import files, images, tracing
+from boxlines.sources.pictures import PictureWriter, Written, png, write_pictures
 
 
 def rasters(spark, *pictures):
@@ -87,3 +88,62 @@ def test_folder_of_pictures(spark, tmp_path):
         files.write_plantuml(spark.createDataFrame(some, "diagram_id long, plantuml string"), out)
     got = {r.diagram: r.plantuml for r in spark.read.parquet(out).collect()}
     assert got == {str(i): "first" if i < 150 else "again" for i in range(250)} and spark.read.parquet(out).count() == 250
+
+
+def pngs(path):
+    return sorted(f.name for f in path.rglob("*.png")) if path.exists() else []
+
+
+def test_written_pictures_read_back(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    shapes = [(1, 1, 1), (7, 5, 3), (4, 9, 4), (30, 20, 3)]
+    pictures = [rng.integers(1, 256, size=s).astype(np.uint8) for s in shapes]
+    named = rasters(spark, *pictures).withColumn("file_name", F.concat(F.lit("p"), F.col("diagram_id").cast("string"), F.lit(".png"))).withColumn("more", F.lit(1))
+    out = tmp_path / "out"
+    write_pictures(named.repartition(3), f"file://{out}")
+    write_pictures(named.repartition(2), f"file://{out}", "overwrite")  # in place of the first run
+    assert pngs(out) == ["p0.png", "p1.png", "p2.png", "p3.png"] and not [x for x in (out / "_temporary").iterdir()]
+    for r in files.read_images(spark, str(out)).collect():
+        image = pictures[int(r.stem[1:])]
+        assert (r.image.height, r.image.width, r.image.nChannels) == image.shape
+        assert np.frombuffer(r.image.data, np.uint8).tolist() == image.reshape(-1).tolist()
+    assert sorted(tuple(r) for r in files.list_images(spark, str(out)).collect()) == [(f"p{i}.png", f"p{i}") for i in range(4)]
+
+
+def test_a_failed_run_leaves_no_picture(spark, tmp_path):
+    good = rasters(spark, *[np.zeros((2, 2, 3), np.uint8)] * 4).withColumn("file_name", F.concat(F.col("diagram_id").cast("string"), F.lit(".png")))
+    out = tmp_path / "out"
+    with pytest.raises(ValueError, match="several pictures"):
+        write_pictures(good.withColumn("file_name", F.lit("same.png")), f"file://{out}")
+    short = F.when(F.col("diagram_id") == 3, F.substring("data", 1, 5)).otherwise(F.col("data"))
+    with pytest.raises(Exception, match="reshape"):
+        write_pictures(good.withColumn("data", short).repartition(4, "diagram_id"), f"file://{out}")
+    assert pngs(out) == []
+    write_pictures(good.limit(0), f"file://{out}")
+    assert pngs(out) == []
+
+
+def test_attempts_that_were_not_committed_go(tmp_path):
+    writer = PictureWriter(f"file://{tmp_path}", overwrite=False)
+    for folder in ("part-0-1", "part-0-2"):
+        (tmp_path / "_temporary" / writer.run / folder).mkdir(parents=True)
+        (tmp_path / "_temporary" / writer.run / folder / "a.png").write_bytes(png(np.zeros((1, 1, 1), np.uint8)))
+    writer.commit([Written("part-0-2", 1), None])
+    assert [str(f.relative_to(tmp_path)) for f in tmp_path.rglob("*.png")] == [f"{writer.run}/part-0-2/a.png"]
+
+
+def test_a_folder_is_prepared(spark, tmp_path):
+    source, target = tmp_path / "in", tmp_path / "out"
+    white = np.full((12, 12, 3), 255, np.uint8)
+    named = rasters(spark, white, white, white[..., :1]).withColumn("file_name", F.concat(F.lit("IMG."), F.col("diagram_id").cast("string"), F.lit(".png")))
+    write_pictures(named, f"file://{source}")
+    some = spark.createDataFrame([("IMG.0.png", "Class", 0, 0, 8, 8), ("IMG.0.png", "Struck Class", 4, 4, 12, 12), ("IMG.0.png", "Note", 8, 0, 12, 4), ("IMG.1.png", "line", 0, 0, 2, 2)], "name string, label string, x1 long, y1 long, x2 long, y2 long")
+    regions = some.select(F.xxhash64("name").alias("diagram_id"), "label", "x1", "y1", "x2", "y2", F.lit(None).cast("array<array<struct<x:double,y:double>>>").alias("rings"))
+    images.prepare_folder(spark, f"file://{source}", f"file://{target}", lambda _: regions, "mark")
+    got = {r.stem: np.frombuffer(r.image.data, np.uint8).reshape(12, 12, 3) for r in files.read_images(spark, str(target)).collect()}
+    assert sorted(got) == ["IMG.0", "IMG.1", "IMG.2"]
+    assert got["IMG.0"][1, 1].tolist() == [178, 255, 178] and got["IMG.0"][10, 10].tolist() == [178, 178, 255] and got["IMG.0"][2, 10].tolist() == [255] * 3
+    assert got["IMG.0"][5, 5].tolist() == [125, 178, 201]  # struck classes come after classes
+    assert got["IMG.1"][1, 1].tolist() == [255, 178, 178] and (got["IMG.2"] == 255).all()
+    with pytest.raises(ValueError, match="unknown mode"):
+        images.prepare_images(named, regions, "paint")
