@@ -1,7 +1,8 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors are ranged by length into buckets of bounded size, each one row: ids, lengths and the matrix. Query
-blocks first meet the bucket of the longest vectors, which gives each query a running k-th result. Queries
+Vectors are ranged by length, and each range is cut into buckets of up to BUCKET_ROWS, however many rows the
+sampled bounds of a range let in; a bucket is one row: ids, lengths and the matrix. Query blocks first meet
+the buckets of the range with the longest vectors, which gives each query a running k-th result. Queries
 are then dealt anew to blocks by the length that a vector needs to reach their k-th score, and a block meets
 only the buckets whose longest vector has the length that its least demanding query needs: that is decided on
 lengths alone, before any matrix is moved. In a meeting, from the k-th score, the query's length and the
@@ -63,14 +64,16 @@ def _block(some: list[tuple[int, int, list[int]]]) -> list:
 
 
 def _buckets(ranged: DataFrame) -> DataFrame:
-    """Each partition's rows (row, vec_id, v, length), in their order, as blocks which carry the partition's
-    number as `bucket`, and their longest length."""
+    """Each partition's rows (row, vec_id, v, length), in their order, as blocks with a number of their own,
+    `bucket`, whose upper half is the partition's, and their longest length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = TaskContext.get().partitionId()
+        bucket = (TaskContext.get().partitionId() << 32) - 1
         held: list[tuple] = []
 
         def made(some: list[tuple]) -> pa.RecordBatch:
+            nonlocal bucket
+            bucket += 1
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in (bucket, math.sqrt(max(x[3] for x in some)), *_block([x[:3] for x in some]))], ["bucket", "longest", *_PARTS])
 
         for batch in batches:
@@ -211,10 +214,10 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     n_blocks = max(1, math.ceil(n / every / QUERY_ROWS))
     none = {"floor": F.lit(None).cast("long"), "floor_id": F.lit(None).cast("long")}
 
-    # the bucket of the longest vectors meets every block, and gives the running k-th results
+    # the range of the longest vectors meets every block, and gives the running k-th results
     blocks = stored(_named(_query_blocks(asked.withColumns(none).repartition(n_blocks, "row")), "q"), "queries").withColumn("salt", F.col("block") % 64)
     first = buckets.agg(F.min("bucket").alias("bucket")).first().bucket or 0
-    longest = buckets.where(F.col("bucket") == first).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
+    longest = buckets.where(F.shiftright("bucket", 32) == first >> 32).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
     by = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id"))
     found = _scores(blocks.join(longest.drop("longest", "bucket"), "salt"), k).withColumn("place", F.row_number().over(by))
     kth = found.where(F.col("place") == k).select(F.col("query_row").alias("row"), F.col("score").alias("floor"), F.col("vec_id").alias("floor_id"))

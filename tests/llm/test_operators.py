@@ -353,6 +353,25 @@ def test_top_k_agrees_with_brute_force(spark, small, monkeypatch):
         assert sorted(map(tuple, topk.top_k(table).collect())) == brute_top(some, 20, 20)
 
 
+@pytest.mark.parametrize(("rows", "bucket", "values"), [(6_000, 1024, 1000), (49_000, 8192, 1000), (6_000, 1024, 3), (5_000, 300, 40)])
+def test_top_k_of_ranges_that_make_several_buckets(spark, monkeypatch, rows, bucket, values):
+    """Bounds of ranges are sampled, so that some hold more than a bucket; with few values ties go across."""
+    monkeypatch.setattr(topk, "BUCKET_ROWS", bucket)
+    x = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: (F.pmod(F.xxhash64("id", i), F.lit(values)) / 64 - (values // 2) / 64).cast("float"))
+    df = spark.range(rows).select(F.col("id").alias("vec_id"), x.alias("embedding"))
+    v = np.array([r.embedding for r in df.orderBy("vec_id").collect()], dtype=np.float64)
+    v = np.floor(64 * v).astype(np.int64)
+    got = {}
+    for r in topk.top_k(df).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert sorted(got) == list(range(0, rows, 20))
+    for q, found in got.items():
+        scores = v @ v[q]
+        order = np.lexsort((np.arange(rows), -scores))
+        order = order[order != q][:20]
+        assert [found[k] for k in sorted(found)] == [(int(i), int(scores[i])) for i in order]
+
+
 # 7 language ID
 
 
