@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII lower-casing of UTF-8 bytes; bytes.split() then cuts at exactly \x20 and \x09-\x0D.
@@ -64,6 +64,25 @@ def spread(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by name, whatever the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in columns]
+
+
+def packed(docs: DataFrame, *replaced: str) -> DataFrame:
+    """One column, `row`, with all columns of docs but those that an operator adds, so that no name of the
+    caller's meets one of the operator's."""
+    return docs.select(F.struct(*quoted([c for c in docs.columns if c not in replaced])).alias("row"))
+
+
+def renamed(docs: DataFrame, needed: tuple[str, ...], replaced: tuple[str, ...] = ()) -> tuple[DataFrame, list[Column]]:
+    """docs with the columns that an operator needs and, under names that clash with none of its own, all
+    others but those it replaces; and the columns that give the caller's names and order back."""
+    kept = [c for c in docs.columns if c not in replaced]
+    names = {c: c if c in needed else f"__other{i}" for i, c in enumerate(kept)}
+    return docs.select(*(c.alias(names[x]) for c, x in zip(quoted(kept), kept, strict=True))), [F.col(names[c]).alias(c) for c in kept]
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, as UTF-8; null: none."""
     return text.encode("utf-8", "replace").translate(LOWER).split() if text else []

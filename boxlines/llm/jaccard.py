@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, words_of
+from .common import bounded_batches, quoted, stored, words_of
 from .graph import connected_components
 
 WIDTH = 5
@@ -391,9 +391,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = components(docs).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    first = [F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("__rest")] if rest else []
+    first = [F.min_by(F.struct(*quoted(rest)), F.xxhash64(*quoted(rest))).alias("__rest")] if rest else []
     one = named.groupBy("doc_id", "text").agg(*first) if rest else named.distinct()
-    return one.select(*(F.col(f"__rest.`{c}`").alias(c) if c in rest else F.col(c) for c in docs.columns)).unionByName(docs.where("doc_id IS NULL"))
+    return one.select(*(F.col("__rest").getField(c).alias(c) if c in rest else F.col(c) for c in docs.columns)).unionByName(docs.where("doc_id IS NULL"))
 
 
 SQL = r"""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, renamed, stored
 
 UND = "und"
 SMOOTHING = 0.1
@@ -315,13 +315,13 @@ def predict(docs: DataFrame, model_file: str, counts: DataFrame, text_col: str =
     """The rows of docs with lang_pred and score, the posterior under equal priors, by the languages of
     counts (see learn)."""
     bounded_batches(docs.sparkSession)
-    kept = docs.drop("lang_pred", "score", "__lang", "__best", "__total")
+    kept, columns = renamed(docs, ("doc_id", text_col), ("lang_pred", "score"))
     found = kept.withColumns({"__lang": F.lit(None).cast("string"), "__best": F.lit(None).cast("double"), "__total": F.lit(None).cast("double")})
     for langs in language_groups(counts, size):
         found = _pass(found, text_col, model_file, langs, probabilities(counts, langs, model_file))
     told = F.col("__lang").isNotNull() & F.col(text_col).cast("string").rlike(r"\p{L}")
     pred, score = F.when(told, F.col("__lang")).otherwise(UND), F.when(told, F.exp(F.col("__best") - F.col("__total"))).otherwise(0.0)
-    return found.select(*kept.columns, pred.alias("lang_pred"), F.least(score, F.lit(1.0)).alias("score"))
+    return found.select(*columns, pred.alias("lang_pred"), F.least(score, F.lit(1.0)).alias("score"))
 
 
 def identify(docs: DataFrame, model_file: str) -> DataFrame:

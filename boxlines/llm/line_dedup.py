@@ -10,8 +10,9 @@ further place that has the same bytes is removed.
 
 Edge cases: a null text stays null; an empty text has one empty line and nothing to remove; a chunk of under
 MIN_WORDS words is never removed; rows that agree in doc_id and text are one document to this operator, so
-they keep and lose the same chunks; null ids come first; input columns that clash with computed ones are
-replaced.
+they keep and lose the same chunks; null ids come first; texts may be of any length; an empty table stays one;
+the input may have columns of any names, of which n_removed and removed_chars are replaced. What that leaves
+of repeated passages, see `line_runs`.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, salted, spread, stored
+from .common import hot_keys, packed, salted, spread, stored
 
 DIVISOR = 2
 MIN_WORDS = 10
@@ -77,16 +78,15 @@ def removals(docs: DataFrame, divisor: int = DIVISOR, min_words: int = MIN_WORDS
 
 def dedup(docs: DataFrame, divisor: int = DIVISOR, min_words: int = MIN_WORDS, long_line: int = LONG_LINE) -> DataFrame:
     """The rows of docs with `text` less its repeated chunks, and n_removed and removed_chars (long)."""
-    kept = docs.drop("n_removed", "removed_chars", "__hash", "__removed", "chunks")
-    lost = stored(removals(kept, divisor, min_words, long_line).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text_hash"), F.col("removed").alias("__removed")), "removals")
-    keyed = kept.withColumn("__hash", F.xxhash64("text"))
-    joined = keyed.join(lost.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text_hash")), "left")
-    touched = with_chunks(joined.withColumn("__touched", F.col("text")).withColumn("text", F.when(F.col("__removed").isNotNull(), F.col("text"))), divisor)
-    rest = F.array_join(F.filter("chunks", lambda _, k: ~F.array_contains("__removed", k)), "\n")
-    after = F.when(F.col("__removed").isNull(), F.col("__touched")).otherwise(rest)
-    out = touched.withColumn("text", after).withColumn("n_removed", F.coalesce(F.size("__removed"), F.lit(0)).cast("long")).withColumn("removed_chars", F.coalesce(F.length("__touched") - F.length("text"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_removed", F.when(F.col("n_removed") < 0, F.lit(0).cast("long")).otherwise(F.col("n_removed")))
-    return out.select(*kept.columns, "n_removed", "removed_chars")
+    kept = packed(docs, "n_removed", "removed_chars")
+    lost = stored(removals(kept.select("row.doc_id", "row.text"), divisor, min_words, long_line).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "removed"), "removals")
+    keyed = kept.select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("text_hash"))
+    joined = keyed.join(lost.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
+    touched = with_chunks(joined.select("row", "removed", F.when(F.col("removed").isNotNull(), F.col("row.text")).alias("text")), divisor)
+    rest = F.array_join(F.filter("chunks", lambda _, k: ~F.array_contains("removed", k)), "\n")
+    made = touched.select("row", F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(rest).alias("text"), F.greatest(F.coalesce(F.size("removed"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"))
+    chars = F.coalesce(F.length("row.text") - F.length("text"), F.lit(0)).cast("long")
+    return made.select(F.col("row").withField("text", F.col("text")).alias("row"), "n_removed", chars.alias("removed_chars")).select("row.*", "n_removed", "removed_chars")
 
 
 SQL = r"""

@@ -1,15 +1,21 @@
 """Line dedup of every repeated run of lines, with DataFrame functions alone.
 
-Candidates are the chunks of `line_dedup` and, besides them, windows: from each line that has a word, the
-fewest further such lines that make LONG_LINE words, once forward and once backward. A window's content
-depends on where it starts (or ends) alone, and the windows inside a run of LONG_LINE words or more cover all
-of it, so every such run that stands elsewhere is found whole, whatever stands around it. Candidates are
-counted by hash, those that stand in several places compared byte by byte with their first place (least
-doc_id, then text hash, then line), and the lines of each further place that has the same bytes are removed.
-
-Edge cases: lines without words neither count nor part a window; within one document, a place that overlaps
-the first keeps its lines; a line is removed only if it also stands at an earlier place, so one copy of each
-remains; the rest is as in `line_dedup`.
+Two kinds of candidates: the chunks of `line_dedup`, and every pair of lines that follow each other (lines
+without words aside), as well as every single line of LONG_LINE words. A line is hashed once, to 128 bits;
+pairs and chunks are hashed from the hashes of their lines. Candidates are counted by half of their hash
+alone; of those that stand in several places the first (least doc_id, then text hash, then line) keeps its
+lines. Chunks of any other place go; of pairs, those that follow each other make a run, and a run of
+LONG_LINE words goes. So a repeated passage of LONG_LINE words and more goes whole, whatever stands around
+it and wherever its chunks end: its pairs are in it, and depend on nothing else. Bytes are compared by line:
+a hash that two different lines share is found by the least and greatest line that has it, and candidates
+with such a line stay.
+
+Edge cases: within one document, a pair that begins within LONG_LINE words of its first place keeps its lines;
+of every line that is removed an earlier copy remains, as a line's first copy can't be in a later place of
+anything; lines without words go where they stand inside of what goes; a null text
+stays null, an empty one empty; rows that agree in doc_id and text are one document, so they keep and lose
+the same lines; null ids come first; texts may be of any length; an empty table stays one; the input may have
+columns of any names, of which n_removed (lines) and removed_chars are replaced.
 """
 
 from __future__ import annotations
@@ -19,11 +25,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, salted, spread, stored
+from .common import hot_keys, packed, salted, spread, stored
 from .line_dedup import LONG_LINE, MIN_WORDS, with_ends
 
-#: A candidate is first line << 32 | last line << 1 | whether it is a chunk.
-_FIRST, _LAST = 1 << 32, (1 << 31) - 1
+#: A candidate is first line << 33 | last line << 2 | its kind: a single line, a pair or a chunk. Lines are
+#: numbered from 0; single ones and pairs, among the lines that have words.
+_SINGLE, _PAIR, _CHUNK = 0, 1, 2
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -31,90 +38,156 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _code(first: Column, last: Column, kind: int) -> Column:
+    return F.shiftleft(first.cast("long"), 33) + F.shiftleft(last.cast("long"), 2) + F.lit(kind).cast("long")
+
+
 def _first(code: Column) -> Column:
-    return F.shiftright(code, 32).cast("int")
+    return F.shiftright(code, 33).cast("int")
 
 
 def _last(code: Column) -> Column:
-    return F.shiftright(code, 1).bitwiseAND(_LAST).cast("int")
+    return F.shiftright(code, 2).bitwiseAND((1 << 31) - 1).cast("int")
 
 
-def _bodies(codes: Column, made: Callable[[Column, Column], Column]) -> Column:
-    """made(candidate, its text) for each: a chunk's lines, or those of a window that have words."""
-    lines = F.split("text", "\n", -1)
-    worded = F.transform(lines, lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), x))  # joining leaves nulls out
+def _kind(code: Column) -> Column:
+    return code.bitwiseAND(3)
 
-    def of(both: Column) -> Column:
-        span = lambda some, c: F.array_join(F.slice(both[some], _first(c) + 1, _last(c) - _first(c) + 1), "\n")
-        return F.transform(codes, lambda c: _let(F.when(c % 2 == 1, span("lines", c)).otherwise(span("worded", c)), lambda x: made(c, x)))
 
-    return _let(F.struct(lines.alias("lines"), worded.alias("worded")), of)
+def _line_hashes(line: Column) -> list[Column]:
+    return [F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b")]
 
 
 def with_candidates(texts: DataFrame, min_words: int = MIN_WORDS, long_line: int = LONG_LINE) -> DataFrame:
-    """Adds `__codes`, array<long>: the text's chunks that are worth removing, and its windows."""
+    """Adds `candidates`, array<struct<code,a,b>>: chunks worth removing, pairs and long lines of a text."""
     made = with_ends(texts)
-    spans = F.transform("__ends", lambda end, k: F.coalesce(F.get("__ends", k - 1) + 1, F.lit(0)).cast("long") * _FIRST + end.cast("long") * 2 + 1)
-    made = made.withColumn("__words", F.transform("__lines", lambda x, i: F.struct(i.alias("i"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("w"))))
+    about = F.transform("__lines", lambda x, i: F.struct(i.alias("i"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("w"), *_line_hashes(x)))
+    full = F.transform(F.filter("__about", lambda x: x["w"] > 0), lambda x, k: x.withField("i", k))
+    made = made.withColumn("__about", about).withColumn("__full", full)
+
+    def struct(first: Column, last: Column, kind: int, *of: Callable[[str], Column]) -> Column:
+        a, b = (F.xxhash64(F.lit(kind), *(x(half) for x in of)) for half in "ab")
+        return F.struct(_code(first, last, kind).alias("code"), a.alias("a"), b.alias("b"))
+
+    singles = F.transform(F.filter("__full", lambda x: x["w"] >= long_line), lambda x: struct(x["i"], x["i"], _SINGLE, lambda half: x[half]))
+    n = F.size("__full")
+    ahead = F.slice("__full", F.lit(2), F.greatest(n - 1, F.lit(0)))
+    pairs = F.zip_with(F.slice("__full", F.lit(1), F.greatest(n - 1, F.lit(0))), ahead, lambda x, y: struct(x["i"], y["i"], _PAIR, lambda half: x[half], lambda half: y[half]))
+
+    def chunk(end: Column, k: Column) -> Column:
+        """A chunk's code, hashes and words."""
+        start = F.coalesce(F.get("__ends", k - 1) + 1, F.lit(0))
+        hashes = lambda some: struct(start, end, _CHUNK, lambda half: F.transform(some, lambda x: x[half]))
+        part = lambda some: hashes(some).withField("w", F.aggregate(some, F.lit(0), lambda n, x: n + x["w"]))
+        return _let(F.slice("__about", start + 1, end - start + 1), part)
+
+    worth = lambda c: (c["w"] >= min_words) & (_last(c["code"]) > _first(c["code"]))
+    chunks = F.transform(F.filter(F.transform("__ends", chunk), worth), lambda c: c.dropFields("w"))
+    return made.withColumn("candidates", F.concat(singles, pairs, chunks)).drop("__lines", "__ends", "__about", "__full")
+
+
+def places(docs: DataFrame, min_words: int = MIN_WORDS, long_line: int = LONG_LINE) -> DataFrame:
+    """(doc_id, text_hash, later, first): the candidates of each document (doc_id, text) that stand elsewhere
+    too, by whether another place is the first; if that is in the document itself, `own` says with which line
+    it begins."""
+    keyed = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    listed = with_candidates(keyed, min_words, long_line).select("doc_id", "text_hash", F.explode_outer("candidates").alias("c"))
+    hashed = stored(listed.select("doc_id", "text_hash", "c.*").where("code IS NOT NULL"), "candidates")
+    # which stand in several places: counts by half a hash, summed before the shuffle
+    several = stored(hashed.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    hot = hot_keys(several, "a")
+    parts = spread(several.drop("n"), hot, ["a"])
+    hits = stored(salted(hashed, hot, ["a"], ["doc_id", "text_hash", "code"]).join(parts.hint("merge"), ["a", "__salt"]), "hits")
+    place = F.struct("doc_id", "text_hash", "code")
+    firsts = hits.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    firsts = stored(firsts.where(F.col("first") != F.col("last")).drop("last"), "firsts")
+    found = hits.join(spread(firsts, hot, ["a"]).hint("merge"), ["a", "b", "__salt"])
+    is_first = place.eqNullSafe(F.col("first"))
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    later = ~is_first & ~(own & (_first(F.col("code")) <= _last(F.col("first.code"))))
+    told = F.struct("code", F.when(own, _first(F.col("first.code"))).alias("own"))
+    listed = lambda which, what, name: F.sort_array(F.collect_set(F.when(which, what))).alias(name)
+    return found.groupBy("doc_id", "text_hash").agg(listed(later, told, "later"), listed(is_first, F.col("code"), "first"))
 
-    def worth(words: Column) -> Column:
-        total = lambda c: F.aggregate(F.slice(words, _first(c) + 1, _last(c) - _first(c) + 1), F.lit(0), lambda a, x: a + x["w"])
-        return F.filter(spans, lambda c: _let(total(c), lambda n: (n >= min_words) & ((_last(c) > _first(c)) | (n >= long_line))))
 
-    made = made.withColumn("__chunks", _let(F.col("__words"), worth)).withColumn("__full", F.filter("__words", lambda x: x["w"] > 0))
+def _has_words(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
-    def reach(some: Column) -> Column:
-        """The line with which these lines first make long_line words, or -1."""
-        start = F.struct(F.lit(0).alias("w"), F.lit(-1).alias("i"))
-        add = lambda a, x: F.when(a["w"] >= long_line, a).otherwise(F.struct((a["w"] + x["w"]).alias("w"), x["i"].alias("i")))
-        return F.aggregate(some, start, add, lambda a: F.when(a["w"] >= long_line, a["i"]).otherwise(-1))
 
-    code = lambda a, b: F.when((a >= 0) & (b >= 0), a.cast("long") * _FIRST + b.cast("long") * 2)
-    forward = F.transform("__full", lambda x, k: code(x["i"], reach(F.slice("__full", k + 1, F.lit(long_line)))))
-    before = lambda k: F.slice("__full", F.greatest(k + 2 - long_line, F.lit(1)), F.least(k + 1, F.lit(long_line)))
-    backward = F.transform("__full", lambda x, k: code(reach(F.reverse(before(k))), x["i"]))
-    return made.withColumn("__codes", F.array_compact(F.array_distinct(F.concat("__chunks", forward, backward)))).drop("__lines", "__ends", "__words", "__chunks", "__full")
+def _worded(lines: Column) -> Column:
+    """The numbers of the lines that have words."""
+    return F.filter(F.transform(lines, lambda x, i: F.when(_has_words(x), i)), lambda i: i.isNotNull())
 
 
-def removals(docs: DataFrame, min_words: int = MIN_WORDS, long_line: int = LONG_LINE) -> DataFrame:
-    """(doc_id, text_hash, removed array<long>): the candidates that each document loses."""
-    keyed = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    hashes = _bodies(F.col("__codes"), lambda c, x: F.struct(c.alias("code"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b")))
-    hashed = with_candidates(keyed, min_words, long_line).select("doc_id", "text_hash", F.explode_outer(hashes).alias("c")).select("doc_id", "text_hash", "c.*").where("code IS NOT NULL")
-    hashed = stored(hashed, "candidates")
-    place = F.struct("doc_id", "text_hash", "code")
-    spans = hashed.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
-    repeated = stored(spans.where(F.col("first") != F.col("last")).select("a", "b", "first", "n"), "repeated")
-    hot = hot_keys(repeated, "a", "b")
-    parts = spread(repeated.drop("n"), hot, ["a", "b"])
-    hits = salted(hashed, hot, ["a", "b"], ["doc_id", "text_hash", "code"]).join(parts.hint("merge"), ["a", "b", "__salt"])
-    per_doc = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("code", "a", "b", "first")).alias("hits"))
-    per_doc = stored(per_doc.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text_hash"), "hits"), "hits")
-    # rows that agree in doc_id and text are one document
-    texts = keyed.join(per_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__text_hash")))
-    bodies = F.arrays_zip("hits", _bodies(F.col("hits.code"), lambda _, x: x).alias("body"))
-    found = texts.select("doc_id", "text_hash", F.explode_outer(bodies).alias("h")).select("doc_id", "text_hash", "h.hits.*", F.col("h.body"))
-    found = stored(salted(found, hot, ["a", "b"], ["doc_id", "text_hash", "code"]), "places")
-    is_first = place.eqNullSafe(F.col("first"))
-    firsts = found.where(is_first).groupBy("a", "b").agg(F.first("body").alias("first_body"))
-    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    overlaps = own & (_first(F.col("code")) <= _last(F.col("first.code")))
-    same = found.where(~is_first & ~overlaps).join(spread(firsts, hot, ["a", "b"]).hint("merge"), ["a", "b", "__salt"]).where(F.col("body").cast("binary") == F.col("first_body").cast("binary"))
-    return same.groupBy("doc_id", "text_hash").agg(F.collect_set("code").alias("removed"))
+def _lines_of(code: Column, worded: Column) -> Column:
+    """The numbers of a candidate's lines, those without words in between included."""
+    at = lambda k: F.when(_kind(code) == _CHUNK, k).otherwise(F.get(worded, k))
+    return F.sequence(at(_first(code)), at(_last(code)))
+
+
+def _gone(lines: Column, worded: Column, later: Column, long_line: int) -> Column:
+    """The numbers of the lines that go: of chunks, long lines, and runs of pairs with long_line words. A pair
+    whose first place is in the same document goes from long_line words behind it on."""
+
+    def words(some: Column) -> Column:
+        return F.regexp_count(F.array_join(F.transform(some, lambda i: F.get(lines, i)), "\n"), F.lit(r"[^\x20\x09-\x0D]+"))
+
+    def runs(pairs: Column) -> Column:
+        number = F.sequence(F.lit(1), F.size(pairs))
+        at = lambda k: F.get(pairs, k - 1)
+        starts = F.filter(number, lambda k: (k == 1) | (_last(at(k - 1)) != _first(at(k))))
+        ends = F.filter(number, lambda k: (k == F.size(pairs)) | (_last(at(k)) != _first(at(k + 1))))
+        return F.when(F.size(pairs) > 0, F.zip_with(starts, ends, lambda s, e: _code(_first(at(s)), _last(at(e)), _PAIR))).otherwise(F.array().cast("array<long>"))
+
+    def far(c: Column) -> Column:
+        apart = _first(c["code"]) - c["own"]
+        return c["own"].isNull() | (apart >= long_line) | (words(F.slice(worded, c["own"] + 1, F.greatest(apart, F.lit(0)))) >= long_line)
+
+    pairs = F.transform(F.filter(later, lambda c: (_kind(c["code"]) == _PAIR) & far(c)), lambda c: c["code"])
+    long_runs = F.filter(_let(pairs, runs), lambda c: words(F.slice(worded, _first(c) + 1, _last(c) - _first(c) + 1)) >= long_line)
+    rest = F.transform(F.filter(later, lambda c: _kind(c["code"]) != _PAIR), lambda c: c["code"])
+    return F.array_distinct(F.flatten(F.transform(F.concat(long_runs, rest), lambda c: _lines_of(c, worded))))
+
+
+def _told_apart(joined: DataFrame) -> DataFrame:
+    """joined (row, doc_id, text_hash, later, first) with `odd`: the numbers of a document's lines that share
+    their 128 bits with other bytes. Only lines of candidates are looked at; where no hash is shared, as
+    always but by design, that's all."""
+    codes = F.concat(F.transform("later", lambda c: c["code"]), F.col("first"))
+    of = lambda lines: _let(_worded(lines), lambda worded: F.transform(F.array_distinct(F.flatten(F.transform(codes, lambda c: _lines_of(c, worded)))), lambda i: F.struct(i.alias("i"), F.get(lines, i).alias("line"))))
+    lines = joined.where("later IS NOT NULL").select("doc_id", "text_hash", F.explode_outer(_let(F.split("row.text", "\n", -1), of)).alias("l")).select("doc_id", "text_hash", "l.i", "l.line", *_line_hashes(F.col("l.line")))
+    shared = lines.groupBy("a", "b").agg(F.min("line").alias("least"), F.max("line").alias("most")).where(F.col("least").cast("binary") != F.col("most").cast("binary"))
+    shared = stored(shared.select("a", "b"), "shared_hashes")
+    if not shared.limit(1).count():
+        return joined.withColumn("odd", F.lit(None).cast("array<int>"))
+    odd = lines.join(shared, ["a", "b"], "left_semi").groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_set("i").alias("odd"))
+    return joined.join(odd, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left").drop("id", "hash")
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, long_line: int = LONG_LINE) -> DataFrame:
     """The rows of docs with `text` less its repeated runs and chunks, and n_removed (lines) and
     removed_chars (long)."""
-    kept = docs.drop("n_removed", "removed_chars")
-    lost = stored(removals(kept, min_words, long_line).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text_hash"), F.col("removed").alias("__removed")), "removals")
-    joined = kept.withColumn("__hash", F.xxhash64("text")).join(lost.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text_hash")), "left")
-    spans = F.transform("__removed", lambda c: F.sequence(_first(c), _last(c)))
-    gone = joined.withColumn("__gone", F.array_distinct(F.flatten(spans)))
-    lines = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    rest = _let(lines, lambda some: F.array_join(F.transform(left, lambda i: F.get(some, i)), "\n"))
-    made = gone.withColumn("__rest", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest))
-    n = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
-    chars = F.coalesce(F.length("text") - F.length("__rest"), F.lit(0)).cast("long")
-    return made.withColumn("n_removed", n).withColumn("removed_chars", chars).withColumn("text", F.col("__rest")).select(*kept.columns, "n_removed", "removed_chars")
+    kept = packed(docs, "n_removed", "removed_chars")
+    lost = stored(places(kept.select("row.doc_id", "row.text"), min_words, long_line).withColumnsRenamed({"doc_id": "id", "text_hash": "hash"}), "places")
+    keyed = kept.select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("text_hash"))
+    joined = keyed.join(lost.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
+    told = _told_apart(stored(joined.drop("id", "hash"), "joined"))
+
+    def left(lines: Column) -> Column:
+        """What is left of a text that has candidates in later places, and how many lines go."""
+
+        def of(worded: Column) -> Column:
+            sound = F.filter("later", lambda c: ~F.exists("odd", lambda i: F.array_contains(_lines_of(c["code"], worded), i)))
+            return _let(_gone(lines, worded, F.when(F.col("odd").isNull(), F.col("later")).otherwise(sound), long_line), rest)
+
+        def rest(gone: Column) -> Column:
+            stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+            return F.struct(F.array_join(F.transform(stays, lambda i: F.get(lines, i)), "\n").alias("text"), F.size(gone).cast("long").alias("n"))
+
+        return _let(_worded(lines), of)
+
+    made = told.select("row", F.when(F.size("later") > 0, _let(F.split("row.text", "\n", -1), left)).alias("left"))
+    text = F.when(F.col("left.n") > 0, F.col("left.text")).otherwise(F.col("row.text"))
+    done = made.select("row", text.alias("text"), F.coalesce("left.n", F.lit(0)).cast("long").alias("n_removed"))
+    chars = F.coalesce(F.length("row.text") - F.length("text"), F.lit(0)).cast("long")
+    return done.select(F.col("row").withField("text", F.col("text")).alias("row"), "n_removed", chars.alias("removed_chars")).select("row.*", "n_removed", "removed_chars")

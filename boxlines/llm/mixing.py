@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_keys, salted, spread, stored
+from .common import hot_keys, quoted, renamed, salted, spread, stored
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -70,8 +70,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The rows of docs (doc_id, source, text, ...) with size, source_size, target and copies."""
-    docs = docs.drop("size", "source_size", "target", "copies", "__salt", "__salts", "__key", "__hash", "__draw")
-    sized = docs.withColumn("size", size_of(F.col("text"))).withColumn("__draw", draw(F.col("doc_id"), F.col("text"), seed))
+    kept, columns = renamed(docs, ("doc_id", "source", "text"), ("size", "source_size", "target", "copies"))
+    sized = kept.withColumn("size", size_of(F.col("text"))).withColumn("__draw", draw(F.col("doc_id"), F.col("text"), seed))
     targets = source_targets(sized.select("source", "size"), weights, cap)
     targets = stored(targets.select(F.col("key").alias("__key"), F.xxhash64("key").alias("__hash"), "source_size", "n_docs", "target"), "targets")
     # where the targets cannot be broadcast, the documents of a hot source are dealt to parts
@@ -82,12 +82,12 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, se
     parts = stored(spread(targets.drop("n_docs"), hot, ["__hash"]), "parts")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + F.when(F.col("__draw") < rate - F.floor(rate), 1).otherwise(0)
-    return keyed.join(parts, ["__hash", "__key", "__salt"]).withColumn("copies", copies.cast("long")).select(*docs.columns, "size", "source_size", "target", "copies")
+    return keyed.join(parts, ["__hash", "__key", "__salt"]).withColumn("copies", copies.cast("long")).select(*columns, "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs."""
-    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("__row"))
+    rows = docs.select("doc_id", "source", "text", F.struct(*quoted(docs.columns)).alias("__row"))
     planned = plan(rows, weights, cap, seed).where("copies > 0")
     return planned.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__row.*")
 

@@ -25,6 +25,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import renamed
+
 ROUNDS = 10
 
 _LEFT, _RIGHT = r"(?<![0-9A-Za-z_])(?<![0-9][.\-/])", r"(?![0-9A-Za-z_])(?![.\-/][0-9])"
@@ -236,7 +238,7 @@ def pseudonym(hit: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The rows of docs with their texts pseudonymised under the key, and n_replaced (long)."""
-    kept = docs.drop("n_replaced", "__hits", "__new")
+    kept, columns = renamed(docs, (text_col,), ("n_replaced",))
     text = F.col(text_col).cast("string")
     # the cheap look goes first; texts without digits or @ are not searched
     hits = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
@@ -245,4 +247,4 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     whole = F.array_join(F.flatten(F.zip_with(gaps, F.col("__new"), lambda gap, new: F.array(gap, F.coalesce(new, F.lit(""))))), "")
     changed = F.coalesce(F.size(F.filter(F.zip_with("__hits", "__new", lambda a, b: a != b), lambda x: x)), F.lit(0))
     out = found.withColumn("n_replaced", F.when(changed > 0, changed).otherwise(0).cast("long")).withColumn(text_col, F.when(F.col("n_replaced") > 0, whole).otherwise(text))
-    return out.select(*kept.columns, "n_replaced")
+    return out.select(*columns, "n_replaced")
