@@ -9,8 +9,9 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from boxlines.llm import bpe, langid, mixing
+from boxlines.llm import bpe, langid
 
+from .test_edges import brute_runs
 from .test_operators import PIECES, RANKS, brute_components, words
 
 
@@ -26,18 +27,6 @@ def stages(spark, small, tmp_path_factory):
     return seen
 
 
-def chunks_of(text):
-    lines = text.split("\n")
-    hashes = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-    zero = [(h + 31 * (hashes[i - 1] if i else 0)) % 2 == 0 for i, h in enumerate(hashes)]
-    out, start = [], 0
-    for i in range(len(lines)):
-        if i == len(lines) - 1 or i > 0 and zero[i] and not zero[i - 1]:
-            out.append("\n".join(lines[start : i + 1]))
-            start = i + 1
-    return out
-
-
 def test_language_stage_keeps_what_has_a_language(stages):
     pred = {r.doc_id: r for r in langid.digests(stages[0], PIECES).collect()}
     want = {i: r.lang_pred for i, r in pred.items() if r.lang_pred != "und" and r.score >= corpus_pipeline.LEAST_SCORE}
@@ -48,20 +37,10 @@ def test_language_stage_keeps_what_has_a_language(stages):
 
 
 def test_line_stage_keeps_first_places(stages):
-    first, want = set(), {}
-    for r in sorted(stages[1].collect(), key=lambda r: r.doc_id):
-        kept, lost = [], 0
-        for chunk in chunks_of(r.text):
-            worth = len(words(chunk)) >= 10 and ("\n" in chunk or len(words(chunk)) >= 50)
-            if worth and chunk in first:
-                lost += 1
-            else:
-                kept.append(chunk)
-                first |= {chunk} if worth else set()
-        text = "\n".join(kept)
-        if not lost or words(text):
-            want[r.doc_id] = (text, len(text))
-    assert {r.doc_id: (r.text, r.n_chars) for r in stages[2].collect()} == want
+    given = {r.doc_id: r.text for r in stages[1].collect()}
+    want = {i: (text, len(text)) for i, (text, lost) in brute_runs(given).items() if not lost or words(text)}
+    got = {r.doc_id: (r.text, r.n_chars) for r in stages[2].collect()}
+    assert got == want
 
 
 def test_near_copy_stage_keeps_one_of_each(stages):
@@ -69,13 +48,30 @@ def test_near_copy_stage_keeps_one_of_each(stages):
     assert sorted(r.doc_id for r in stages[3].collect()) == sorted(least)
 
 
+def brute_targets(rows):
+    """Words of each source and its target: shares by weight, what is over 3 times a source's words dealt anew."""
+    sizes = {}
+    for r in rows:
+        sizes[r.source] = sizes.get(r.source, 0) + len(words(r.text))
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {x: (5, 2, 1)[i % 3] for i, x in enumerate(order)}
+    capped = set()
+    while True:
+        free = sum(sizes.values()) - sum(3 * sizes[x] for x in capped)
+        share = {x: free * weight[x] / sum(weight[y] for y in order if y not in capped) for x in order if x not in capped}
+        over = {x for x, t in share.items() if t > 3 * sizes[x]}
+        if not over:
+            return sizes, {x: share.get(x, 3 * sizes[x]) for x in order}
+        capped |= over
+
+
 def test_mixing_stage_takes_whole_copies(stages):
     rows = stages[3].collect()
-    planned = {r.doc_id: r for r in mixing.plan(stages[3]).collect()}
+    sizes, targets = brute_targets(rows)
     got = [r.doc_id for r in stages[4].collect()]
     for r in rows:
         u = int(hashlib.md5(f"mix:{r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
-        rate = planned[r.doc_id].target / planned[r.doc_id].source_size
+        rate = targets[r.source] / sizes[r.source]
         assert got.count(r.doc_id) == math.floor(rate) + (u < rate - math.floor(rate))
 
 
