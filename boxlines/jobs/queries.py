@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, text as names
 from ..operators import assign, connections, diagram, endpoints, extraction, files, images, outlines, regions, results, text, tiling, tracing
-from ..operators.stages import shared_dir
+from ..operators.stages import shared_dir, written
 from ..sources.fixtures import fixture, oracle
 from ..sources.pictures import write_pictures
 from ..streaming import intake
@@ -498,7 +498,7 @@ def _(spark, d):
 
 _PATHS = dict(
     p=oracle("fx_paths"),
-    w="SELECT *, 100 * (1.0::DOUBLE / pow(total_div + 1e-6, 2)) / sum(1.0::DOUBLE / pow(total_div + 1e-6, 2)) OVER (PARTITION BY diagram_id, start_index) AS probability, row_number() OVER (PARTITION BY diagram_id, start_index ORDER BY total_div, endpoint_index) AS rank FROM p",
+    w="SELECT *, 100 * (1.0::DOUBLE / pow(total_div + 1e-6, 2)) / sum(1.0::DOUBLE / pow(total_div + 1e-6, 2)) OVER (PARTITION BY diagram_id, start_index) AS probability, row_number() OVER (PARTITION BY diagram_id, start_index ORDER BY total_div, endpoint_index, path_len, class_a, class_b) AS rank FROM p",
     n="SELECT diagram_id, count(DISTINCT e) AS n_endpoints FROM (SELECT diagram_id, start_index AS e FROM p UNION SELECT diagram_id, endpoint_index FROM p) GROUP BY diagram_id",
     b="SELECT w.* FROM w JOIN n USING (diagram_id) WHERE n_endpoints > 2 AND (class_a IS DISTINCT FROM class_b OR path_len > 30) QUALIFY row_number() OVER (PARTITION BY diagram_id, start_index ORDER BY rank) = 1",
     k="SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY diagram_id, least(start_index, endpoint_index), greatest(start_index, endpoint_index) ORDER BY start_index) = 1",
@@ -868,11 +868,22 @@ def to_plantuml(spark, d):
 
 @query("a5_write_plantuml", f"SELECT CAST(diagram_id AS VARCHAR) AS diagram, plantuml FROM ({_PLANTUML})")
 def _(spark, d):
-    """Written in two runs, of which the second writes a third of the diagrams again, and read back."""
-    path, made = f"{shared_dir(spark)}/out/{uuid.uuid4().hex}", to_plantuml(spark, d)
-    files.write_plantuml(made, path)
-    files.write_plantuml(made.where("diagram_id % 3 = 0"), path)
-    return spark.read.parquet(path).select("diagram", "plantuml")
+    """Written in three runs and read back: all with other texts, all as they are but half of them put together
+    in a run of its own, and in between one that fails. Then brought together, and a part written again."""
+    path, made = f"{shared_dir(spark)}/out/{uuid.uuid4().hex}", written(to_plantuml(spark, d), "rendered")
+    half = F.col("diagram_id") % 2 == 0
+    files.write_plantuml(made.withColumn("plantuml", F.upper("plantuml")), path)
+    files.write_plantuml(made.where(half), path)
+    broken = F.when(F.col("diagram_id") % 3 == 0, F.raise_error(F.lit("no text"))).otherwise(F.lit("half a run"))
+    try:
+        files.write_plantuml(made.withColumn("plantuml", broken.cast("string")), path)
+    except Exception as failed:
+        if "no text" not in str(failed):
+            raise
+    files.write_plantuml(made.where(~half), path)
+    files.compact_plantuml(spark, path)
+    files.write_plantuml(made.where("diagram_id % 5 = 0"), path)
+    return files.read_plantuml(spark, path)
 
 
 @query("a6_stream_extract", "SELECT CAST(floor(l_orderkey / 100) AS BIGINT) AS diagram_id, count(*) AS n FROM lineitem GROUP BY 1")
@@ -886,6 +897,32 @@ def _(spark, d):
     return spark.read.parquet(f"{root}/out").groupBy("diagram_id").agg(F.sum("n").alias("n"))
 
 
+@query("a6_stream_pieces", _PLANTUML)
+def _(spark, d):
+    """Each diagram in three pieces: its class texts, and its relationships by odd and even number. They arrive in
+    batches of a few files, and then all once more."""
+    root = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    told = {"texts": _texts(spark, d), "links": fixture(spark, d, "fx_relationships")}
+    which = {"texts": F.lit(0), "links": (1 + F.col("rel_index") % 2).cast("int")}
+    rows = [t.select("diagram_id", which[n].alias("piece"), F.struct(F.lit(n).alias("table"), F.to_json(F.struct("*")).alias("row")).alias("r")) for n, t in told.items()]
+    known = rows[0].unionByName(rows[1]).groupBy("diagram_id", "piece").agg(F.collect_list("r").alias("payload"))
+    every = known.select("diagram_id").distinct().withColumn("piece", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
+    sent = F.timestamp_seconds(F.pmod(F.xxhash64("diagram_id", "piece"), F.lit(3600)))
+    pieces = every.join(known, ["diagram_id", "piece"], "left").select("diagram_id", sent.alias("sent"), "piece", F.lit(3).alias("n_pieces"), "payload")
+    pieces = written(pieces.repartition(8, "piece", "diagram_id"), "pieces")
+    for _ in range(2):
+        pieces.write.mode("append").parquet(f"{root}/in")
+
+    def render(diagrams: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+        classes = text.build_classes(tables["texts"])
+        return diagram.to_plantuml(diagrams, classes, diagram.build_relationships(tables["links"], classes))
+
+    stream = spark.readStream.schema(intake.PIECE).option("maxFilesPerTrigger", 6).parquet(f"{root}/in")
+    schemas = {n: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema.fields) for n, t in told.items()}
+    intake.stream_extract_pieces(stream, schemas, render, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("diagram_id", "plantuml")
+
+
 @query("l9_plantuml_key")
 def _(spark, d):
     return to_plantuml(spark, d).select("diagram_id", diagram.plantuml_key(F.col("plantuml")).alias("key"))

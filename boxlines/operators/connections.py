@@ -15,11 +15,13 @@ EMPTY = "Empty End"
 
 def path_probability(paths: DataFrame) -> DataFrame:
     """Adds probability (percent, by the inverse square of the turning) among the paths of one start, and
-    its rank, the earlier end first on ties."""
+    its rank: on ties the earlier end comes first, then the shorter path, then that whose points (or, without
+    points, classes) come first. So ranks don't depend on the order of the rows."""
     by = Window.partitionBy("diagram_id", "start_index")
+    order = ["total_div", "endpoint_index", *(c for c in ("path_len", "path", "class_a", "class_b") if c in paths.columns)]
     weight = 1.0 / F.pow(F.col("total_div") + 1e-6, F.lit(2.0))
     out = paths.withColumn("probability", 100 * weight / F.sum(weight).over(by))
-    return out.withColumn("rank", F.row_number().over(by.orderBy(F.col("total_div"), F.col("endpoint_index"))).cast("long"))
+    return out.withColumn("rank", F.row_number().over(by.orderBy(*order)).cast("long"))
 
 
 def best_connections(ranked: DataFrame, endpoints: DataFrame, scales: DataFrame | None = None, least: float = 30.0) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyarrow.fs import FileSystem
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_key
@@ -47,22 +50,59 @@ def skip_first(files: DataFrame, n: int = 8, column: str = "file_name") -> DataF
     return natural_order(files, column).where(F.col("position") > n)
 
 
-def write_plantuml(diagrams: DataFrame, path: str, name: str = "diagram_id", buckets: int = 64) -> None:
-    """The texts as a Parquet table (diagram, plantuml, part), dealt to `buckets` folders by a hash of the
-    name. Folders that get no row in this run stay, and of the others the rows that are not written anew are
-    carried over, so that what resuming relied on is kept; a diagram that comes again is replaced."""
-    spark = diagrams.sparkSession
-    part = F.pmod(F.xxhash64("diagram"), F.lit(buckets)).cast("int")
-    new = written(diagrams.select(F.col(name).cast("string").alias("diagram"), "plantuml").withColumn("part", part), "plantuml")
+_RUNS = "run string, number long, whole boolean"
+
+
+def _runs(spark: SparkSession, path: str) -> list[Row]:
+    """The runs that count, oldest first: those that ended, from the last one that holds all texts on."""
     try:
-        before = spark.read.schema(new.schema).parquet(path)
+        ended = spark.read.schema(_RUNS).parquet(f"{path}/runs").orderBy("number", "run").collect()  # a row a run
     except AnalysisException:  # the first run
-        before = None
-    if before is not None:
-        touched = new.select("part").distinct()
-        kept = before.join(F.broadcast(touched), "part", "left_semi").join(new.select("diagram"), "diagram", "left_anti")
-        new = new.unionByName(written(kept.select("diagram", "plantuml", "part"), "kept"))
-    new.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+        return []
+    whole = [i for i, r in enumerate(ended) if r.whole]
+    return ended[whole[-1] :] if whole else ended
+
+
+def _write_run(rows: DataFrame, path: str, whole: bool) -> str:
+    """Rows (diagram, plantuml) as a run of its own. What makes it count is one row, written when it ended."""
+    spark, run = rows.sparkSession, uuid.uuid4().hex
+    before = _runs(spark, path)
+    rows.write.parquet(f"{path}/rows/run={run}")
+    ended = spark.createDataFrame([(run, before[-1].number + 1 if before else 0, whole)], _RUNS).coalesce(1)
+    ended.write.mode("append").parquet(f"{path}/runs")
+    return run
+
+
+def write_plantuml(diagrams: DataFrame, path: str, name: str = "diagram_id") -> None:
+    """The texts (name, plantuml) as a further run of the table at path: what is written follows this run's
+    rows, whatever the table holds. A run that fails doesn't count; see read_plantuml."""
+    _write_run(diagrams.select(F.col(name).cast("string").alias("diagram"), "plantuml"), path, whole=False)
+
+
+def read_plantuml(spark: SparkSession, path: str) -> DataFrame:
+    """(diagram, plantuml) of the table at path: each diagram's text from the newest run that has it; of
+    several in one run, the greatest."""
+    runs = _runs(spark, path)
+    if not runs:
+        return spark.createDataFrame([], "diagram string, plantuml string")
+    schema = "diagram string, plantuml string, run string"
+    rows = spark.read.schema(schema).option("basePath", f"{path}/rows").parquet(*(f"{path}/rows/run={r.run}" for r in runs))
+    place = F.create_map(*(F.lit(x) for k, r in enumerate(runs) for x in (r.run, k)))
+    return rows.groupBy("diagram").agg(F.max(F.struct(place[F.col("run")].alias("at"), "plantuml")).alias("newest")).select("diagram", "newest.plantuml")
+
+
+def compact_plantuml(spark: SparkSession, path: str, drop: bool = True) -> None:
+    """Brings the runs together into one that holds all texts; `drop` removes what it takes the place of, which
+    readers that began earlier may still need."""
+    before = _runs(spark, path)
+    if len(before) < 2:
+        return
+    run = _write_run(read_plantuml(spark, path), path, whole=True)
+    if drop:
+        files, top = FileSystem.from_uri(path)
+        for r in before:
+            if r.run != run:
+                files.delete_dir(f"{top}/rows/run={r.run}")
 
 
 def write_eval_rows(sheet: DataFrame, updates: DataFrame, check_name: bool = True, overwrite: bool = False) -> DataFrame:

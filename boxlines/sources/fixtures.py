@@ -86,10 +86,10 @@ FROM {events} WHERE event_type = 'view'
 SELECT l_orderkey AS diagram_id, l_partkey % 6 AS start_index, l_suppkey % 6 AS endpoint_index,
        CASE WHEN l_partkey % 6 = 5 THEN NULL ELSE l_partkey % 3 END AS class_a,
        CASE WHEN l_suppkey % 6 = 5 THEN NULL ELSE l_suppkey % 3 END AS class_b,
-       CAST(max(l_quantity) AS DOUBLE) AS total_div,
+       CAST(floor(max(l_quantity) / 25) * 25 AS DOUBLE) AS total_div,
        CAST(max(l_linenumber) * 25 AS BIGINT) AS path_len
 FROM {lineitem} WHERE l_partkey % 6 <> l_suppkey % 6
-GROUP BY l_orderkey, l_partkey % 6, l_suppkey % 6,
+GROUP BY l_orderkey, l_linenumber % 2, l_partkey % 6, l_suppkey % 6,
          CASE WHEN l_partkey % 6 = 5 THEN NULL ELSE l_partkey % 3 END,
          CASE WHEN l_suppkey % 6 = 5 THEN NULL ELSE l_suppkey % 3 END
 """,

@@ -86,8 +86,28 @@ def test_folder_of_pictures(spark, tmp_path):
     out = str(tmp_path / "out")
     for some in ([(i, "first") for i in range(200)], [(i, "again") for i in range(150, 250)]):
         files.write_plantuml(spark.createDataFrame(some, "diagram_id long, plantuml string"), out)
-    got = {r.diagram: r.plantuml for r in spark.read.parquet(out).collect()}
-    assert got == {str(i): "first" if i < 150 else "again" for i in range(250)} and spark.read.parquet(out).count() == 250
+    got = {r.diagram: r.plantuml for r in files.read_plantuml(spark, out).collect()}
+    assert got == {str(i): "first" if i < 150 else "again" for i in range(250)} and files.read_plantuml(spark, out).count() == 250
+
+
+def test_texts_are_appended_and_brought_together(spark, tmp_path):
+    out, texts = f"file://{tmp_path}/out", lambda some: spark.createDataFrame(some, "diagram_id long, plantuml string")
+    size = lambda: sum(f.stat().st_size for f in tmp_path.rglob("part-*"))
+    assert files.read_plantuml(spark, out).count() == 0
+    files.write_plantuml(texts([(i, f"{i} " * 2000) for i in range(300)]), out)
+    before = size()
+    files.write_plantuml(texts([(7, "new"), (7, "a"), (999, "more")]), out)
+    assert size() - before < 0.2 * before  # a small run writes little, whatever is there
+    with pytest.raises(Exception, match="no text"):
+        files.write_plantuml(texts([(i, "half") for i in range(9)]).withColumn("plantuml", F.when(F.col("diagram_id") == 8, F.raise_error(F.lit("no text")).cast("string")).otherwise(F.col("plantuml"))), out)
+    want = {str(i): f"{i} " * 2000 for i in range(300)} | {"7": "new", "999": "more"}
+    got = lambda: {r.diagram: r.plantuml for r in files.read_plantuml(spark, out).collect()}
+    assert got() == want
+    files.compact_plantuml(spark, out)
+    files.compact_plantuml(spark, out)
+    assert got() == want
+    files.write_plantuml(texts([(7, "newest")]), out)
+    assert got() == want | {"7": "newest"}
 
 
 def pngs(path):

@@ -1,6 +1,7 @@
 """Boundaries, ties and empty tables of the diagram operators on hand-made rows."""
 
 import base64
+import datetime
 import zlib
 from itertools import permutations
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from boxlines.functions import text as names
 from boxlines.operators import assign, connections, diagram, endpoints, files, regions, text, tiling, tracing
-from boxlines.streaming.intake import stream_extract
+from boxlines.streaming.intake import PIECE, stream_extract, stream_extract_pieces
 
 REGION = "diagram_id long, region_id long, label string, x double, y double, width double, height double, score double"
 
@@ -177,6 +178,46 @@ def test_stream_takes_each_input_once(spark, tmp_path):
     assert spark.read.parquet(out).count() == 2
 
 
+def test_pieces_make_each_diagram_once(spark, tmp_path):
+    at = datetime.datetime(2026, 1, 1)
+    rows = [(i, at, p, 3, [("t", f'{{"diagram_id":{i},"p":{p}}}')] if p else None) for i in range(6) for p in range(3)]
+    put = lambda some: spark.createDataFrame(some, PIECE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    fail, taken = [False], []
+
+    def job(diagrams, tables):
+        if fail[0]:
+            raise RuntimeError("stopped within a batch")
+        taken.append(sorted(r.diagram_id for r in diagrams.collect()))
+        return diagrams.join(tables["t"], "diagram_id", "left")
+
+    def run():
+        stream = spark.readStream.schema(PIECE).parquet(f"{tmp_path}/in")
+        stream_extract_pieces(stream, {"t": "diagram_id long, p int"}, job, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+
+    put(rows[:7])
+    run()
+    put(rows[2:11] + [(None, at, 0, 1, None)])
+    fail[0] = True
+    with pytest.raises(Exception, match="stopped within a batch"):
+        run()
+    fail[0] = False
+    run()
+    put(rows[::-1])
+    run()
+    assert [x for x in taken if x] == [[0, 1], [2], [3, 4, 5]]
+    got = sorted((r.diagram_id, r.p) for r in spark.read.parquet(f"{tmp_path}/out").where("p IS NOT NULL").collect())
+    assert got == [(i, p) for i in range(6) for p in (1, 2)]
+
+
+def test_ranks_of_paths_dont_depend_on_the_order_of_rows(spark):
+    rows = [(1, 0, 1, 5, 6, 10.0, n, [(0.0, float(n)), (1.0, x)]) for n in (50, 90, 20) for x in (3.0, 2.0)] + [(1, 0, 2, 5, 6, 10.0, 10, [(0.0, 0.0)])]
+    schema = "diagram_id long, start_index long, endpoint_index long, class_a long, class_b long, total_div double, path_len long, path array<struct<x:double,y:double>>"
+    got = [sorted(map(str, connections.path_probability(spark.createDataFrame(some, schema)).collect())) for some in (rows, rows[::-1])]
+    assert got[0] == got[1]
+    best = connections.path_probability(spark.createDataFrame(rows, schema)).where("rank = 1").first()
+    assert (best.endpoint_index, best.path_len, best.path[1].y) == (1, 20, 2.0)
+
+
 def test_reach_and_least_length_follow_the_scale(spark):
     scales = spark.createDataFrame([(1, 2.0), (2, 0.5)], "diagram_id long, scale double")
     boxes = spark.createDataFrame([(d, 0, 0.0, 0.0, 10.0, 10.0) for d in (1, 2)], "diagram_id long, left_id long, x1 double, y1 double, x2 double, y2 double")
