@@ -1234,6 +1234,32 @@ def _(spark, d):
     return paths.select("diagram_id", "start_index", "endpoint_index", "total_div", F.size("nodes").cast("long").alias("n"), F.size("path").cast("long").alias("path_len"))
 
 
+_TURN = """CASE WHEN r.kind <> 'crossing' OR r.px IS NULL OR sqrt(pow(r.x - r.px, 2) + pow(r.y - r.py, 2)) * sqrt(pow(m.x - r.x, 2) + pow(m.y - r.y, 2)) = 0 THEN 0.0::DOUBLE
+     ELSE degrees(acos(greatest(-1, least(1, ((r.x - r.px) * (m.x - r.x) + (r.y - r.py) * (m.y - r.y)) / (sqrt(pow(r.x - r.px, 2) + pow(r.y - r.py, 2)) * sqrt(pow(m.x - r.x, 2) + pow(m.y - r.y, 2))))))) END"""
+#: A graph over each diagram's boxes: every third is an endpoint, a crossing or a border point, and about a
+#: quarter of the pairs are tied.
+_NET = dict(
+    n="SELECT diagram_id, class_index AS i, CASE class_index % 3 WHEN 0 THEN 'endpoint' WHEN 1 THEN 'crossing' ELSE 'border' END AS kind, CASE class_index % 3 WHEN 0 THEN 'e' WHEN 1 THEN 'c' ELSE 'b' END || class_index AS node, x, y FROM (" + _BOXES + ")",
+    t="SELECT a.diagram_id, a.node AS a, b.node AS b FROM n a JOIN n b ON a.diagram_id = b.diagram_id AND a.i < b.i WHERE (a.diagram_id * 7 + a.i * 3 + b.i * 5) % 4 = 0",
+    w="SELECT diagram_id, a, b FROM t UNION ALL SELECT diagram_id, b, a FROM t",
+    r=f"""SELECT diagram_id, i AS start_index, i, kind, x, y, NULL::DOUBLE AS px, NULL::DOUBLE AS py, 0.0::DOUBLE AS turned, [node] AS nodes FROM n WHERE kind = 'endpoint'
+          UNION ALL SELECT r.diagram_id, r.start_index, m.i, m.kind, m.x, m.y, r.x, r.y, r.turned + {_TURN}, list_append(r.nodes, m.node)
+          FROM r JOIN w ON w.diagram_id = r.diagram_id AND w.a = r.nodes[-1] JOIN n m ON m.diagram_id = w.diagram_id AND m.node = w.b WHERE (r.kind <> 'endpoint' OR len(r.nodes) = 1) AND NOT list_contains(r.nodes, m.node)""",
+)
+
+
+@query("h6_paths_of_graph", _with(**_NET) + "SELECT diagram_id, start_index, i AS endpoint_index, round(turned, 2) AS total_div, array_to_string(nodes, '>') AS nodes, CAST(2 * (len(nodes) - 1) AS BIGINT) AS path_len FROM r WHERE kind = 'endpoint' AND len(nodes) > 1")
+def _(spark, d):
+    i = F.col("class_index")
+    kind, letter = (F.when(i % 3 == 0, a).when(i % 3 == 1, b).otherwise(c) for a, b, c in (("endpoint", "crossing", "border"), ("e", "c", "b")))
+    nodes = fixture(spark, d, "fx_class_boxes").select("diagram_id", i, F.concat(letter, i.cast("string")).alias("node"), kind.alias("kind"), "x", "y")
+    point = F.array(F.struct("x", "y"))
+    one, two = (nodes.select("diagram_id", F.col("class_index").alias(f"{k}_index"), F.col("node").alias(k), point.alias(f"{k}_point")) for k in "ab")
+    tied = one.join(two, "diagram_id").where((F.col("a_index") < F.col("b_index")) & ((F.col("diagram_id") * 7 + F.col("a_index") * 3 + F.col("b_index") * 5) % 4 == 0))
+    paths = tracing.enumerate_paths(nodes, tied.select("diagram_id", "a", "b", F.concat("a_point", "b_point").alias("path")))
+    return paths.select("diagram_id", "start_index", "endpoint_index", "total_div", F.array_join("nodes", ">").alias("nodes"), F.size("path").cast("long").alias("path_len"))
+
+
 # compositions over labels, and text reading
 
 

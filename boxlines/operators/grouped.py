@@ -21,11 +21,11 @@ def _rows(column: pa.ListArray) -> Iterator[list[tuple]]:
         at += n
 
 
-def per_group(tables: list[tuple[DataFrame, tuple[str, ...]]], keys: tuple[str, ...], work: Callable[..., list[tuple]], schema: str) -> DataFrame:
-    """work(key, rows of each table) for each key of any of the tables; its tuples follow the key's columns
-    and are named by schema. A table's rows come as tuples of the named columns, in no order. Rows are
-    gathered by key before they meet, so that one shuffle a table and one call to Python a batch of groups is
-    all; a group (a diagram, or less) must fit a task."""
+def per_batch(tables: list[tuple[DataFrame, tuple[str, ...]]], keys: tuple[str, ...], work: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """work([(key, rows of each table), ..]) for the keys of any of the tables, a batch of them at a time; it
+    returns tuples of the keys' values and what schema names. A table's rows come as tuples of the named
+    columns, in no order. Rows are gathered by key before they meet, so that one shuffle a table and one call
+    to Python a batch of groups is all; a group (a diagram, or less) must fit a task."""
     whole = None
     for i, (table, columns) in enumerate(tables):
         rows = table.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias(f"__rows{i}"))
@@ -37,10 +37,13 @@ def per_group(tables: list[tuple[DataFrame, tuple[str, ...]]], keys: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                made: list[tuple] = []
-                for *key, one in zip(*(c.to_pylist() for c in batch.columns[:n_keys]), zip(*map(_rows, batch.columns[n_keys:]), strict=True), strict=True):
-                    made += [(*key, *row) for row in work(tuple(key), *one)]
+                made = work([(tuple(key), *one) for *key, one in zip(*(c.to_pylist() for c in batch.columns[:n_keys]), zip(*map(_rows, batch.columns[n_keys:]), strict=True), strict=True)])
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made, strict=True), arrow, strict=True)], schema=arrow)
 
     return whole.select(*keys, *(f"__rows{i}" for i in range(len(tables)))).mapInArrow(run, out)
+
+
+def per_group(tables: list[tuple[DataFrame, tuple[str, ...]]], keys: tuple[str, ...], work: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """work(key, rows of each table) for each key, as in per_batch; its tuples follow the key's columns."""
+    return per_batch(tables, keys, lambda groups: [(*key, *row) for key, *rows in groups for row in work(key, *rows)], schema)

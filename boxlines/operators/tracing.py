@@ -1,17 +1,16 @@
 """From thinned lines to paths between line ends.
 
 Pixels: (diagram_id, y, x). Crossings: (diagram_id, crossing_index, x, y, w, h). Endpoints: (diagram_id,
-endpoint_index, x, y). Walks within a diagram depend on order and are one task's work."""
+endpoint_index, x, y). Lines are followed many diagrams at a time, each diagram within one task."""
 
 from __future__ import annotations
 
-import math
-from collections import deque
-
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grouped import per_group
+from .grouped import per_batch, per_group
+from .stages import written
 
 STEPS = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
 
@@ -82,69 +81,157 @@ def snap_endpoints(endpoints: DataFrame, pixels: DataFrame, cell: int = 16) -> D
     return close.unionByName(far).withColumn("__at", owner).where("__at = 1").select("diagram_id", "endpoint_index", F.col("s.py").alias("py"), F.col("s.px").alias("px"))
 
 
-def walk(ink: set[tuple[int, int]], starts: list[tuple[int, int]], stop, barred: tuple[int, int] | None = None) -> tuple[str | None, list[tuple[int, int]]]:
-    """Breadth first over touching pixels from the starts to the first pixel for which stop gives a name; the
-    name and the path, or None and nothing. A pixel that waits is entered anew from each pixel which touches
-    it, and the last of these is where the path came from."""
-    came: dict[tuple[int, int], tuple[int, int]] = {}
-    done: set[tuple[int, int]] = set()
-    todo = deque(starts)
-    while todo:
-        here = todo.popleft()
-        if here in done or here == barred:
-            continue
-        done.add(here)
-        name = stop(here)
-        if name is not None:
-            path = [here]
-            while path[-1] in came:
-                path.append(came[path[-1]])
-            return name, path[::-1]
-        for dy, dx in STEPS:
-            there = (here[0] + dy, here[1] + dx)
-            if there in ink and there not in done and there != barred:
-                came[there] = here
-                todo.append(there)
-    return None, []
+#: Places of pixels in the order array of one wave; more sources wait for the next.
+WAVE = 1 << 24
+
+
+class _Lines:
+    """The pixels of one diagram, numbered in row order, and for each the numbers of its eight neighbours."""
+
+    def __init__(self, ink: list[tuple]) -> None:
+        at = np.array(sorted(set(ink)), dtype=np.int64).reshape(-1, 2)
+        self.points = [(y, x) for y, x in at.tolist()]
+        self.number = {p: i for i, p in enumerate(self.points)}
+        width = int(at[:, 1].max() - at[:, 1].min()) + 3 if len(at) else 3
+        codes = at[:, 0] * width + at[:, 1]
+        self.near = np.full((len(at), 8), -1, dtype=np.int64)
+        for k, (dy, dx) in enumerate(STEPS):
+            want = codes + dy * width + dx
+            place = np.minimum(np.searchsorted(codes, want), max(len(codes) - 1, 0))
+            hit = codes[place] == want if len(codes) else np.zeros(0, dtype=bool)
+            self.near[hit, k] = place[hit]
+
+
+class _Source:
+    """Where a line is followed from: the first pixels, one that is never entered, and which stops count."""
+
+    def __init__(self, lines: int, own: int, group: int, starts: list[int], barred: int) -> None:
+        self.lines, self.own, self.group, self.starts, self.barred = lines, own, group, starts, barred
+
+
+def follow(lines: list[_Lines], stops: list[np.ndarray], groups: list[np.ndarray], sources: list[_Source]) -> list[list[int]]:
+    """For each source the pixels from one of its starts to the first stop that counts, breadth first; none
+    where there is no way. stops: of each diagram's pixels, the number of the stop there or -1; groups: of each
+    stop, its group or -1; a source's own stop and those of its group don't count.
+
+    A wave goes out from all sources at once, a ring of pixels a step. Within a ring, pixels are in the order
+    of the first pixel of the last ring that touches them, and then of STEPS; that numbers the pixels of a
+    source. A path goes back from a pixel to the one with the next smaller number among those it touches."""
+    found: list[list[int]] = [[] for _ in sources]
+    at = 0
+    while at < len(sources):
+        size, upto = 0, at
+        while upto < len(sources) and (upto == at or size + len(lines[sources[upto].lines].points) <= WAVE):
+            size += len(lines[sources[upto].lines].points)
+            upto += 1
+        for k, path in enumerate(_wave(lines, stops, groups, sources[at:upto])):
+            found[at + k] = path
+        at = upto
+    return found
+
+
+def _wave(lines: list[_Lines], stops: list[np.ndarray], groups: list[np.ndarray], sources: list[_Source]) -> list[list[int]]:
+    used = sorted({s.lines for s in sources})
+    place = {d: i for i, d in enumerate(used)}
+    first = np.cumsum([0, *(len(lines[d].points) for d in used)])  # pixels of all diagrams, in a row
+    near = np.concatenate([np.where(lines[d].near >= 0, lines[d].near + first[i], -1) for i, d in enumerate(used)])
+    stop_first = np.cumsum([0, *(len(groups[d]) for d in used)])
+    stop = np.concatenate([np.where(stops[d] >= 0, stops[d] + stop_first[i], -1) for i, d in enumerate(used)])
+    group = np.concatenate([groups[d] for d in used])
+    of = np.array([place[s.lines] for s in sources])
+    own = np.array([s.own for s in sources]) + stop_first[of]
+    own_group = np.array([s.group for s in sources])
+    barred = np.array([s.barred for s in sources])
+    barred = np.where(barred >= 0, barred + first[of], -2)
+    sizes = np.array([len(lines[s.lines].points) for s in sources])
+    shift = np.cumsum(sizes) - sizes - first[of]  # from a pixel to its place in the order array
+    order = np.full(int(sizes.sum()), -1, dtype=np.int64)
+    ended = np.full(len(sources), -1, dtype=np.int64)
+    counter = 0
+
+    source = np.repeat(np.arange(len(sources)), [len(s.starts) for s in sources])
+    pixel = np.array([p for s in sources for p in s.starts], dtype=np.int64) + first[of[source]] if len(source) else np.zeros(0, dtype=np.int64)
+    open_ = pixel != barred[source]
+    source, pixel = source[open_], pixel[open_]
+    while len(source):
+        keys = shift[source] + pixel
+        _, once = np.unique(keys, return_index=True)
+        once.sort()
+        source, pixel, keys = source[once], pixel[once], keys[once]
+        order[keys] = counter + np.arange(len(keys))
+        counter += len(keys)
+        here = stop[pixel]
+        counts = (here >= 0) & (here != own[source]) & ~((own_group[source] >= 0) & (group[here] == own_group[source])) if len(group) else np.zeros(len(here), dtype=bool)
+        which, at = np.unique(source[counts], return_index=True)
+        ended[which] = pixel[counts][at]
+        still = ended[source] < 0
+        source, pixel = source[still], pixel[still]
+        source, pixel = np.repeat(source, 8), near[pixel].reshape(-1)
+        fit = (pixel >= 0) & (pixel != barred[source])
+        source, pixel = source[fit], pixel[fit]
+        new = order[shift[source] + pixel] < 0
+        source, pixel = source[new], pixel[new]
+
+    paths: list[list[int]] = [[int(e - first[of[i]])] if e >= 0 else [] for i, e in enumerate(ended)]
+    source = np.flatnonzero(ended >= 0)
+    pixel = ended[source]
+    while len(source):
+        around = near[pixel]
+        numbers = np.where((around >= 0) & (around != barred[source][:, None]), order[shift[source][:, None] + np.maximum(around, first[of[source]][:, None])], -1)
+        numbers[numbers >= order[shift[source] + pixel][:, None]] = -1
+        best = numbers.argmax(axis=1)
+        back = numbers[np.arange(len(source)), best] >= 0
+        source, pixel = source[back], around[back, best[back]]
+        for i, p in zip(source.tolist(), (pixel - first[of[source]]).tolist(), strict=True):
+            paths[i].append(p)
+    return [p[::-1] for p in paths]
 
 
 _CENTRE, _END = "c{}", "e{}"
 
 
-def _edges(ink: list[tuple], ends: list[tuple], borders: list[tuple], outside: list[tuple], boxes: list[tuple]) -> list[tuple]:
-    """Edges (a, b, path) of one diagram's line graph."""
-    spots = set(ink)
-    centre = {k: (int(x) + int(w) / 2, int(y) + int(h) / 2) for k, x, y, w, h in boxes}
-    edges: dict[tuple[str, str], list] = {}
-    stops: dict[tuple[int, int], str] = {}
-    of_crossing: dict[str, int] = {}
-    for n, (k, y, x) in enumerate(sorted(borders)):
-        name = f"b{k}.{n}"
-        stops[y, x], of_crossing[name] = name, k
-        edges[name, _CENTRE.format(k)] = [(float(x), float(y)), centre[k]]
-    starts: dict[tuple[int, int, int], list] = {}
-    for k, y, x, ny, nx in sorted(outside, key=lambda r: (r[0], r[1], r[2], r[4], r[3])):
-        starts.setdefault((k, y, x), []).append((ny, nx))
-    end_at = {}
-    for i, y, x in sorted(ends):
-        stops[y, x] = end_at[y, x] = _END.format(i)
-    for spot, own in stops.items():
-        crossing = of_crossing.get(own)
-
-        def stop(pixel: tuple[int, int], own: str = own, crossing: int | None = crossing) -> str | None:
-            name = stops.get(pixel)
-            if name is None or name == own or crossing is not None and of_crossing.get(name) == crossing:
-                return None
-            return name
-
-        found, path = walk(spots, [spot], stop) if crossing is None else walk(spots, starts.get((crossing, *spot), []), stop, spot)
-        if found:
-            points = [(float(x), float(y)) for y, x in path]
-            before = edges.get((found, own))
+def _edges(groups: list[tuple]) -> list[tuple]:
+    """Edges (key, a, b, path) of the line graphs of a batch of diagrams."""
+    lines, stops, of_stops, sources, about = [], [], [], [], []
+    for d, (_, ink, ends, borders, outside, boxes) in enumerate(groups):
+        of = _Lines(ink)
+        names, crossings, spots = [], [], {}
+        centre = {k: (int(x) + int(w) / 2, int(y) + int(h) / 2) for k, x, y, w, h in boxes}
+        edges: dict[tuple[str, str], list] = {}
+        for n, (k, y, x) in enumerate(sorted(borders)):
+            names.append(f"b{k}.{n}")
+            crossings.append(k)
+            spots[y, x] = n
+            edges[names[-1], _CENTRE.format(k)] = [(float(x), float(y)), centre[k]]
+        for i, y, x in sorted(ends):
+            spots[y, x] = len(names)
+            names.append(_END.format(i))
+            crossings.append(None)
+        starts: dict[tuple, list] = {}
+        for k, y, x, ny, nx in sorted(outside, key=lambda r: (r[0], r[1], r[2], r[4], r[3])):
+            starts.setdefault((k, y, x), []).append(of.number[ny, nx])
+        number = {k: i for i, k in enumerate(sorted({k for k in crossings if k is not None}))}
+        at = np.full(len(of.points), -1, dtype=np.int64)
+        for spot, n in spots.items():
+            at[of.number[spot]] = n
+        for spot, n in spots.items():
+            k = crossings[n]
+            first = [of.number[spot]] if k is None else starts.get((k, *spot), [])
+            sources.append(_Source(d, n, -1 if k is None else number[k], first, -1 if k is None else of.number[spot]))
+        lines.append(of)
+        stops.append(at)
+        of_stops.append(np.array([-1 if k is None else number[k] for k in crossings], dtype=np.int64))
+        about.append((names, edges))
+    for s, path in zip(sources, follow(lines, stops, of_stops, sources), strict=True):
+        if path:
+            (names, edges), of = about[s.lines], lines[s.lines]
+            own, there = names[s.own], names[stops[s.lines][path[-1]]]
+            points = [(float(x), float(y)) for y, x in (of.points[i] for i in path)]
+            before = edges.get((there, own))
             if before is None or points < before:
-                edges.pop((found, own), None)
-                edges[own, found] = points
-    return [(a, b, [{"x": x, "y": y} for x, y in path]) for (a, b), path in edges.items()]
+                edges.pop((there, own), None)
+                edges[own, there] = points
+    return [(*group[0], a, b, [{"x": x, "y": y} for x, y in path]) for group, (_, edges) in zip(groups, about, strict=True) for (a, b), path in edges.items()]
 
 
 def trace_edges(pixels: DataFrame, snapped: DataFrame, crossings: DataFrame | None = None) -> DataFrame:
@@ -157,7 +244,7 @@ def trace_edges(pixels: DataFrame, snapped: DataFrame, crossings: DataFrame | No
     boxes = none if crossings is None else crossings
     borders, outside = crossing_border_points(pixels, boxes), crossing_outside_neighbours(pixels, boxes)
     tables = [(pixels, ("y", "x")), (snapped, ("endpoint_index", "py", "px")), (borders, ("crossing_index", "y", "x")), (outside, ("crossing_index", "y", "x", "ny", "nx")), (boxes, ("crossing_index", "x", "y", "w", "h"))]
-    return per_group(tables, ("diagram_id",), lambda _, *rows: _edges(*rows), "a string, b string, path array<struct<x:double,y:double>>")
+    return per_batch(tables, ("diagram_id",), _edges, "a string, b string, path array<struct<x:double,y:double>>")
 
 
 def graph_nodes(endpoints: DataFrame, edges: DataFrame) -> DataFrame:
@@ -169,35 +256,12 @@ def graph_nodes(endpoints: DataFrame, edges: DataFrame) -> DataFrame:
     return of_ends.unionByName(at("a", "border", 0)).unionByName(at("b", "crossing", 1).distinct())
 
 
-def _turn(a: tuple, b: tuple, c: tuple) -> float | None:
-    u, v = (b[0] - a[0], b[1] - a[1]), (c[0] - b[0], c[1] - b[1])
-    size = math.hypot(*u) * math.hypot(*v)
-    return math.degrees(math.acos(max(-1.0, min(1.0, (u[0] * v[0] + u[1] * v[1]) / size)))) if size else None
-
-
-def _paths(told: list[tuple], links: list[tuple], most_nodes: int | None) -> list[tuple]:
-    place = {node: (x, y) for node, _, x, y in told}
-    kind = {node: k for node, k, _, _ in told}
-    near: dict[str, list[tuple[str, list]]] = {}
-    for a, b, path in sorted(links, key=lambda r: r[:2]):
-        near.setdefault(a, []).append((b, path))
-        near.setdefault(b, []).append((a, path[::-1]))
-    made = []
-    for start in sorted((n for n, k in kind.items() if k == "endpoint"), key=lambda n: int(n[1:])):
-        todo = [([start], [], 0.0)]
-        while todo:
-            nodes, path, turned = todo.pop()
-            here = nodes[-1]
-            if kind[here] == "endpoint" and here != start:
-                made.append((int(start[1:]), int(here[1:]), round(turned, 2), nodes, path))
-                continue
-            if most_nodes and len(nodes) >= most_nodes:
-                continue
-            for there, step in near.get(here, []):
-                if there not in nodes:
-                    angle = _turn(place[nodes[-2]], place[here], place[there]) if kind[here] == "crossing" and len(nodes) > 1 else None
-                    todo.append(([*nodes, there], path + step, turned + (angle or 0.0)))
-    return made
+def _turned() -> Column:
+    """Degrees between the ways into and out of the node of a path at (x, y), from (px, py) to (nx, ny)."""
+    at = F.col
+    ux, uy, vx, vy = at("x") - at("px"), at("y") - at("py"), at("nx") - at("x"), at("ny") - at("y")
+    size = F.sqrt(ux * ux + uy * uy) * F.sqrt(vx * vx + vy * vy)
+    return F.when(size > 0, F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (ux * vx + uy * vy) / size))))).otherwise(0.0)
 
 
 def enumerate_paths(nodes: DataFrame, edges: DataFrame, most_nodes: int | None = None) -> DataFrame:
@@ -205,6 +269,41 @@ def enumerate_paths(nodes: DataFrame, edges: DataFrame, most_nodes: int | None =
     from an endpoint to the first other one. nodes: (diagram_id, node, kind, x, y), see graph_nodes; edges:
     (diagram_id, a, b, path). total_div sums the angles turned at crossings, in degrees; path joins the edges'
     points, the node between two edges coming twice. Paths of more than most_nodes are not followed; by
-    default there is no such limit."""
-    tables = [(nodes, ("node", "kind", "x", "y")), (edges, ("a", "b", "path"))]
-    return per_group(tables, ("diagram_id",), lambda _, told, links: _paths(told, links, most_nodes), "start_index long, endpoint_index long, total_div double, nodes array<string>, path array<struct<x:double,y:double>>")
+    default there is no such limit.
+
+    A path that has not ended is a row of its own, with its nodes and the numbers of its edges; each round
+    joins all of them with the edges that leave their last node. So the paths of one diagram, of which there
+    may be exponentially many, are spread over tasks, no task holds more than some rows, and a lost executor
+    costs a part of one round. Points are put to the paths that ended, at the end."""
+    numbered = written(edges.withColumn("edge", F.row_number().over(Window.partitionBy("diagram_id").orderBy("a", "b", "path"))), "edges")
+    way = lambda here, there, back: numbered.select("diagram_id", F.col(here).alias("here"), F.col(there).alias("there"), F.struct("edge", F.lit(back).alias("back")).alias("step"))
+    known = nodes.select("diagram_id", F.col("node").alias("there"), F.col("kind").alias("next_kind"), F.col("x").cast("double").alias("nx"), F.col("y").cast("double").alias("ny"))
+    ways = written(way("a", "b", False).unionByName(way("b", "a", True)).join(known, ["diagram_id", "there"]), "ways")
+    none = F.lit(None).cast("double")
+    told = nodes.where("kind = 'endpoint'").select("diagram_id", F.col("node").alias("here"), "kind", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    open_ = told.select("*", none.alias("px"), none.alias("py"), F.lit(0.0).alias("turned"), F.array("here").alias("nodes"), F.array().cast("array<struct<edge:int,back:boolean>>").alias("steps"))
+    ended: DataFrame | None = None
+    length = 1
+    while most_nodes is None or length < most_nodes:
+        turn = F.when((F.col("kind") == "crossing") & F.col("px").isNotNull(), _turned()).otherwise(0.0)
+        on = open_.join(ways, ["diagram_id", "here"]).where(~F.array_contains("nodes", F.col("there")))
+        on = on.select(
+            "diagram_id", F.col("there").alias("here"), F.col("next_kind").alias("kind"), F.col("nx").alias("x"), F.col("ny").alias("y"), F.col("x").alias("px"), F.col("y").alias("py"),
+            (F.col("turned") + turn).alias("turned"), F.array_append("nodes", F.col("there")).alias("nodes"), F.array_append("steps", F.col("step")).alias("steps"),
+        )
+        on = written(on, "paths")
+        length += 1
+        at_end = on.where("kind = 'endpoint'")
+        ended = at_end if ended is None else ended.unionByName(at_end)
+        open_ = on.where("kind <> 'endpoint'")
+        if not open_.limit(1).count():
+            break
+    number = lambda node: F.substring(node, F.lit(2), F.length(node)).cast("long")
+    if ended is None:
+        ended = open_.where("false")
+    found = ended.select("diagram_id", number(F.get("nodes", F.lit(0))).alias("start_index"), number(F.col("here")).alias("endpoint_index"), F.round("turned", 2).alias("total_div"), "nodes", "steps")
+    found = written(found.withColumn("path_id", F.monotonically_increasing_id()), "ended_paths")
+    points = F.when(F.col("step.back"), F.reverse("path")).otherwise(F.col("path"))
+    parts = found.select("diagram_id", "path_id", F.posexplode("steps").alias("at", "step")).withColumn("edge", F.col("step.edge")).join(numbered.select("diagram_id", "edge", "path"), ["diagram_id", "edge"])
+    joined = parts.groupBy("path_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", points.alias("points")))), lambda s: s["points"])).alias("path"))
+    return found.join(joined, "path_id").select("diagram_id", "start_index", "endpoint_index", "total_div", "nodes", "path")

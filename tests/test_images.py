@@ -110,6 +110,70 @@ def test_texts_are_appended_and_brought_together(spark, tmp_path):
     assert got() == want | {"7": "newest"}
 
 
+def plain_follow(spots, starts, counts, barred):
+    """One source's way, a pixel at a time; a pixel that waits is told anew where it was last touched from."""
+    came, done, todo = {}, set(), list(starts)
+    while todo:
+        here = todo.pop(0)
+        if here in done or here == barred:
+            continue
+        done.add(here)
+        if counts(here):
+            path = [here]
+            while path[-1] in came:
+                path.append(came[path[-1]])
+            return path[::-1]
+        for dy, dx in tracing.STEPS:
+            there = (here[0] + dy, here[1] + dx)
+            if there in spots and there not in done and there != barred:
+                came[there] = here
+                todo.append(there)
+    return []
+
+
+@pytest.mark.parametrize("wave", [1 << 24, 300])
+def test_waves_follow_as_a_pixel_at_a_time_does(monkeypatch, wave):
+    monkeypatch.setattr(tracing, "WAVE", wave)
+    rnd = np.random.default_rng(11)
+    lines, stops, groups, sources, want = [], [], [], [], []
+    for d in range(60):
+        spots = {(int(y), int(x)) for y, x in rnd.integers(0, 14, size=(int(rnd.choice([1, 20, 90])), 2))}
+        of = tracing._Lines(list(spots))
+        told = rnd.permutation(len(of.points))[:4]
+        at = np.full(len(of.points), -1, dtype=np.int64)
+        at[told] = np.arange(len(told))
+        group = rnd.integers(-1, 2, size=len(told))
+        for own in range(len(told)):
+            starts = [int(told[own])] if own % 2 else [int(i) for i in rnd.integers(0, len(of.points), size=3)]
+            barred = -1 if own % 2 else int(told[own])
+            sources.append(tracing._Source(d, own, int(group[own]), starts, barred))
+            number = {p: int(at[i]) for i, p in enumerate(of.points)}
+            counts = lambda p, own=own, group=group, number=number: number[p] >= 0 and number[p] != own and not (group[own] >= 0 and group[number[p]] == group[own])
+            want.append(plain_follow(spots, [of.points[i] for i in starts], counts, of.points[barred] if barred >= 0 else None))
+        lines.append(of)
+        stops.append(at)
+        groups.append(group)
+    got = tracing.follow(lines, stops, groups, sources)
+    assert [[lines[s.lines].points[i] for i in path] for s, path in zip(sources, got, strict=True)] == want
+
+
+def test_every_path_of_a_ladder_comes_once(spark):
+    """Six crossings in a row with two ways from each to the next: 2 ** 5 paths from end to end, and back."""
+    nodes = [(0, "e0", "endpoint", 0.0, 0.0), (0, "e1", "endpoint", 60.0, 0.0), *((0, f"c{i}", "crossing", 10.0 * i + 5, 0.0) for i in range(6))]
+    ties = [("e0", "c0"), ("c5", "e1")]
+    for i in range(5):
+        for side, y in (("u", 5.0), ("v", -5.0)):
+            nodes.append((0, f"b{i}{side}", "border", 10.0 * i + 10, y))
+            ties += [(f"c{i}", f"b{i}{side}"), (f"b{i}{side}", f"c{i + 1}")]
+    nodes = spark.createDataFrame(nodes, "diagram_id long, node string, kind string, x double, y double")
+    edges = spark.createDataFrame([(0, a, b, [(0.0, 0.0)]) for a, b in ties], "diagram_id long, a string, b string, path array<struct<x:double,y:double>>")
+    got = tracing.enumerate_paths(nodes, edges).collect()
+    whole = [r for r in got if len(r.nodes) == 13]
+    assert len(got) == len(whole) == 64 and len({tuple(r.nodes) for r in got}) == 64 and all(len(r.path) == 12 for r in got)
+    assert len({r.total_div for r in whole}) > 1
+    assert tracing.enumerate_paths(nodes, edges, 5).count() == 0 and tracing.enumerate_paths(nodes.limit(0), edges).count() == 0
+
+
 def pngs(path):
     return sorted(f.name for f in path.rglob("*.png")) if path.exists() else []
 
