@@ -640,6 +640,30 @@ def _(spark, d):
     return assign.optimal_assignment(_near_labels(spark, d))
 
 
+#: Small diagrams: an order's lines, each near one or two of eight places.
+_FEW = dict(
+    c="SELECT l_orderkey AS diagram_id, CAST(l_linenumber AS BIGINT) AS left_id, l_suppkey % 8 AS right_id, CAST(l_quantity % 5 AS DOUBLE) AS distance FROM lineitem UNION ALL SELECT l_orderkey, CAST(l_linenumber AS BIGINT), l_partkey % 8, CAST(floor(l_quantity / 10) AS DOUBLE) FROM lineitem",
+    p="SELECT diagram_id, left_id, right_id, min(distance) AS distance, dense_rank() OVER (PARTITION BY diagram_id ORDER BY left_id) AS place FROM c GROUP BY diagram_id, left_id, right_id",
+    n="SELECT diagram_id, max(place) AS n FROM p GROUP BY diagram_id",
+    # every choice of places for the first lines
+    r="SELECT diagram_id, CAST(0 AS BIGINT) AS place, CAST(0 AS DOUBLE) AS total, CAST([] AS BIGINT[]) AS lefts, CAST([] AS BIGINT[]) AS rights FROM n UNION ALL SELECT r.diagram_id, p.place, r.total + p.distance, list_append(lefts, left_id), list_append(rights, right_id) FROM r JOIN p ON p.diagram_id = r.diagram_id AND p.place = r.place + 1 WHERE NOT list_contains(rights, right_id)",
+    b="SELECT diagram_id, min({'t': total, 'rights': rights, 'lefts': lefts}) AS s FROM r JOIN n USING (diagram_id) WHERE place = n AND n > 0 GROUP BY diagram_id",
+    k="SELECT p.diagram_id, left_id, right_id, row_number() OVER (PARTITION BY p.diagram_id ORDER BY distance, left_id, right_id) AS place FROM p WHERE diagram_id NOT IN (SELECT diagram_id FROM b)",
+    g="""SELECT diagram_id, CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS lefts, CAST([] AS BIGINT[]) AS rights FROM (SELECT DISTINCT diagram_id FROM k)
+         UNION ALL SELECT g.diagram_id, k.place, CASE WHEN list_contains(lefts, left_id) OR list_contains(rights, right_id) THEN lefts ELSE list_append(lefts, left_id) END,
+                CASE WHEN list_contains(lefts, left_id) OR list_contains(rights, right_id) THEN rights ELSE list_append(rights, right_id) END FROM g JOIN k ON k.diagram_id = g.diagram_id AND k.place = g.place + 1""",
+    z="SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY diagram_id ORDER BY place DESC) = 1",
+)
+
+
+@query("j5_assignment_of_lines", _with(**_FEW) + "SELECT diagram_id, unnest(s.lefts) AS left_id, unnest(s.rights) AS right_id FROM b UNION ALL SELECT diagram_id, unnest(lefts), unnest(rights) FROM z")
+def _(spark, d):
+    line = spark.read.parquet(f"{d}/lineitem.parquet")
+    one = line.select(F.col("l_orderkey").alias("diagram_id"), F.col("l_linenumber").cast("long").alias("left_id"), (F.col("l_suppkey") % 8).alias("right_id"), (F.col("l_quantity") % 5).cast("double").alias("distance"))
+    two = line.select("l_orderkey", F.col("l_linenumber").cast("long"), F.col("l_partkey") % 8, F.floor(F.col("l_quantity") / 10).cast("double"))
+    return assign.optimal_assignment(one.union(two))
+
+
 _GREEDY = dict(
     _CANDIDATES,
     k="SELECT diagram_id, left_id, right_id, row_number() OVER (PARTITION BY diagram_id ORDER BY distance, left_id, right_id) AS place FROM m WHERE distance <= 30",

@@ -116,26 +116,31 @@ def greedy(pairs: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def hungarian(cost: np.ndarray) -> list[int] | None:
-    """Column of each row at least total cost, rows no more than columns; None if an infinite cost is needed.
-    Shortest augmenting paths with potentials."""
+#: A cost that no choice may have; costs are whole numbers of 1e-9.
+_NEVER = np.int64(1) << 60
+
+
+def _priced(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Column of each row at least total cost, and the dual prices of rows and columns, from a matrix of longs
+    with no more rows than columns; None if a cost of _NEVER is needed. Shortest augmenting paths; columns
+    that stay free have price 0, others at most 0."""
     n, m = cost.shape
     if n > m:
         return None
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
+    u, v = np.zeros(n + 1, dtype=np.int64), np.zeros(m + 1, dtype=np.int64)
     row_of = np.zeros(m + 1, dtype=np.int64)
     for i in range(1, n + 1):
         row_of[0], column = i, 0
-        least, used, came = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=bool), np.zeros(m + 1, dtype=np.int64)
+        least, used, came = np.full(m + 1, _NEVER), np.zeros(m + 1, dtype=bool), np.zeros(m + 1, dtype=np.int64)
         while row_of[column]:
             used[column] = True
             r = row_of[column]
             reduced = cost[r - 1] - u[r] - v[1:]
             better = ~used[1:] & (reduced < least[1:])
             least[1:][better], came[1:][better] = reduced[better], column
-            free = np.where(used[1:], np.inf, least[1:])
+            free = np.where(used[1:], _NEVER, least[1:])
             step = free.min()
-            if not np.isfinite(step):
+            if step >= _NEVER // 2:
                 return None
             column_next = int(free.argmin()) + 1
             u[row_of[used]] += step
@@ -145,40 +150,69 @@ def hungarian(cost: np.ndarray) -> list[int] | None:
         while column:
             row_of[column] = row_of[came[column]]
             column = came[column]
-    out = [0] * n
-    for j in range(1, m + 1):
-        if row_of[j]:
-            out[row_of[j] - 1] = j - 1
-    return out
+    out = np.zeros(n, dtype=np.int64)
+    held = np.flatnonzero(row_of[1:])
+    out[row_of[1:][held] - 1] = held
+    return out, u[1:], v[1:]
+
+
+def hungarian(cost: np.ndarray) -> list[int] | None:
+    """Column of each row at least total cost, to nine places, rows no more than columns; None if an infinite
+    cost is needed."""
+    found = _priced(np.where(np.isfinite(cost), np.rint(np.where(np.isfinite(cost), cost, 0) * 1e9), float(_NEVER)).astype(np.int64))
+    return None if found is None else found[0].tolist()
+
+
+def _first_of_equals(cost: np.ndarray, chosen: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Of all choices of the same total cost, that whose columns come first, row by row. They are the perfect
+    matchings of the tight pairs (cost equal to the prices), where a free column belongs to one of as many
+    rows that cost nothing. A row may change to a column if whoever has that can, by alternating pairs of rows
+    that are still to come, be led to the column which the row leaves."""
+    n, m = cost.shape
+    tight = np.zeros((m, m), dtype=bool)
+    tight[:n] = cost - u[:, None] - v[None, :] == 0
+    tight[n:] = v == 0
+    column_of = np.concatenate([chosen, np.setdiff1d(np.arange(m), chosen)])
+    row_of = np.empty(m, dtype=np.int64)
+    row_of[column_of] = np.arange(m)
+    for i in range(n):
+        leaves = column_of[i]
+        wanted = np.flatnonzero(tight[i, :leaves])
+        wanted = wanted[row_of[wanted] > i]
+        if not len(wanted):
+            continue
+        onward = np.full(m, -1, dtype=np.int64)  # the column to which a row can change
+        reached = np.array([leaves])
+        while len(reached):
+            new = tight[:, reached].any(axis=1) & (onward < 0)
+            new[: i + 1] = False
+            rows = np.flatnonzero(new)
+            onward[rows] = reached[tight[np.ix_(rows, reached)].argmax(axis=1)]
+            reached = column_of[rows]
+        able = wanted[onward[row_of[wanted]] >= 0]
+        if len(able):
+            row, column = i, able[0]
+            while True:
+                pushed, row_of[column], column_of[row] = row_of[column], row, column
+                if column == leaves:
+                    break
+                row, column = pushed, onward[pushed]
+    return column_of[:n]
 
 
 def optimal(pairs: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
     """Every left item that has a pair exactly once, every right one at most once, at least total distance;
-    if that cannot be, the greedy choice. Among equal optima, up to 9 places, the one whose right ids, in the
-    order of left ids, come first: each left item in turn takes the first right one that an optimum leaves."""
+    if that cannot be, the greedy choice. Distances count to nine places; among equal optima it is the one
+    whose right ids, in the order of left ids, come first."""
     lefts, rights = sorted({a for _, a, _ in pairs}), sorted({b for _, _, b in pairs})
     row, column = ({x: i for i, x in enumerate(side)} for side in (lefts, rights))
-    cost = np.full((len(lefts), len(rights)), np.inf)
+    cost = np.full((len(lefts), len(rights)), _NEVER)
     for d, a, b in pairs:
-        cost[row[a], column[b]] = min(d, cost[row[a], column[b]])
-    chosen = hungarian(cost)
-    if chosen is None:
+        cost[row[a], column[b]] = min(round(d * 1e9), cost[row[a], column[b]])
+    found = _priced(cost)
+    if found is None:
         return greedy(pairs)
-    total = lambda c: sum(c[i, j] for i, j in enumerate(some)) if (some := hungarian(c)) is not None else np.inf
-    best = round(float(total(cost)), 9)
-    for i in range(len(lefts)):
-        for j in range(chosen[i]):
-            if np.isfinite(cost[i, j]):
-                tried = cost.copy()
-                tried[i] = np.inf
-                tried[i, j] = cost[i, j]
-                if round(float(total(tried)), 9) == best:
-                    chosen = hungarian(tried)
-                    break
-        kept = cost[i, chosen[i]]
-        cost[i] = np.inf
-        cost[i, chosen[i]] = kept
-    return [(a, rights[j]) for a, j in zip(lefts, chosen, strict=True)]
+    return [(a, rights[j]) for a, j in zip(lefts, _first_of_equals(cost, *found).tolist(), strict=True)]
 
 
 def _assign(candidates: DataFrame, choose) -> DataFrame:
