@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import point_box_distance
 from .connections import attach_to_connection
+from .grid import box_pairs
 from .grouped import per_group
 
 
@@ -77,7 +78,8 @@ def assignment_candidates(boxes: DataFrame, points: DataFrame, reach: float, sca
     """(diagram_id, left_id, right_id, distance) of boxes (left_id, x1 .. y2) and points (right_id, x, y)
     within reach times the scale, the bounds compared before the distance."""
     boxes, reach = _scaled(boxes, reach, scales)
-    near = boxes.join(points, "diagram_id").where((F.col("x") >= F.col("x1") - reach) & (F.col("x") <= F.col("x2") + reach) & (F.col("y") >= F.col("y1") - reach) & (F.col("y") <= F.col("y2") + reach))
+    around = (F.col("x1") - reach, F.col("y1") - reach, F.col("x2") + reach, F.col("y2") + reach)
+    near = box_pairs(boxes, points.select("diagram_id", "right_id", "x", "y"), around, (F.col("x"), F.col("y"), F.col("x"), F.col("y")))
     d = point_box_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     return near.withColumn("distance", d).where(F.col("distance") <= reach).select("diagram_id", "left_id", "right_id", "distance")
 
@@ -86,7 +88,8 @@ def line_candidates(boxes: DataFrame, segments: DataFrame, reach: float, scales:
     """As assignment_candidates, for lines given as their segments (right_id, x, y, u, v). The distance of a
     box and a segment is the least between an end or corner of one and the other; 0 where they meet."""
     boxes, reach = _scaled(boxes, reach, scales)
-    near = boxes.join(segments, "diagram_id").where((F.greatest("x", "u") >= F.col("x1") - reach) & (F.least("x", "u") <= F.col("x2") + reach) & (F.greatest("y", "v") >= F.col("y1") - reach) & (F.least("y", "v") <= F.col("y2") + reach))
+    around = (F.col("x1") - reach, F.col("y1") - reach, F.col("x2") + reach, F.col("y2") + reach)
+    near = box_pairs(boxes, segments.select("diagram_id", "right_id", "x", "y", "u", "v"), around, (F.least("x", "u"), F.least("y", "v"), F.greatest("x", "u"), F.greatest("y", "v")))
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     ends = [point_box_distance(F.col(a), F.col(b), F.col("x1"), F.col("y1"), w, h) for a, b in (("x", "y"), ("u", "v"))]
     dx, dy = F.col("u") - F.col("x"), F.col("v") - F.col("y")

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import point_box_distance, point_distance
+from .grid import box_pairs, nearest_points
 from .grouped import per_group
+from .stages import written
 
 EMPTY = "Empty End"
 
@@ -27,10 +29,7 @@ def nearest_class(endpoints: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def nearest_endpoint(endpoints: DataFrame) -> DataFrame:
     """(diagram_id, endpoint_id, other_id, other_distance), the first id on ties; a lone endpoint has none."""
-    o = endpoints.select("diagram_id", F.col("endpoint_id").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    d = point_distance(F.col("x"), F.col("y"), F.col("ox"), F.col("oy"))
-    near = endpoints.join(o, "diagram_id").where("endpoint_id <> o").select("diagram_id", "endpoint_id", F.struct(d.alias("d"), F.col("o").alias("i")).alias("s"))
-    return near.groupBy("diagram_id", "endpoint_id").agg(F.min("s").alias("s")).select("diagram_id", "endpoint_id", F.col("s.i").alias("other_id"), F.col("s.d").alias("other_distance"))
+    return nearest_points(endpoints, "endpoint_id")
 
 
 def dedupe_endpoints(endpoints: DataFrame, boxes: DataFrame, scales: DataFrame, reach: float = 5.0) -> DataFrame:
@@ -61,18 +60,35 @@ def dedupe_endpoints(endpoints: DataFrame, boxes: DataFrame, scales: DataFrame,
 
 
 def _attachment(endpoints: DataFrame, boxes: DataFrame, scales: DataFrame) -> DataFrame:
-    """Each endpoint with its nearest class and endpoint, and how it attaches: class, gap or null."""
+    """Endpoints that attach (diagram_id, endpoint_id, how, class_index, other_id): to a class that is near
+    enough, or else with the nearest endpoint in a gap. Only what lies within reach is compared. Of diagrams
+    without class boxes, and of a lone endpoint, none attach."""
     keys = ["diagram_id", "endpoint_id"]
-    near = nearest_class(endpoints, boxes).join(nearest_endpoint(endpoints), keys).join(scales, "diagram_id")
-    how = F.when(F.col("class_distance") < F.bround(10 * F.col("scale"), 3), "class").when(F.col("other_distance") < F.bround(15 * F.col("scale"), 3), "gap")
-    return near.withColumn("how", how)
+    paired = endpoints.groupBy("diagram_id").agg(F.count("*").alias("n")).where("n > 1").select("diagram_id")
+    some = endpoints.select(*keys, "x", "y").join(scales, "diagram_id").join(paired, "diagram_id").join(boxes.select("diagram_id").distinct(), "diagram_id")
+    reach = lambda least: F.bround(least * F.col("scale"), 3)
+    around = lambda r: (F.col("x") - r, F.col("y") - r, F.col("x") + r, F.col("y") + r)
+
+    b = boxes.select("diagram_id", "class_index", *(F.col(c).alias(f"b{c}") for c in "xywh"))
+    met = box_pairs(some, b, around(reach(10)), (F.col("bx"), F.col("by"), F.col("bx") + F.col("bw"), F.col("by") + F.col("bh")))
+    d = point_box_distance(*(F.col(c) for c in ("x", "y", "bx", "by", "bw", "bh")))
+    classes = met.withColumn("d", d).where(F.col("d") < reach(10)).groupBy(*keys).agg(F.min(F.struct("d", "class_index")).alias("c"))
+
+    o = some.select("diagram_id", F.col("endpoint_id").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    met = box_pairs(some, o, around(reach(15)), (F.col("ox"), F.col("oy"), F.col("ox"), F.col("oy"))).where("endpoint_id <> o")
+    d = point_distance(F.col("x"), F.col("y"), F.col("ox"), F.col("oy"))
+    others = met.withColumn("d", d).where(F.col("d") < reach(15)).groupBy(*keys).agg(F.min(F.struct("d", "o")).alias("n"))
+
+    near = classes.join(others, keys, "full_outer")
+    how = F.when(F.col("c").isNotNull(), "class").otherwise("gap")
+    return near.select(*keys, how.alias("how"), F.col("c.class_index").alias("class_index"), F.col("n.o").alias("other_id"))
 
 
 def attach_endpoints(endpoints: DataFrame, boxes: DataFrame, scales: DataFrame) -> DataFrame:
     """(diagram_id, endpoint_id, class_index, position): endpoints that belong to a class or, with a null
     class, to a gap between two endpoints. Positions (from 0) follow the first step that adds an endpoint:
     its own, or that of the endpoint whose nearest it is, own before partner."""
-    near = _attachment(endpoints, boxes, scales).where("how IS NOT NULL")
+    near = written(_attachment(endpoints, boxes, scales), "attachment")
     own = near.select("diagram_id", "endpoint_id", F.col("endpoint_id").alias("step"), F.lit(0).alias("partner"), F.when(F.col("how") == "class", F.col("class_index")).alias("class_index"))
     partner = near.where("how = 'gap'").select("diagram_id", F.col("other_id").alias("endpoint_id"), F.col("endpoint_id").alias("step"), F.lit(1).alias("partner"), F.lit(None).cast("long").alias("class_index"))
     kept = own.unionByName(partner).groupBy("diagram_id", "endpoint_id").agg(F.min(F.struct("step", "partner")).alias("first"), F.max("class_index").alias("class_index"))

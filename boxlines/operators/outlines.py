@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import outlines
 from ..functions.geometry import rings_in_box
+from .grid import box_pairs
 from .grouped import per_group
 from .regions import loops, stitch_polygons
 
@@ -56,13 +57,13 @@ def outline_overlaps(outlined: DataFrame, threshold: float = 0.1) -> DataFrame:
     the smaller one's area."""
     placed = outlined.select("diagram_id", "region_id", "rings", "area").withColumns(_bounds(F.col("rings")))
     a, b = (placed.select("diagram_id", *(F.col(c).alias(f"{c}_{s}") for c in placed.columns if c != "diagram_id")) for s in "ab")
-    meet = (F.col("region_id_a") < F.col("region_id_b")) & (F.col("x1_a") <= F.col("x2_b")) & (F.col("x1_b") <= F.col("x2_a")) & (F.col("y1_a") <= F.col("y2_b")) & (F.col("y1_b") <= F.col("y2_a"))
+    bounds = lambda s: tuple(F.col(f"{c}_{s}") for c in ("x1", "y1", "x2", "y2"))
 
     @F.pandas_udf("double")
     def shared(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series([outlines.shared(_plain(p), _plain(q)) for p, q in zip(left, right, strict=True)], dtype=float)
 
-    pairs = a.join(b, "diagram_id").where(meet)
+    pairs = box_pairs(a, b, bounds("a"), bounds("b")).where("region_id_a < region_id_b")
     pairs = pairs.withColumn("overlap", shared("rings_a", "rings_b") / (F.least("area_a", "area_b") + 1e-6))
     return pairs.where(F.col("overlap") >= threshold).select("diagram_id", F.col("region_id_a").alias("a"), F.col("region_id_b").alias("b"), "overlap")
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_overlap, polygon_area, whole
+from .grid import box_pairs
 from .grouped import per_group
 
 BORDER = 10
@@ -173,7 +174,8 @@ def rectangle_overlaps(polygons: DataFrame, threshold: float = 0.1) -> DataFrame
     w = F.greatest(F.lit(0.0), F.least("x2_a", "x2_b") - F.greatest("x1_a", "x1_b"))
     h = F.greatest(F.lit(0.0), F.least("y2_a", "y2_b") - F.greatest("y1_a", "y1_b"))
     area = lambda s: (F.col(f"x2_{s}") - F.col(f"x1_{s}")) * (F.col(f"y2_{s}") - F.col(f"y1_{s}"))
-    pairs = a.join(b, "diagram_id").where((F.col("a") < F.col("b")) & (F.col("x1_a") <= F.col("x2_b")) & (F.col("x1_b") <= F.col("x2_a")))
+    bounds = lambda s: tuple(F.col(f"{c}_{s}") for c in ("x1", "y1", "x2", "y2"))
+    pairs = box_pairs(a, b, bounds("a"), bounds("b")).where("a < b")
     return pairs.withColumn("overlap", w * h / (F.least(area("a"), area("b")) + 1e-6)).where(F.col("overlap") >= threshold).select("diagram_id", "a", "b", "overlap")
 
 
