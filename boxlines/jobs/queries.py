@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, text as names
 from ..operators import assign, connections, diagram, endpoints, extraction, files, images, outlines, regions, results, text, tiling, tracing
-from ..operators.stages import shared_dir, written
+from ..operators.stages import measured, shared_dir, written
 from ..sources.fixtures import fixture, oracle
 from ..sources.pictures import write_pictures
 from ..streaming import intake
@@ -958,14 +958,19 @@ def _choice(label_id: str = "label_id"):
     return F.when(i % 5 == 0, "Struck").when(i % 7 == 0, F.lit(None)).otherwise(F.when(i % 4 == 0, "STAR").when(i % 4 == 1, "1").otherwise("0..*"))
 
 
-@query("l10_extract_diagrams")
-def _(spark, d):
-    """All detections of the fixtures over the drawn lines; a label's text stands for what is read."""
+def _extracted(spark, d) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Boxes and an extraction's tables: all detections of the fixtures over the drawn lines; a label's text
+    stands for what is read."""
     e, boxes, _ = _ends(spark, d)
     labels = fixture(spark, d, "fx_label_boxes")
     read = labels.select("diagram_id", "label_id", "score", F.concat(F.lit("label "), F.col("label_id").cast("string")).alias("text"))
     choices = labels.select("diagram_id", "label_id", _choice().alias("choice"))
-    return extraction.extract_diagrams(boxes, boxes, _texts(spark, d), _drawn(spark, d), e, _crossings(spark, d), fixture(spark, d, "fx_end_shapes"), labels, read, choices)
+    return boxes, extraction.extract_tables(boxes, boxes, _texts(spark, d), _drawn(spark, d), e, _crossings(spark, d), fixture(spark, d, "fx_end_shapes"), labels, read, choices)
+
+
+@query("l10_extract_diagrams")
+def _(spark, d):
+    return _extracted(spark, d)[1]["plantuml"]
 
 
 # results
@@ -1000,6 +1005,28 @@ def _(spark, d):
     return results.run_times(runs.withColumn("seconds", F.round("seconds", 4)))
 
 
+@query("m1_extraction_counts")
+def extraction_counts(spark, d):
+    boxes, tables = _extracted(spark, d)
+    return extraction.extraction_counts(boxes, boxes, tables)
+
+
+@query("m2_extraction_rows")
+def _(spark, d):
+    return results.evaluation_row(extraction_counts(spark, d).withColumn("diagram_name", F.col("diagram_id")))
+
+
+@query("m3_extraction_steps")
+def _(spark, d):
+    """Tables that two runs of the extraction wrote, with their rows and seconds, and each run's own time."""
+    runs = []
+    for _ in range(2):
+        with measured() as run:
+            _extracted(spark, d)
+        runs.append(run)
+    return results.measured_steps(spark, runs)
+
+
 # rasters: 8 x 8 gray pictures from the embeddings, packed by Spark
 
 _PIXELS = """SELECT vec_id AS image_id, label, unnest(range(0, 64)) AS pos, unnest(list_transform(embedding[1:64], lambda x: greatest(0, least(255, CAST(floor(128 + CAST(x AS DOUBLE) * 400) AS INT))))) AS raw FROM embeddings"""

@@ -237,12 +237,19 @@ def decode_multiplicity(assigned: DataFrame) -> DataFrame:
     return assigned.where("choice IS NOT NULL AND choice <> 'Struck'").withColumn("multiplicity", F.when(F.col("choice") == "STAR", "*").otherwise(F.col("choice"))).drop("choice")
 
 
-def assign_multiplicities(boxes: DataFrame, choices: DataFrame, points: DataFrame, links: DataFrame, scales: DataFrame, reach: float = 40.0) -> DataFrame:
-    """(diagram_id, label_id, endpoint_index, multiplicity, rel_index, side): multiplicity boxes (label_id,
-    x1 .. y2) by `optimal` to points (endpoint_index, x, y) within reach times the scale, then decoded by
-    their choices (label_id, choice), then put to the first connection of the endpoint. Boxes that are
-    dropped in decoding have taken their endpoint."""
+def multiplicity_pairs(boxes: DataFrame, points: DataFrame, scales: DataFrame, reach: float = 40.0) -> DataFrame:
+    """(diagram_id, label_id, endpoint_index): multiplicity boxes (label_id, x1 .. y2) by `optimal` to points
+    (endpoint_index, x, y) within reach times the scale."""
     found = assignment_candidates(boxes.withColumnRenamed("label_id", "left_id"), points.withColumnRenamed("endpoint_index", "right_id"), reach, scales)
-    pairs = optimal_assignment(found).withColumnsRenamed({"left_id": "label_id", "right_id": "endpoint_index"})
-    decoded = decode_multiplicity(pairs.join(choices.select("diagram_id", "label_id", "choice"), ["diagram_id", "label_id"]))
-    return attach_to_connection(decoded, links)
+    return optimal_assignment(found).withColumnsRenamed({"left_id": "label_id", "right_id": "endpoint_index"})
+
+
+def decode_pairs(pairs: DataFrame, choices: DataFrame, links: DataFrame) -> DataFrame:
+    """(diagram_id, label_id, endpoint_index, multiplicity, rel_index, side): pairs decoded by their choices
+    (label_id, choice), then put to the first connection of the endpoint."""
+    return attach_to_connection(decode_multiplicity(pairs.join(choices.select("diagram_id", "label_id", "choice"), ["diagram_id", "label_id"])), links)
+
+
+def assign_multiplicities(boxes: DataFrame, choices: DataFrame, points: DataFrame, links: DataFrame, scales: DataFrame, reach: float = 40.0) -> DataFrame:
+    """multiplicity_pairs, decoded. Boxes that are dropped in decoding have taken their endpoint."""
+    return decode_pairs(multiplicity_pairs(boxes, points, scales, reach), choices, links)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import assign, connections, diagram, endpoints as ends_, regions, text, tracing
+from . import assign, connections, diagram, endpoints as ends_, regions, results, text, tracing
 from .stages import written
 
 
@@ -44,10 +44,10 @@ def evaluate_connections(pixels: DataFrame, boxes: DataFrame, endpoints: DataFra
     return connections.final_connections(rewritten, scales=scales), ends
 
 
-def assign_labels(links: DataFrame, ends: DataFrame, labels: DataFrame, choices: DataFrame, scales: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def assign_labels(links: DataFrame, ends: DataFrame, labels: DataFrame, scales: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(clusters, roles, names, multiplicities) of labels (diagram_id, label_id, kind, x1 .. y2): text boxes
     with their clusters and places; clusters with the endpoints, or else the connections, whose they are; and
-    multiplicities with connection and side. choices: (diagram_id, label_id, choice)."""
+    multiplicity boxes with their endpoints, not decoded yet."""
     used = written(connections.connection_endpoints(links).join(ends.select("diagram_id", "endpoint_index", "x", "y"), ["diagram_id", "endpoint_index"]), "used")
     texts = labels.where("kind = 'Relationship label'")
     clusters = written(assign.cluster_text_boxes(texts), "clusters")
@@ -56,8 +56,8 @@ def assign_labels(links: DataFrame, ends: DataFrame, labels: DataFrame, choices:
     free = bounds.join(roles.select("diagram_id", "left_id"), ["diagram_id", "left_id"], "left_anti")
     steps = F.arrays_zip(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(1))).alias("a"), F.when(F.size("path") > 1, F.slice("path", F.lit(2), F.size("path"))).otherwise(F.col("path")).alias("b"))
     segments = links.where("path IS NOT NULL").select("diagram_id", F.col("rel_index").alias("right_id"), F.explode(steps).alias("s")).select("diagram_id", "right_id", F.col("s.a.x").alias("x"), F.col("s.a.y").alias("y"), F.col("s.b.x").alias("u"), F.col("s.b.y").alias("v"))
-    names = assign.optimal_assignment(assign.line_candidates(free, segments, 20.0, scales))
-    multiplicities = assign.assign_multiplicities(labels.where("kind = 'Multiplicity'"), choices, used, links, scales)
+    names = written(assign.optimal_assignment(assign.line_candidates(free, segments, 20.0, scales)), "names")
+    multiplicities = written(assign.multiplicity_pairs(labels.where("kind = 'Multiplicity'"), used, scales), "multiplicities")
     ids = lambda df, target: df.select("diagram_id", F.col("left_id").alias("cluster_id"), F.col("right_id").alias(target))
     return clusters, ids(roles, "endpoint_index"), ids(names, "rel_index"), multiplicities
 
@@ -70,17 +70,37 @@ def _read(clusters: DataFrame, assigned: DataFrame, target: str, label_texts: Da
     return rows.groupBy("diagram_id", F.col("target_id").alias(target)).agg(told.alias("text"))
 
 
-def extract_diagrams(diagrams: DataFrame, boxes: DataFrame, class_texts: DataFrame, pixels: DataFrame, endpoints: DataFrame, crossings: DataFrame, shapes: DataFrame, labels: DataFrame, label_texts: DataFrame, choices: DataFrame) -> DataFrame:
-    """(diagram_id, plantuml) from detection tables: connections, roles, names and multiplicities found, and
-    everything rendered. label_texts: (diagram_id, label_id, score, text), the label boxes as read."""
+def extract_tables(diagrams: DataFrame, boxes: DataFrame, class_texts: DataFrame, pixels: DataFrame, endpoints: DataFrame, crossings: DataFrame, shapes: DataFrame, labels: DataFrame, label_texts: DataFrame, choices: DataFrame) -> dict[str, DataFrame]:
+    """An extraction's tables by name, from detection tables: the connections (links) and their ends, clusters
+    of labels, roles and names, multiplicity boxes with their endpoints, texts of classes, classes,
+    relationships, and the rendered texts (plantuml). label_texts: (diagram_id, label_id, score, text), the
+    label boxes as read; choices: (diagram_id, label_id, choice)."""
     links, ends = evaluate_connections(pixels, boxes, endpoints, crossings, shapes)
-    links, ends = written(links, "links"), written(ends, "ends")
-    clusters, roles, names, multiplicities = assign_labels(links, ends, labels, choices, regions.scale_factor(boxes))
+    links, ends = written(links, "links"), written(ends, "line_ends")
+    clusters, roles, names, pairs = assign_labels(links, ends, labels, regions.scale_factor(boxes))
+    multiplicities = assign.decode_pairs(pairs, choices, links)
     key = ["diagram_id", "rel_index"]
     side = lambda df, column, out: df.groupBy(*key).agg(*(F.max(F.when(F.col("side") == i, F.col(column))).alias(f"{out}_{i}") for i in (0, 1)))
     role_texts = side(connections.attach_to_connection(_read(clusters, roles, "endpoint_index", label_texts), links), "text", "role")
     name_texts = _read(clusters, names, "rel_index", label_texts).withColumnRenamed("text", "name")
     named = links.select(*key, F.col("class_a").alias("class_index_0"), F.col("class_b").alias("class_index_1"), "end_shape_0", "end_shape_1", "shape_score_0", "shape_score_1")
     named = named.join(role_texts, key, "left").join(side(multiplicities, "multiplicity", "multiplicity"), key, "left").join(name_texts, key, "left")
-    classes = written(text.build_classes(class_texts).join(boxes.select("diagram_id", "class_index"), ["diagram_id", "class_index"], "left_semi"), "classes")
-    return diagram.to_plantuml(diagrams, classes, diagram.build_relationships(written(named, "relationships"), classes))
+    shown = boxes.select("diagram_id", "class_index")
+    classes = written(text.build_classes(class_texts).join(shown, ["diagram_id", "class_index"], "left_semi"), "classes")
+    relationships = written(diagram.build_relationships(written(named, "named"), classes), "relationships")
+    rendered = written(diagram.to_plantuml(diagrams, classes, relationships), "rendered")
+    told = text.class_text_rows(class_texts).join(shown, ["diagram_id", "class_index"], "left_semi")
+    return {"links": links, "ends": ends, "clusters": clusters, "roles": roles, "names": names, "multiplicities": pairs, "class_texts": told, "classes": classes, "relationships": relationships, "plantuml": rendered}
+
+
+def extract_diagrams(diagrams: DataFrame, boxes: DataFrame, class_texts: DataFrame, pixels: DataFrame, endpoints: DataFrame, crossings: DataFrame, shapes: DataFrame, labels: DataFrame, label_texts: DataFrame, choices: DataFrame) -> DataFrame:
+    """(diagram_id, plantuml) from detection tables, see extract_tables."""
+    return extract_tables(diagrams, boxes, class_texts, pixels, endpoints, crossings, shapes, labels, label_texts, choices)["plantuml"]
+
+
+def extraction_counts(diagrams: DataFrame, boxes: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """(diagram_id, n_classes, n_relationships, n_class_texts, n_labels, n_multiplicities) of an extraction:
+    class boxes, connections, texts of classes, clusters with a role or a name, and multiplicity boxes that
+    have an endpoint, whatever they are read as."""
+    labels = tables["roles"].select("diagram_id").unionAll(tables["names"].select("diagram_id"))
+    return results.diagram_counts(diagrams, classes=boxes, relationships=tables["links"], class_texts=tables["class_texts"], labels=labels, multiplicities=tables["multiplicities"])

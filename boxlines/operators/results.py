@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .stages import Steps
+
 #: Columns of an evaluation row, and those which are filled by counts.
 EVALUATION_COLUMNS = 30
 COUNT_COLUMNS = {1: "diagram_name", 3: "n_classes", 8: "n_relationships", 13: "n_class_texts", 20: "n_labels", 26: "n_multiplicities"}
@@ -35,6 +37,14 @@ def step_durations(steps: DataFrame, totals: DataFrame | None = None) -> DataFra
     return steps.select(*key, F.col("step_no").cast("long").alias("step_no"), "step", "seconds", F.lit(False).alias("is_total")).unionByName(total)
 
 
+def measured_steps(spark: SparkSession, runs: list[Steps]) -> DataFrame:
+    """(run_index, step_no, step, seconds, n_rows, is_total) of measured runs: a row a table written, in order,
+    and for each run its own time."""
+    rows = [(i, k, name, seconds, n, False) for i, run in enumerate(runs) for k, (name, seconds, n) in enumerate(run.steps, 1)]
+    rows += [(i, len(run.steps) + 1, "Total", run.total, None, True) for i, run in enumerate(runs)]
+    return spark.createDataFrame(rows, "run_index long, step_no long, step string, seconds double, n_rows long, is_total boolean")
+
+
 def numbered_steps(steps: DataFrame) -> DataFrame:
     """Adds step_no by name within each run."""
     return steps.withColumn("step_no", F.row_number().over(Window.partitionBy("diagram_id", "run_index").orderBy("step")))

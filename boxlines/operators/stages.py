@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,9 +26,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@dataclass
+class Steps:
+    """What a measured run has written so far: name, seconds and rows of each table, and the run's seconds."""
+
+    steps: list[tuple[str, float, int]] = field(default_factory=list)
+    total: float | None = None
+
+
+_measured: ContextVar[Steps | None] = ContextVar("measured", default=None)
+
+
+@contextmanager
+def measured() -> Iterator[Steps]:
+    """Within it, `written` notes what each table took, as the driver's clock and the job's own count of rows
+    have it. The whole time is measured by itself: it also holds what lies between the tables."""
+    found, began = Steps(), time.monotonic()
+    before = _measured.set(found)
+    try:
+        yield found
+    finally:
+        found.total = time.monotonic() - began
+        _measured.reset(before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: its plan starts anew, and a lost executor
     costs a re-read."""
     path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if (run := _measured.get()) is None:
+        df.write.parquet(path)
+    else:
+        rows, began = Observation(), time.monotonic()
+        df.observe(rows, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        run.steps.append((name, time.monotonic() - began, rows.get["rows"]))
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ import datetime
 import zlib
 from itertools import permutations
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -12,7 +13,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from boxlines.functions import text as names
-from boxlines.operators import assign, connections, diagram, endpoints, files, regions, text, tiling, tracing
+from boxlines.jobs.queries import _extracted
+from boxlines.operators import assign, connections, diagram, endpoints, extraction, files, regions, results, text, tiling, tracing
+from boxlines.operators.stages import measured
 from boxlines.streaming.intake import PIECE, stream_extract, stream_extract_pieces
 
 REGION = "diagram_id long, region_id long, label string, x double, y double, width double, height double, score double"
@@ -209,6 +212,27 @@ def test_pieces_make_each_diagram_once(spark, tmp_path):
     assert got == [(i, p) for i in range(6) for p in (1, 2)]
 
 
+def test_counts_and_times_of_an_extraction(spark, small):
+    with measured() as run:
+        boxes, tables = _extracted(spark, small)
+    tables = tables | {"boxes": boxes, "got": extraction.extraction_counts(boxes, boxes, tables)}
+    db = duckdb.connect()
+    for name in ("boxes", "links", "roles", "names", "multiplicities", "class_texts", "classes", "got"):
+        db.register(name, tables[name].select("diagram_id", *(["label_id"] if name == "multiplicities" else []), *(c for c in tables[name].columns if name == "got" and c != "diagram_id")).toPandas())
+    of = lambda table: f"(SELECT count(*) FROM {table} t WHERE t.diagram_id = d.diagram_id)"
+    want = f"SELECT diagram_id, {of('boxes')}, {of('links')}, {of('class_texts')}, {of('roles')} + {of('names')}, {of('multiplicities')} FROM (SELECT DISTINCT diagram_id FROM boxes) d"
+    assert sorted(db.execute("SELECT * FROM got").fetchall()) == sorted(db.execute(want).fetchall())
+    assert db.execute("SELECT min(n), max(n) FROM (SELECT count(*) AS n FROM multiplicities GROUP BY diagram_id, label_id)").fetchone() == (1, 1)
+    steps = results.measured_steps(spark, [run]).orderBy("step_no").collect()
+    assert [r.step_no for r in steps] == list(range(1, len(steps) + 1)) and steps[-1].is_total and not any(r.is_total for r in steps[:-1])
+    assert steps[-1].seconds >= sum(r.seconds for r in steps[:-1]) and all(r.n_rows is not None for r in steps[:-1])
+    rows = {r.step: r.n_rows for r in steps}
+    assert rows["links"] == tables["links"].count() and rows["classes"] == tables["classes"].count() and rows["rendered"] == tables["plantuml"].count()
+    before = len(run.steps)
+    tables["plantuml"].count()
+    assert len(run.steps) == before
+
+
 def test_ranks_of_paths_dont_depend_on_the_order_of_rows(spark):
     rows = [(1, 0, 1, 5, 6, 10.0, n, [(0.0, float(n)), (1.0, x)]) for n in (50, 90, 20) for x in (3.0, 2.0)] + [(1, 0, 2, 5, 6, 10.0, 10, [(0.0, 0.0)])]
     schema = "diagram_id long, start_index long, endpoint_index long, class_a long, class_b long, total_div double, path_len long, path array<struct<x:double,y:double>>"
