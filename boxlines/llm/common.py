@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,17 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables of which nothing is read any more, as what came of them is stored. A file system
+    that pyarrow doesn't know keeps them."""
+    for path in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()[:1]}:
+        try:
+            files, at = FileSystem.from_uri(path)
+        except pa.ArrowInvalid:
+            continue
+        files.delete_dir(at)
+
+
 def hot_keys(counted: DataFrame, *keys: str) -> DataFrame:
     """(keys, __salts int) of the hot keys of a stored table (keys, n long): those with over SALT_ROWS rows
     and over 1/HOT_KEYS of all, so at most HOT_KEYS; a salt gets no more rows than makes a key hot."""

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, packed, salted, spread, stored
+from .common import discard, hot_keys, packed, salted, spread, stored
 from .line_dedup import LONG_LINE, MIN_WORDS, with_ends
 
 #: A candidate is first line << 33 | last line << 2 | its kind: a single line, a pair or a chunk. Lines are
@@ -107,7 +107,9 @@ def places(docs: DataFrame, min_words: int = MIN_WORDS, long_line: int = LONG_LI
     later = ~is_first & ~(own & (_first(F.col("code")) <= _last(F.col("first.code"))))
     told = F.struct("code", F.when(own, _first(F.col("first.code"))).alias("own"))
     listed = lambda which, what, name: F.sort_array(F.collect_set(F.when(which, what))).alias(name)
-    return found.groupBy("doc_id", "text_hash").agg(listed(later, told, "later"), listed(is_first, F.col("code"), "first"))
+    out = stored(found.groupBy("doc_id", "text_hash").agg(listed(later, told, "later"), listed(is_first, F.col("code"), "first")), "places")
+    discard(hashed, several, hits, firsts)
+    return out
 
 
 def _has_words(line: Column) -> Column:
@@ -168,7 +170,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, long_line: int = LONG_LIN
     """The rows of docs with `text` less its repeated runs and chunks, and n_removed (lines) and
     removed_chars (long)."""
     kept = packed(docs, "n_removed", "removed_chars")
-    lost = stored(places(kept.select("row.doc_id", "row.text"), min_words, long_line).withColumnsRenamed({"doc_id": "id", "text_hash": "hash"}), "places")
+    lost = places(kept.select("row.doc_id", "row.text"), min_words, long_line).withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
     keyed = kept.select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("text_hash"))
     joined = keyed.join(lost.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
     told = _told_apart(stored(joined.drop("id", "hash"), "joined"))
