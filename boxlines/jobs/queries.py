@@ -253,7 +253,28 @@ def _(spark, d):
     return _round(regions.overlap_pairs(regions.stitch_rectangles(_placed(spark, d))), "overlap", "ratio")
 
 
-@query("d7_suppress_overlaps")
+#: The sweep as a state machine: one box of a group a step, in order of x; which boxes are held and which have
+#: gone. The first held box that beats the new one ends the step.
+_SWEEP = dict(
+    o=f"SELECT *, {_GROUP} AS label_group FROM %s",
+    m="SELECT diagram_id, label_group, list({'x': x, 'y': y, 'w': width, 'h': height, 'score': score, 'id': region_id} ORDER BY x, region_id) AS boxes FROM o GROUP BY 1, 2",
+    z="""SELECT diagram_id, label_group, boxes, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS held, CAST([] AS BIGINT[]) AS gone FROM m
+         UNION ALL SELECT diagram_id, label_group, boxes, i + 1, CASE WHEN k IS NULL THEN list_append(kept, i + 1) ELSE list_concat(kept, held[k:]) END, CASE WHEN k IS NULL THEN list_concat(gone, lost) ELSE list_append(list_concat(gone, lost), i + 1) END
+         FROM (SELECT *, list_filter(held[1:coalesce(k - 1, len(held))], lambda j: boxes[j].x + boxes[j].w >= b.x AND NOT clash[list_position(held, j)]) AS kept,
+                      list_filter(held[1:coalesce(k - 1, len(held))], lambda j: clash[list_position(held, j)]) AS lost
+               FROM (SELECT *, list_position(list_transform(held, lambda j: clash[list_position(held, j)] AND b.score < boxes[j].score), TRUE) AS k
+                     FROM (SELECT *, list_transform(held, lambda j: boxes[j].x + boxes[j].w >= b.x AND greatest(0, least(b.x + b.w, boxes[j].x + boxes[j].w) - greatest(b.x, boxes[j].x)) * greatest(0, least(b.y + b.h, boxes[j].y + boxes[j].h) - greatest(b.y, boxes[j].y)) > 0
+                                  AND greatest(0, least(b.x + b.w, boxes[j].x + boxes[j].w) - greatest(b.x, boxes[j].x)) * greatest(0, least(b.y + b.h, boxes[j].y + boxes[j].h) - greatest(b.y, boxes[j].y)) / least(b.w * b.h, boxes[j].w * boxes[j].h) > 0.3::DOUBLE) AS clash
+                           FROM (SELECT *, boxes[i + 1] AS b FROM z WHERE i < len(boxes)))))""",
+    left_over="SELECT diagram_id, unnest(list_transform(list_filter(range(1, len(boxes) + 1), lambda j: NOT list_contains(gone, j)), lambda j: boxes[j].id)) AS region_id FROM z WHERE i = len(boxes)",
+)
+
+
+def _swept(table: str) -> dict[str, str]:
+    return _SWEEP | {"o": _SWEEP["o"] % table}
+
+
+@query("d7_suppress_overlaps", _with(**_STITCHED, **_swept("s")) + f"SELECT {_BOX} FROM s JOIN left_over USING (diagram_id, region_id)")
 def _(spark, d):
     return _box(regions.suppress_overlaps(regions.stitch_rectangles(_placed(spark, d))))
 
@@ -306,7 +327,10 @@ def _(spark, d):
     return regions.stretch_filter(regions.merged_boxes(p, regions.merge_regions(p)), 6.0).drop("score")
 
 
-@query("d14_stitch_predictions")
+_KEPT_BOXES = {("kept" if k == "z" else k): v for k, v in _EDGE.items()}
+
+
+@query("d14_stitch_predictions", _with(**_KEPT_BOXES, **_swept("kept")) + "SELECT diagram_id, region_id, label, score, row_number() OVER (PARTITION BY diagram_id ORDER BY score DESC, region_id) AS position FROM kept JOIN left_over USING (diagram_id, region_id)")
 def _(spark, d):
     return regions.stitch_predictions(_placed(spark, d)).select("diagram_id", "region_id", "label", "score", "position")
 
@@ -445,7 +469,18 @@ def _(spark, d):
     return e.join(b, "diagram_id").select("diagram_id", "endpoint_id", "class_index", F.round(far + 1e-9, 6).alias("distance"))
 
 
-@query("g2_dedupe_endpoints")
+#: One endpoint a step: those after it that are near go, up to the first that is nearer to a class, for which it
+#: goes itself.
+_THINNED = dict(
+    _NEAR,
+    z="""SELECT e.diagram_id, any_value(round(5 * scale, 3)) AS reach, list({'id': endpoint_id, 'x': e.x, 'y': e.y, 'd': class_distance} ORDER BY endpoint_id) AS line, CAST(1 AS BIGINT) AS i FROM e JOIN nc USING (diagram_id, endpoint_id) JOIN s USING (diagram_id) GROUP BY e.diagram_id
+         UNION ALL SELECT diagram_id, reach, list_concat(CASE WHEN k > len(rest) THEN line[1:i] ELSE line[1:i - 1] END, list_concat(list_filter(rest[1:k - 1], lambda q: sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) >= reach), rest[k:])), CASE WHEN k > len(rest) THEN i + 1 ELSE i END
+         FROM (SELECT *, coalesce(list_position(list_transform(rest, lambda q: sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) < reach AND q.d < p.d), TRUE), len(rest) + 1) AS k
+               FROM (SELECT *, line[i] AS p, line[i + 1:] AS rest FROM z WHERE i <= len(line)))""",
+)
+
+
+@query("g2_dedupe_endpoints", _with(**_THINNED) + "SELECT diagram_id, q.id AS endpoint_id, q.x AS x, q.y AS y FROM (SELECT diagram_id, unnest(line) AS q FROM z WHERE i > len(line))")
 def _(spark, d):
     return endpoints.dedupe_endpoints(*_ends(spark, d))
 
@@ -607,7 +642,25 @@ def _(spark, d):
     return assign.text_orientation(fixture(spark, d, "fx_label_boxes")).select("diagram_id", "label_id", "orientation")
 
 
-@query("j2_cluster_text_boxes")
+#: One text box a step, upright ones along x and then others along y: the first active box in line and near
+#: gives its cluster; a box without one begins a cluster, and what lies far behind it is not active any more.
+_LINED_UP = dict(
+    b=_LABELS,
+    o="SELECT *, x2 - x1 < y2 - y1 AS upright FROM b",
+    m="""SELECT diagram_id, upright, CASE WHEN upright THEN list({'id': label_id, 'a': x1, 'c': y1, 'l': x2 - x1, 'w': y2 - y1} ORDER BY x1, y1, label_id)
+         ELSE list({'id': label_id, 'a': y1, 'c': x1, 'l': y2 - y1, 'w': x2 - x1} ORDER BY y1, x1, label_id) END AS boxes FROM o GROUP BY diagram_id, upright""",
+    z="""SELECT diagram_id, upright, boxes, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS active, CAST([] AS BIGINT[]) AS ids FROM m
+         UNION ALL SELECT diagram_id, upright, boxes, i + 1, list_append(CASE WHEN k IS NULL THEN list_filter(active, lambda j: abs(p.a - boxes[j].a) < boxes[j].l * 1.6::DOUBLE) ELSE active END, i + 1),
+                list_append(ids, CASE WHEN k IS NULL THEN coalesce(list_max(ids), -1) + 1 ELSE ids[active[k]] END)
+         FROM (SELECT *, list_position(list_transform(active, lambda j: abs((p.c + p.w / 2) - (boxes[j].c + boxes[j].w / 2)) < 0.4::DOUBLE * greatest(p.w, boxes[j].w)
+                          AND p.a - (boxes[j].a + boxes[j].l) >= -0.4::DOUBLE * greatest(p.l, boxes[j].l) AND p.a - (boxes[j].a + boxes[j].l) < 0.6::DOUBLE * greatest(p.l, boxes[j].l)), TRUE) AS k
+               FROM (SELECT *, boxes[i + 1] AS p FROM z WHERE i < len(boxes)))""",
+    f="SELECT diagram_id, upright, unnest(list_transform(boxes, lambda q: q.id)) AS label_id, unnest(ids) AS c, unnest(range(1, len(boxes) + 1)) AS turn FROM z WHERE i = len(boxes)",
+    h="SELECT diagram_id, max(c) + 1 AS n FROM f WHERE upright GROUP BY diagram_id",
+)
+
+
+@query("j2_cluster_text_boxes", _with(**_LINED_UP) + "SELECT diagram_id, label_id, c + CASE WHEN upright THEN 0 ELSE coalesce(n, 0) END AS cluster_id, row_number() OVER (PARTITION BY diagram_id, upright, c ORDER BY turn) - 1 AS pos FROM f LEFT JOIN h USING (diagram_id)")
 def _(spark, d):
     return assign.cluster_text_boxes(fixture(spark, d, "fx_label_boxes"))
 
