@@ -1161,7 +1161,7 @@ def _(spark, d):
     return images.cut_tiles(white, _quarters(spark, d)).groupBy("diagram_id").agg(F.count("*").alias("n"))
 
 
-@query("c5_score_tiles")
+@query("c5_score_tiles", _with(**_VALUES) + "SELECT image_id AS diagram_id, CAST(floor(pos % 8 / 4) AS BIGINT) * 4 AS x1, CAST(floor(pos / 32) AS BIGINT) * 4 AS y1, 'class' AS kind, CAST(sum(v) AS DOUBLE) / 16 / 255 AS score FROM v GROUP BY 1, 2, 3 HAVING min(v) < 255")
 def _(spark, d):
     """A stand-in detector: the mean brightness of a tile is its score."""
 
@@ -1281,7 +1281,23 @@ def _(spark, d):
     return _lines(spark, d)
 
 
-@query("h2_split_overlapping_crossings")
+#: One pair of boxes a step, on what the pairs before it left.
+_PARTED = dict(
+    c=oracle("fx_end_shapes"),
+    z="""SELECT diagram_id, list({'k': shape_index, 'x': x, 'y': y, 'w': w, 'h': h} ORDER BY shape_index) AS boxes, CAST(1 AS BIGINT) AS i, CAST(2 AS BIGINT) AS j FROM c GROUP BY diagram_id
+         UNION ALL SELECT diagram_id, CASE WHEN least(ox, oy) <= 0 THEN boxes ELSE list_transform(boxes, lambda q, n: CASE
+                WHEN n NOT IN (i, j) THEN q
+                WHEN oy < ox AND (n = i) = (a.y < b.y) THEN {'k': q.k, 'x': q.x, 'y': q.y, 'w': q.w, 'h': greatest(1, q.h - oy / 2)}
+                WHEN oy < ox THEN {'k': q.k, 'x': q.x, 'y': q.y + oy / 2, 'w': q.w, 'h': greatest(1, q.h - oy / 2)}
+                WHEN (n = i) = (a.x < b.x) THEN {'k': q.k, 'x': q.x, 'y': q.y, 'w': greatest(1, q.w - ox / 2), 'h': q.h}
+                ELSE {'k': q.k, 'x': q.x + ox / 2, 'y': q.y, 'w': greatest(1, q.w - ox / 2), 'h': q.h} END) END,
+                CASE WHEN j = len(boxes) THEN i + 1 ELSE i END, CASE WHEN j = len(boxes) THEN i + 2 ELSE j + 1 END
+         FROM (SELECT *, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) AS ox, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) AS oy
+               FROM (SELECT *, boxes[i] AS a, boxes[j] AS b FROM z WHERE i < len(boxes)))""",
+)
+
+
+@query("h2_split_overlapping_crossings", _with(**_PARTED) + "SELECT diagram_id, q.k AS crossing_index, q.x AS x, q.y AS y, q.w AS w, q.h AS h FROM (SELECT diagram_id, unnest(boxes) AS q FROM z WHERE i >= len(boxes))")
 def _(spark, d):
     return tracing.split_overlapping_crossings(_crossings(spark, d))
 
