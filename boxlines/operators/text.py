@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -68,18 +69,26 @@ def pick_stereotype(rows: DataFrame) -> DataFrame:
     return some.groupBy(*KEY).agg(F.min_by("text", F.struct("score", "pos")).alias("stereotype_text"))
 
 
-def match_stereotype(texts: DataFrame, column: str = "stereotype_text") -> DataFrame:
-    """(column, stereotype): the most alike of STEREOTYPES for each distinct text, if more than half alike."""
+@lru_cache(maxsize=1 << 16)
+def _most_alike(text: str) -> str | None:
+    ratio, at = max((SequenceMatcher(None, text.lower(), s.lower()).ratio(), -i) for i, s in enumerate(STEREOTYPES))
+    return STEREOTYPES[-at] if ratio > 0.5 else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for text in batch[column]:
-                ratio, at = max((SequenceMatcher(None, text.lower(), s.lower()).ratio(), -i) for i, s in enumerate(STEREOTYPES))
-                found.append(STEREOTYPES[-at] if ratio > 0.5 else None)
-            yield pd.DataFrame({column: batch[column], "stereotype": found})
 
-    return texts.select(column).where(F.col(column).isNotNull()).distinct().mapInPandas(run, f"{column} string, stereotype string")
+def stereotype_of(text: Column) -> Column:
+    """The most alike of STEREOTYPES, if more than half alike; null for null. Worked out where the text is, as
+    a join on it would bring all nulls to one task; a worker remembers what it has seen."""
+
+    @F.pandas_udf("string")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else _most_alike(t))
+
+    return found(text)
+
+
+def match_stereotype(texts: DataFrame, column: str = "stereotype_text") -> DataFrame:
+    """(column, stereotype) by stereotype_of, for each distinct text."""
+    return texts.select(column).where(F.col(column).isNotNull()).distinct().withColumn("stereotype", stereotype_of(F.col(column)))
 
 
 def split_members(rows: DataFrame) -> DataFrame:
@@ -103,7 +112,7 @@ def build_classes(texts: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
         listed(F.col("__member") & ~F.col("__method")).alias("attributes"),
         listed(F.col("__member") & F.col("__method")).alias("methods"),
     )
-    return classes.join(match_stereotype(classes), "stereotype_text", "left").drop("stereotype_text")
+    return classes.withColumn("stereotype", stereotype_of(F.col("stereotype_text"))).drop("stereotype_text")
 
 
 def label_text_rows(assigned: DataFrame, texts: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
