@@ -395,6 +395,34 @@ def _(spark, d):
     return _round(found.select("diagram_id", "region_id", "part", "piece", "n_members", "score", "area", "position"), "score", "area")
 
 
+#: Boxes and outlines of one picture: multiplicities are outlines here, of equal score, so that a merged one's
+#: is the same.
+_MIXED = dict(
+    {("u" if k == "s" else k): (v.replace("FROM s ", "FROM u ") if k == "z" else v) for k, v in _EDGE.items() if k != "z"},
+    kept=_EDGE["z"].replace("FROM s WHERE", "FROM u WHERE label <> 'Multiplicity' AND"),
+    **_swept("kept"),
+    g=_POLYGONS,
+    y="""SELECT g.diagram_id, g.region_id, g.x1 * (CAST(tile_width AS DOUBLE) / image_width) + CAST(offset_px_x AS DOUBLE) / image_width * 100 AS x1, g.y1 * (CAST(tile_height AS DOUBLE) / image_height) + CAST(offset_px_y AS DOUBLE) / image_height * 100 AS y1,
+         g.x2 * (CAST(tile_width AS DOUBLE) / image_width) + CAST(offset_px_x AS DOUBLE) / image_width * 100 AS x2, g.y2 * (CAST(tile_height AS DOUBLE) / image_height) + CAST(offset_px_y AS DOUBLE) / image_height * 100 AS y2 FROM g JOIN p USING (diagram_id, region_id)""",
+    q="SELECT * FROM y WHERE (x2 - x1) * (y2 - y1) > 0.1",
+    e="""SELECT a.diagram_id, a.region_id AS a, b.region_id AS b FROM q a JOIN q b ON a.diagram_id = b.diagram_id AND a.region_id <> b.region_id
+         WHERE greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / (least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) + 1e-6) >= 0.1""",
+    reach="SELECT diagram_id, region_id AS a, region_id AS b FROM q UNION SELECT r.diagram_id, r.a, e.b FROM reach r JOIN e ON e.diagram_id = r.diagram_id AND e.a = r.b",
+    h="SELECT diagram_id, a AS region_id, min(b) AS merged_id FROM reach GROUP BY 1, 2",
+    f="SELECT diagram_id, merged_id AS region_id, count(*) AS n_members FROM q JOIN h USING (diagram_id, region_id) GROUP BY diagram_id, merged_id HAVING sqrt(pow(max(x2) - min(x1), 2) + pow(max(y2) - min(y1), 2)) > 2",
+    d="SELECT diagram_id, region_id, concat(offset_px_x, ',', offset_px_y, ' ', tile_width, 'x', tile_height, ' ', row_number() OVER (PARTITION BY diagram_id, offset_px_x, offset_px_y, tile_width, tile_height ORDER BY region_id)) AS id FROM r",
+    w="SELECT kept.diagram_id, region_id, 'rectanglelabels' AS type, label, label_group, score, 1 AS n_members FROM kept JOIN left_over USING (diagram_id, region_id) JOIN o USING (diagram_id, region_id, label, score) UNION ALL SELECT diagram_id, region_id, 'polygonlabels', 'Multiplicity', 'Multiplicity', 0.7503, n_members FROM f",
+)
+
+
+@query("d14_stitch_regions", _with(**_MIXED) + "SELECT diagram_id, region_id, type, d.id AS id, label, label_group, n_members, row_number() OVER (PARTITION BY diagram_id ORDER BY round(score, 9) DESC, type DESC, region_id) AS position FROM w JOIN d USING (diagram_id, region_id)")
+def _(spark, d):
+    is_line = F.col("label") == "Multiplicity"
+    points = _rings(spark, d).select("diagram_id", "region_id", F.col("points").alias("drawn"))
+    mixed = _placed(spark, d).join(points, ["diagram_id", "region_id"], "left").withColumn("points", F.when(is_line, F.col("drawn"))).withColumn("score", F.when(is_line, 0.7503).otherwise(F.col("score"))).drop("drawn")
+    return outlines.stitch_regions(mixed, remove_edges=True, box_ids=True).select("diagram_id", "region_id", "type", "id", "label", "label_group", "n_members", "position")
+
+
 @query("e1_class_boxes", _with(**_STITCHED) + "SELECT diagram_id, row_number() OVER (PARTITION BY diagram_id ORDER BY score DESC, region_id) - 1 AS class_index, round(x / 100 * image_width, 6) AS x, round(y / 100 * image_height, 6) AS y, round(width / 100 * image_width, 6) AS w, round(height / 100 * image_height, 6) AS h FROM s WHERE label = 'Class'")
 def _(spark, d):
     return _round(regions.class_boxes(regions.stitch_rectangles(_placed(spark, d))), "x", "y", "w", "h")

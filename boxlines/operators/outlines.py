@@ -16,7 +16,7 @@ from ..functions import outlines
 from ..functions.geometry import rings_in_box
 from .grid import box_pairs
 from .grouped import per_group
-from .regions import loops, stitch_polygons
+from .regions import drop_tile_edge_detections, label_group, loops, stitch_polygons, stitch_rectangles, suppress_overlaps, tile_position_id
 
 POINTS = "array<struct<x:double,y:double>>"
 
@@ -138,3 +138,23 @@ def stitch_outlines(regions: DataFrame, least_area: float = 0.1, threshold: floa
     named = merged.join(numbered.select("diagram_id", "region_id", "__source", "part", "piece"), ["diagram_id", "region_id"])
     best = Window.partitionBy("diagram_id").orderBy(F.col("score").desc(), "region_id")
     return named.withColumn("position", F.row_number().over(best).cast("long")).drop("region_id").withColumnRenamed("__source", "region_id")
+
+
+def stitch_regions(regions: DataFrame, remove_edges: bool = False, box_ids: bool = False, threshold: float = 0.3) -> DataFrame:
+    """All that was found on tiles, boxes (points null) and outlines (points in percent of the tile), in one
+    order on the image: (diagram_id, region_id, type, id, label, label_group, score, x, y, width, height, points,
+    rings, n_members, position). Boxes are stitched, with remove_edges those cut by a tile's border go, and of
+    overlapping ones of a group the worse; outlines are stitched and merged, a merged one having the id and
+    label of its first. id says tile and number on the tile, counted over both; boxes have it with box_ids.
+    Position follows falling score to nine places, boxes before outlines, then region_id."""
+    named = tile_position_id(regions)
+    none = lambda kind: F.lit(None).cast(kind)
+    boxes = named.where("points IS NULL").drop("points")
+    boxes = suppress_overlaps(drop_tile_edge_detections(boxes) if remove_edges else stitch_rectangles(boxes), threshold)
+    boxes = boxes.select("diagram_id", "region_id", F.lit("rectanglelabels").alias("type"), (F.col("id") if box_ids else none("string")).alias("id"), "label", "score", "x", "y", "width", "height", none(POINTS).alias("points"), none(f"array<{POINTS}>").alias("rings"), F.lit(1).cast("long").alias("n_members"))
+    drawn = named.where("points IS NOT NULL")
+    merged = stitch_outlines(drawn).join(drawn.select("diagram_id", "region_id", "id", "label"), ["diagram_id", "region_id"])
+    lines = merged.select("diagram_id", "region_id", F.lit("polygonlabels").alias("type"), "id", "label", "score", *(none("double").alias(c) for c in ("x", "y", "width", "height")), "points", "rings", "n_members")
+    both = boxes.unionByName(lines).withColumn("label_group", label_group(F.col("label")))
+    by = Window.partitionBy("diagram_id").orderBy(F.round("score", 9).desc(), F.col("type").desc(), "region_id")
+    return both.withColumn("position", F.row_number().over(by).cast("long"))
