@@ -279,8 +279,9 @@ def _(spark, d):
     return _box(regions.suppress_overlaps(regions.stitch_rectangles(_placed(spark, d))))
 
 
-@query("d8_split_loops")
+@query("d8_split_loops", _with(p=_POLYGONS) + "SELECT diagram_id, region_id, CAST(1 AS BIGINT) AS part, CAST(5 AS BIGINT) AS n, round((x2 - x1) * (y2 - y1), 6) AS area FROM p")
 def _(spark, d):
+    """Rings that begin anew: the whole one is cut off, and what is left has too few points."""
     rings = _rings(spark, d).withColumn("points", F.concat("points", F.slice("points", 1, 3)))
     return regions.loops(rings).select("diagram_id", "region_id", "part", F.size("points").cast("long").alias("n"), F.round(geometry.polygon_area(F.col("points")) + 1e-9, 6).alias("area"))
 
@@ -315,7 +316,23 @@ def _(spark, d):
     return regions.merge_regions(fixture(spark, d, "fx_polygons"))
 
 
-@query("d12_merged_score")
+def _weighed(cells: str, unit: str) -> dict[str, str]:
+    """Scores of merged regions, a member a step in the order of ids, from the members (v: with rank k and their own
+    area) and the cells that each covers; the area so far is that of the cells which were covered first by then."""
+    return dict(
+        c=f"SELECT diagram_id, merged_id, k, count(*) * {unit} AS fresh FROM (SELECT diagram_id, merged_id, cx, cy, min(k) AS k FROM ({cells}) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3",
+        u="SELECT v.*, sum(coalesce(fresh, 0)) OVER (PARTITION BY v.diagram_id, v.merged_id ORDER BY v.k) AS upto FROM v LEFT JOIN c USING (diagram_id, merged_id, k)",
+        steps="""SELECT diagram_id, merged_id, k, score, upto FROM u WHERE k = 1
+             UNION ALL SELECT s.diagram_id, s.merged_id, u.k, (s.score * s.upto + u.score * u.own) / (s.upto + u.own), u.upto FROM steps s JOIN u ON u.diagram_id = s.diagram_id AND u.merged_id = s.merged_id AND u.k = s.k + 1""",
+        l="SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY diagram_id, merged_id ORDER BY k DESC) = 1",
+    )
+
+
+_CELLS = "SELECT *, unnest(range(CAST({n} * x1 AS BIGINT), CAST({n} * x2 AS BIGINT))) AS cx FROM (SELECT *, unnest(range(CAST({n} * y1 AS BIGINT), CAST({n} * y2 AS BIGINT))) AS cy FROM {table})"
+_MEMBERS = "SELECT p.*, merged_id, row_number() OVER (PARTITION BY diagram_id, merged_id ORDER BY region_id) AS k, {own} AS own FROM p JOIN m USING (diagram_id, region_id)"
+
+
+@query("d12_merged_score", _with(**_MERGED, v=_MEMBERS.format(own="(x2 - x1) * (y2 - y1)"), **_weighed(_CELLS.format(n=1, table="v"), "1.0::DOUBLE")) + "SELECT diagram_id, merged_id, count(*) AS n_members, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, round(any_value(l.score), 6) AS score FROM v JOIN l USING (diagram_id, merged_id) GROUP BY diagram_id, merged_id")
 def _(spark, d):
     p = fixture(spark, d, "fx_polygons")
     return _round(regions.merged_boxes(p, regions.merge_regions(p)), "score")
@@ -383,7 +400,14 @@ def _(spark, d):
     return merged.select("diagram_id", "region_id", "n_members", at(F.array_min, "x")("x1"), at(F.array_min, "y")("y1"), at(F.array_max, "x")("x2"), at(F.array_max, "y")("y2"))
 
 
-@query("d12_outline_scores")
+_PARTS_OF = "SELECT v.diagram_id, v.merged_id, v.k, q.x1, q.y1, q.x2, q.y2 FROM v JOIN q USING (diagram_id, region_id)"
+
+
+@query(
+    "d12_outline_scores",
+    _with(**_ANGLES_MERGED, v=_MEMBERS.format(own="0.75::DOUBLE * (x2 - x1) * (y2 - y1)"), **_weighed(_CELLS.format(n=2, table=f"({_PARTS_OF})"), "0.25::DOUBLE"))
+    + "SELECT diagram_id, merged_id AS region_id, round(any_value(l.score), 6) AS score, round(any_value(l.upto), 6) AS area FROM v JOIN l USING (diagram_id, merged_id) GROUP BY diagram_id, merged_id HAVING sqrt(pow(max(x2) - min(x1), 2) + pow(max(y2) - min(y1), 2)) > 2",
+)
 def _(spark, d):
     return _round(outlines.merge_outlines(outlines.clean_outlines(_angles(spark, d))).select("diagram_id", "region_id", "score", "area"), "score", "area")
 
@@ -1444,7 +1468,7 @@ def _(spark, d):
     return assign.assign_multiplicities(b, b.select("diagram_id", "label_id", _choice().alias("choice")), points, links.where("endpoint_index IS NOT NULL"), regions.scale_factor(fixture(spark, d, "fx_class_boxes")))
 
 
-@query("k5_ocr_batches")
+@query("k5_ocr_batches", "SELECT *, concat(x2 - x1, 'x', y2 - y1) AS text FROM (" + ORACLES["k1_crop_boxes"] + ")")
 def _(spark, d):
     """A stand-in reader: a crop's text is its size."""
     crops = regions.crop_boxes(_placed(spark, d))
