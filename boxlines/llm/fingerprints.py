@@ -7,7 +7,8 @@ Digests are compared by a difference score that is bounded and turned into a lik
 
 Edge cases: null texts are empty ones; a text of under three bytes has no triplets, and all buckets are in
 the lowest quarter; equal texts have equal digests whatever their rows hold besides; rows that agree in id
-and text are neighbours in the order of documents and stay separate rows; null ids come first.
+and text are neighbours in the order of documents and stay separate rows; null ids come first; texts may be of
+any length; an empty table gives an empty table; other input columns are not read.
 """
 
 from __future__ import annotations

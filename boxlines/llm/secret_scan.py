@@ -6,8 +6,9 @@ its documents (trigram to ascending document positions, over ASCII-folded bytes)
 postings as the query says, and runs the pattern on the candidates alone, so the index never outgrows a block
 and nothing is shuffled. Rules from which no trigram is mandatory run on every document.
 
-Edge cases: null and empty texts have no spans; repeated rows are scanned alike; an empty table gives an
-empty table; other input columns are not read.
+Edge cases: null and empty texts have no spans; repeated rows are scanned alike; texts may be of any length;
+kinds are found each for itself, so that a span of one may lie over another's and both stay; an empty table
+gives an empty table; other input columns are not read.
 """
 
 from __future__ import annotations
