@@ -175,7 +175,8 @@ def _told(ends: list[tuple]) -> dict[int, tuple]:
 def merge_shared_endpoints(connections: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Joins or thins two connections that share an endpoint. If the endpoint's class is at a far end, both
     go and the far ends are connected, an empty far end in that class taking the endpoint's shape; else, if
-    both far ends are in one class, the second goes, its shape moving to an empty first. endpoints:
+    both far ends are in one class, the second goes, its shape moving to an empty first. The shape is that of
+    the shared endpoint itself, not of an endpoint that happens to have the class's number. endpoints:
     (diagram_id, endpoint_index, class_index, end_shape[, shape_score, x, y]). A pass is repeated when it
     meets a connection that it took away before; paths are joined, and add up in path_len."""
     return rewrite_connections(connections, endpoints, bridge=False)
