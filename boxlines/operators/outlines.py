@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import outlines
 from ..functions.geometry import rings_in_box
 from .grid import box_pairs
-from .grouped import per_group
+from .grouped import per_batch
 from .regions import drop_tile_edge_detections, label_group, loops, stitch_polygons, stitch_rectangles, suppress_overlaps, tile_position_id
 
 POINTS = "array<struct<x:double,y:double>>"
@@ -40,12 +40,11 @@ def clean_outlines(polygons: DataFrame, least_area: float = 0.1) -> DataFrame:
 
     @F.pandas_udf(f"array<struct<rings:array<{POINTS}>,area:double>>")
     def repaired(points: pd.Series) -> pd.Series:
-        def one(ring) -> list[dict]:
-            made = [] if ring is None else outlines.repair(_plain([ring])[0])
+        def told(made: list[list[outlines.Ring]]) -> list[dict]:
             sizes = [outlines.area(p) for p in made]
             return [{"rings": [_rows(r) for r in p], "area": a} for p, a in zip(made, sizes, strict=True)] if sum(sizes) > least_area else []
 
-        return points.map(one)
+        return pd.Series([told(x) for x in outlines.repairs([[] if ring is None else _plain([ring])[0] for ring in points])], index=points.index, dtype=object)
 
     made = polygons.select(*(c for c in polygons.columns if c not in ("piece", "rings", "area")), F.posexplode(repaired("points")).alias("piece", "__part"))
     made = made.withColumn("piece", F.col("piece").cast("long")).withColumn("rings", F.col("__part.rings")).withColumn("area", F.col("__part.area"))
@@ -61,7 +60,7 @@ def outline_overlaps(outlined: DataFrame, threshold: float = 0.1) -> DataFrame:
 
     @F.pandas_udf("double")
     def shared(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([outlines.shared(_plain(p), _plain(q)) for p, q in zip(left, right, strict=True)], dtype=float)
+        return pd.Series(outlines.shared_areas([(_plain(p), _plain(q)) for p, q in zip(left, right, strict=True)]), index=left.index, dtype=float)
 
     pairs = box_pairs(a, b, bounds("a"), bounds("b")).where("region_id_a < region_id_b")
     pairs = pairs.withColumn("overlap", shared("rings_a", "rings_b") / (F.least("area_a", "area_b") + 1e-6))
@@ -72,14 +71,28 @@ def merge_outlines(outlined: DataFrame, threshold: float = 0.1, least: float = 2
     """Outlines (region_id, score, rings) tied by overlaps, as one: (diagram_id, region_id, n_members, score,
     points, rings, area). The least region_id names it; the score is weighed by area in the order of ids, the
     area so far being that of the union; points are the simplified outer ring of its largest part. Those go
-    whose points' bounds have a diagonal of no more than least. A diagram is one task's work; its outlines are
-    swept by their left bounds, and shared areas worked out only where bounds meet and the two are not tied yet."""
+    whose points' bounds have a diagonal of no more than least. Many diagrams are worked out at a time: which
+    bounds meet is told by sweeping each diagram's by their left sides, areas and unions of all of them in one
+    go, a union a member of each region in turn."""
 
-    def merge(_: tuple, rows: list[tuple]) -> list[tuple]:
-        rows = sorted(rows, key=lambda r: r[0])
+    def meeting(bounds: list[tuple]) -> list[tuple[int, int]]:
+        held, out = [], []
+        for i in sorted(range(len(bounds)), key=lambda k: bounds[k][0]):
+            held = [j for j in held if bounds[j][2] >= bounds[i][0]]
+            out += [(i, j) for j in held if bounds[j][1] <= bounds[i][3] and bounds[i][1] <= bounds[j][3]]
+            held.append(i)
+        return out
+
+    def merge(diagrams: list[tuple]) -> list[tuple]:
+        rows, keys, pairs = [], [], []
+        for key, some in diagrams:
+            some = sorted(some, key=lambda r: r[0])
+            bounds = [(min(x), min(y), max(x), max(y)) for x, y in (zip(*((p["x"], p["y"]) for p in r[2][0]), strict=True) for r in some)]
+            pairs += [(len(rows) + i, len(rows) + j) for i, j in meeting(bounds)]
+            rows += some
+            keys += [key] * len(some)
         rings = [_plain(r[2]) for r in rows]
         sizes = [outlines.area(r) for r in rings]
-        bounds = [(min(x), min(y), max(x), max(y)) for x, y in (zip(*r[0], strict=True) for r in rings)]
         root = list(range(len(rows)))
 
         def find(i: int) -> int:
@@ -88,32 +101,27 @@ def merge_outlines(outlined: DataFrame, threshold: float = 0.1, least: float = 2
                 i = root[i]
             return i
 
-        held: list[int] = []
-        for i in sorted(range(len(rows)), key=lambda k: bounds[k][0]):
-            held = [j for j in held if bounds[j][2] >= bounds[i][0]]
-            for j in held:
-                if find(i) != find(j) and bounds[j][1] <= bounds[i][3] and bounds[i][1] <= bounds[j][3]:
-                    if outlines.shared(rings[i], rings[j]) / (min(sizes[i], sizes[j]) + 1e-6) >= threshold:
-                        a, b = sorted((find(i), find(j)))
-                        root[b] = a
-            held.append(i)
-        groups: dict[int, list[int]] = {}
+        for (i, j), inter in zip(pairs, outlines.shared_areas([(rings[i], rings[j]) for i, j in pairs]), strict=True):
+            if inter / (min(sizes[i], sizes[j]) + 1e-6) >= threshold:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+        members: dict[int, list[int]] = {}
         for i in range(len(rows)):
-            groups.setdefault(find(i), []).append(i)
+            members.setdefault(find(i), []).append(i)
+        whole, size, score = ({i: x[i] for i in members} for x in (rings, sizes, [r[1] for r in rows]))
+        for k in range(1, max(map(len, members.values()), default=1)):
+            growing = [(first, of[k]) for first, of in members.items() if len(of) > k]
+            for (first, i), made in zip(growing, outlines.unions([(whole[first], rings[i]) for first, i in growing]), strict=True):
+                score[first] = (score[first] * size[first] + rows[i][1] * sizes[i]) / (size[first] + sizes[i])
+                whole[first], size[first] = made, outlines.area(made)
         out = []
-        for first, members in groups.items():
-            whole, size, score = rings[first], sizes[first], rows[first][1]
-            for i in members[1:]:
-                score = (score * size + rows[i][1] * sizes[i]) / (size + sizes[i])
-                whole = outlines.united(whole, rings[i])
-                size = outlines.area(whole)
-            points = outlines.simplify(outlines.parts(whole)[0][0], tolerance)
+        for (first, of), points in zip(members.items(), outlines.simplified([outlines.parts(whole[i])[0][0] for i in members], tolerance), strict=True):
             x, y = zip(*points, strict=True)
             if math.hypot(max(x) - min(x), max(y) - min(y)) > least:
-                out.append((rows[first][0], len(members), score, _rows(points), [_rows(r) for r in whole], size))
+                out.append((*keys[first], rows[first][0], len(of), score[first], _rows(points), [_rows(r) for r in whole[first]], size[first]))
         return out
 
-    return per_group([(outlined, ("region_id", "score", "rings"))], ("diagram_id",), merge, f"region_id long, n_members long, score double, points {POINTS}, rings array<{POINTS}>, area double")
+    return per_batch([(outlined, ("region_id", "score", "rings"))], ("diagram_id",), merge, f"region_id long, n_members long, score double, points {POINTS}, rings array<{POINTS}>, area double")
 
 
 def drop_outlines_inside(outlined: DataFrame, rectangles: DataFrame, share: float = 0.95) -> DataFrame:
