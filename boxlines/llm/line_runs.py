@@ -151,19 +151,19 @@ def _gone(lines: Column, worded: Column, later: Column, long_line: int) -> Colum
     return F.array_distinct(F.flatten(F.transform(F.concat(long_runs, rest), lambda c: _lines_of(c, worded))))
 
 
-def _told_apart(joined: DataFrame) -> DataFrame:
-    """joined (row, doc_id, text_hash, later, first) with `odd`: the numbers of a document's lines that share
-    their 128 bits with other bytes. Only lines of candidates are looked at; where no hash is shared, as
-    always but by design, that's all."""
+def _odd_lines(joined: DataFrame) -> DataFrame | None:
+    """(id, hash, odd): the numbers of a document's lines that share their 128 bits with other bytes; None where
+    no hash is shared, as always but by design. joined: (row, doc_id, text_hash, later, first), of which only the
+    lines of candidates are looked at."""
     codes = F.concat(F.transform("later", lambda c: c["code"]), F.col("first"))
     of = lambda lines: _let(_worded(lines), lambda worded: F.transform(F.array_distinct(F.flatten(F.transform(codes, lambda c: _lines_of(c, worded)))), lambda i: F.struct(i.alias("i"), F.get(lines, i).alias("line"))))
-    lines = joined.where("later IS NOT NULL").select("doc_id", "text_hash", F.explode_outer(_let(F.split("row.text", "\n", -1), of)).alias("l")).select("doc_id", "text_hash", "l.i", "l.line", *_line_hashes(F.col("l.line")))
+    lines = joined.select("doc_id", "text_hash", F.explode_outer(_let(F.split("row.text", "\n", -1), of)).alias("l")).select("doc_id", "text_hash", "l.i", "l.line", *_line_hashes(F.col("l.line")))
     shared = lines.groupBy("a", "b").agg(F.min("line").alias("least"), F.max("line").alias("most")).where(F.col("least").cast("binary") != F.col("most").cast("binary"))
     shared = stored(shared.select("a", "b"), "shared_hashes")
     if not shared.limit(1).count():
-        return joined.withColumn("odd", F.lit(None).cast("array<int>"))
+        return None
     odd = lines.join(shared, ["a", "b"], "left_semi").groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_set("i").alias("odd"))
-    return joined.join(odd, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left").drop("id", "hash")
+    return stored(odd, "odd_lines")
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, long_line: int = LONG_LINE) -> DataFrame:
@@ -172,8 +172,11 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, long_line: int = LONG_LIN
     kept = packed(docs, "n_removed", "removed_chars")
     lost = places(kept.select("row.doc_id", "row.text"), min_words, long_line).withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
     keyed = kept.select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("text_hash"))
-    joined = keyed.join(lost.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
-    told = _told_apart(stored(joined.drop("id", "hash"), "joined"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+    # texts are shuffled twice, to compare bytes and for the result, and not kept in between
+    odd = _odd_lines(keyed.join(lost.hint("shuffle_hash"), same).drop("id", "hash"))
+    told = keyed.join(lost.hint("shuffle_hash"), same, "left").drop("id", "hash")
+    told = told.withColumn("odd", F.lit(None).cast("array<int>")) if odd is None else told.join(odd, same, "left").drop("id", "hash")
 
     def left(lines: Column) -> Column:
         """What is left of a text that has candidates in later places, and how many lines go."""
