@@ -59,7 +59,7 @@ def dedupe_endpoints(endpoints: DataFrame, boxes: DataFrame, scales: DataFrame,
     return per_group([(known, ("endpoint_id", "x", "y", "class_distance", "scale"))], ("diagram_id",), drop, "endpoint_id long, x double, y double")
 
 
-def _attachment(endpoints: DataFrame, boxes: DataFrame, scales: DataFrame) -> DataFrame:
+def attachment(endpoints: DataFrame, boxes: DataFrame, scales: DataFrame) -> DataFrame:
     """Endpoints that attach (diagram_id, endpoint_id, how, class_index, other_id): to a class that is near
     enough, or else with the nearest endpoint in a gap. Only what lies within reach is compared. Of diagrams
     without class boxes, and of a lone endpoint, none attach."""
@@ -84,11 +84,12 @@ def _attachment(endpoints: DataFrame, boxes: DataFrame, scales: DataFrame) -> Da
     return near.select(*keys, how.alias("how"), F.col("c.class_index").alias("class_index"), F.col("n.o").alias("other_id"))
 
 
-def attach_endpoints(endpoints: DataFrame, boxes: DataFrame, scales: DataFrame) -> DataFrame:
+def attach_endpoints(endpoints: DataFrame, boxes: DataFrame, scales: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """(diagram_id, endpoint_id, class_index, position): endpoints that belong to a class or, with a null
     class, to a gap between two endpoints. Positions (from 0) follow the first step that adds an endpoint:
-    its own, or that of the endpoint whose nearest it is, own before partner."""
-    near = written(_attachment(endpoints, boxes, scales), "attachment")
+    its own, or that of the endpoint whose nearest it is, own before partner. near: their attachment, if it
+    is there already."""
+    near = written(attachment(endpoints, boxes, scales), "attachment") if near is None else near
     own = near.select("diagram_id", "endpoint_id", F.col("endpoint_id").alias("step"), F.lit(0).alias("partner"), F.when(F.col("how") == "class", F.col("class_index")).alias("class_index"))
     partner = near.where("how = 'gap'").select("diagram_id", F.col("other_id").alias("endpoint_id"), F.col("endpoint_id").alias("step"), F.lit(1).alias("partner"), F.lit(None).cast("long").alias("class_index"))
     kept = own.unionByName(partner).groupBy("diagram_id", "endpoint_id").agg(F.min(F.struct("step", "partner")).alias("first"), F.max("class_index").alias("class_index"))
@@ -96,9 +97,10 @@ def attach_endpoints(endpoints: DataFrame, boxes: DataFrame, scales: DataFrame)
     return kept.select("diagram_id", "endpoint_id", "class_index", (F.row_number().over(by) - 1).cast("long").alias("position"))
 
 
-def gap_pairs(endpoints: DataFrame, boxes: DataFrame, scales: DataFrame) -> DataFrame:
-    """(diagram_id, a, b): each pair of an endpoint in a gap and its nearest once, as first found."""
-    near = _attachment(endpoints, boxes, scales).where("how = 'gap'")
+def gap_pairs(endpoints: DataFrame, boxes: DataFrame, scales: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """(diagram_id, a, b): each pair of an endpoint in a gap and its nearest once, as first found. near: their
+    attachment, if it is there already."""
+    near = (attachment(endpoints, boxes, scales) if near is None else near).where("how = 'gap'")
     pair = F.struct(F.col("endpoint_id").alias("a"), F.col("other_id").alias("b"))
     key = [F.least("endpoint_id", "other_id").alias("lo"), F.greatest("endpoint_id", "other_id").alias("hi")]
     return near.groupBy("diagram_id", *key).agg(F.min(pair).alias("p")).select("diagram_id", "p.a", "p.b")

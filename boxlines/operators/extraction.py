@@ -23,12 +23,13 @@ def evaluate_connections(pixels: DataFrame, boxes: DataFrame, endpoints: DataFra
     pixels = written(pixels, "pixels")
     raw = endpoints.groupBy("diagram_id").agg(F.count("*").alias("n_endpoints"))
     thinned = written(ends_.dedupe_endpoints(endpoints, boxes, scales), "endpoints")
-    attached = ends_.attach_endpoints(thinned, boxes, scales).withColumnRenamed("position", "endpoint_index")
+    near = written(ends_.attachment(thinned, boxes, scales), "attachment")
+    attached = ends_.attach_endpoints(thinned, boxes, scales, near).withColumnRenamed("position", "endpoint_index")
     kept = written(thinned.join(attached, ["diagram_id", "endpoint_id"]), "attached")
     shaped = ends_.end_shape_mapping(kept.select("diagram_id", "endpoint_id", "x", "y"), shapes, scales)
     ends = written(kept.join(shaped, ["diagram_id", "endpoint_id"]), "ends")
     number = lambda c: ends.select("diagram_id", F.col("endpoint_id").alias(c), F.col("endpoint_index").alias(f"{c}_index"))
-    gaps = ends_.gap_pairs(thinned, boxes, scales).join(number("a"), ["diagram_id", "a"]).join(number("b"), ["diagram_id", "b"])
+    gaps = ends_.gap_pairs(thinned, boxes, scales, near).join(number("a"), ["diagram_id", "a"]).join(number("b"), ["diagram_id", "b"])
     gaps = gaps.select("diagram_id", F.col("a_index").alias("a"), F.col("b_index").alias("b"))
 
     split = written(tracing.split_overlapping_crossings(crossings), "crossings")
