@@ -2,8 +2,9 @@
 
 A task puts its pictures in a folder of its own attempt, below `_temporary`. The commit drops the folders of
 attempts that didn't make it and moves the run's folder to its place at once, so that a reader sees all
-pictures of a run or none, each once, however often tasks were repeated; a failed run leaves nothing. Paths
-may be of any file system that pyarrow.fs knows by its scheme."""
+pictures of a run or none, each once, however often tasks were repeated. A failed run is removed; what its
+tasks still write while they are stopped stays below `_temporary`, where no reader looks. Paths may be of any
+file system that pyarrow.fs knows by its scheme."""
 
 from __future__ import annotations
 
