@@ -47,23 +47,24 @@ def nearest_points(points: DataFrame, id_col: str) -> DataFrame:
     """(diagram_id, id_col, other_id, other_distance) for points (id_col, x, y): the nearest other point of the
     diagram, the first id on ties; a lone one has none. A point looks at its cell and the eight around it; what
     it finds within a cell's length is the nearest. Those that find none so near look again with cells four
-    times as long, of which there are soon few and then none."""
+    times as long, of which there are soon few and then none. Both sides of its joins are dealt out:
+    Spark takes the nine rows of a point for one, and would send them all through the driver."""
     extent = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
     about = points.groupBy("diagram_id").agg(extent.alias("__extent"), F.count("*").alias("__n")).where("__n > 1")
     cell = F.when(F.col("__extent") > 0, F.col("__extent") / F.sqrt("__n")).otherwise(1.0)
-    known = written(points.join(about, "diagram_id").select("diagram_id", id_col, "x", "y", cell.alias("__cell")), "points")
+    known = written(points.join(about.hint("merge"), "diagram_id").select("diagram_id", id_col, "x", "y", cell.alias("__cell")), "points")
     place = lambda c, times: F.floor(F.col(c) / (F.col("__cell") * times))
     todo, found, times = known, None, 1.0
     while True:
         others = known.select("diagram_id", F.col(id_col).alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), place("x", times).alias("cx"), place("y", times).alias("cy"))
         around = F.array(*(F.struct((place("x", times) + dx).alias("cx"), (place("y", times) + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
         asked = todo.withColumn("c", F.explode(around)).select("diagram_id", id_col, "x", "y", "__cell", "c.cx", "c.cy")
-        met = asked.join(others, ["diagram_id", "cx", "cy"]).where(F.col(id_col) != F.col("o"))
+        met = asked.hint("merge").join(others, ["diagram_id", "cx", "cy"]).where(F.col(id_col) != F.col("o"))
         d = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
         best = met.groupBy("diagram_id", id_col).agg(F.min(F.struct(d.alias("d"), F.col("o").alias("i"))).alias("s"), F.first("__cell").alias("__cell"))
         here = written(best.where(F.col("s.d") <= F.col("__cell") * times).select("diagram_id", id_col, F.col("s.i").alias("other_id"), F.col("s.d").alias("other_distance")), "nearest")
         found = here if found is None else found.unionByName(here)
-        todo = written(todo.join(here.select("diagram_id", id_col), ["diagram_id", id_col], "left_anti"), "left")
+        todo = written(todo.join(here.select("diagram_id", id_col).hint("merge"), ["diagram_id", id_col], "left_anti"), "left")
         if not todo.limit(1).count():
             return found
         times *= 4

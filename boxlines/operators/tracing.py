@@ -60,14 +60,15 @@ def crossing_outside_neighbours(pixels: DataFrame, crossings: DataFrame) -> Data
     around = F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in STEPS))
     asked = borders.withColumn("n", F.explode(around)).withColumns({"ny": F.col("n.y"), "nx": F.col("n.x")})
     outside = asked.where("nx < x1 OR nx >= x2 OR ny < y1 OR ny >= y2").select("diagram_id", "crossing_index", "y", "x", "ny", "nx")
-    return outside.join(pixels.select("diagram_id", F.col("y").alias("ny"), F.col("x").alias("nx")), ["diagram_id", "ny", "nx"]).select("diagram_id", "crossing_index", "y", "x", "ny", "nx")
+    return outside.hint("merge").join(pixels.select("diagram_id", F.col("y").alias("ny"), F.col("x").alias("nx")), ["diagram_id", "ny", "nx"]).select("diagram_id", "crossing_index", "y", "x", "ny", "nx")
 
 
 def snap_endpoints(endpoints: DataFrame, pixels: DataFrame, cell: int = 16) -> DataFrame:
     """(diagram_id, endpoint_index, py, px): the nearest line pixel, the first in row order on ties; of
     endpoints that share one the last has it. Pixels lie in a grid, and an endpoint looks at its own cell and
     the eight around it: what is found within a cell's length is the nearest. Endpoints that find none so
-    near look at all pixels of their diagram."""
+    near look at all pixels of their diagram. Both sides of the joins are dealt out, as Spark
+    takes the nine rows of an endpoint for one."""
     place = lambda c: F.floor(F.col(c) / cell)
     p = pixels.select("diagram_id", F.col("y").alias("py"), F.col("x").alias("px"), place("y").alias("cy"), place("x").alias("cx"))
     d = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
@@ -75,8 +76,8 @@ def snap_endpoints(endpoints: DataFrame, pixels: DataFrame, cell: int = 16) -> D
     ends = endpoints.select("diagram_id", "endpoint_index", "x", "y")
     around = F.array(*(F.struct((place("y") + dy).alias("cy"), (place("x") + dx).alias("cx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
     asked = ends.withColumn("c", F.explode(around)).select(*ends.columns, "c.cy", "c.cx")
-    close = asked.join(p, ["diagram_id", "cy", "cx"]).groupBy("diagram_id", "endpoint_index").agg(nearest).where(F.col("s.d") <= cell * cell)
-    far = ends.join(close, ["diagram_id", "endpoint_index"], "left_anti").join(p, "diagram_id").groupBy("diagram_id", "endpoint_index").agg(nearest)
+    close = asked.hint("merge").join(p, ["diagram_id", "cy", "cx"]).groupBy("diagram_id", "endpoint_index").agg(nearest).where(F.col("s.d") <= cell * cell)
+    far = ends.join(close.hint("merge"), ["diagram_id", "endpoint_index"], "left_anti").join(p.hint("merge"), "diagram_id").groupBy("diagram_id", "endpoint_index").agg(nearest)
     owner = F.row_number().over(Window.partitionBy("diagram_id", "s.py", "s.px").orderBy(F.col("endpoint_index").desc()))
     return close.unionByName(far).withColumn("__at", owner).where("__at = 1").select("diagram_id", "endpoint_index", F.col("s.py").alias("py"), F.col("s.px").alias("px"))
 

@@ -5,7 +5,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from boxlines.operators import grid
 from boxlines.operators.grid import box_pairs, nearest_points
+from boxlines.operators.tracing import snap_endpoints
 
 BOX = "diagram_id long, {0} long, {0}x1 double, {0}y1 double, {0}x2 double, {0}y2 double"
 
@@ -59,3 +61,18 @@ def test_work_follows_the_boxes(spark):
         other = df.toDF("diagram_id", *(f"b{c[1:]}" for c in df.columns[1:]))
         assert box_pairs(df, other, sides("a"), sides("b")).count() == 3 * n - 2
         assert "diagram_id" in (plan := box_pairs(df, other, sides("a"), sides("b"))._jdf.queryExecution().optimizedPlan().toString()) and "__cx" in plan
+
+
+def test_what_is_asked_of_nine_cells_is_not_broadcast(spark, monkeypatch):
+    plans, written = [], grid.written
+    monkeypatch.setattr(grid, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name))
+    rows = [(d, i, float(i * 7 % 50), float(i * 11 % 50)) for d in range(3) for i in range(40)]
+    assert nearest_points(spark.createDataFrame(rows, "diagram_id long, i long, x double, y double"), "i").count() == 120
+    assert len(plans) > 2 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_snapping_deals_out_both_sides(spark):
+    ends = spark.createDataFrame([(1, i, float(i * 7 % 50), float(i * 11 % 50)) for i in range(40)], "diagram_id long, endpoint_index long, x double, y double")
+    pixels = spark.createDataFrame([(1, i, i) for i in range(50)], "diagram_id long, y long, x long")
+    found = snap_endpoints(grid.written(ends, "ends"), grid.written(pixels, "pixels"))
+    assert found.count() and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
