@@ -212,6 +212,15 @@ def test_pieces_make_each_diagram_once(spark, tmp_path):
     assert got == [(i, p) for i in range(6) for p in (1, 2)]
 
 
+def test_pieces_of_before_1970_count(spark, tmp_path):
+    sent = "CASE id % 3 WHEN 0 THEN TIMESTAMP '1970-01-01 00:00:00' WHEN 1 THEN TIMESTAMP '1969-12-31 12:00:00' ELSE TIMESTAMP '1970-01-01 01:00:00' END"
+    rows = spark.range(6).selectExpr("id DIV 2 AS diagram_id", f"{sent} AS sent", "CAST(id % 2 AS INT) AS piece", "2 AS n_pieces", "CAST(NULL AS array<struct<table:string,row:string>>) AS payload")
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(PIECE).parquet(f"{tmp_path}/in")
+    stream_extract_pieces(stream, {}, lambda diagrams, _: diagrams, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert sorted(r.diagram_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 1, 2]
+
+
 def test_counts_and_times_of_an_extraction(spark, small):
     with measured() as run:
         boxes, tables = _extracted(spark, small)
