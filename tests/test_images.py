@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxlines.functions import raster
+from boxlines.jobs.queries import _sums
 from boxlines.operators import files, images, tracing
 from boxlines.sources.pictures import PictureWriter, Written, png, write_pictures
 
@@ -232,3 +233,10 @@ def test_a_folder_is_prepared(spark, tmp_path):
     assert got["IMG.1"][1, 1].tolist() == [255, 178, 178] and (got["IMG.2"] == 255).all()
     with pytest.raises(ValueError, match="unknown mode"):
         images.prepare_images(named, regions, "paint")
+
+
+def test_sums_of_large_rasters_take_one_pass(spark):
+    data = bytes(i % 251 for i in range(300 * 200 * 3))
+    one = _sums(spark.createDataFrame([(1, 300, 200, 3, data), (2, 1, 1, 1, bytes([7])), (3, 0, 0, 3, b"")], images.IMAGE))
+    assert "hex(" not in one._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in one.collect()) == [(1, 300, 200, 3, sum(data)), (2, 1, 1, 1, 7), (3, 0, 0, 3, 0)]
