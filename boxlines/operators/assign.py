@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -203,15 +205,52 @@ def _first_of_equals(cost: np.ndarray, chosen: np.ndarray, u: np.ndarray, v: np.
     return column_of[:n]
 
 
+#: So many choices of a right item for each left one are tried in turn; more are left to prices.
+TRIALS = 512
+
+
+def _tried(options: list[list[tuple[int, int]]]) -> list[int] | None:
+    """The right item of each row at least total cost, from the rows' (right, cost) by rising right; of equal
+    totals the first, as they are tried in that order; None if there is none."""
+    rest = [0]
+    for row in reversed(options):
+        rest.append(rest[-1] + min(c for _, c in row))
+    rest.reverse()
+    least, found, chosen = None, None, []
+
+    def on(i: int, total: int) -> None:
+        nonlocal least, found
+        if least is not None and total + rest[i] >= least:
+            return
+        if i == len(options):
+            least, found = total, chosen[:]
+            return
+        for b, c in options[i]:
+            if b not in chosen:
+                chosen.append(b)
+                on(i + 1, total + c)
+                chosen.pop()
+
+    on(0, 0)
+    return found
+
+
 def optimal(pairs: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
     """Every left item that has a pair exactly once, every right one at most once, at least total distance;
     if that cannot be, the greedy choice. Distances count to nine places; among equal optima it is the one
     whose right ids, in the order of left ids, come first."""
     lefts, rights = sorted({a for _, a, _ in pairs}), sorted({b for _, _, b in pairs})
+    costs: dict[int, dict[int, int]] = {a: {} for a in lefts}
+    for d, a, b in pairs:
+        costs[a][b] = min(round(d * 1e9), costs[a].get(b, int(_NEVER)))
+    if math.prod(map(len, costs.values())) <= TRIALS and max((c for row in costs.values() for c in row.values()), default=0) < _NEVER >> 10:
+        chosen = _tried([sorted(row.items()) for row in costs.values()])
+        return greedy(pairs) if chosen is None else list(zip(lefts, chosen, strict=True))
     row, column = ({x: i for i, x in enumerate(side)} for side in (lefts, rights))
     cost = np.full((len(lefts), len(rights)), _NEVER)
-    for d, a, b in pairs:
-        cost[row[a], column[b]] = min(round(d * 1e9), cost[row[a], column[b]])
+    for a, some in costs.items():
+        for b, c in some.items():
+            cost[row[a], column[b]] = c
     found = _priced(cost)
     if found is None:
         return greedy(pairs)

@@ -5,6 +5,8 @@ import datetime
 import zlib
 from itertools import permutations
 
+import random
+
 import duckdb
 import numpy as np
 import pytest
@@ -349,3 +351,14 @@ def test_equal_optima_take_the_first_right_ids(spark):
             assert assign.optimal([(cost[i, j], i, j) for i in range(n) for j in range(m)]) == list(enumerate(want))
     eight = [(1.0, i, j) for i in range(8) for j in range(9)]
     assert assign.optimal(eight) == [(i, i) for i in range(8)]
+
+
+def test_small_diagrams_are_tried_and_agree_with_prices(monkeypatch):
+    rnd = random.Random(6)
+    cases = [[(float(rnd.choice([rnd.randrange(4), rnd.random()])), a, rnd.randrange(5)) for a in range(rnd.randint(1, 5)) for _ in range(rnd.randint(1, 3))] for _ in range(400)]
+    priced = assign._priced
+    monkeypatch.setattr(assign, "_priced", None)
+    tried = [assign.optimal(c) for c in cases]
+    monkeypatch.setattr(assign, "_priced", priced)
+    monkeypatch.setattr(assign, "TRIALS", 0)
+    assert tried == [assign.optimal(c) for c in cases]
