@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxlines.operators import grid
 from boxlines.operators.grid import box_pairs, nearest_points
+from boxlines.operators.grouped import per_batch
 from boxlines.operators.tracing import snap_endpoints
 
 BOX = "diagram_id long, {0} long, {0}x1 double, {0}y1 double, {0}x2 double, {0}y2 double"
@@ -76,3 +77,10 @@ def test_snapping_deals_out_both_sides(spark):
     pixels = spark.createDataFrame([(1, i, i) for i in range(50)], "diagram_id long, y long, x long")
     found = snap_endpoints(grid.written(ends, "ends"), grid.written(pixels, "pixels"))
     assert found.count() and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_python_gets_bounded_batches_of_groups(spark):
+    rows = spark.range(0, 1_000_000, 1, 4).selectExpr("id % 2000 AS diagram_id", "id AS a", "id * 0.5D AS b", "id * 2 AS c").coalesce(1)
+    calls = per_batch([(rows, ("a", "b", "c"))], ("diagram_id",), lambda groups: [(k[0], sum(len(r) for _, r in groups)) for k, _ in groups], "n long")
+    most, groups = calls.agg(F.max("n"), F.count("*")).first()
+    assert groups == 2000 and most < 400_000
