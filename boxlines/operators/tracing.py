@@ -275,11 +275,12 @@ def enumerate_paths(nodes: DataFrame, edges: DataFrame, most_nodes: int | None =
     A path that has not ended is a row of its own, with its nodes and the numbers of its edges; each round
     joins all of them with the edges that leave their last node. So the paths of one diagram, of which there
     may be exponentially many, are spread over tasks, no task holds more than some rows, and a lost executor
-    costs a part of one round. Points are put to the paths that ended, at the end."""
+    costs a part of one round. Points are put to the paths that ended, at the end. No side of these joins is
+    broadcast: stored tables pack so well that Spark takes large ones for small."""
     numbered = written(edges.withColumn("edge", F.row_number().over(Window.partitionBy("diagram_id").orderBy("a", "b", "path"))), "edges")
     way = lambda here, there, back: numbered.select("diagram_id", F.col(here).alias("here"), F.col(there).alias("there"), F.struct("edge", F.lit(back).alias("back")).alias("step"))
     known = nodes.select("diagram_id", F.col("node").alias("there"), F.col("kind").alias("next_kind"), F.col("x").cast("double").alias("nx"), F.col("y").cast("double").alias("ny"))
-    ways = written(way("a", "b", False).unionByName(way("b", "a", True)).join(known, ["diagram_id", "there"]), "ways")
+    ways = written(way("a", "b", False).unionByName(way("b", "a", True)).join(known.hint("merge"), ["diagram_id", "there"]), "ways")
     none = F.lit(None).cast("double")
     told = nodes.where("kind = 'endpoint'").select("diagram_id", F.col("node").alias("here"), "kind", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     open_ = told.select("*", none.alias("px"), none.alias("py"), F.lit(0.0).alias("turned"), F.array("here").alias("nodes"), F.array().cast("array<struct<edge:int,back:boolean>>").alias("steps"))
@@ -287,7 +288,7 @@ def enumerate_paths(nodes: DataFrame, edges: DataFrame, most_nodes: int | None =
     length = 1
     while most_nodes is None or length < most_nodes:
         turn = F.when((F.col("kind") == "crossing") & F.col("px").isNotNull(), _turned()).otherwise(0.0)
-        on = open_.join(ways, ["diagram_id", "here"]).where(~F.array_contains("nodes", F.col("there")))
+        on = open_.join(ways.hint("merge"), ["diagram_id", "here"]).where(~F.array_contains("nodes", F.col("there")))
         on = on.select(
             "diagram_id", F.col("there").alias("here"), F.col("next_kind").alias("kind"), F.col("nx").alias("x"), F.col("ny").alias("y"), F.col("x").alias("px"), F.col("y").alias("py"),
             (F.col("turned") + turn).alias("turned"), F.array_append("nodes", F.col("there")).alias("nodes"), F.array_append("steps", F.col("step")).alias("steps"),
@@ -305,6 +306,6 @@ def enumerate_paths(nodes: DataFrame, edges: DataFrame, most_nodes: int | None =
     found = ended.select("diagram_id", number(F.get("nodes", F.lit(0))).alias("start_index"), number(F.col("here")).alias("endpoint_index"), F.round("turned", 2).alias("total_div"), "nodes", "steps")
     found = written(found.withColumn("path_id", F.monotonically_increasing_id()), "ended_paths")
     points = F.when(F.col("step.back"), F.reverse("path")).otherwise(F.col("path"))
-    parts = found.select("diagram_id", "path_id", F.posexplode("steps").alias("at", "step")).withColumn("edge", F.col("step.edge")).join(numbered.select("diagram_id", "edge", "path"), ["diagram_id", "edge"])
+    parts = found.select("diagram_id", "path_id", F.posexplode("steps").alias("at", "step")).withColumn("edge", F.col("step.edge")).join(numbered.select("diagram_id", "edge", "path").hint("merge"), ["diagram_id", "edge"])
     joined = parts.groupBy("path_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", points.alias("points")))), lambda s: s["points"])).alias("path"))
-    return found.join(joined, "path_id").select("diagram_id", "start_index", "endpoint_index", "total_div", "nodes", "path")
+    return found.hint("merge").join(joined, "path_id").select("diagram_id", "start_index", "endpoint_index", "total_div", "nodes", "path")
