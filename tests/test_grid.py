@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from boxlines.operators import grid
+from boxlines.operators import grid, stages
 from boxlines.operators.grid import box_pairs, nearest_points
 from boxlines.operators.grouped import per_batch
 from boxlines.operators.tracing import snap_endpoints
@@ -84,3 +84,17 @@ def test_python_gets_bounded_batches_of_groups(spark):
     calls = per_batch([(rows, ("a", "b", "c"))], ("diagram_id",), lambda groups: [(k[0], sum(len(r) for _, r in groups)) for k, _ in groups], "n long")
     most, groups = calls.agg(F.max("n"), F.count("*")).first()
     assert groups == 2000 and most < 400_000
+
+
+def test_tables_that_pack_well_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(stages, "BROADCAST_BYTES", 1 << 10)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    try:
+        rows = grid.written(spark.range(20_000).selectExpr("id AS diagram_id", "1 AS a"), "packed")
+        assert "Broadcast" not in rows.join(rows.withColumnRenamed("a", "b"), "diagram_id")._jdf.queryExecution().executedPlan().toString()
+        for off in ("-1", "512b"):  # a narrower bound of the caller's stays
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", off)
+            assert stages.bounded_broadcasts(rows) is rows and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == off
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
