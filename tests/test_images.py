@@ -240,3 +240,27 @@ def test_sums_of_large_rasters_take_one_pass(spark):
     one = _sums(spark.createDataFrame([(1, 300, 200, 3, data), (2, 1, 1, 1, bytes([7])), (3, 0, 0, 3, b"")], images.IMAGE))
     assert "hex(" not in one._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in one.collect()) == [(1, 300, 200, 3, sum(data)), (2, 1, 1, 1, 7), (3, 0, 0, 3, 0)]
+
+
+def test_small_pictures_are_read_and_written_by_few_tasks_and_more_than_one(spark, tmp_path):
+    plain = spark.range(0, 96, 1, 1).selectExpr("concat('p', id, '.png') AS file_name", "2 AS width", "1 AS height", "1 AS channels", "unhex('10ff') AS data")
+    write_pictures(plain, f"file://{tmp_path}/in", dealt=8)
+    assert len({p.parent for p in tmp_path.glob("in/run-*/*/*.png")}) > 4
+    assert len(list(tmp_path.glob("in/run-*/*/*.png"))) == 96
+    found = files.read_images(spark, f"file://{tmp_path}/in")
+    assert found.count() == 96 and found.rdd.getNumPartitions() <= 4  # 32 pictures a task, whatever their size, before
+
+
+def test_folders_of_several_kinds_from_one_reading(spark, tmp_path, monkeypatch):
+    reads, read = [], files.read_images
+    monkeypatch.setattr(files, "read_images", lambda s, p: reads.append(p) or read(s, p))
+    plain = spark.range(5).selectExpr("concat('p', id, '.png') AS file_name", "4 AS width", "4 AS height", "1 AS channels", "unhex(repeat('40', 16)) AS data")
+    write_pictures(plain, f"file://{tmp_path}/in")
+    regions = lambda rasters: rasters.selectExpr("diagram_id", "'Class' AS label", "0L AS x1", "0L AS y1", "2L AS x2", "2L AS y2", "CAST(NULL AS array<array<struct<x:double,y:double>>>) AS rings")
+    jobs = [(f"file://{tmp_path}/{mode}", mode, ("classes",)) for mode in ("mark", "mark_with_border", "remove")]
+    images.prepare_folders(spark, f"file://{tmp_path}/in", regions, jobs)
+    assert len(reads) == 1
+    for target, mode, kinds in jobs:
+        images.prepare_folder(spark, f"file://{tmp_path}/in", f"{target}-alone", regions, mode, kinds)
+        one, alone = (sorted((r.file_name, bytes(r.image.data)) for r in read(spark, p).collect()) for p in (target, f"{target}-alone"))
+        assert one == alone and len(one) == 5
