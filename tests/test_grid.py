@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from boxlines.operators import grid, stages
+from boxlines.operators import connections, grid, stages
 from boxlines.operators.grid import box_pairs, nearest_points
 from boxlines.operators.grouped import per_batch
 from boxlines.operators.tracing import snap_endpoints
@@ -98,3 +98,17 @@ def test_tables_that_pack_well_are_not_broadcast(spark, monkeypatch):
             assert stages.bounded_broadcasts(rows) is rows and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == off
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_partitions_of_connections_are_bounded(spark):
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        paths = spark.range(0, 1_500_000, 1, 8).selectExpr("id % 400000 AS diagram_id", "id % 7 AS start_index", "id % 5 AS endpoint_index", "id % 3 AS class_a", "id % 2 AS class_b", "rand(id) AS total_div", "id AS path_len")
+        ranked = connections.path_probability(paths).select("*", F.spark_partition_id().alias("part"))
+        assert ranked.agg(F.count_distinct("part")).first()[0] > 4  # 36 MB; as many tasks as cores before
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == str(stages.PART_BYTES)
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
