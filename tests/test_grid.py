@@ -100,15 +100,15 @@ def test_tables_that_pack_well_are_not_broadcast(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-def test_partitions_of_connections_are_bounded(spark):
+def test_partitions_of_connections_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(stages, "PART_BYTES", 256 << 10)
     kept = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")
     spark.conf.set("spark.sql.shuffle.partitions", "64")
     try:
-        paths = spark.range(0, 1_500_000, 1, 8).selectExpr("id % 400000 AS diagram_id", "id % 7 AS start_index", "id % 5 AS endpoint_index", "id % 3 AS class_a", "id % 2 AS class_b", "rand(id) AS total_div", "id AS path_len")
-        ranked = connections.path_probability(paths).select("*", F.spark_partition_id().alias("part"))
-        assert ranked.agg(F.count_distinct("part")).first()[0] > 4  # 36 MB; as many tasks as cores before
-        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == str(stages.PART_BYTES)
+        paths = spark.range(0, 300_000, 1, 4).selectExpr("id % 80000 AS diagram_id", "id % 7 AS start_index", "id % 5 AS endpoint_index", "id % 3 AS class_a", "id % 2 AS class_b", "rand(1) AS total_div", "id AS path_len")
+        ranked = connections.path_probability(paths).select("*", F.spark_partition_id().alias("part")).where("rank > 0")
+        assert ranked.agg(F.max("part")).first()[0] > 8
     finally:
         for c, v in kept.items():
             spark.conf.set(c, v)
