@@ -70,16 +70,17 @@ def path_length(path: Column) -> Column:
 
 
 def path_midpoint(path: Column) -> Column:
-    """The point (x, y) at half the length of a polyline, array<struct<x, y>>; of one point, that point."""
-    steps = _steps(path)
-    half = F.aggregate(steps, F.lit(0.0), lambda s, e: s + e["d"]) / 2
+    """The point (x, y) at half the length of a polyline, array<struct<x, y>>; of one point, that point. Its steps and
+    half its length are held in an array of one, so that they are worked out once and not anew for each step."""
+    half = lambda steps: F.aggregate(steps, F.lit(0.0), lambda s, e: s + e["d"]) / 2
     start = F.struct(F.lit(0.0).alias("gone"), F.get(path, F.lit(0))["x"].cast("double").alias("x"), F.get(path, F.lit(0))["y"].cast("double").alias("y"), F.lit(False).alias("done"))
 
-    def step(a: Column, e: Column) -> Column:
+    def step(half: Column, a: Column, e: Column) -> Column:
         here = ~a["done"] & (a["gone"] + e["d"] >= half) & (e["d"] > 0)
         t = (half - a["gone"]) / F.when(e["d"] > 0, e["d"]).otherwise(1.0)
         x = F.when(here, e["x"] + t * (e["u"] - e["x"])).otherwise(a["x"])
         y = F.when(here, e["y"] + t * (e["v"] - e["y"])).otherwise(a["y"])
         return F.struct((a["gone"] + e["d"]).alias("gone"), x.alias("x"), y.alias("y"), (a["done"] | here).alias("done"))
 
-    return F.aggregate(steps, start, step, lambda a: F.struct(a["x"], a["y"]))
+    measured = F.transform(F.array(_steps(path)), lambda steps: F.struct(steps.alias("steps"), half(steps).alias("half")))
+    return F.get(F.transform(measured, lambda m: F.aggregate(m["steps"], start, lambda a, e: step(m["half"], a, e), lambda a: F.struct(a["x"], a["y"]))), F.lit(0))
