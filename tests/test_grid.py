@@ -7,6 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from boxlines.functions import geometry
+from boxlines.functions import outlines as shapes
 from boxlines.operators import connections, grid, stages
 from boxlines.operators.grid import box_pairs, nearest_points
 from boxlines.operators.grouped import per_batch
@@ -123,3 +124,20 @@ def test_midpoint_of_a_long_path_is_worked_out_once(spark):
     got = spark.createDataFrame([(0,), (1,), (20_000,)], "id long").selectExpr("id", f"{path} AS path").select("id", geometry.path_midpoint(F.col("path")).alias("m")).collect()
     assert {r["id"]: r["m"]["x"] for r in got} == {0: 0.0, 1: 0.5, 20_000: 10_000.0}
     assert time.monotonic() - began < 10
+
+
+def test_a_worker_gets_little_at_once(spark):
+    """Groups of 16 MB in all come to Python in many calls, each of little."""
+    rows = spark.range(0, 400_000, 1, 1).selectExpr("id % 4000 AS diagram_id", "id AS a", "CAST(id AS DOUBLE) AS x", "CAST(id AS DOUBLE) AS y", "CAST(id AS DOUBLE) AS z")
+    calls = per_batch([(rows, ("a", "x", "y", "z"))], ("diagram_id",), lambda groups: [(*groups[0][0], sum(len(r) for _, r in groups))], "n long")
+    most, total = calls.agg(F.max("n"), F.sum("n")).first()
+    assert total == 400_000 and most < 60_000
+
+
+def test_outlines_are_worked_out_so_many_at_a_time(monkeypatch):
+    square = lambda x: [(x, 0.0), (x + 2, 0.0), (x + 2, 2.0), (x, 2.0)]
+    pairs = [([square(float(i))], [square(i + i % 3 / 2)]) for i in range(50)]
+    whole, seen, pieces = shapes.shared_areas(pairs), [], shapes._pieces
+    monkeypatch.setattr(shapes, "_GROUPS", 7)
+    monkeypatch.setattr(shapes, "_pieces", lambda edges, of, n: (seen.append(n), pieces(edges, of, n))[1])
+    assert shapes.shared_areas(pairs) == whole and max(seen) == 7 and len(seen) == 8
