@@ -134,6 +134,19 @@ def test_a_worker_gets_little_at_once(spark):
     assert total == 400_000 and most < 60_000
 
 
+def test_what_is_read_from_files_is_bounded(spark):
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128MB")
+        stages.bounded_parts(spark.range(1))
+        assert int(spark.conf.get("spark.sql.files.maxPartitionBytes")) == stages.PART_BYTES
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1MB")  # a narrower bound of the caller's stays
+        stages.bounded_parts(spark.range(1))
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "1MB"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
 def test_outlines_are_worked_out_so_many_at_a_time(monkeypatch):
     square = lambda x: [(x, 0.0), (x + 2, 0.0), (x + 2, 2.0), (x, 2.0)]
     pairs = [([square(float(i))], [square(i + i % 3 / 2)]) for i in range(50)]
