@@ -72,7 +72,8 @@ def merge_outlines(outlined: DataFrame, threshold: float = 0.1, least: float = 2
     """Outlines (region_id, score, rings) tied by overlaps, as one: (diagram_id, region_id, n_members, score,
     points, rings, area). The least region_id names it; the score is weighed by area in the order of ids, the
     area so far being that of the union; points are the simplified outer ring of its largest part. Those go
-    whose points' bounds have a diagonal of no more than least. Many diagrams are worked out at a time: which
+    whose points' bounds have a diagonal of no more than least; where a column bounds (x1, y1, x2, y2) tells each
+    outline's as they were before points were held to nine places, a side is as long as those say. Many diagrams are worked out at a time: which
     bounds meet is told by sweeping each diagram's by their left sides, areas and unions of all of them in one
     go, a union a member of each region in turn."""
 
@@ -84,6 +85,13 @@ def merge_outlines(outlined: DataFrame, threshold: float = 0.1, least: float = 2
             held.append(i)
         return out
 
+    def sides(points: outlines.Ring, told: list) -> tuple[float, float]:
+        x, y = zip(*points, strict=True)
+        ends = []
+        for c, least_of, held in (("x1", min, min(x)), ("y1", min, min(y)), ("x2", max, max(x)), ("y2", max, max(y))):
+            ends.append(least_of([b[c] for b in told if round(b[c], outlines.PLACES) == held], default=held))
+        return ends[2] - ends[0], ends[3] - ends[1]
+
     def merge(diagrams: list[tuple]) -> list[tuple]:
         rows, keys, pairs = [], [], []
         for key, some in diagrams:
@@ -117,12 +125,13 @@ def merge_outlines(outlined: DataFrame, threshold: float = 0.1, least: float = 2
                 whole[first], size[first] = made, outlines.area(made)
         out = []
         for (first, of), points in zip(members.items(), outlines.simplified([outlines.parts(whole[i])[0][0] for i in members], tolerance), strict=True):
-            x, y = zip(*points, strict=True)
-            if math.hypot(max(x) - min(x), max(y) - min(y)) > least:
+            w, h = sides(points, [rows[i][3] for i in of if len(rows[i]) > 3])
+            if math.sqrt(w * w + h * h) > least:
                 out.append((*keys[first], rows[first][0], len(of), score[first], _rows(points), [_rows(r) for r in whole[first]], size[first]))
         return out
 
-    return per_batch([(outlined, ("region_id", "score", "rings"))], ("diagram_id",), merge, f"region_id long, n_members long, score double, points {POINTS}, rings array<{POINTS}>, area double")
+    columns = ("region_id", "score", "rings", *(c for c in ("bounds",) if c in outlined.columns))
+    return per_batch([(outlined, columns)], ("diagram_id",), merge, f"region_id long, n_members long, score double, points {POINTS}, rings array<{POINTS}>, area double")
 
 
 def drop_outlines_inside(outlined: DataFrame, rectangles: DataFrame, share: float = 0.95) -> DataFrame:
@@ -140,7 +149,9 @@ def stitch_outlines(regions: DataFrame, least_area: float = 0.1, threshold: floa
     """Outlines found on tiles (points in percent of the tile) to merged ones on images, numbered by falling
     score. Loops of one outline merge as regions of their own; first parts come before further ones, each by
     region_id."""
-    cut = clean_outlines(loops(stitch_polygons(regions)), least_area)
+    drawn = loops(stitch_polygons(regions))
+    drawn = drawn.withColumn("bounds", F.struct(*(c.alias(k) for k, c in _bounds(F.array("points")).items())))
+    cut = clean_outlines(drawn, least_area)
     by = Window.partitionBy("diagram_id").orderBy(F.col("piece") > 0, "__source", "part", "piece")
     numbered = cut.withColumnRenamed("region_id", "__source").withColumn("region_id", F.row_number().over(by).cast("long"))
     merged = merge_outlines(numbered, threshold, least)

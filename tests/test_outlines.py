@@ -128,3 +128,18 @@ def test_stitch(spark):
     got = ops.stitch_outlines(rows.withColumns({k: F.lit(v) for k, v in about.items()})).orderBy("position").collect()
     assert [(r.region_id, r.n_members, r.position) for r in got] == [(2, 1, 1), (1, 2, 2)]
     assert got[1].area == pytest.approx(300.0) and {(p.x, p.y) for p in got[1].points} == {(50.0, 0.0), (65.0, 0.0), (65.0, 20.0), (50.0, 20.0)}
+
+
+def test_lengths_are_those_before_rounding(spark):
+    """Boxes whose diagonal is 2 but for the last digits of its doubles, to either side: (user, event) of the fixtures."""
+    rows, long = [], set()
+    for i, (user, event) in enumerate([(22200, 9), (34400, 18), (15600, 26), (40000, 18), (10400, 36), (18800, 48)]):
+        wide, high, x, y = 800 + user * 37 % 3200, 600 + user * 53 % 2600, float(event * 7919 % 88), float(event * 10007 % 88)
+        u, v, left, top = x + 1 + event % 11, y + 1 + event % 5, event % 4 * 240, event // 4 % 3 * 240
+        across = lambda a: a * (480.0 / wide) + left / wide * 100  # noqa: B023, E731
+        down = lambda a: a * (480.0 / high) + top / high * 100  # noqa: B023, E731
+        if ((across(u) - across(x)) ** 2 + (down(v) - down(y)) ** 2) ** 0.5 > 2:
+            long.add(i)
+        rows.append((i, i, 0.5, [(x, y), (u, y), (u, v), (x, v)], left, top, 480, 480, wide, high))
+    told = "diagram_id long, region_id long, score double, points array<struct<x:double,y:double>>, offset_px_x long, offset_px_y long, tile_width long, tile_height long, image_width long, image_height long"
+    assert long == {0, 1, 2} == {r["region_id"] for r in ops.stitch_outlines(spark.createDataFrame(rows, told)).collect()}
