@@ -12,6 +12,7 @@ from ..functions.geometry import point_box_distance
 from .connections import attach_to_connection
 from .grid import box_pairs
 from .grouped import per_group
+from .stages import written
 
 
 def text_orientation(boxes: DataFrame) -> DataFrame:
@@ -69,11 +70,12 @@ def cluster_bounds(clusters: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def _scaled(boxes: DataFrame, reach: float, scales: DataFrame | None) -> tuple[DataFrame, Column]:
-    """The boxes and the reach, times the diagram's scale (diagram_id, scale) if scales are given; 1 where it has none."""
+    """The boxes and the reach, times the diagram's scale (diagram_id, scale) if scales are given; 1 where it has none.
+    Boxes with their reach are written, as box_pairs has them three times."""
     if scales is None:
         return boxes, F.lit(reach)
     known = scales.select("diagram_id", F.bround(reach * F.col("scale"), 3).alias("__reach"))
-    return boxes.join(known, "diagram_id", "left"), F.coalesce("__reach", F.lit(reach))
+    return written(boxes.join(known, "diagram_id", "left"), "scaled"), F.coalesce("__reach", F.lit(reach))
 
 
 def assignment_candidates(boxes: DataFrame, points: DataFrame, reach: float, scales: DataFrame | None = None) -> DataFrame:

@@ -62,17 +62,19 @@ def dedupe_endpoints(endpoints: DataFrame, boxes: DataFrame, scales: DataFrame,
 def attachment(endpoints: DataFrame, boxes: DataFrame, scales: DataFrame) -> DataFrame:
     """Endpoints that attach (diagram_id, endpoint_id, how, class_index, other_id): to a class that is near
     enough, or else with the nearest endpoint in a gap. Only what lies within reach is compared. Of diagrams
-    without class boxes, and of a lone endpoint, none attach."""
+    without class boxes, and of a lone endpoint, none attach. What can attach, and the classes that it meets, are
+    written first: box_pairs has each of its sides three times, and two of them in one plan are a hundred nodes."""
     keys = ["diagram_id", "endpoint_id"]
     paired = endpoints.groupBy("diagram_id").agg(F.count("*").alias("n")).where("n > 1").select("diagram_id")
     some = endpoints.select(*keys, "x", "y").join(scales, "diagram_id").join(paired, "diagram_id").join(boxes.select("diagram_id").distinct(), "diagram_id")
+    some = written(some, "paired")
     reach = lambda least: F.bround(least * F.col("scale"), 3)
     around = lambda r: (F.col("x") - r, F.col("y") - r, F.col("x") + r, F.col("y") + r)
 
     b = boxes.select("diagram_id", "class_index", *(F.col(c).alias(f"b{c}") for c in "xywh"))
     met = box_pairs(some, b, around(reach(10)), (F.col("bx"), F.col("by"), F.col("bx") + F.col("bw"), F.col("by") + F.col("bh")))
     d = point_box_distance(*(F.col(c) for c in ("x", "y", "bx", "by", "bw", "bh")))
-    classes = met.withColumn("d", d).where(F.col("d") < reach(10)).groupBy(*keys).agg(F.min(F.struct("d", "class_index")).alias("c"))
+    classes = written(met.withColumn("d", d).where(F.col("d") < reach(10)).groupBy(*keys).agg(F.min(F.struct("d", "class_index")).alias("c")), "near_classes")
 
     o = some.select("diagram_id", F.col("endpoint_id").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     met = box_pairs(some, o, around(reach(15)), (F.col("ox"), F.col("oy"), F.col("ox"), F.col("oy"))).where("endpoint_id <> o")

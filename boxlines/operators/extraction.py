@@ -9,17 +9,19 @@ from . import assign, connections, diagram, endpoints as ends_, regions, results
 from .stages import written
 
 
-def evaluate_connections(pixels: DataFrame, boxes: DataFrame, endpoints: DataFrame, crossings: DataFrame, shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def evaluate_connections(pixels: DataFrame, boxes: DataFrame, endpoints: DataFrame, crossings: DataFrame, shapes: DataFrame, scales: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(connections, ends) of the diagrams that have class boxes and more than two endpoints.
 
     pixels: (diagram_id, y, x) of thinned lines; boxes: (diagram_id, class_index, x, y, w, h); endpoints:
     (diagram_id, endpoint_id, x, y); crossings: (diagram_id, crossing_index, x, y, w, h); shapes:
     (diagram_id, shape_index, x, y, w, h, label, score). Endpoints are thinned out and attached, and numbered
     in that order; lines are traced between them, the best path of each is taken, and connections that share
-    an endpoint or end in a gap are put together. Every distance is scaled by the diagram's class boxes.
+    an endpoint or end in a gap are put together. Every distance is scaled by the diagram's class boxes (scales:
+    theirs, if they are there already).
     connections: as rewrite_connections gives them; ends: (diagram_id, endpoint_index, class_index,
-    end_shape, shape_score, x, y). What is used several times is written once, to the shared folder."""
-    scales = written(regions.scale_factor(boxes), "scales")
+    end_shape, shape_score, x, y). What is used several times is written once, to the shared folder: plans that
+    hold it as often instead take the driver's memory, however small the tables are."""
+    scales = written(regions.scale_factor(boxes), "scales") if scales is None else scales
     pixels = written(pixels, "pixels")
     raw = endpoints.groupBy("diagram_id").agg(F.count("*").alias("n_endpoints"))
     thinned = written(ends_.dedupe_endpoints(endpoints, boxes, scales), "endpoints")
@@ -33,7 +35,8 @@ def evaluate_connections(pixels: DataFrame, boxes: DataFrame, endpoints: DataFra
     gaps = gaps.select("diagram_id", F.col("a_index").alias("a"), F.col("b_index").alias("b"))
 
     split = written(tracing.split_overlapping_crossings(crossings), "crossings")
-    edges = written(tracing.trace_edges(pixels, tracing.snap_endpoints(ends.select("diagram_id", "endpoint_index", "x", "y"), pixels), split), "edges")
+    snapped = written(tracing.snap_endpoints(ends.select("diagram_id", "endpoint_index", "x", "y"), pixels), "snapped")
+    edges = written(tracing.trace_edges(pixels, snapped, split), "edges")
     paths = written(tracing.enumerate_paths(tracing.graph_nodes(ends, edges), edges).withColumn("path_len", F.size("path").cast("long")), "paths")
     for at, side in (("start_index", "a"), ("endpoint_index", "b")):
         told = ends.select("diagram_id", F.col("endpoint_index").alias(at), F.col("class_index").alias(f"class_{side}"), F.col("end_shape").alias(f"end_shape_{int(side == 'b')}"), F.col("shape_score").alias(f"shape_score_{int(side == 'b')}"))
@@ -76,17 +79,18 @@ def extract_tables(diagrams: DataFrame, boxes: DataFrame, class_texts: DataFrame
     of labels, roles and names, multiplicity boxes with their endpoints, texts of classes, classes,
     relationships, and the rendered texts (plantuml). label_texts: (diagram_id, label_id, score, text), the
     label boxes as read; choices: (diagram_id, label_id, choice)."""
-    links, ends = evaluate_connections(pixels, boxes, endpoints, crossings, shapes)
+    scales = written(regions.scale_factor(boxes), "scales")
+    links, ends = evaluate_connections(pixels, boxes, endpoints, crossings, shapes, scales)
     links, ends = written(links, "links"), written(ends, "line_ends")
-    clusters, roles, names, pairs = assign_labels(links, ends, labels, regions.scale_factor(boxes))
+    clusters, roles, names, pairs = assign_labels(links, ends, labels, scales)
     multiplicities = assign.decode_pairs(pairs, choices, links)
     key = ["diagram_id", "rel_index"]
     side = lambda df, column, out: df.groupBy(*key).agg(*(F.max(F.when(F.col("side") == i, F.col(column))).alias(f"{out}_{i}") for i in (0, 1)))
-    role_texts = side(connections.attach_to_connection(_read(clusters, roles, "endpoint_index", label_texts), links), "text", "role")
-    name_texts = _read(clusters, names, "rel_index", label_texts).withColumnRenamed("text", "name")
+    role_texts = written(side(connections.attach_to_connection(_read(clusters, roles, "endpoint_index", label_texts), links), "text", "role"), "role_texts")
+    name_texts = written(_read(clusters, names, "rel_index", label_texts).withColumnRenamed("text", "name"), "name_texts")
     named = links.select(*key, F.col("class_a").alias("class_index_0"), F.col("class_b").alias("class_index_1"), "end_shape_0", "end_shape_1", "shape_score_0", "shape_score_1")
     named = named.join(role_texts, key, "left").join(side(multiplicities, "multiplicity", "multiplicity"), key, "left").join(name_texts, key, "left")
-    shown = boxes.select("diagram_id", "class_index")
+    shown = boxes.select("diagram_id", "class_index").hint("merge")  # all boxes: Spark takes them for small
     classes = written(text.build_classes(class_texts).join(shown, ["diagram_id", "class_index"], "left_semi"), "classes")
     relationships = written(diagram.build_relationships(written(named, "named"), classes), "relationships")
     rendered = written(diagram.to_plantuml(diagrams, classes, relationships), "rendered")

@@ -65,6 +65,6 @@ def nearest_points(points: DataFrame, id_col: str) -> DataFrame:
         here = written(best.where(F.col("s.d") <= F.col("__cell") * times).select("diagram_id", id_col, F.col("s.i").alias("other_id"), F.col("s.d").alias("other_distance")), "nearest")
         found = here if found is None else found.unionByName(here)
         todo = written(todo.join(here.select("diagram_id", id_col).hint("merge"), ["diagram_id", id_col], "left_anti"), "left")
-        if not todo.limit(1).count():
+        if todo.isEmpty():
             return found
         times *= 4

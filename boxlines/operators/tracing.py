@@ -53,10 +53,11 @@ def crossing_border_points(pixels: DataFrame, crossings: DataFrame) -> DataFrame
     return pixels.join(_whole_boxes(crossings), "diagram_id").where(inside & rim).select("diagram_id", "crossing_index", "y", "x")
 
 
-def crossing_outside_neighbours(pixels: DataFrame, crossings: DataFrame) -> DataFrame:
+def crossing_outside_neighbours(pixels: DataFrame, crossings: DataFrame, borders: DataFrame | None = None) -> DataFrame:
     """(diagram_id, crossing_index, y, x, ny, nx): for each border point the line pixels that touch it from
-    outside the box. They are looked up by equality: each border point asks for its eight places."""
-    borders = crossing_border_points(pixels, crossings).join(_whole_boxes(crossings), ["diagram_id", "crossing_index"])
+    outside the box. They are looked up by equality: each border point asks for its eight places. borders: the
+    crossing_border_points, if they are there already."""
+    borders = (crossing_border_points(pixels, crossings) if borders is None else borders).join(_whole_boxes(crossings), ["diagram_id", "crossing_index"])
     around = F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in STEPS))
     asked = borders.withColumn("n", F.explode(around)).withColumns({"ny": F.col("n.y"), "nx": F.col("n.x")})
     outside = asked.where("nx < x1 OR nx >= x2 OR ny < y1 OR ny >= y2").select("diagram_id", "crossing_index", "y", "x", "ny", "nx")
@@ -243,7 +244,8 @@ def trace_edges(pixels: DataFrame, snapped: DataFrame, crossings: DataFrame | No
     less as a list of (x, y) stays, seen from its own start. An endpoint on a border point takes its place."""
     none = pixels.select("diagram_id", F.col("y").alias("crossing_index"), *(F.lit(0.0).alias(c) for c in "xywh")).where("false")
     boxes = none if crossings is None else crossings
-    borders, outside = crossing_border_points(pixels, boxes), crossing_outside_neighbours(pixels, boxes)
+    borders = written(crossing_border_points(pixels, boxes), "borders")
+    outside = crossing_outside_neighbours(pixels, boxes, borders)
     tables = [(pixels, ("y", "x")), (snapped, ("endpoint_index", "py", "px")), (borders, ("crossing_index", "y", "x")), (outside, ("crossing_index", "y", "x", "ny", "nx")), (boxes, ("crossing_index", "x", "y", "w", "h"))]
     return per_batch(tables, ("diagram_id",), _edges, "a string, b string, path array<struct<x:double,y:double>>")
 
@@ -298,7 +300,7 @@ def enumerate_paths(nodes: DataFrame, edges: DataFrame, most_nodes: int | None =
         at_end = on.where("kind = 'endpoint'")
         ended = at_end if ended is None else ended.unionByName(at_end)
         open_ = on.where("kind <> 'endpoint'")
-        if not open_.limit(1).count():
+        if open_.isEmpty():
             break
     number = lambda node: F.substring(node, F.lit(2), F.length(node)).cast("long")
     if ended is None:

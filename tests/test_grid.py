@@ -154,3 +154,23 @@ def test_outlines_are_worked_out_so_many_at_a_time(monkeypatch):
     monkeypatch.setattr(shapes, "_GROUPS", 7)
     monkeypatch.setattr(shapes, "_pieces", lambda edges, of, n: (seen.append(n), pieces(edges, of, n))[1])
     assert shapes.shared_areas(pairs) == whole and max(seen) == 7 and len(seen) == 8
+
+
+def test_plans_of_an_extraction_stay_short(spark, small, monkeypatch):
+    """What box_pairs and the line graph take in several times is written before: the driver's memory follows the
+    plans, which had up to 339 nodes (paired endpoints) and 146 (edges)."""
+    from boxlines.jobs import queries
+    from boxlines.operators import assign, endpoints, extraction, stages, tracing
+
+    sizes: dict[str, int] = {}
+
+    def seen(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        sizes[name] = max(sizes.get(name, 0), plan.count("\n"))
+        return stages.written(df, name)
+
+    for module in (assign, endpoints, extraction, grid, tracing):
+        monkeypatch.setattr(module, "written", seen, raising=False)
+    queries.QUERIES["l10_extract_diagrams"](spark, small)
+    assert {"attachment", "edges", "roles", "names", "multiplicities", "named"} <= sizes.keys()
+    assert {name: n for name, n in sizes.items() if n > 85} == {}
