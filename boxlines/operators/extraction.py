@@ -9,10 +9,10 @@ from . import assign, connections, diagram, endpoints as ends_, regions, results
 from .stages import written
 
 
-def evaluate_connections(pixels: DataFrame, boxes: DataFrame, endpoints: DataFrame, crossings: DataFrame, shapes: DataFrame, scales: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def evaluate_connections(pixels: DataFrame | tracing.Drawn, boxes: DataFrame, endpoints: DataFrame, crossings: DataFrame, shapes: DataFrame, scales: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(connections, ends) of the diagrams that have class boxes and more than two endpoints.
 
-    pixels: (diagram_id, y, x) of thinned lines; boxes: (diagram_id, class_index, x, y, w, h); endpoints:
+    pixels: (diagram_id, y, x) of thinned lines, or Drawn; boxes: (diagram_id, class_index, x, y, w, h); endpoints:
     (diagram_id, endpoint_id, x, y); crossings: (diagram_id, crossing_index, x, y, w, h); shapes:
     (diagram_id, shape_index, x, y, w, h, label, score). Endpoints are thinned out and attached, and numbered
     in that order; lines are traced between them, the best path of each is taken, and connections that share
@@ -22,7 +22,6 @@ def evaluate_connections(pixels: DataFrame, boxes: DataFrame, endpoints: DataFra
     end_shape, shape_score, x, y). What is used several times is written once, to the shared folder: plans that
     hold it as often instead take the driver's memory, however small the tables are."""
     scales = written(regions.scale_factor(boxes), "scales") if scales is None else scales
-    pixels = written(pixels, "pixels")
     raw = endpoints.groupBy("diagram_id").agg(F.count("*").alias("n_endpoints"))
     thinned = written(ends_.dedupe_endpoints(endpoints, boxes, scales), "endpoints")
     near = written(ends_.attachment(thinned, boxes, scales), "attachment")
@@ -35,8 +34,7 @@ def evaluate_connections(pixels: DataFrame, boxes: DataFrame, endpoints: DataFra
     gaps = gaps.select("diagram_id", F.col("a_index").alias("a"), F.col("b_index").alias("b"))
 
     split = written(tracing.split_overlapping_crossings(crossings), "crossings")
-    snapped = written(tracing.snap_endpoints(ends.select("diagram_id", "endpoint_index", "x", "y"), pixels), "snapped")
-    edges = written(tracing.trace_edges(pixels, snapped, split), "edges")
+    edges = written(tracing.trace_edges(pixels, ends.select("diagram_id", "endpoint_index", "x", "y"), split), "edges")
     paths = written(tracing.enumerate_paths(tracing.graph_nodes(ends, edges), edges).withColumn("path_len", F.size("path").cast("long")), "paths")
     for at, side in (("start_index", "a"), ("endpoint_index", "b")):
         told = ends.select("diagram_id", F.col("endpoint_index").alias(at), F.col("class_index").alias(f"class_{side}"), F.col("end_shape").alias(f"end_shape_{int(side == 'b')}"), F.col("shape_score").alias(f"shape_score_{int(side == 'b')}"))
@@ -74,7 +72,7 @@ def _read(clusters: DataFrame, assigned: DataFrame, target: str, label_texts: Da
     return rows.groupBy("diagram_id", F.col("target_id").alias(target)).agg(told.alias("text"))
 
 
-def extract_tables(diagrams: DataFrame, boxes: DataFrame, class_texts: DataFrame, pixels: DataFrame, endpoints: DataFrame, crossings: DataFrame, shapes: DataFrame, labels: DataFrame, label_texts: DataFrame, choices: DataFrame) -> dict[str, DataFrame]:
+def extract_tables(diagrams: DataFrame, boxes: DataFrame, class_texts: DataFrame, pixels: DataFrame | tracing.Drawn, endpoints: DataFrame, crossings: DataFrame, shapes: DataFrame, labels: DataFrame, label_texts: DataFrame, choices: DataFrame) -> dict[str, DataFrame]:
     """An extraction's tables by name, from detection tables: the connections (links) and their ends, clusters
     of labels, roles and names, multiplicity boxes with their endpoints, texts of classes, classes,
     relationships, and the rendered texts (plantuml). label_texts: (diagram_id, label_id, score, text), the
@@ -98,7 +96,7 @@ def extract_tables(diagrams: DataFrame, boxes: DataFrame, class_texts: DataFrame
     return {"links": links, "ends": ends, "clusters": clusters, "roles": roles, "names": names, "multiplicities": pairs, "class_texts": told, "classes": classes, "relationships": relationships, "plantuml": rendered}
 
 
-def extract_diagrams(diagrams: DataFrame, boxes: DataFrame, class_texts: DataFrame, pixels: DataFrame, endpoints: DataFrame, crossings: DataFrame, shapes: DataFrame, labels: DataFrame, label_texts: DataFrame, choices: DataFrame) -> DataFrame:
+def extract_diagrams(diagrams: DataFrame, boxes: DataFrame, class_texts: DataFrame, pixels: DataFrame | tracing.Drawn, endpoints: DataFrame, crossings: DataFrame, shapes: DataFrame, labels: DataFrame, label_texts: DataFrame, choices: DataFrame) -> DataFrame:
     """(diagram_id, plantuml) from detection tables, see extract_tables."""
     return extract_tables(diagrams, boxes, class_texts, pixels, endpoints, crossings, shapes, labels, label_texts, choices)["plantuml"]
 

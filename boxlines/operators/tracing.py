@@ -5,7 +5,11 @@ endpoint_index, x, y). Lines are followed many diagrams at a time, each diagram
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,22 +90,63 @@ def snap_endpoints(endpoints: DataFrame, pixels: DataFrame, cell: int = 16) -> D
 #: Places of pixels in the order array of one wave; more sources wait for the next.
 WAVE = 1 << 24
 
+#: Steps by column and then row: in this order a border point is left.
+_LEAVING = sorted(range(8), key=lambda k: STEPS[k][::-1])
+
+
+def _code(y: Column, x: Column) -> Column:
+    """A pixel as one number, in row order."""
+    return y.cast("long") * (1 << 32) + x.cast("long")
+
+
+@dataclass
+class Drawn:
+    """Pixels that are worked out from fewer rows where they are used: a table, its columns, and what makes the pixels
+    of a diagram, numbered y * 2 ** 32 + x, in any order, from its rows as tuples. So they are not moved."""
+
+    rows: DataFrame
+    columns: tuple[str, ...]
+    ink: Callable[[list[tuple]], np.ndarray]
+
+
+class _Ink:
+    """The pixels of many diagrams, a diagram after the other, each in row order: where a diagram's begin (first), their
+    places (y, x), and for each the numbers of its eight neighbours (near), -1 for none."""
+
+    def __init__(self, inks: list[np.ndarray]) -> None:
+        inks = [np.unique(ink) for ink in inks]
+        sizes = [len(ink) for ink in inks]
+        self.first = np.cumsum([0, *sizes])
+        codes = np.concatenate([*inks, np.zeros(0, dtype=np.int64)]).astype(np.int64, copy=False)
+        self.y = (codes + (1 << 31)) >> 32
+        self.x = codes - (self.y << 32)
+        width, base, at = np.ones(len(codes), dtype=np.int64), np.zeros(len(codes), dtype=np.int64), 0
+        for i, n in enumerate(sizes):
+            if n:
+                own = slice(self.first[i], self.first[i + 1])
+                left, top = int(self.x[own].min()), int(self.y[own][0])
+                width[own] = w = int(self.x[own].max()) - left + 3
+                base[own] = at - top * w - left + 1
+                at += (int(self.y[own][-1]) - top + 3) * w
+        told = np.append(base + self.y * width + self.x, [at + (1 << 40)] * 3)
+        n, here = len(codes), np.arange(len(codes), dtype=np.int32)
+        self.near = np.full((n, 8), -1, dtype=np.int32)
+        side = np.flatnonzero(told[1 : n + 1] == told[:n] + 1)
+        self.near[side, 4], self.near[side + 1, 3] = side + 1, side
+        below = np.searchsorted(told, told[:n] + width - 1)
+        for k, shift in ((5, -1), (6, 0), (7, 1)):
+            hit = told[below] == told[:n] + width + shift
+            self.near[hit, k] = below[hit]
+            self.near[below[hit], 7 - k] = here[hit]
+            below = below + hit
+
 
 class _Lines:
-    """The pixels of one diagram, numbered in row order, and for each the numbers of its eight neighbours."""
+    """The pixels of one diagram, (y, x) each, numbered in row order."""
 
     def __init__(self, ink: list[tuple]) -> None:
-        at = np.array(sorted(set(ink)), dtype=np.int64).reshape(-1, 2)
-        self.points = [(y, x) for y, x in at.tolist()]
-        self.number = {p: i for i, p in enumerate(self.points)}
-        width = int(at[:, 1].max() - at[:, 1].min()) + 3 if len(at) else 3
-        codes = at[:, 0] * width + at[:, 1]
-        self.near = np.full((len(at), 8), -1, dtype=np.int64)
-        for k, (dy, dx) in enumerate(STEPS):
-            want = codes + dy * width + dx
-            place = np.minimum(np.searchsorted(codes, want), max(len(codes) - 1, 0))
-            hit = codes[place] == want if len(codes) else np.zeros(0, dtype=bool)
-            self.near[hit, k] = place[hit]
+        self.ink = _Ink([np.array([y * (1 << 32) + x for y, x in ink], dtype=np.int64)])
+        self.points = list(zip(self.ink.y.tolist(), self.ink.x.tolist(), strict=True))
 
 
 class _Source:
@@ -119,135 +164,213 @@ def follow(lines: list[_Lines], stops: list[np.ndarray], groups: list[np.ndarray
     A wave goes out from all sources at once, a ring of pixels a step. Within a ring, pixels are in the order
     of the first pixel of the last ring that touches them, and then of STEPS; that numbers the pixels of a
     source. A path goes back from a pixel to the one with the next smaller number among those it touches."""
-    found: list[list[int]] = [[] for _ in sources]
-    at = 0
+    first = np.cumsum([0, *(len(x.points) for x in lines)])
+    near = np.concatenate([np.where(x.ink.near >= 0, x.ink.near + first[i], -1) for i, x in enumerate(lines)])
+    stop_first = np.cumsum([0, *map(len, groups)])
+    stop = np.concatenate([np.where(x >= 0, x + stop_first[i], -1) for i, x in enumerate(stops)])
+    moved = [_Source(s.lines, s.own + stop_first[s.lines], s.group, [p + first[s.lines] for p in s.starts], s.barred + first[s.lines] if s.barred >= 0 else -1) for s in sources]
+    begin, flat = _ways(near, first, stop, np.concatenate(groups), moved)
+    return [(flat[begin[i] : begin[i + 1]] - first[s.lines]).tolist() for i, s in enumerate(sources)]
+
+
+def _ways(near: np.ndarray, first: np.ndarray, stop: np.ndarray, group: np.ndarray, sources: list[_Source]) -> tuple[np.ndarray, np.ndarray]:
+    """The ways of follow, one after the other, and where each begins; pixels, stops and diagrams in a row."""
+    of = np.array([s.lines for s in sources], dtype=np.int64)
+    sizes = (first[1:] - first[:-1])[of]
+    upto, lens, flat, at = np.cumsum(sizes), [], [], 0
+    order = None
     while at < len(sources):
-        size, upto = 0, at
-        while upto < len(sources) and (upto == at or size + len(lines[sources[upto].lines].points) <= WAVE):
-            size += len(lines[sources[upto].lines].points)
-            upto += 1
-        for k, path in enumerate(_wave(lines, stops, groups, sources[at:upto])):
-            found[at + k] = path
-        at = upto
-    return found
-
-
-def _wave(lines: list[_Lines], stops: list[np.ndarray], groups: list[np.ndarray], sources: list[_Source]) -> list[list[int]]:
-    used = sorted({s.lines for s in sources})
-    place = {d: i for i, d in enumerate(used)}
-    first = np.cumsum([0, *(len(lines[d].points) for d in used)])  # pixels of all diagrams, in a row
-    near = np.concatenate([np.where(lines[d].near >= 0, lines[d].near + first[i], -1) for i, d in enumerate(used)])
-    stop_first = np.cumsum([0, *(len(groups[d]) for d in used)])
-    stop = np.concatenate([np.where(stops[d] >= 0, stops[d] + stop_first[i], -1) for i, d in enumerate(used)])
-    group = np.concatenate([groups[d] for d in used])
-    of = np.array([place[s.lines] for s in sources])
-    own = np.array([s.own for s in sources]) + stop_first[of]
+        before = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + WAVE, side="right")))
+        if order is None or len(order) < upto[end - 1] - before:
+            order = np.full(int(upto[end - 1] - before), -1, dtype=np.int32)
+        shift = upto[at:end] - sizes[at:end] - before - first[of[at:end]]  # from a pixel to its place in the order array
+        n, way = _wave(near, stop, group, sources[at:end], shift, order)
+        lens.append(n)
+        flat.append(way)
+        at = end
+    return np.concatenate([[0], *lens]).cumsum(), np.concatenate([*flat, np.zeros(0, dtype=np.int64)])
+
+
+def _wave(near: np.ndarray, stop: np.ndarray, group: np.ndarray, sources: list[_Source], shift: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the sources' ways, and the ways. order: -1 everywhere, and so again afterwards."""
+    own = np.array([s.own for s in sources])
     own_group = np.array([s.group for s in sources])
-    barred = np.array([s.barred for s in sources])
-    barred = np.where(barred >= 0, barred + first[of], -2)
-    sizes = np.array([len(lines[s.lines].points) for s in sources])
-    shift = np.cumsum(sizes) - sizes - first[of]  # from a pixel to its place in the order array
-    order = np.full(int(sizes.sum()), -1, dtype=np.int64)
+    barred = np.array([s.barred if s.barred >= 0 else -2 for s in sources])
     ended = np.full(len(sources), -1, dtype=np.int64)
-    counter = 0
-
     source = np.repeat(np.arange(len(sources)), [len(s.starts) for s in sources])
-    pixel = np.array([p for s in sources for p in s.starts], dtype=np.int64) + first[of[source]] if len(source) else np.zeros(0, dtype=np.int64)
-    open_ = pixel != barred[source]
-    source, pixel = source[open_], pixel[open_]
+    pixel = np.array([p for s in sources for p in s.starts], dtype=np.int64)
+    fit = pixel != barred[source]
+    source, pixel = source[fit], pixel[fit]
+    keys, counter, seen = shift[source] + pixel, 0, []
     while len(source):
-        keys = shift[source] + pixel
-        _, once = np.unique(keys, return_index=True)
-        once.sort()
-        source, pixel, keys = source[once], pixel[once], keys[once]
-        order[keys] = counter + np.arange(len(keys))
+        number = np.arange(counter, counter + len(keys), dtype=np.int32)
         counter += len(keys)
+        order[keys[::-1]] = number[::-1]
+        once = order[keys] == number  # what comes first has the last word
+        source, pixel, keys = source[once], pixel[once], keys[once]
+        seen.append(keys)
         here = stop[pixel]
-        counts = (here >= 0) & (here != own[source]) & ~((own_group[source] >= 0) & (group[here] == own_group[source])) if len(group) else np.zeros(len(here), dtype=bool)
-        which, at = np.unique(source[counts], return_index=True)
-        ended[which] = pixel[counts][at]
-        still = ended[source] < 0
-        source, pixel = source[still], pixel[still]
-        source, pixel = np.repeat(source, 8), near[pixel].reshape(-1)
-        fit = (pixel >= 0) & (pixel != barred[source])
-        source, pixel = source[fit], pixel[fit]
-        new = order[shift[source] + pixel] < 0
-        source, pixel = source[new], pixel[new]
-
-    paths: list[list[int]] = [[int(e - first[of[i]])] if e >= 0 else [] for i, e in enumerate(ended)]
+        at = np.flatnonzero(here >= 0)
+        if len(at):
+            s, h = source[at], here[at]
+            at = at[(h != own[s]) & ~((own_group[s] >= 0) & (group[h] == own_group[s]))][::-1]
+            ended[source[at]] = pixel[at]
+            still = ended[source] < 0
+            source, pixel = source[still], pixel[still]
+        around = near[pixel]
+        real = around >= 0
+        source, pixel = np.repeat(source, real.sum(axis=1)), around[real].astype(np.int64)
+        keys = shift[source] + pixel
+        new = (order[keys] < 0) & (pixel != barred[source])
+        source, pixel, keys = source[new], pixel[new], keys[new]
+
     source = np.flatnonzero(ended >= 0)
-    pixel = ended[source]
+    pixel, steps = ended[source], []
     while len(source):
+        steps.append((source, pixel))
         around = near[pixel]
-        numbers = np.where((around >= 0) & (around != barred[source][:, None]), order[shift[source][:, None] + np.maximum(around, first[of[source]][:, None])], -1)
+        keys = shift[source][:, None] + around
+        real = (around >= 0) & (around != barred[source][:, None])
+        keys[~real] = 0
+        numbers = np.where(real, order[keys], -1)
         numbers[numbers >= order[shift[source] + pixel][:, None]] = -1
         best = numbers.argmax(axis=1)
-        back = numbers[np.arange(len(source)), best] >= 0
-        source, pixel = source[back], around[back, best[back]]
-        for i, p in zip(source.tolist(), (pixel - first[of[source]]).tolist(), strict=True):
-            paths[i].append(p)
-    return [p[::-1] for p in paths]
+        at = np.arange(len(source))
+        back = numbers[at, best] >= 0
+        source, pixel = source[back], around[at, best][back].astype(np.int64)
+    for keys in seen:
+        order[keys] = -1
+    lens = np.zeros(len(sources), dtype=np.int64)
+    for source, _ in steps:
+        lens[source] += 1
+    last = lens.cumsum() - 1
+    flat = np.zeros(int(lens.sum()), dtype=np.int64)
+    for k, (source, pixel) in enumerate(steps):
+        flat[last[source] - k] = pixel
+    return lens, flat
+
+
+def _nearest(codes: np.ndarray, py: np.ndarray, px: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each of the points the number of the nearest pixel, the first on ties; pixels are in row order."""
+    exact = (y == np.floor(y)) & (x == np.floor(x)) & (np.abs(y) < 1 << 30) & (np.abs(x) < 1 << 30)
+    want = np.where(exact, y, 0).astype(np.int64) * (1 << 32) + np.where(exact, x, 0).astype(np.int64)
+    at = np.minimum(np.searchsorted(codes, want), len(codes) - 1)
+    rest = np.flatnonzero(~exact | (codes[at] != want))
+    some = max(1, (1 << 20) // len(codes))
+    for i in range(0, len(rest), some):
+        r = rest[i : i + some]
+        at[r] = ((x[r, None] - px) * (x[r, None] - px) + (y[r, None] - py) * (y[r, None] - py)).argmin(axis=1)
+    return at
+
+
+def _snapped(ink: _Ink, d: int, ends: list[tuple]) -> list[tuple[int, int]]:
+    """(endpoint_index, pixel) by index, for ends (endpoint_index, x, y); of those that share a pixel the last has it."""
+    own = slice(ink.first[d], ink.first[d + 1])
+    y, x = ink.y[own], ink.x[own]
+    if not ends or not len(y):
+        return []
+    ends = sorted(ends, key=lambda r: r[0])
+    places = np.array([r[1:] for r in ends], dtype=float)
+    last = dict(zip(_nearest(y * (1 << 32) + x, y, x, places[:, 1], places[:, 0]).tolist(), (r[0] for r in ends), strict=True))
+    return sorted((i, p + int(ink.first[d])) for p, i in last.items())
+
+
+def _borders(ink: _Ink, d: int, boxes: list[tuple]) -> list[tuple[int, int, list[int]]]:
+    """(crossing_index, pixel, pixels that touch it from outside the box) for the line pixels on the outermost rows and
+    columns of crossing boxes, in order of index and row, those outside by column and row."""
+    out = []
+    own = slice(ink.first[d], ink.first[d + 1])
+    y, x, begin = ink.y[own], ink.x[own], int(ink.first[d])
+    boxes = sorted((k, int(left), int(top), int(left) + int(w), int(top) + int(h)) for k, left, top, w, h in boxes)
+    for (k, x1, y1, x2, y2), low, high in zip(boxes, np.searchsorted(y, [b[2] for b in boxes]), np.searchsorted(y, [b[4] for b in boxes]), strict=True):
+        if low >= high:
+            continue
+        ys, xs = y[low:high], x[low:high]
+        rim = (xs >= x1) & (xs < x2) & ((xs == x1) | (xs == x2 - 1) | (ys == y1) | (ys == y2 - 1))
+        for p in (np.flatnonzero(rim) + low + begin).tolist():
+            around = [n for n in ink.near[p][_LEAVING].tolist() if n >= 0]
+            out.append((k, p, [n for n in around if not (x1 <= ink.x[n] < x2 and y1 <= ink.y[n] < y2)]))
+    return out
 
 
 _CENTRE, _END = "c{}", "e{}"
+_PATH = "array<struct<x:double,y:double>>"
 
 
-def _edges(groups: list[tuple]) -> list[tuple]:
+def _edges(groups: list[tuple], arrow: pa.Schema, snap: bool, draw: Callable[[list[tuple]], np.ndarray] | None) -> pa.RecordBatch:
     """Edges (key, a, b, path) of the line graphs of a batch of diagrams."""
-    lines, stops, of_stops, sources, about = [], [], [], [], []
-    for d, (_, ink, ends, borders, outside, boxes) in enumerate(groups):
-        of = _Lines(ink)
-        names, crossings, spots = [], [], {}
+    ink = _Ink([draw(g[1]) if draw else g[1] for g in groups])
+    number = [dict(zip(zip(ink.y[a:b].tolist(), ink.x[a:b].tolist(), strict=True), range(a, b), strict=True)) if not snap else None for a, b in zip(ink.first[:-1].tolist(), ink.first[1:].tolist(), strict=True)]
+    names, crossings, owner = [], [], []  # of all stops
+    stop = np.full(len(ink.y), -1, dtype=np.int64)
+    sources, tied = [], []
+    for d, (_, _, ends, boxes) in enumerate(groups):
         centre = {k: (int(x) + int(w) / 2, int(y) + int(h) / 2) for k, x, y, w, h in boxes}
-        edges: dict[tuple[str, str], list] = {}
-        for n, (k, y, x) in enumerate(sorted(borders)):
+        spots, starts = {}, {}
+        group = {k: i for i, k in enumerate(centre)}
+        for n, (k, p, outside) in enumerate(_borders(ink, d, boxes)):
+            spots[p] = len(names)
+            starts[len(names)] = outside
+            tied.append((len(names), k, p, *centre[k]))
             names.append(f"b{k}.{n}")
-            crossings.append(k)
-            spots[y, x] = n
-            edges[names[-1], _CENTRE.format(k)] = [(float(x), float(y)), centre[k]]
-        for i, y, x in sorted(ends):
-            spots[y, x] = len(names)
+            crossings.append(group[k])
+        for i, p in _snapped(ink, d, ends) if snap else ((i, number[d][y, x]) for i, y, x in sorted(ends)):
+            spots[p] = len(names)
             names.append(_END.format(i))
-            crossings.append(None)
-        starts: dict[tuple, list] = {}
-        for k, y, x, ny, nx in sorted(outside, key=lambda r: (r[0], r[1], r[2], r[4], r[3])):
-            starts.setdefault((k, y, x), []).append(of.number[ny, nx])
-        number = {k: i for i, k in enumerate(sorted({k for k in crossings if k is not None}))}
-        at = np.full(len(of.points), -1, dtype=np.int64)
-        for spot, n in spots.items():
-            at[of.number[spot]] = n
-        for spot, n in spots.items():
+            crossings.append(-1)
+        owner += [d] * (len(names) - len(owner))
+        for p, n in spots.items():
+            stop[p] = n
             k = crossings[n]
-            first = [of.number[spot]] if k is None else starts.get((k, *spot), [])
-            sources.append(_Source(d, n, -1 if k is None else number[k], first, -1 if k is None else of.number[spot]))
-        lines.append(of)
-        stops.append(at)
-        of_stops.append(np.array([-1 if k is None else number[k] for k in crossings], dtype=np.int64))
-        about.append((names, edges))
-    for s, path in zip(sources, follow(lines, stops, of_stops, sources), strict=True):
-        if path:
-            (names, edges), of = about[s.lines], lines[s.lines]
-            own, there = names[s.own], names[stops[s.lines][path[-1]]]
-            points = [(float(x), float(y)) for y, x in (of.points[i] for i in path)]
-            before = edges.get((there, own))
-            if before is None or points < before:
-                edges.pop((there, own), None)
-                edges[own, there] = points
-    return [(*group[0], a, b, [{"x": x, "y": y} for x, y in path]) for group, (_, edges) in zip(groups, about, strict=True) for (a, b), path in edges.items()]
-
-
-def trace_edges(pixels: DataFrame, snapped: DataFrame, crossings: DataFrame | None = None) -> DataFrame:
+            sources.append(_Source(d, n, k, [p] if k < 0 else starts[n], -1 if k < 0 else p))
+    begin, flat = _ways(ink.near, ink.first, stop, np.array(crossings, dtype=np.int64), sources)
+    had = np.flatnonzero(begin[1:] > begin[:-1])
+    own = np.array([s.own for s in sources], dtype=np.int64)[had]
+    there = stop[flat[begin[had + 1] - 1]]
+    # of both directions the path that is less stays
+    points = lambda i: list(zip(ink.x[way].tolist(), ink.y[way].tolist(), strict=True)) if len(way := flat[begin[had[i]] : begin[had[i] + 1]]) else []
+    pair = np.lexsort((np.maximum(own, there), np.minimum(own, there)))  # stable: the one that was followed first comes first
+    twice = np.flatnonzero((own[pair[1:]] == there[pair[:-1]]) & (there[pair[1:]] == own[pair[:-1]]))
+    one, two = pair[twice], pair[twice + 1]
+    p, q = flat[begin[had[one]]], flat[begin[had[two]]]
+    less = (ink.x[q] < ink.x[p]) | ((ink.x[q] == ink.x[p]) & (ink.y[q] < ink.y[p]))
+    for i in np.flatnonzero(p == q):
+        less[i] = points(two[i]) < points(one[i])
+    stays = np.ones(len(had), dtype=bool)
+    stays[np.where(less, one, two)] = False
+    had, own, there = had[stays], own[stays], there[stays]
+    lens = begin[had + 1] - begin[had]
+    at = flat[np.repeat(begin[had] - (lens.cumsum() - lens), lens) + np.arange(int(lens.sum()))]
+    tie = np.array([r[:3] for r in tied], dtype=np.int64).reshape(-1, 3)
+    middle = np.array([r[3:] for r in tied], dtype=float).reshape(-1, 2)
+    xs = np.concatenate([ink.x[at], np.stack([ink.x[tie[:, 2]], middle[:, 0]], axis=1).reshape(-1)]).astype(float)
+    ys = np.concatenate([ink.y[at], np.stack([ink.y[tie[:, 2]], middle[:, 1]], axis=1).reshape(-1)]).astype(float)
+    offsets = np.concatenate([[0], lens, np.full(len(tie), 2, dtype=np.int64)]).cumsum().astype(np.int32)
+    told = pa.array([*names, *(_CENTRE.format(k) for k in tie[:, 1].tolist())], pa.string())
+    a, b = np.concatenate([own, tie[:, 0]]), np.concatenate([there, len(names) + np.arange(len(tie))])
+    whose = pa.array(np.array(owner, dtype=np.int64)[a])
+    keys = [pa.array([g[0][i] for g in groups], arrow[i].type).take(whose) for i in range(len(groups[0][0]))]
+    path = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(xs), pa.array(ys)], fields=list(arrow[-1].type.value_type)), type=arrow[-1].type)
+    return pa.RecordBatch.from_arrays([*keys, told.take(pa.array(a)), told.take(pa.array(b)), path], schema=arrow)
+
+
+def trace_edges(pixels: DataFrame | Drawn, ends: DataFrame, crossings: DataFrame | None = None) -> DataFrame:
     """(diagram_id, a, b, path): the line graph. Nodes are endpoints `e<index>`, border points of crossings
     `b<crossing>.<n>` and their centres `c<crossing>`. A border point is tied to its centre, and followed from
     the pixels outside its box to the first endpoint or border point of another crossing; an endpoint is
     followed to the first other endpoint or border point. Of both directions of an edge the path which is
-    less as a list of (x, y) stays, seen from its own start. An endpoint on a border point takes its place."""
-    none = pixels.select("diagram_id", F.col("y").alias("crossing_index"), *(F.lit(0.0).alias(c) for c in "xywh")).where("false")
+    less as a list of (x, y) stays, seen from its own start. An endpoint on a border point takes its place.
+
+    ends: as snap_endpoints gives them, or (diagram_id, endpoint_index, x, y), which are then snapped as there. Pixels
+    are by far the most of an extraction, and come to Python once: snapping, border points and what touches them are
+    worked out beside the lines, of the pixels of one diagram, many diagrams a call."""
+    none = ends.select("diagram_id", F.lit(0).cast("long").alias("crossing_index"), *(F.lit(0.0).alias(c) for c in "xywh")).where("false")
     boxes = none if crossings is None else crossings
-    borders = written(crossing_border_points(pixels, boxes), "borders")
-    outside = crossing_outside_neighbours(pixels, boxes, borders)
-    tables = [(pixels, ("y", "x")), (snapped, ("endpoint_index", "py", "px")), (borders, ("crossing_index", "y", "x")), (outside, ("crossing_index", "y", "x", "ny", "nx")), (boxes, ("crossing_index", "x", "y", "w", "h"))]
-    return per_batch(tables, ("diagram_id",), _edges, "a string, b string, path array<struct<x:double,y:double>>")
+    snap, draw = "py" not in ends.columns, pixels.ink if isinstance(pixels, Drawn) else None
+    ink = (pixels.rows, pixels.columns) if draw else (pixels.where("y IS NOT NULL AND x IS NOT NULL").select("diagram_id", _code(F.col("y"), F.col("x")).alias("ink")), "ink")
+    columns = ("endpoint_index", "x", "y") if snap else ("endpoint_index", "py", "px")
+    return per_batch([ink, (ends, columns), (boxes, ("crossing_index", "x", "y", "w", "h"))], ("diagram_id",), lambda groups, arrow: _edges(groups, arrow, snap, draw), f"a string, b string, path {_PATH}", arrow=True)
 
 
 def graph_nodes(endpoints: DataFrame, edges: DataFrame) -> DataFrame:

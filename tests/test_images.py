@@ -264,3 +264,20 @@ def test_folders_of_several_kinds_from_one_reading(spark, tmp_path, monkeypatch)
         images.prepare_folder(spark, f"file://{tmp_path}/in", f"{target}-alone", regions, mode, kinds)
         one, alone = (sorted((r.file_name, bytes(r.image.data)) for r in read(spark, p).collect()) for p in (target, f"{target}-alone"))
         assert one == alone and len(one) == 5
+
+
+def test_pixels_come_to_the_line_graph_once(spark):
+    """One shuffle for pixels, ends and crossings, also where pixels are drawn in the task; ends are snapped and border
+    points found as by the operators of their own."""
+    rnd = np.random.default_rng(3)
+    spots = [(d, int(y), int(x)) for d in range(4) for y, x in {tuple(p) for p in rnd.integers(0, 30, size=(260, 2))}]
+    pixels = spark.createDataFrame(spots, "diagram_id long, y long, x long")
+    ends = spark.createDataFrame([(d, i, float(rnd.integers(0, 60)) / 2, float(rnd.integers(-9, 90)) / 2) for d in range(5) for i in range(12)], "diagram_id long, endpoint_index long, x double, y double")
+    boxes = spark.createDataFrame([(d, k, float(7 * k), float(rnd.integers(0, 20)), 5.5, 6.0) for d in range(3) for k in range(4)], "diagram_id long, crossing_index long, x double, y double, w double, h double")
+    told = lambda df: sorted((r.diagram_id, r.a, r.b, [tuple(p) for p in r.path]) for r in df.collect())
+    got = told(tracing.trace_edges(pixels, ends, boxes))
+    assert got == told(tracing.trace_edges(pixels, tracing.snap_endpoints(ends, pixels), boxes))
+    rim = sorted((r.diagram_id, r.crossing_index, float(r.x), float(r.y)) for r in tracing.crossing_border_points(pixels, boxes).collect())
+    assert rim == sorted((d, int(b[1:]), *path[0]) for d, a, b, path in got if b[0] == "c") and len(rim) > 30
+    drawn = tracing.trace_edges(tracing.Drawn(pixels, ("y", "x"), lambda rows: np.array([y * (1 << 32) + x for y, x in rows], dtype=np.int64)), ends, boxes)
+    assert told(drawn) == got and drawn._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
