@@ -5,7 +5,8 @@ endpoint_index, x, y). Lines are followed many diagrams at a time, each diagram
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -298,7 +299,7 @@ _CENTRE, _END = "c{}", "e{}"
 _PATH = "array<struct<x:double,y:double>>"
 
 
-def _edges(groups: list[tuple], arrow: pa.Schema, snap: bool, draw: Callable[[list[tuple]], np.ndarray] | None) -> pa.RecordBatch:
+def _edges(groups: list[tuple], arrow: pa.Schema, snap: bool, draw: Callable[[list[tuple]], np.ndarray] | None) -> Iterator[pa.RecordBatch]:
     """Edges (key, a, b, path) of the line graphs of a batch of diagrams."""
     ink = _Ink([draw(g[1]) if draw else g[1] for g in groups])
     number = [dict(zip(zip(ink.y[a:b].tolist(), ink.x[a:b].tolist(), strict=True), range(a, b), strict=True)) if not snap else None for a, b in zip(ink.first[:-1].tolist(), ink.first[1:].tolist(), strict=True)]
@@ -351,12 +352,16 @@ def _edges(groups: list[tuple], arrow: pa.Schema, snap: bool, draw: Callable[[li
     a, b = np.concatenate([own, tie[:, 0]]), np.concatenate([there, len(names) + np.arange(len(tie))])
     whose = pa.array(np.array(owner, dtype=np.int64)[a])
     keys = [pa.array([g[0][i] for g in groups], arrow[i].type).take(whose) for i in range(len(groups[0][0]))]
-    path = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(xs), pa.array(ys)], fields=list(arrow[-1].type.value_type)), type=arrow[-1].type)
-    return pa.RecordBatch.from_arrays([*keys, told.take(pa.array(a)), told.take(pa.array(b)), path], schema=arrow)
+    path = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(xs), pa.array(ys)], fields=list(arrow[-2].type.value_type)), type=arrow[-2].type)
+    whose = np.array(owner, dtype=np.int64)[a]
+    sizes = np.bincount(whose, minlength=len(groups))
+    number = np.empty(len(a), dtype=np.int32)  # of each diagram's edges, from 0
+    number[whose.argsort(kind="stable")] = np.arange(len(a)) - np.repeat(sizes.cumsum() - sizes, sizes)
+    yield pa.RecordBatch.from_arrays([*keys, told.take(pa.array(a)), told.take(pa.array(b)), path, pa.array(number)], schema=arrow)
 
 
 def trace_edges(pixels: DataFrame | Drawn, ends: DataFrame, crossings: DataFrame | None = None) -> DataFrame:
-    """(diagram_id, a, b, path): the line graph. Nodes are endpoints `e<index>`, border points of crossings
+    """(diagram_id, a, b, path, edge): the line graph, its edges numbered. Nodes are endpoints `e<index>`, border points of crossings
     `b<crossing>.<n>` and their centres `c<crossing>`. A border point is tied to its centre, and followed from
     the pixels outside its box to the first endpoint or border point of another crossing; an endpoint is
     followed to the first other endpoint or border point. Of both directions of an edge the path which is
@@ -370,7 +375,7 @@ def trace_edges(pixels: DataFrame | Drawn, ends: DataFrame, crossings: DataFrame
     snap, draw = "py" not in ends.columns, pixels.ink if isinstance(pixels, Drawn) else None
     ink = (pixels.rows, pixels.columns) if draw else (pixels.where("y IS NOT NULL AND x IS NOT NULL").select("diagram_id", _code(F.col("y"), F.col("x")).alias("ink")), "ink")
     columns = ("endpoint_index", "x", "y") if snap else ("endpoint_index", "py", "px")
-    return per_batch([ink, (ends, columns), (boxes, ("crossing_index", "x", "y", "w", "h"))], ("diagram_id",), lambda groups, arrow: _edges(groups, arrow, snap, draw), f"a string, b string, path {_PATH}", arrow=True)
+    return per_batch([ink, (ends, columns), (boxes, ("crossing_index", "x", "y", "w", "h"))], ("diagram_id",), lambda groups, arrow: _edges(groups, arrow, snap, draw), f"a string, b string, path {_PATH}, edge int", arrow=True)
 
 
 def graph_nodes(endpoints: DataFrame, edges: DataFrame) -> DataFrame:
@@ -382,55 +387,140 @@ def graph_nodes(endpoints: DataFrame, edges: DataFrame) -> DataFrame:
     return of_ends.unionByName(at("a", "border", 0)).unionByName(at("b", "crossing", 1).distinct())
 
 
-def _turned() -> Column:
-    """Degrees between the ways into and out of the node of a path at (x, y), from (px, py) to (nx, ny)."""
-    at = F.col
-    ux, uy, vx, vy = at("x") - at("px"), at("y") - at("py"), at("nx") - at("x"), at("ny") - at("y")
-    size = F.sqrt(ux * ux + uy * uy) * F.sqrt(vx * vx + vy * vy)
-    return F.when(size > 0, F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (ux * vx + uy * vy) / size))))).otherwise(0.0)
+#: Steps that a task takes on the paths of one diagram, or of a part of them, before what is still open is dealt anew.
+ROUTE_STEPS = 100_000
+
+#: Ended paths of one Arrow batch, and parts that open paths of one diagram are dealt to.
+_ROUTE_ROWS, _ROUTE_PARTS = 4096, 1024
+
+
+def _turned(before: tuple, at: tuple, after: tuple) -> float:
+    """Degrees between the ways into and out of a place."""
+    if None in (*before, *at, *after):
+        return 0.0
+    ux, uy, vx, vy = at[0] - before[0], at[1] - before[1], after[0] - at[0], after[1] - at[1]
+    size = math.sqrt(ux * ux + uy * uy) * math.sqrt(vx * vx + vy * vy)
+    return math.degrees(math.acos(max(-1.0, min(1.0, (ux * vx + uy * vy) / size)))) if size > 0 else 0.0
+
+
+def _walk(begun: list[tuple], nodes: list[tuple], edges: list[tuple], most_nodes: int | None, most_steps: int) -> Iterator[tuple]:
+    """(start, end, steps, turned, length) of the paths that go on from those begun (start, steps, turned, length), depth
+    first; at last those that are still open after most_steps steps, with no end. So what is held is one path and the
+    ways that leave it, however many paths there are."""
+    number = {node: i for i, (node, *_) in enumerate(nodes)}
+    places, kinds, names = [r[2:] for r in nodes], [r[1] for r in nodes], [r[0] for r in nodes]
+    ways: list[list[tuple]] = [[] for _ in nodes]
+    ends = {}
+    for edge, a, b, n in edges:
+        i, j = number.get(a), number.get(b)
+        ends[edge + 1], ends[-edge - 1] = j, i
+        if i is not None and j is not None:
+            ways[i].append((j, edge + 1, n))
+            ways[j].append((i, -edge - 1, n))
+    turns: dict[tuple[int, int, int], float] = {}
+    open_ = []
+    for start, steps, turned, length in begun:
+        way = (number[start], *(ends[s] for s in steps))
+        open_.append((way, tuple(steps), turned, length))
+    taken = 0
+    while open_ and taken < most_steps:
+        way, steps, turned, length = open_.pop()
+        if most_nodes is not None and len(way) >= most_nodes:
+            continue
+        here = way[-1]
+        bends = kinds[here] == "crossing" and len(way) > 1
+        for there, step, n in ways[here]:
+            if there in way:
+                continue
+            taken += 1
+            turn = 0.0
+            if bends:
+                key = (way[-2], here, there)
+                if (turn := turns.get(key)) is None:
+                    turn = turns[key] = _turned(places[way[-2]], places[here], places[there])
+            on = ((*way, there), (*steps, step), turned + turn, length + n)
+            if kinds[there] == "endpoint":
+                yield (names[way[0]], names[there], *on[1:], [names[i] for i in on[0]])
+            else:
+                open_.append(on)
+    for way, *rest in open_:
+        yield (names[way[0]], None, *rest, [names[i] for i in way])
+
+
+def _routes(groups: list[tuple], arrow: pa.Schema, most_nodes: int | None, most_steps: int) -> Iterator[pa.RecordBatch]:
+    made: list[tuple] = []
+    named = "nodes" in arrow.names
+    told = lambda: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made, strict=True), arrow, strict=True)], schema=arrow)
+    for (diagram, deal), begun, nodes, edges in groups:
+        for *row, way in _walk(begun, nodes, edges, most_nodes, most_steps) if begun else ():
+            made.append((diagram, deal, *row, way) if named else (diagram, deal, *row))
+            if len(made) == _ROUTE_ROWS:
+                yield told()
+                made.clear()
+    if made:
+        yield told()
+
+
+def enumerate_routes(nodes: DataFrame, edges: DataFrame, most_nodes: int | None = None, named: bool = False, most_steps: int = ROUTE_STEPS) -> DataFrame:
+    """(diagram_id, start_index, endpoint_index, total_div, steps, path_len), with named also nodes: every path without
+    a repeated node from an endpoint to the first other one. nodes: (diagram_id, node, kind, x, y), see graph_nodes;
+    edges: (diagram_id, edge, a, b) with their path, or its size as n; edge: its number in the diagram, from 0. total_div
+    sums the angles turned at crossings, in degrees; steps are the edges' numbers plus one, negative where they are gone
+    from b to a; path_len sums their sizes. Paths of more than most_nodes are not followed; by default there is no such
+    limit.
+
+    Of one diagram there may be exponentially many. They are walked depth first, by tasks that hold one path each and
+    hand on what has ended; after most_steps steps a task leaves what is open, a row a path, which is dealt by path to
+    many tasks in the next round. Points don't come along, see with_points."""
+    n = F.col("n") if "n" in edges.columns else F.size("path")
+    nodes = nodes.select("diagram_id", "node", "kind", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    edges = edges.select("diagram_id", "edge", "a", "b", n.cast("long").alias("n"))
+    begun = nodes.where("kind = 'endpoint'").select("diagram_id", F.col("node").alias("start"), F.array().cast("array<int>").alias("steps"), F.lit(0.0).alias("turned"), F.lit(0).cast("long").alias("n"))
+    begun, parts = begun.withColumn("deal", F.lit(0)), None
+    done: DataFrame | None = None
+    while True:
+        dealt = lambda df, parts=parts: df.withColumn("deal", F.lit(0)) if parts is None else df.hint("merge").join(parts.hint("merge"), "diagram_id")
+        tables = [(begun, ("start", "steps", "turned", "n")), (dealt(nodes), ("node", "kind", "x", "y")), (dealt(edges), ("edge", "a", "b", "n"))]
+        schema = "start string, end string, steps array<int>, turned double, n long" + ", nodes array<string>" * named
+        on = written(per_batch(tables, ("diagram_id", "deal"), lambda groups, arrow: _routes(groups, arrow, most_nodes, most_steps), schema, arrow=True), "paths")
+        ended = on.where("end IS NOT NULL")
+        done = ended if done is None else done.unionByName(ended)
+        begun = on.where("end IS NULL")
+        if begun.isEmpty():
+            break
+        begun = begun.withColumn("deal", F.pmod(F.hash("start", "steps"), F.lit(_ROUTE_PARTS)))
+        parts = begun.select("diagram_id", "deal").distinct()
+    number = lambda node: F.substring(node, F.lit(2), F.length(node)).cast("long")
+    return done.select("diagram_id", number(F.col("start")).alias("start_index"), number(F.col("end")).alias("endpoint_index"), F.round("turned", 2).alias("total_div"), *(["nodes"] if named else []), "steps", F.col("n").alias("path_len"))
+
+
+def with_points(routes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Routes (diagram_id, steps, ..) with path: the points of their edges (diagram_id, edge, path), the node between two
+    edges coming twice. Edges meet the routes of their diagram in one shuffle, and are not multiplied."""
+    rest = [c for c in routes.columns if c != "diagram_id"]
+    kinds = {f.name: f.dataType.simpleString() for f in routes.schema.fields}
+    steps = rest.index("steps")
+
+    def work(_: tuple, rows: list[tuple], known: list[tuple]) -> Iterator[tuple]:
+        points = {}
+        for edge, path in known:
+            points[edge + 1], points[-edge - 1] = path, path[::-1]
+        return ((*r, [p for s in r[steps] for p in points[s]]) for r in rows)
+
+    some = edges.select("diagram_id", "edge", "path")
+    return per_group([(routes, tuple(rest)), (some, ("edge", "path"))], ("diagram_id",), work, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + f", path {_PATH}")
 
 
 def enumerate_paths(nodes: DataFrame, edges: DataFrame, most_nodes: int | None = None) -> DataFrame:
-    """(diagram_id, start_index, endpoint_index, total_div, nodes, path): every path without a repeated node
-    from an endpoint to the first other one. nodes: (diagram_id, node, kind, x, y), see graph_nodes; edges:
-    (diagram_id, a, b, path). total_div sums the angles turned at crossings, in degrees; path joins the edges'
-    points, the node between two edges coming twice. Paths of more than most_nodes are not followed; by
-    default there is no such limit.
-
-    A path that has not ended is a row of its own, with its nodes and the numbers of its edges; each round
-    joins all of them with the edges that leave their last node. So the paths of one diagram, of which there
-    may be exponentially many, are spread over tasks, no task holds more than some rows, and a lost executor
-    costs a part of one round. Points are put to the paths that ended, at the end. No side of these joins is
-    broadcast: stored tables pack so well that Spark takes large ones for small."""
-    numbered = written(edges.withColumn("edge", F.row_number().over(Window.partitionBy("diagram_id").orderBy("a", "b", "path"))), "edges")
-    way = lambda here, there, back: numbered.select("diagram_id", F.col(here).alias("here"), F.col(there).alias("there"), F.struct("edge", F.lit(back).alias("back")).alias("step"))
-    known = nodes.select("diagram_id", F.col("node").alias("there"), F.col("kind").alias("next_kind"), F.col("x").cast("double").alias("nx"), F.col("y").cast("double").alias("ny"))
-    ways = written(way("a", "b", False).unionByName(way("b", "a", True)).join(known.hint("merge"), ["diagram_id", "there"]), "ways")
-    none = F.lit(None).cast("double")
-    told = nodes.where("kind = 'endpoint'").select("diagram_id", F.col("node").alias("here"), "kind", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    open_ = told.select("*", none.alias("px"), none.alias("py"), F.lit(0.0).alias("turned"), F.array("here").alias("nodes"), F.array().cast("array<struct<edge:int,back:boolean>>").alias("steps"))
-    ended: DataFrame | None = None
-    length = 1
-    while most_nodes is None or length < most_nodes:
-        turn = F.when((F.col("kind") == "crossing") & F.col("px").isNotNull(), _turned()).otherwise(0.0)
-        on = open_.join(ways.hint("merge"), ["diagram_id", "here"]).where(~F.array_contains("nodes", F.col("there")))
-        on = on.select(
-            "diagram_id", F.col("there").alias("here"), F.col("next_kind").alias("kind"), F.col("nx").alias("x"), F.col("ny").alias("y"), F.col("x").alias("px"), F.col("y").alias("py"),
-            (F.col("turned") + turn).alias("turned"), F.array_append("nodes", F.col("there")).alias("nodes"), F.array_append("steps", F.col("step")).alias("steps"),
-        )
-        on = written(on, "paths")
-        length += 1
-        at_end = on.where("kind = 'endpoint'")
-        ended = at_end if ended is None else ended.unionByName(at_end)
-        open_ = on.where("kind <> 'endpoint'")
-        if open_.isEmpty():
-            break
-    number = lambda node: F.substring(node, F.lit(2), F.length(node)).cast("long")
-    if ended is None:
-        ended = open_.where("false")
-    found = ended.select("diagram_id", number(F.get("nodes", F.lit(0))).alias("start_index"), number(F.col("here")).alias("endpoint_index"), F.round("turned", 2).alias("total_div"), "nodes", "steps")
-    found = written(found.withColumn("path_id", F.monotonically_increasing_id()), "ended_paths")
-    points = F.when(F.col("step.back"), F.reverse("path")).otherwise(F.col("path"))
-    parts = found.select("diagram_id", "path_id", F.posexplode("steps").alias("at", "step")).withColumn("edge", F.col("step.edge")).join(numbered.select("diagram_id", "edge", "path").hint("merge"), ["diagram_id", "edge"])
-    joined = parts.groupBy("path_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", points.alias("points")))), lambda s: s["points"])).alias("path"))
+    """(diagram_id, start_index, endpoint_index, total_div, nodes, path): enumerate_routes with the nodes and points of
+    each path. edges: (diagram_id, a, b, path), numbered if they are not. No side of a join is broadcast: stored tables
+    pack so well that Spark takes large ones for small."""
+    if "edge" not in edges.columns:
+        edges = written(edges.withColumn("edge", F.row_number().over(Window.partitionBy("diagram_id").orderBy("a", "b", "path")) - 1), "edges")
+    parts = enumerate_routes(nodes, edges, most_nodes, named=True).withColumn("path_id", F.monotonically_increasing_id()).drop("path_len")
+    found = written(parts, "ended_paths")
+    step = found.select("diagram_id", "path_id", F.posexplode("steps").alias("at", "step")).withColumn("edge", F.abs("step") - 1)
+    points = F.when(F.col("step") < 0, F.reverse("path")).otherwise(F.col("path"))
+    gone = step.join(edges.select("diagram_id", "edge", "path").hint("merge"), ["diagram_id", "edge"])
+    joined = gone.groupBy("path_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", points.alias("points")))), lambda s: s["points"])).alias("path"))
     return found.hint("merge").join(joined, "path_id").select("diagram_id", "start_index", "endpoint_index", "total_div", "nodes", "path")

@@ -281,3 +281,23 @@ def test_pixels_come_to_the_line_graph_once(spark):
     assert rim == sorted((d, int(b[1:]), *path[0]) for d, a, b, path in got if b[0] == "c") and len(rim) > 30
     drawn = tracing.trace_edges(tracing.Drawn(pixels, ("y", "x"), lambda rows: np.array([y * (1 << 32) + x for y, x in rows], dtype=np.int64)), ends, boxes)
     assert told(drawn) == got and drawn._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_paths_are_walked_in_few_rounds_and_left_open_ones_dealt_anew(spark, monkeypatch):
+    """A round an edge before; with three steps a round the same paths come in many."""
+    nodes, ties = [(d, f"e{i}", "endpoint", 70.0 * i, 0.0) for d in range(3) for i in (0, 1)], [("e0", "c0"), ("c4", "e1")]
+    nodes += [(d, f"{k}{i}", kind, 10.0 * i + x, y) for d in range(3) for i in range(5) for k, kind, x, y in (("c", "crossing", 5.0, 0.0), ("b1", "border", 10.0, 5.0), ("b2", "border", 10.0, -5.0))]
+    ties += [t for i in range(4) for b in ("b1", "b2") for t in ((f"c{i}", f"{b}{i}"), (f"{b}{i}", f"c{i + 1}"))]
+    nodes = spark.createDataFrame(nodes, "diagram_id long, node string, kind string, x double, y double")
+    edges = spark.createDataFrame([(d, k, a, b, [(float(k), float(i)) for i in range(k + 1)]) for d in range(3) for k, (a, b) in enumerate(ties)], "diagram_id long, edge int, a string, b string, path array<struct<x:double,y:double>>")
+    seen, written = [], tracing.written
+    monkeypatch.setattr(tracing, "written", lambda df, name: seen.append(name) or written(df, name))
+    told = lambda df: sorted(map(tuple, df.select("diagram_id", "start_index", "endpoint_index", "total_div", "steps", "path_len").collect()))
+    whole = told(tracing.enumerate_routes(nodes, edges))
+    assert len(whole) == 3 * 32 == len(set(map(str, whole))) and len(seen) == 1
+    assert told(tracing.enumerate_routes(nodes, edges, most_steps=3)) == whole and len(seen) > 4
+    pointed = tracing.with_points(tracing.enumerate_routes(nodes, edges), edges).collect()
+    assert all(r.path_len == len(r.path) == sum(abs(s) for s in r.steps) for r in pointed) and len(pointed) == 96
+    assert all([p.y for p in r.path[: abs(r.steps[0])]] == sorted([p.y for p in r.path[: abs(r.steps[0])]], reverse=r.steps[0] < 0) for r in pointed)
+    full = tracing.enumerate_paths(nodes, edges).collect()
+    assert sorted((r.diagram_id, r.start_index, r.path) for r in full) == sorted((r.diagram_id, r.start_index, r.path) for r in pointed)
