@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .grouped import per_group
 from .stages import bounded_broadcasts, bounded_parts
+from .tracing import STAY
 
 EMPTY = "Empty End"
 
@@ -33,16 +34,27 @@ def path_probability(paths: DataFrame) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(by.orderBy(*order)).cast("long"))
 
 
-def best_connections(ranked: DataFrame, endpoints: DataFrame, scales: DataFrame | None = None, least: float = 30.0) -> DataFrame:
-    """Each start's best path that joins two classes or is longer than least times the scale, in diagrams of
-    more than two endpoints (diagram_id, n_endpoints)."""
+def _good(paths: DataFrame, endpoints: DataFrame, scales: DataFrame | None, least: float) -> DataFrame:
     limit = F.lit(least)
-    some = _bounded(ranked).join(endpoints.where("n_endpoints > 2").select("diagram_id"), "diagram_id")
+    some = _bounded(paths).join(endpoints.where("n_endpoints > 2").select("diagram_id"), "diagram_id")
     if scales is not None:
         some, limit = some.join(scales, "diagram_id"), F.bround(least * F.col("scale"), 3)
-    good = some.where(~F.col("class_a").eqNullSafe(F.col("class_b")) | (F.col("path_len") > limit))
+    return some.where(~F.col("class_a").eqNullSafe(F.col("class_b")) | (F.col("path_len") > limit))
+
+
+def best_connections(ranked: DataFrame, endpoints: DataFrame, scales: DataFrame | None = None, least: float = 30.0) -> DataFrame:
+    """Each start's best path that joins two classes or is longer than least times the scale, in diagrams of
+    more than two endpoints (diagram_id, n_endpoints)."""
     best = F.row_number().over(Window.partitionBy("diagram_id", "start_index").orderBy("rank"))
-    return good.withColumn("__at", best).where("__at = 1").drop("__at")
+    return _good(ranked, endpoints, scales, least).withColumn("__at", best).where("__at = 1").drop("__at")
+
+
+def first_paths(paths: DataFrame, endpoints: DataFrame, scales: DataFrame | None = None, least: float = 30.0) -> DataFrame:
+    """best_connections of paths whose points aren't there yet: those that come first by turning, end and length, and
+    n_first, how many do. Of several, the one whose points come first is the best."""
+    by = Window.partitionBy("diagram_id", "start_index")
+    good = _good(paths, endpoints, scales, least).withColumn("__at", F.rank().over(by.orderBy("total_div", "endpoint_index", "path_len")))
+    return good.where("__at = 1").withColumn("n_first", F.count("*").over(by)).select(*paths.columns, "n_first")
 
 
 def dedupe_undirected(connections: DataFrame) -> DataFrame:
@@ -126,8 +138,11 @@ class _Net:
 
 
 def _toward(link: dict, side: int) -> list | None:
-    """The path so that it ends at the given side."""
-    return link["path"] if side == 1 or link["path"] is None else link["path"][::-1]
+    """The path so that it ends at the given side; steps go the other way round."""
+    path = link["path"]
+    if side == 1 or path is None:
+        return path
+    return [-s for s in reversed(path)] if path and isinstance(path[0], int) else path[::-1]
 
 
 def _joined(a: list | None, b: list | None) -> list | None:
@@ -170,7 +185,7 @@ def _bridge(net: _Net, pairs: list[tuple[int, int]], about: dict[int, tuple]) ->
         for at, (e, link) in enumerate(zip((a, b), found, strict=True)):
             own_class, own_shape, point = about.get(e, (None, (EMPTY, 1.0), None))
             if link is None:
-                far.append(e), classes.append(own_class), shapes.append(own_shape), paths.append([point] if point else None)
+                far.append(e), classes.append(own_class), shapes.append(own_shape), paths.append([point] if point is not None else None)
                 length += 1
                 continue
             i = 1 if link["ends"][0] == e else 0
@@ -204,16 +219,26 @@ def bridge_gaps(connections: DataFrame, gaps: DataFrame, endpoints: DataFrame) -
 
 
 def rewrite_connections(connections: DataFrame, endpoints: DataFrame, gaps: DataFrame | None = None, merge: bool = True, bridge: bool = True) -> DataFrame:
-    """merge_shared_endpoints and bridge_gaps in one pass over the diagrams, with the columns of connections."""
+    """merge_shared_endpoints and bridge_gaps in one pass over the diagrams, with the columns of connections. Instead of
+    their path they may have its steps along edges, see tracing.with_points, which are less to move."""
+    if "steps" in connections.columns:
+        stepped = connections.withColumn("steps", F.col("steps").cast("array<bigint>")).withColumnRenamed("steps", "path")
+        return _rewritten(stepped, endpoints, gaps, merge, bridge, True).withColumnRenamed("path", "steps")
+    return _rewritten(connections, endpoints, gaps, merge, bridge, False)
+
 
+def _rewritten(connections: DataFrame, endpoints: DataFrame, gaps: DataFrame | None, merge: bool, bridge: bool, stepped: bool) -> DataFrame:
     (link_columns, whole_links), (end_columns, whole_ends) = _told_columns(connections, _LINK), _told_columns(endpoints, _END)
     out = [c for c in _REWRITTEN.split(", ") if c.split(" ")[0] in link_columns]
+    out = ["path array<bigint>" if stepped and c.startswith("path ") else c for c in out]
     at = [_LINK.index(c) for c in link_columns]
 
     def work(_: tuple, links: list[tuple], ends: list[tuple], *pairs: list[tuple]) -> list[tuple]:
         if not links and not (bridge and pairs and pairs[0]):
             return []
         net, about = _Net(whole_links(links)), _told(whole_ends(ends))
+        if stepped:
+            about = {e: (c, shape, None if point is None else STAY + e) for e, (c, shape, point) in about.items()}
         if merge:
             _merge_shared(net, {e: x[0] for e, x in about.items()}, {e: x[1] for e, x in about.items()})
         if bridge and pairs:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,31 +33,48 @@ def nearest_endpoint(endpoints: DataFrame) -> DataFrame:
     return nearest_points(endpoints, "endpoint_id")
 
 
+def _box_distance(x: np.ndarray, y: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """Least point_box_distance of each point to the boxes (x, y, w, h), a million pairs at a time."""
+    least, some = np.zeros(len(x)), max(1, (1 << 20) // len(boxes))
+    bx, by, bw, bh = boxes.T
+    for i in range(0, len(x), some):
+        px, py = x[i : i + some, None], y[i : i + some, None]
+        dx, dy = np.maximum(np.maximum(bx - px, 0.0), px - (bx + bw)), np.maximum(np.maximum(by - py, 0.0), py - (by + bh))
+        least[i : i + some] = np.sqrt(dx * dx + dy * dy).min(axis=1)
+    return least
+
+
+def _thinned(x: np.ndarray, y: np.ndarray, near: np.ndarray, limit: float) -> np.ndarray:
+    """Which of the points, in order, stay; those that may be too near each other are looked up first."""
+    alive, some = np.ones(len(x), dtype=bool), max(1, (1 << 20) // max(1, len(x)))
+    for k in range(0, len(x), some):
+        dx, dy = x[k : k + some, None] - x, y[k : k + some, None] - y
+        close = dx * dx + dy * dy <= limit * limit * (1 + 1e-9)
+        for i in (np.flatnonzero(close.sum(axis=1) > 1) + k).tolist():
+            if not alive[i]:
+                continue
+            for j in (np.flatnonzero(close[i - k, i + 1 :] & alive[i + 1 :]) + i + 1).tolist():
+                if math.hypot(x[i] - x[j], y[i] - y[j]) < limit:
+                    alive[j if near[i] <= near[j] else i] = False
+                    if not alive[i]:
+                        break
+    return alive
+
+
 def dedupe_endpoints(endpoints: DataFrame, boxes: DataFrame, scales: DataFrame, reach: float = 5.0) -> DataFrame:
     """Of two endpoints nearer than reach times the scale, the one nearer to a class stays, the earlier on
     ties. Endpoints are taken in order of their ids, each against all later ones; when the one in hand goes,
-    the next in its place is taken. Decided within a diagram, in order."""
-    known = endpoints.join(nearest_class(endpoints, boxes), ["diagram_id", "endpoint_id"]).join(scales, "diagram_id")
-
-    def drop(_: tuple, rows: list[tuple]) -> list[tuple]:
-        left = sorted(rows)
-        limit = round(reach * left[0][4], 3)
-        i = 0
-        while i < len(left):
-            _, x, y, near, _ = left[i]
-            j, stays = i + 1, True
-            while j < len(left) and stays:
-                if math.hypot(x - left[j][1], y - left[j][2]) >= limit:
-                    j += 1
-                elif near <= left[j][3]:
-                    del left[j]
-                else:
-                    del left[i]
-                    stays = False
-            i += stays
-        return [r[:3] for r in left]
-
-    return per_group([(known, ("endpoint_id", "x", "y", "class_distance", "scale"))], ("diagram_id",), drop, "endpoint_id long, x double, y double")
+    the next in its place is taken. Decided within a diagram, in order, beside its class boxes."""
+
+    def drop(_: tuple, rows: list[tuple], classes: list[tuple], scale: list[tuple]) -> list[tuple]:
+        if not (rows and classes and scale) or scale[0][0] is None:
+            return []
+        rows = sorted(rows)
+        x, y = np.array([r[1:] for r in rows], dtype=float).T
+        near = _box_distance(x, y, np.array(classes, dtype=float))
+        return [r for r, stays in zip(rows, _thinned(x, y, near, round(reach * scale[0][0], 3)).tolist(), strict=True) if stays]
+
+    return per_group([(endpoints, ("endpoint_id", "x", "y")), (boxes, ("x", "y", "w", "h")), (scales, ("scale",))], ("diagram_id",), drop, "endpoint_id long, x double, y double")
 
 
 def attachment(endpoints: DataFrame, boxes: DataFrame, scales: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import assign, connections, diagram, endpoints as ends_, regions, results, text, tracing
@@ -35,15 +35,21 @@ def evaluate_connections(pixels: DataFrame | tracing.Drawn, boxes: DataFrame, en
 
     split = written(tracing.split_overlapping_crossings(crossings), "crossings")
     edges = written(tracing.trace_edges(pixels, ends.select("diagram_id", "endpoint_index", "x", "y"), split), "edges")
-    paths = written(tracing.enumerate_paths(tracing.graph_nodes(ends, edges), edges).withColumn("path_len", F.size("path").cast("long")), "paths")
+    routes = tracing.enumerate_routes(tracing.graph_nodes(ends, edges), edges)
     for at, side in (("start_index", "a"), ("endpoint_index", "b")):
         told = ends.select("diagram_id", F.col("endpoint_index").alias(at), F.col("class_index").alias(f"class_{side}"), F.col("end_shape").alias(f"end_shape_{int(side == 'b')}"), F.col("shape_score").alias(f"shape_score_{int(side == 'b')}"))
-        paths = paths.join(told, ["diagram_id", at])
-    best = written(connections.dedupe_undirected(connections.best_connections(connections.path_probability(paths), raw, scales)), "best")
+        routes = routes.join(told, ["diagram_id", at])
+    first = written(connections.first_paths(routes, raw, scales), "first_paths")
+    alone, tied = first.where("n_first = 1"), first.where("n_first > 1")
+    if not tied.isEmpty():  # points, which decide, are many
+        pointed = tracing.with_points(tied, edges.join(tied.select("diagram_id").distinct(), "diagram_id", "left_semi"))
+        by = F.row_number().over(Window.partitionBy("diagram_id", "start_index").orderBy("path"))
+        alone = alone.unionByName(pointed.withColumn("__at", by).where("__at = 1").drop("__at", "path"))
+    best = written(connections.dedupe_undirected(alone.drop("n_first")), "best")
     many = raw.where("n_endpoints > 2").select("diagram_id")
     ends = ends.join(many, "diagram_id", "left_semi").select("diagram_id", "endpoint_index", "class_index", "end_shape", "shape_score", "x", "y")
     rewritten = connections.rewrite_connections(best, ends, gaps.join(many, "diagram_id", "left_semi"))
-    return connections.final_connections(rewritten, scales=scales), ends
+    return tracing.with_points(connections.final_connections(rewritten, scales=scales), edges, ends).drop("steps"), ends
 
 
 def assign_labels(links: DataFrame, ends: DataFrame, labels: DataFrame, scales: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

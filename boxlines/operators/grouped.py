@@ -33,13 +33,14 @@ def _numbers(column: pa.ListArray) -> Iterator[np.ndarray]:
         at += n
 
 
-def per_batch(tables: list[tuple[DataFrame, tuple[str, ...] | str]], keys: tuple[str, ...], work: Callable[..., list[tuple] | Iterator[pa.RecordBatch]], schema: str, arrow: bool = False) -> DataFrame:
+def per_batch(tables: list[tuple[DataFrame, tuple[str, ...] | str]], keys: tuple[str, ...], work: Callable[..., list[tuple] | Iterator[pa.RecordBatch]], schema: str, arrow: bool = False, raw: bool = False) -> DataFrame:
     """work([(key, rows of each table), ..]) for the keys of any of the tables, a batch of them at a time; it
     returns tuples of the keys' values and what schema names. A table's rows come as tuples of the named
     columns, in no order. The tables' rows are gathered by key together, so that one shuffle for all of them, without
     a join, and one call to Python a batch of groups is all; a group (a diagram, or less) must fit a task. A table that
     names one column of numbers instead comes as an array. Keys that are null meet only their own table. With arrow,
-    work also gets the Arrow schema, and returns batches of it, one after the other."""
+    work also gets the Arrow schema, and returns batches of it, one after the other; with raw, it gets the Arrow batch
+    instead of tuples, the keys and then a column of lists of structs for each table."""
     said = [F.col(columns) if isinstance(columns, str) else F.struct(*columns) for _, columns in tables]
     kinds = [table.select(row).schema[0].dataType for (table, _), row in zip(tables, said, strict=True)]
     whole = None
@@ -55,7 +56,9 @@ def per_batch(tables: list[tuple[DataFrame, tuple[str, ...] | str]], keys: tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
+            if batch.num_rows and raw:
+                yield from work(batch, told)
+            elif batch.num_rows:
                 lists = zip(*(f(c) for f, c in zip(read, batch.columns[n_keys:], strict=True)), strict=True)
                 groups = [(tuple(key), *one) for *key, one in zip(*(c.to_pylist() for c in batch.columns[:n_keys]), lists, strict=True)]
                 if arrow:

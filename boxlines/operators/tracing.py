@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -494,21 +495,56 @@ def enumerate_routes(nodes: DataFrame, edges: DataFrame, most_nodes: int | None
     return done.select("diagram_id", number(F.col("start")).alias("start_index"), number(F.col("end")).alias("endpoint_index"), F.round("turned", 2).alias("total_div"), *(["nodes"] if named else []), "steps", F.col("n").alias("path_len"))
 
 
-def with_points(routes: DataFrame, edges: DataFrame) -> DataFrame:
+#: A step beyond this is a stay at the endpoint whose index is so much less.
+STAY = 1 << 40
+
+
+def _pointed(batch: pa.RecordBatch, arrow: pa.Schema, steps_at: int) -> Iterator[pa.RecordBatch]:
+    """Routes with their points: the places of all steps' points among those of the batch's edges."""
+    groups = lambda column: np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    numbers = lambda array: array.to_numpy(zero_copy_only=False)
+    sizes_of = lambda column: numbers(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+    routes, edges, stays = batch.columns[-3:]
+    whose, told = groups(routes), routes.flatten().flatten()
+    if not len(whose):
+        return
+    (edge, xs, ys), (stay, stay_x, stay_y) = edges.flatten().flatten(), stays.flatten().flatten()
+    own = np.concatenate([groups(edges), groups(stays)]) * (STAY << 2) + np.concatenate([numbers(edge).astype(np.int64), numbers(stay) + STAY - 1])
+    sizes = np.concatenate([sizes_of(xs), np.ones(len(stay), dtype=np.int64)])
+    begin = sizes.cumsum() - sizes
+    x, y = (np.concatenate([numbers(a.flatten()), numbers(b)]) for a, b in ((xs, stay_x), (ys, stay_y)))
+    steps, upto = told[steps_at], np.concatenate([[0], sizes_of(told[steps_at]).cumsum()])
+    step = numbers(steps.flatten()).astype(np.int64)
+    order = own.argsort()
+    want = np.repeat(whose, np.diff(upto)) * (STAY << 2) + np.abs(step) - 1
+    at = order[np.minimum(np.searchsorted(own[order], want), max(len(own) - 1, 0))] if len(want) else np.zeros(0, dtype=np.int64)
+    if (own[at] != want).any():
+        raise ValueError("a step along an edge that isn't there")
+    n = sizes[at]
+    ends = np.concatenate([[0], n.cumsum()])
+    local = np.arange(int(ends[-1])) - np.repeat(ends[:-1], n)
+    place = np.repeat(begin[at], n) + np.where(np.repeat(step < 0, n), np.repeat(n, n) - 1 - local, local)
+    kind = arrow[-1].type
+    values = pa.StructArray.from_arrays([pa.array(x[place]), pa.array(y[place])], fields=list(kind.value_type))
+    mask = pa.array(numbers(pc.is_null(steps)).astype(bool))
+    points = pa.ListArray.from_arrays(pa.array(ends[upto].astype(np.int32)), values, type=kind, mask=mask)
+    columns = [*(c.take(pa.array(whose)) for c in batch.columns[:-3]), *told]
+    yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(columns, arrow)), points], schema=arrow)  # noqa: B905
+
+
+def with_points(routes: DataFrame, edges: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """Routes (diagram_id, steps, ..) with path: the points of their edges (diagram_id, edge, path), the node between two
-    edges coming twice. Edges meet the routes of their diagram in one shuffle, and are not multiplied."""
+    edges coming twice; for a step of STAY and more the place of that endpoint (diagram_id, endpoint_index, x, y). Edges
+    meet the routes of their diagram in one shuffle, and are not multiplied."""
     rest = [c for c in routes.columns if c != "diagram_id"]
     kinds = {f.name: f.dataType.simpleString() for f in routes.schema.fields}
-    steps = rest.index("steps")
-
-    def work(_: tuple, rows: list[tuple], known: list[tuple]) -> Iterator[tuple]:
-        points = {}
-        for edge, path in known:
-            points[edge + 1], points[-edge - 1] = path, path[::-1]
-        return ((*r, [p for s in r[steps] for p in points[s]]) for r in rows)
-
-    some = edges.select("diagram_id", "edge", "path")
-    return per_group([(routes, tuple(rest)), (some, ("edge", "path"))], ("diagram_id",), work, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + f", path {_PATH}")
+    at = rest.index("steps")
+    if ends is None:
+        ends = routes.select("diagram_id", F.lit(0).cast("long").alias("endpoint_index"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")).where("false")
+    ends = ends.select("diagram_id", F.col("endpoint_index").cast("long").alias("endpoint_index"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    edges = edges.select("diagram_id", "edge", F.col("path.x").alias("xs"), F.col("path.y").alias("ys"))  # half the bytes
+    tables = [(routes, tuple(rest)), (edges, ("edge", "xs", "ys")), (ends, ("endpoint_index", "x", "y"))]
+    return per_batch(tables, ("diagram_id",), lambda batch, arrow: _pointed(batch, arrow, at), ", ".join(f"`{c}` {kinds[c]}" for c in rest) + f", path {_PATH}", raw=True)
 
 
 def enumerate_paths(nodes: DataFrame, edges: DataFrame, most_nodes: int | None = None) -> DataFrame:

@@ -362,3 +362,29 @@ def test_small_diagrams_are_tried_and_agree_with_prices(monkeypatch):
     monkeypatch.setattr(assign, "_priced", priced)
     monkeypatch.setattr(assign, "TRIALS", 0)
     assert tried == [assign.optimal(c) for c in cases]
+
+
+def test_steps_are_rewritten_as_points_are(spark):
+    """Connections with the steps of their paths come to the same points as connections with the points themselves."""
+    rnd = random.Random(5)
+    edges = [(d, e, [(float(rnd.randrange(90)), rnd.randrange(90) + 0.5) for _ in range(rnd.randint(1, 4))]) for d in range(6) for e in range(9)]
+    known = {(d, e): p for d, e, p in edges}
+    ends = [(d, i, rnd.choice([None, 0, 1, 2]), rnd.choice(["Empty End", "Arrow End"]), 0.5, float(10 * i), 3.0) for d in range(6) for i in range(10)]
+    links, gaps = [], [(d, a, a + 1) for d in range(6) for a in (1, 4, 8)]
+    for d in range(6):
+        for rel in range(7):
+            steps = [rnd.choice([-1, 1]) * (e + 1) for e in rnd.sample(range(9), rnd.randint(1, 3))]
+            a, b = rnd.sample(range(10), 2)
+            links.append((d, rel, a, b, rnd.randrange(3), rnd.randrange(3), "Empty End", "Arrow End", 1.0, 0.5, 9, steps, [p for s in steps for p in known[d, abs(s) - 1][:: 1 if s > 0 else -1]]))
+    links = spark.createDataFrame(links, "diagram_id long, rel_index long, start_index long, endpoint_index long, class_a long, class_b long, end_shape_0 string, end_shape_1 string, shape_score_0 double, shape_score_1 double, path_len long, steps array<int>, path array<struct<x:double,y:double>>")
+    ends = spark.createDataFrame(ends, "diagram_id long, endpoint_index long, class_index long, end_shape string, shape_score double, x double, y double")
+    gaps = spark.createDataFrame(gaps, "diagram_id long, a long, b long")
+    edges = spark.createDataFrame(edges, "diagram_id long, edge int, path array<struct<x:double,y:double>>")
+    want = connections.rewrite_connections(links.drop("steps"), ends, gaps)
+    stepped = connections.rewrite_connections(links.drop("path"), ends, gaps)
+    got = tracing.with_points(stepped, edges, ends).select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.where("size(path) > 6").count() > 3
+    assert stepped.where("exists(steps, s -> abs(s) >= 1L << 40)").count() > 0
+    tied = spark.createDataFrame([(1, 0, 1, n, 5, 6, 10.0, x) for n in (20, 30) for x in range(2)], "diagram_id long, start_index long, endpoint_index long, path_len long, class_a long, class_b long, total_div double, edge int")
+    first = connections.first_paths(tied, spark.createDataFrame([(1, 4)], "diagram_id long, n_endpoints long")).collect()
+    assert sorted((r.path_len, r.edge, r.n_first) for r in first) == [(20, 0, 2), (20, 1, 2)]
