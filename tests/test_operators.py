@@ -388,3 +388,14 @@ def test_steps_are_rewritten_as_points_are(spark):
     tied = spark.createDataFrame([(1, 0, 1, n, 5, 6, 10.0, x) for n in (20, 30) for x in range(2)], "diagram_id long, start_index long, endpoint_index long, path_len long, class_a long, class_b long, total_div double, edge int")
     first = connections.first_paths(tied, spark.createDataFrame([(1, 4)], "diagram_id long, n_endpoints long")).collect()
     assert sorted((r.path_len, r.edge, r.n_first) for r in first) == [(20, 0, 2), (20, 1, 2)]
+
+
+def test_lines_that_are_near_no_box_are_not_cut_into_segments(spark):
+    """The candidates stay the same; only the line whose bounds come near a box is cut into its steps."""
+    box = spark.createDataFrame([(1, 0, 0.0, 0.0, 10.0, 10.0), (2, 0, 0.0, 0.0, 10.0, 10.0)], "diagram_id long, left_id long, x1 double, y1 double, x2 double, y2 double")
+    rows = [(1, 0, [(float(i), 18.0) for i in range(40)]), (1, 1, [(float(i), 400.0) for i in range(300)]), (1, 2, None), (2, 3, [(5.0, 5.0)])]
+    lines = spark.createDataFrame(rows, "diagram_id long, right_id long, path array<struct<x:double,y:double>>")
+    cut = assign.near_segments(box, lines, 20.0)
+    assert sorted((r.diagram_id, r.right_id, r.x, r.u) for r in cut.collect()) == [*((1, 0, float(i), float(i + 1)) for i in range(39)), (2, 3, 5.0, 5.0)]
+    found = assign.line_candidates(box, cut, 20.0).collect()
+    assert sorted((r.diagram_id, r.right_id, r.distance) for r in found) == [(1, 0, 8.0), (2, 3, 0.0)]
