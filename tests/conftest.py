@@ -30,3 +30,18 @@ def small():
     if not os.path.isdir(SMALL):
         pytest.skip("no test tables here")
     return SMALL
+
+
+@pytest.fixture(autouse=True)
+def bounds_of_its_own(request):
+    """Operators bound their session's partitions and batches, and only ever narrow them: what a test set there must not
+    narrow those of the tests after it."""
+    if "spark" not in request.fixturenames:
+        yield
+        return
+    conf = request.getfixturevalue("spark").conf
+    names = ("adaptive.advisoryPartitionSizeInBytes", "adaptive.coalescePartitions.minPartitionSize", "files.maxPartitionBytes", "files.openCostInBytes", "execution.arrow.maxBytesPerBatch", "autoBroadcastJoinThreshold", "shuffle.partitions")
+    kept = {n: conf.get(f"spark.sql.{n}") for n in names}
+    yield
+    for n, v in kept.items():
+        conf.set(f"spark.sql.{n}", v)
