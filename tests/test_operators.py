@@ -399,3 +399,15 @@ def test_lines_that_are_near_no_box_are_not_cut_into_segments(spark):
     assert sorted((r.diagram_id, r.right_id, r.x, r.u) for r in cut.collect()) == [*((1, 0, float(i), float(i + 1)) for i in range(39)), (2, 3, 5.0, 5.0)]
     found = assign.line_candidates(box, cut, 20.0).collect()
     assert sorted((r.diagram_id, r.right_id, r.distance) for r in found) == [(1, 0, 8.0), (2, 3, 0.0)]
+
+
+def test_pieces_of_a_stream_are_written_where_they_arrive(spark, small):
+    """They were written as a table first, and then copied twice."""
+    import glob
+
+    from boxlines.jobs import queries
+    from boxlines.operators.stages import shared_dir
+
+    before = set(glob.glob(f"{shared_dir(spark).removeprefix('file://')}/tables/pieces-*"))
+    assert queries.QUERIES["a6_stream_pieces"](spark, small).count() == 15
+    assert set(glob.glob(f"{shared_dir(spark).removeprefix('file://')}/tables/pieces-*")) == before
